@@ -17,9 +17,37 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), shingle=4, percent=80)
 
 
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(_documents(spark, sf_dir))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_duplicates
+
+    return exact_duplicates(_documents(spark, sf_dir))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan_secrets
+
+    return scan_secrets(_documents(spark, sf_dir))
+
+
+OP7_SQL = """
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS n FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = min(doc_id) OVER w AS kept, sha256(n) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY n)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash,)}
+    return {f.__name__: f for f in (op1_minhash, op6_mix, op7_exact_dedup, op8_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import mixing
+
+    return {"op6_mix": mixing.ORACLE_SQL, "op7_exact_dedup": OP7_SQL}
