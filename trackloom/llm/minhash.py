@@ -6,14 +6,18 @@ Two permutations are all the randomness of a signature: `sigma` scatters a shing
 a whole signature is a running minimum over short contiguous slices.
 
 Plan. (1) One pass over the texts writes a sketch of each document: size and 128-bit digest of its shingle set,
-band hashes, and a 128-bit one-bit-per-coordinate sketch. (2) Documents with the same set fall into one class,
-represented by its smallest doc_id; only representatives go on, so groups of copies cost one row. (3) Band
-buckets propose pairs. A small bucket proposes all its pairs. A large one proposes pairs with a few hubs a
-round, and only between components that are not yet joined, until it holds one component or every member
-outside its largest component has been a hub; work is then linear in a bucket that really is one group, and no
-pair of different components is left out. (4) Proposed pairs with clearly different sketches go (a pair of
-similarity 0.8 differs in 13 of 128 bits, standard deviation 3.4; the limit is 36); all others are confirmed on
-their whole shingle sets. (5) Links are contracted to components by distributed rounds.
+band hashes, and a 128-bit sketch, one bit for each coordinate. (2) Documents with the same set fall into one
+class, represented by its smallest doc_id; only representatives go on, so groups of copies cost one row. (3) Band
+buckets propose pairs: a small bucket all of its pairs, a large one only pairs with its hubs. Members that are not
+clearly close to a hub stay for a further round with other hubs, until few are left, so a bucket that really
+is one group costs one round. Pairs with clearly different sketches go (a pair of similarity 0.8 differs in 13 of
+128 bits, standard deviation 3.4; the limit is 36). (4) All proposed pairs are confirmed on their whole shingle
+sets and the links contracted to components by distributed rounds. (5) What hubs alone may miss is a link between
+two members of a large bucket that are both close to its hub, one or both too far to be linked with it. So the
+hubs' groups of close members, the families, are searched again: every member outside its family's largest
+component is compared with all members of other components. Fixed-size bitmaps of the whole sets bound each
+intersection from above within the join; pairs that may be links by that bound, and only they, leave it and are
+confirmed like the others. A pair of different components is never left out.
 """
 
 from __future__ import annotations
@@ -30,11 +34,18 @@ from . import tokens
 from .scratch import Scratch
 
 UNIVERSE = 1 << 20
-BANDS, ROWS = 36, 5
-BITS = 128
-MOST_BITS = 36
+#: A pair of similarity 0.8 shares none of the bands with probability 3e-6, one of 0.85 with 1e-8.
+BANDS, ROWS = 24, 4
+BITS = COORDINATES = 128
+#: Bits in which a linked pair differs at most; a family's member and its hub; members that need no further hub:
+#: whatever is similar to such a member is close enough to the hub to be in the family.
+MOST_BITS, FAMILY_BITS, SETTLED_BITS = 36, 50, 30
 SMALL_BUCKET = 24
-FIRST_HUBS = 4
+#: A large bucket has 1 hub in its first round, then 4, 16 and at most this many.
+MOST_HUBS = 64
+#: Words of the bitmap of a set; parts into which the members of a family are dealt.
+BITMAP_WORDS = 64
+FAMILY_PARTS = 8
 
 _pi: np.ndarray | None = None
 
@@ -44,13 +55,13 @@ def _shifted() -> np.ndarray:
     global _pi
     if _pi is None:
         pi = np.random.Generator(np.random.PCG64(971)).permutation(UNIVERSE).astype(np.int32)
-        _pi = np.concatenate([pi, pi[: BANDS * ROWS]])
+        _pi = np.concatenate([pi, pi[:COORDINATES]])
     return _pi
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """The BANDS * ROWS coordinates of one set."""
-    k = BANDS * ROWS
+    """The coordinates of one set."""
+    k = COORDINATES
     windows = np.lib.stride_tricks.sliding_window_view(_shifted(), k)
     slots = (shingles >> np.uint64(13)).astype(np.int64) & (UNIVERSE - 1)
     best = windows[slots[:4096]].min(axis=0)
@@ -60,7 +71,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _bands(sigs: np.ndarray) -> np.ndarray:
-    rows = sigs.astype(np.uint64).reshape(len(sigs), BANDS, ROWS)
+    rows = sigs[:, : BANDS * ROWS].astype(np.uint64).reshape(len(sigs), BANDS, ROWS)
     h = np.zeros((len(sigs), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for i in range(ROWS):
         h = tokens.mix(h ^ (rows[:, :, i] + np.uint64(i << 40)))
@@ -80,7 +91,7 @@ def _sketches(size: int):
                     found = tokens.shingles(hashes[cuts[i] : cuts[i + 1]], size)
                     counts[i] = len(found)
                     digests.append(xxhash.xxh3_128_digest(found) if len(found) else None)
-                    sigs.append(signature(found) if len(found) else np.zeros(BANDS * ROWS, np.int32))
+                    sigs.append(signature(found) if len(found) else np.zeros(COORDINATES, np.int32))
                 sigs = np.stack(sigs)
                 bits = np.packbits((tokens.mix(sigs[:, :BITS].astype(np.uint64)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
                 bands = pa.ListArray.from_arrays(np.arange(0, (b - a) * BANDS + 1, BANDS, dtype=np.int32), pa.array(_bands(sigs).reshape(-1)))
@@ -102,8 +113,13 @@ def _sets(size: int):
                 cuts = np.searchsorted(rows, np.arange(b - a + 1))
                 found = [tokens.shingles(hashes[cuts[i] : cuts[i + 1]], size) for i in range(b - a)]
                 lens = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                values = pa.array(np.concatenate(found).view(np.int64))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.ListArray.from_arrays(lens, values)], ["node", "shingles"])
+                values = np.concatenate(found)
+                bits = np.zeros((b - a, BITMAP_WORDS * 64), np.uint8)
+                bits[np.repeat(np.arange(b - a), np.diff(lens)), (values >> np.uint64(20)).astype(np.int64) % (BITMAP_WORDS * 64)] = 1
+                words = np.packbits(bits, axis=1).view(np.int64).reshape(-1)
+                at = np.arange(0, (b - a) * BITMAP_WORDS + 1, BITMAP_WORDS, dtype=np.int32)
+                columns = [ids.slice(a, b - a), pa.ListArray.from_arrays(lens, pa.array(values.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(words))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", "bitmap"])
 
     return run
 
@@ -142,12 +158,44 @@ def _far(a0, a1, b0, b1):
     return F.bit_count(a0.bitwiseXOR(b0)) + F.bit_count(a1.bitwiseXOR(b1))
 
 
-def _propose(hubs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of a bucket's hubs with its members that are no hub of a smaller id, close by sketch."""
-    h, m = hubs.alias("h"), members.alias("m")
-    near = _far(F.col("h.bits0"), F.col("h.bits1"), F.col("m.bits0"), F.col("m.bits1")) <= MOST_BITS
-    joined = h.join(m, (F.col("h.band") == F.col("m.band")) & (F.col("h.node") != F.col("m.node")) & near)
-    return joined.select(F.least("h.node", "m.node").alias("a"), F.greatest("h.node", "m.node").alias("b")).distinct()
+def _close(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b) of rows of one band whose sketches differ in at most `most` bits, with that number."""
+    x, y = left.alias("x"), right.alias("y")
+    bits = _far(F.col("x.bits0"), F.col("x.bits1"), F.col("y.bits0"), F.col("y.bits1"))
+    joined = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (bits <= most))
+    return joined.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _proposals(bands: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b, star, check): star marks a hub and a member of its family, check those to confirm."""
+    columns = ["band", "node", "bits0", "bits1"]
+    sizes = bands.groupBy("band").agg(F.count("*").alias("members"))
+    left = scratch.write(bands.join(sizes.where("members > 1"), "band"), "shared")
+    out, round_ = None, 0
+    while True:
+        small = left.where(F.col("members") <= SMALL_BUCKET)
+        found = _close(small, small, MOST_BITS).withColumn("star", F.lit(False)).withColumn("check", F.lit(True))
+        large = left.where(F.col("members") > SMALL_BUCKET)
+        first = Window.partitionBy("band").orderBy(F.xxhash64("node", "band", F.lit(round_)), "node")
+        hubs = large.withColumn("r", F.row_number().over(first)).where(F.col("r") <= min(MOST_HUBS, 4**round_))
+        hubs = hubs.groupBy("band").agg(F.collect_list(F.struct("node", "bits0", "bits1")).alias("hubs"))
+        apart = lambda h: F.struct(_far(F.col("bits0"), F.col("bits1"), h["bits0"], h["bits1"]).alias("bits"), h["node"].alias("hub"))
+        measured = large.join(hubs, "band").where(~F.exists("hubs", lambda h: h["node"] == F.col("node")))
+        measured = measured.select(*columns, F.filter(F.transform("hubs", apart), lambda h: h["bits"] <= FAMILY_BITS).alias("hubs"))
+        measured = scratch.write(measured.withColumn("nearest", F.array_min("hubs")), "measured")
+        star = F.explode(F.transform("hubs", lambda h: F.struct(h["hub"].alias("hub"), ((h == F.col("nearest")) & (h["bits"] <= MOST_BITS)).alias("check"))))
+        stars = measured.select("node", star.alias("s")).select(F.least("node", "s.hub").alias("a"), F.greatest("node", "s.hub").alias("b"), F.lit(True).alias("star"), "s.check")
+        stars = stars.groupBy("a", "b", "star").agg(F.max("check").alias("check"))
+        found = scratch.write(found.union(stars), "proposals")
+        out = found if out is None else out.union(found)
+        scratch.drop(left)
+        rest = measured.where(F.col("nearest").isNull() | (F.col("nearest.bits") > SETTLED_BITS)).select(*columns)
+        sizes = rest.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+        left = scratch.write(rest.join(sizes, "band"), "rest")
+        scratch.drop(measured)
+        round_ += 1
+        if left.isEmpty():
+            return out.groupBy("a", "b").agg(F.max("star").alias("star"), F.max("check").alias("check"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -169,63 +217,65 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sketches = texts.mapInArrow(_sketches(shingle), "doc_id long, n_shingles long, digest binary, bands array<long>, bits0 long, bits1 long")
     sketches = scratch.write(sketches, "sketches")
     classes = scratch.write(sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
+    # Rows that share a doc_id are one document here: its texts are several nodes of one name.
     nodes = sketches.join(classes, "digest").where("doc_id = node").dropDuplicates(["node", "digest"])
     bands = scratch.write(nodes.select("node", "bits0", "bits1", F.explode("bands").alias("band")), "bands")
-    # A doc_id that comes with several texts is several nodes of one name; linking them by name keeps this defined.
-
-    sizes = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    shared = scratch.write(bands.join(sizes, "band"), "shared")
+    pairs = scratch.write(_proposals(bands, scratch), "pairs")
     scratch.drop(bands)
-    small, large = shared.where(F.col("members") <= SMALL_BUCKET), shared.where(F.col("members") > SMALL_BUCKET)
-    hub = [F.min_by(F.struct("node", "bits0", "bits1"), F.xxhash64("node", F.lit(i))) for i in range(FIRST_HUBS)]
-    hubs = large.groupBy("band").agg(F.array(*hub).alias("hubs")).select("band", F.explode(F.array_distinct("hubs")).alias("hub")).select("band", "hub.*")
-    pairs = _propose(small, small).union(_propose(hubs, large)).distinct()
-
-    checked, links, size = None, None, FIRST_HUBS
-    used = hubs.select("band", "node")
-    while True:
-        pairs = scratch.write(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        new = scratch.write(_confirm(texts, pairs, shingle, percent, scratch), "links")
-        links = new if links is None else links.union(new)
-        checked = pairs if checked is None else checked.union(pairs)
-        labels = components(links, scratch)
-        # A large bucket goes on while a member outside its largest component has not been a hub.
-        at = large.join(labels, "node", "left").select("band", "node", "bits0", "bits1", F.coalesce("component", "node").alias("component"))
-        counted = at.groupBy("band", "component").agg(F.count("*").alias("n"))
-        top = counted.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-        at = scratch.write(at.join(top, "band"), "open")
-        waiting = at.where("component <> top").join(used, ["band", "node"], "left_anti")
-        size *= 4
-        rank = F.xxhash64("node", "band")
-        hubs = scratch.write(waiting.withColumn("r", F.row_number().over(_by_band(rank))).where(F.col("r") <= size).drop("r"), "hubs")
-        used = used.union(hubs.select("band", "node"))
-        h, m = hubs.alias("h"), at.alias("m")
-        near = _far(F.col("h.bits0"), F.col("h.bits1"), F.col("m.bits0"), F.col("m.bits1")) <= MOST_BITS
-        pairs = h.join(m, (F.col("h.band") == F.col("m.band")) & (F.col("h.component") != F.col("m.component")) & near)
-        pairs = pairs.select(F.least("h.node", "m.node").alias("a"), F.greatest("h.node", "m.node").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
-        if hubs.isEmpty():
-            break
-
-    named = classes.select("digest", F.col("node").alias("component_id"))
-    if links is not None:
-        named = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    sets = scratch.write(_whole_sets(texts, pairs, shingle), "sets")
+    links = scratch.write(_confirm(pairs.where("check"), sets, percent), "links")
+    labels = components(links, scratch)
+    missed = scratch.write(_within_families(pairs, labels, nodes.select("node", "bits0", "bits1"), sets, percent, scratch), "missed")
+    missed = scratch.write(_confirm(missed, sets, percent), "more-links")
+    if not missed.isEmpty():
+        labels = components(links.union(missed), scratch)
+    scratch.drop(sets, pairs)
+
+    named = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     has = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
     full = sketches.where(has).select("doc_id", "n_shingles", "digest").join(named, "digest").select("doc_id", "n_shingles", "component_id")
     rest = sketches.where(~has).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _by_band(rank):
-    return Window.partitionBy("band").orderBy(rank, "node")
+def _whole_sets(texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of every document in a pair. The names grow with the input, so they are never broadcast."""
+    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().hint("merge")
+    return texts.join(named, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, shingles array<long>, bitmap array<long>")
+
+
+def _similar(x, y, percent: int):
+    both = F.size(F.array_intersect(x, y))
+    lesser, greater = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
+    return (100 * lesser >= percent * greater) & (100 * both >= percent * (F.size(x) + F.size(y) - both))
 
 
-def _confirm(texts: DataFrame, pairs: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar enough."""
-    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = texts.join(named, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, shingles array<long>")
-    sets = scratch.write(sets, "sets")
+    sets = sets.select("node", "shingles")
     a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
+    return pairs.select("a", "b").join(a, "a").join(b, "b").where(_similar(F.col("sa"), F.col("sb"), percent)).select("a", "b").distinct()
+
+
+def _within_families(pairs: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs of different components of one family that may be links."""
+    family = components(pairs.where("star").select("a", "b"), scratch).withColumnRenamed("component", "family")
+    at = family.join(labels, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
+    counted = at.groupBy("family", "component").agg(F.count("*").alias("n"))
+    top = counted.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    maps = sets.select("node", F.size("shingles").alias("n"), *[F.element_at("bitmap", i + 1).alias(f"w{i}") for i in range(BITMAP_WORDS)])
+    at = scratch.write(at.join(top, "family").drop("parts").join(nodes, "node").join(maps, "node"), "families")
+    part = F.pmod(F.xxhash64("node"), F.lit(FAMILY_PARTS)).cast("int")
+    x = at.where("component <> top").withColumn("part", part).alias("x")
+    y = at.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(FAMILY_PARTS - 1)))).alias("y")
+    other = (F.col("x.family") == F.col("y.family")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.component") != F.col("y.component"))
+    once = (F.col("y.component") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
+    near = _far(F.col("x.bits0"), F.col("x.bits1"), F.col("y.bits0"), F.col("y.bits1")) <= MOST_BITS
+    # Elements of both sets share a bit, or are lost to a collision within either set.
+    ones = lambda side: sum((F.bit_count(F.col(f"{side}.w{i}")) for i in range(1, BITMAP_WORDS)), F.bit_count(F.col(f"{side}.w0")))
+    shared = sum((F.bit_count(F.col(f"x.w{i}").bitwiseAND(F.col(f"y.w{i}"))) for i in range(1, BITMAP_WORDS)), F.bit_count(F.col("x.w0").bitwiseAND(F.col("y.w0"))))
+    x, y = (d.select("*", (F.col("n") - ones(s)).alias("lost")).alias(s) for d, s in ((x, "x"), (y, "y")))
+    # 100 * i >= percent * (nx + ny - i), solved for i.
+    most = shared + F.least("x.lost", "y.lost")
+    found = x.join(y, other & once & near & ((100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n"))))
+    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
