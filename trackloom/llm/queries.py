@@ -35,6 +35,14 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_documents(spark, sf_dir))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import round_trip
+
+    return round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 OP7_SQL = """
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS n FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -44,7 +52,7 @@ FROM t WINDOW w AS (PARTITION BY n)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op6_mix, op7_exact_dedup, op8_secrets)}
+    return {f.__name__: f for f in (op1_minhash, op6_mix, op7_exact_dedup, op8_secrets, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
