@@ -17,6 +17,12 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), shingle=4, percent=80)
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree import held_out, score_texts
+
+    return score_texts(_documents(spark, sf_dir), ~held_out(10, 0))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -52,7 +58,7 @@ FROM t WINDOW w AS (PARTITION BY n)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op6_mix, op7_exact_dedup, op8_secrets, op9_bpe)}
+    return {f.__name__: f for f in (op1_minhash, op5_suffix_tree, op6_mix, op7_exact_dedup, op8_secrets, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
