@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,15 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), shingle=4, percent=80)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .labelled import remainder
+    from .toxicity import fit, score_toxicity
+
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = score_toxicity(docs, fit(docs, labels, remainder(5) != 0))
+    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_tree import held_out, score_texts
 
@@ -58,7 +68,7 @@ FROM t WINDOW w AS (PARTITION BY n)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op5_suffix_tree, op6_mix, op7_exact_dedup, op8_secrets, op9_bpe)}
+    return {f.__name__: f for f in (op1_minhash, op4_toxicity, op5_suffix_tree, op6_mix, op7_exact_dedup, op8_secrets, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

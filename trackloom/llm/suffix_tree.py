@@ -14,6 +14,7 @@ all others meet their counts in a join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ FREQUENT = 2.0**-22
 SEPARATOR, END = 32, 10
 WORD, GRAM = 0, 1
 #: Counts that a task holds before it combines them, and after combining before it passes them on.
-HELD = 6_000_000
+HELD = 2_500_000
 
 
 def _stream(part: np.ndarray, bounds: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +95,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if sizes[kind] > HELD:
                     u, n = _combined(*held[kind])
                     held[kind], sizes[kind] = ([u], [n]), len(u)
-                    if len(u) > HELD // 2:
+                    if len(u) > 0.8 * HELD:
                         yield from out(kind)
     for kind in held:
         if sizes[kind]:
@@ -102,37 +103,36 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _states(grams: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(length, context, symbol, count) of all next-symbol counts of the states, contexts as packed symbols."""
+    """(length, context, symbol, count) of all next-symbol counts of the states, contexts as packed symbols.
+
+    Spark sums all contexts; the driver sees those that are frequent, at most 1 / SHARE of each length.
+    """
     total = grams.agg(F.sum("n")).first()[0] or 0
-    levels = {DEPTH: grams.select(F.shiftright("code", 8).alias("context"), F.col("code").bitwiseAND(255).alias("symbol"), "n")}
-    for k in range(DEPTH - 1, -1, -1):
-        shorter = levels[k + 1].groupBy(F.col("context").bitwiseAND((1 << 8 * k) - 1).alias("context"), "symbol").agg(F.sum("n").alias("n"))
-        levels[k] = scratch.write(shorter, f"level{k}")
-    found = None
-    for k in range(1, DEPTH + 1):
-        sums = levels[k].groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= max(2.0, SHARE * total))
-        own = levels[k].join(sums, "context").withColumn("suffix", F.col("context").bitwiseAND((1 << 8 * (k - 1)) - 1))
-        up = levels[k - 1].toDF("suffix", "symbol", "up")
-        ups = levels[k - 1].groupBy("context").agg(F.sum("n").alias("up_all")).withColumnRenamed("context", "suffix")
-        p = F.col("n") / F.col("all")
-        near = own.join(up, ["suffix", "symbol"]).join(ups, "suffix").select("context", "symbol", "n", (p * F.log(p * F.col("up_all") / F.col("up"))).alias("gain"))
-        gains = near.groupBy("context").agg(F.sum("gain").alias("gain"))
-        level = near.drop("gain").join(gains, "context").select(F.lit(k).alias("k"), "context", "symbol", "n", (F.col("gain") >= DIVERGENCE).alias("apart"))
-        found = level if found is None else found.union(level)
-    root = levels[0].select(F.lit(0).alias("k"), "context", "symbol", "n", F.lit(True).alias("apart"))
-    table = root.union(found).toArrow()
-    k, context, symbol, n, apart = (table.column(i).to_numpy() for i in range(5))
-    # A state's suffixes are states too.
-    keep = {(0, 0)}
-    for level in range(DEPTH, 0, -1):
-        for c in np.unique(context[(k == level) & apart]).tolist():
-            for shorter in range(level, 0, -1):
+    level = grams.select(F.shiftright("code", 8).alias("context"), F.col("code").bitwiseAND(255).cast("int").alias("symbol"), "n")
+    tables: dict[int, dict[int, dict[int, int]]] = {}
+    for k in range(DEPTH, -1, -1):
+        if k < DEPTH:
+            shorter = level.groupBy(F.col("context").bitwiseAND((1 << 8 * k) - 1).alias("context"), "symbol").agg(F.sum("n").alias("n"))
+            level = scratch.write(shorter, f"level{k}")
+        rows = level.groupBy("context").agg(F.sum("n").alias("all"), F.collect_list(F.struct("symbol", "n")).alias("next"))
+        rows = rows.where((F.col("all") >= max(2.0, SHARE * total)) | F.lit(k == 0)).select("context", F.col("next.symbol").alias("symbols"), F.col("next.n").alias("counts"))
+        context, symbols, counts = (column.to_pylist() for column in rows.toArrow().columns)
+        tables[k] = {c: dict(zip(s, n)) for c, s, n in zip(context, symbols, counts)}
+    keep = {(0, 0)} if tables[0] else set()
+    for k in range(DEPTH, 0, -1):
+        mask = (1 << 8 * (k - 1)) - 1
+        for c, own in tables[k].items():
+            up = tables[k - 1][c & mask]
+            n, ups = sum(own.values()), sum(up.values())
+            if sum(v / n * math.log(v / n * ups / up[x]) for x, v in own.items()) < DIVERGENCE:
+                continue
+            for shorter in range(k, 0, -1):  # a state's suffixes are states too
                 item = (shorter, c & ((1 << 8 * shorter) - 1))
                 if item in keep:
                     break
                 keep.add(item)
-    chosen = np.fromiter(((a, b) in keep for a, b in zip(k.tolist(), context.tolist())), bool, len(k))
-    return k[chosen], context[chosen], symbol[chosen], n[chosen]
+    flat = [(k, c, x, n) for k, c in sorted(keep) for x, n in sorted(tables[k][c].items())]
+    return tuple(np.array(column, np.int64) for column in zip(*flat)) if flat else tuple(np.zeros(0, np.int64) for _ in range(4))
 
 
 class Tree:
