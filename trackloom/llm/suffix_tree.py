@@ -14,7 +14,6 @@ all others meet their counts in a join.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from . import tokens
 from .scratch import Scratch
 
 DEPTH = 6
-SHARE = 1e-5
+SHARE = 5e-6
 DIVERGENCE = 0.01
 STRENGTH = 4.0
 FREQUENT = 2.0**-22
@@ -102,71 +101,66 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from out(kind)
 
 
-def _states(grams: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(length, context, symbol, count) of all next-symbol counts of the states, contexts as packed symbols.
+def _states(grams: DataFrame, scratch: Scratch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length, (code, count) of the states' next symbols, sorted; a code packs context and next symbol.
 
     Spark sums all contexts; the driver sees those that are frequent, at most 1 / SHARE of each length.
     """
     total = grams.agg(F.sum("n")).first()[0] or 0
     level = grams.select(F.shiftright("code", 8).alias("context"), F.col("code").bitwiseAND(255).cast("int").alias("symbol"), "n")
-    tables: dict[int, dict[int, dict[int, int]]] = {}
+    tables: list[tuple[np.ndarray, np.ndarray]] = []
     for k in range(DEPTH, -1, -1):
         if k < DEPTH:
             shorter = level.groupBy(F.col("context").bitwiseAND((1 << 8 * k) - 1).alias("context"), "symbol").agg(F.sum("n").alias("n"))
             level = scratch.write(shorter, f"level{k}")
         rows = level.groupBy("context").agg(F.sum("n").alias("all"), F.collect_list(F.struct("symbol", "n")).alias("next"))
-        rows = rows.where((F.col("all") >= max(2.0, SHARE * total)) | F.lit(k == 0)).select("context", F.col("next.symbol").alias("symbols"), F.col("next.n").alias("counts"))
-        context, symbols, counts = (column.to_pylist() for column in rows.toArrow().columns)
-        tables[k] = {c: dict(zip(s, n)) for c, s, n in zip(context, symbols, counts)}
-    keep = {(0, 0)} if tables[0] else set()
+        rows = rows.where((F.col("all") >= max(2.0, SHARE * total)) | F.lit(k == 0)).select("context", F.explode("next").alias("next"))
+        table = rows.select((F.shiftleft("context", 8) + F.col("next.symbol")).alias("code"), "next.n").toArrow()
+        code, n = (column.to_numpy() for column in table.columns)
+        order = np.argsort(code)
+        tables.insert(0, (code[order], n[order]))
+    # A context is a state if it diverges from its suffix, or if it is the suffix of a state.
+    keep = {0: np.ones(len(tables[0][0]), bool)}
+    needed = np.zeros(0, np.int64)
     for k in range(DEPTH, 0, -1):
-        mask = (1 << 8 * (k - 1)) - 1
-        for c, own in tables[k].items():
-            up = tables[k - 1][c & mask]
-            n, ups = sum(own.values()), sum(up.values())
-            if sum(v / n * math.log(v / n * ups / up[x]) for x, v in own.items()) < DIVERGENCE:
-                continue
-            for shorter in range(k, 0, -1):  # a state's suffixes are states too
-                item = (shorter, c & ((1 << 8 * shorter) - 1))
-                if item in keep:
-                    break
-                keep.add(item)
-    flat = [(k, c, x, n) for k, c in sorted(keep) for x, n in sorted(tables[k][c].items())]
-    return tuple(np.array(column, np.int64) for column in zip(*flat)) if flat else tuple(np.zeros(0, np.int64) for _ in range(4))
+        (code, n), (up_code, up_n) = tables[k], tables[k - 1]
+        mask = (1 << 8 * k) - 1
+        contexts, group = np.unique(code >> 8, return_inverse=True)
+        up_group = np.unique(up_code >> 8, return_inverse=True)[1] if len(up_code) else np.zeros(0, np.int64)
+        at = np.searchsorted(up_code, code & mask)  # the code of the suffix with the same symbol
+        p, q = n / np.bincount(group, n)[group] if len(n) else n, (up_n / np.bincount(up_group, up_n)[up_group])[at] if len(n) else n
+        apart = np.bincount(group, p * np.log(p / q), minlength=len(contexts)) >= DIVERGENCE if len(n) else np.zeros(0, bool)
+        apart |= np.isin(contexts, needed)
+        keep[k] = apart[group] if len(n) else np.zeros(0, bool)
+        needed = np.unique(contexts[apart] & (mask >> 8))
+    return [(code[keep[k]], n[keep[k]]) for k, (code, n) in enumerate(tables)]
 
 
 class Tree:
     """States as rows of dense tables: the next longer state by the symbol before, and log10 probabilities."""
 
-    def __init__(self, k: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray):
-        seen = np.unique(symbol)
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
+        seen = np.unique(tables[0][0] & 255)
         self.symbols = np.zeros(256, np.int64)  # 0: never seen in training
         self.symbols[seen] = np.arange(1, len(seen) + 1)
-        width = len(seen) + 1
-        names, index = {}, np.zeros(len(k), np.int64)
-        for i, name in enumerate(zip(k.tolist(), context.tolist())):
-            index[i] = names.setdefault(name, len(names))
-        order = sorted(names, key=lambda x: x[0])
-        place = np.zeros(max(len(names), 1), np.int64)
-        for new, name in enumerate(order):
-            place[names[name]] = new
-        counts = np.zeros((max(len(order), 1), width))
-        counts[place[index], self.symbols[symbol]] = n
-        self.longer = np.full((len(counts), width), -1, np.int32)
-        unseen = 256 - len(seen)
-        uniform = np.full(width, 1 / 256)
-        uniform[0] = unseen / 256
-        p = np.zeros_like(counts)
-        p[0] = (counts[0] + STRENGTH * uniform) / (counts[0].sum() + STRENGTH)
-        at = {name: i for i, name in enumerate(order)}
-        for i, (length, c) in enumerate(order):
-            if length:
-                up = at[length - 1, c & ((1 << 8 * (length - 1)) - 1)]
-                p[i] = (counts[i] + STRENGTH * p[up]) / (counts[i].sum() + STRENGTH)
-                self.longer[up, self.symbols[c >> 8 * (length - 1)]] = i
-        p[:, 0] /= max(1, unseen)
-        with np.errstate(divide="ignore"):
-            self.log10 = np.log10(p).astype(np.float32)
+        width, unseen = len(seen) + 1, 256 - len(seen)
+        contexts = [np.zeros(1, np.int64)] + [np.unique(code >> 8) for code, _ in tables[1:]]
+        first = np.cumsum([0, *map(len, contexts)])
+        self.longer = np.full((first[-1], width), -1, np.int32)
+        self.log10 = np.zeros((first[-1], width), np.float32)
+        above = np.full((1, width), 1 / 256)
+        above[0, 0] = unseen / 256
+        for k, (code, n) in enumerate(tables):
+            own = np.zeros((len(contexts[k]), width))
+            own[np.searchsorted(contexts[k], code >> 8), self.symbols[code & 255]] = n
+            if k:
+                up = np.searchsorted(contexts[k - 1], contexts[k] & ((1 << 8 * (k - 1)) - 1))
+                self.longer[first[k - 1] + up, self.symbols[contexts[k] >> 8 * (k - 1)]] = first[k] + np.arange(len(contexts[k]))
+                above = above[up]
+            above = (own + STRENGTH * above) / (own.sum(axis=1, keepdims=True) + STRENGTH)
+            with np.errstate(divide="ignore"):
+                self.log10[first[k] : first[k + 1]] = np.log10(above)
+        self.log10[:, 0] -= np.log10(max(1, unseen))
 
     def scores(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 probability of each document of a stream."""
@@ -206,7 +200,7 @@ def score_texts(docs: DataFrame, train, least_share: float = FREQUENT) -> DataFr
     ends = grams.where(F.col("code").bitwiseAND(255) == END).agg(F.sum("n")).first()[0] or 0
     in_words, distinct = words.agg(F.sum("n"), F.count("*")).first()
     total, distinct = (in_words or 0) + ends, distinct + (ends > 0)
-    tree = Tree(*_states(grams, scratch))
+    tree = Tree(_states(grams, scratch))
     least = max(1, int(total * least_share))
     frequent = words.where(F.col("n") >= least).toArrow()
     keys, n = frequent.column(0).to_numpy().view(np.uint64), frequent.column(1).to_numpy()
