@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 _STEPS = 1_000_000
 
 
@@ -13,12 +15,6 @@ def remainder(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
-def with_label(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, label) of the documents that have a label; one that has several gets the largest."""
-    known = labels.where(F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id")
-
-
 def bounded(rows: DataFrame, most: int) -> DataFrame:
     """About `most` of the rows, the same ones in every run: those whose hashed doc_id falls below a threshold that
     follows from the number of rows; all rows if there are no more than that."""
@@ -26,3 +22,13 @@ def bounded(rows: DataFrame, most: int) -> DataFrame:
     if n <= most:
         return rows
     return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(_STEPS)) < int(_STEPS * most / n))
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int) -> DataFrame:
+    """(doc_id, text, label), written, of about `most` documents at most that have the label and for which `train`
+    holds; one that has several labels gets the largest. The chosen ids are no more than that, so they are broadcast
+    and the texts are not shuffled."""
+    known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    known = bounded(known.where(train).groupBy("doc_id").agg(F.max("label").alias("label")), most)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return Scratch(docs.sparkSession).write(texts.join(F.broadcast(known), "doc_id"), "sample")

@@ -238,6 +238,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     return full.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """`docs`, all columns as they are, with one document of each group of near duplicates: the one of the smallest
+    doc_id. Rows with a null doc_id stay."""
+    gone = near_duplicates(docs, shingle, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("_gone_id"), "left_anti")
+
+
 def _whole_sets(texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """(node, shingles) of every document in a pair. The names grow with the input, so they are never broadcast."""
     named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().hint("merge")

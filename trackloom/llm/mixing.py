@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -40,6 +40,10 @@ def _targets(sized: DataFrame, weights: tuple[int, ...], share: float, most: int
     return per.select("source", "source_no", "source_size", F.least(cap, F.col("w") * F.col("level")).alias("target"))
 
 
+def _size() -> Column:
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix") -> DataFrame:
     """How often the mix takes each document of `docs(doc_id, text, source, ...)`.
 
@@ -54,7 +58,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+    size = _size()
     order = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 16)
     sized = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), order.alias("at")), "sized")
     n = sized.count()
@@ -94,6 +98,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     return queued.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
+def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix") -> DataFrame:
+    """`docs`, all columns as they are, each row as often as the mix takes it. Rows alike in doc_id, source and size
+    come equally often, as often as the mix takes any of them."""
+    taken = mix_sources(docs, weights, share, most, seed).where("taken > 0")
+    copies = taken.groupBy(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (_size() == F.col("_mix_size"))
+    joined = docs.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return joined.select(*docs.columns)
+
+
 ORACLE_SQL = """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,

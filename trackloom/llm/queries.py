@@ -18,6 +18,21 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), shingle=4, percent=80)
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .labelled import remainder
+    from .quality import fit, score_quality
+
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = score_quality(docs, fit(docs, labels, remainder(4) != 2))
+    return scored.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .labelled import remainder
     from .toxicity import fit, score_toxicity
@@ -59,6 +74,15 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .labelled import remainder
+    from .language import fit, identify
+
+    docs = _documents(spark, sf_dir)
+    found = identify(docs, fit(docs, remainder(4) != 2))
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 OP7_SQL = """
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS n FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -68,7 +92,7 @@ FROM t WINDOW w AS (PARTITION BY n)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op4_toxicity, op5_suffix_tree, op6_mix, op7_exact_dedup, op8_secrets, op9_bpe)}
+    return {f.__name__: f for f in (op1_minhash, op2_neighbours, op3_quality, op4_toxicity, op5_suffix_tree, op6_mix, op7_exact_dedup, op8_secrets, op9_bpe, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import bounded, with_label
+from . import labelled
 
 #: Labelled documents that the lexicon is fitted on, at most about this many.
 FITTED = 20_000
@@ -141,7 +141,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, most: int = FITTED) -> Lexicon:
     """The lexicon from documents with a `toxic` label for which `train` holds, about `most` of them at most."""
-    sample = bounded(with_label(docs, labels, "toxic").where(train), most).select("text", "label")
+    sample = labelled.sample(docs, labels, "toxic", train, most).select("text", "label")
     counts = sample.mapInArrow(_count_beginnings, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     seeds = [fold(s).strip() for s in SEEDS]
     short = F.concat(F.col("entry"), F.lit(" "))
