@@ -62,7 +62,11 @@ def look_up(table: Column, key: Column) -> Column:
 def encode_word(word: Column, ranks: Column) -> Column:
     """The ids of one word, given as upper-case hex: the whole word if it has a rank, else a fold that merges the
     leftmost of the adjacent pairs of least rank until none has one. The ranks of pairs travel with the pieces, so
-    a merge looks up only its two new neighbours."""
+    a merge looks up only its two new neighbours. The map is bound once, so a plan holds it once."""
+    return let(ranks, lambda table: _encode_word(word, table))
+
+
+def _encode_word(word: Column, ranks: Column) -> Column:
     none = F.array().cast("array<int>")
     pieces = F.regexp_extract_all(word, F.lit("(..)"), F.lit(1))
     n = F.length(word) / 2
@@ -177,7 +181,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     frequent = frequent_words(docs, pattern)
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folded = frequent.repartition(slices, "word").select("word", encode_word(F.hex(F.col("word").cast("binary")), table).alias("ids"))
-    known = spark.sparkContext.broadcast(({r["word"]: tuple(r["ids"]) for r in folded.collect()}, ranks))
+    found = folded.toArrow()
+    known = spark.sparkContext.broadcast((dict(zip(found.column(0).to_pylist(), map(tuple, found.column(1).to_pylist()))), ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, split = _Words(*known.value), regex.compile(pattern).findall
