@@ -23,13 +23,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 
 SLOTS = 1 << 14
 FREQUENT = 2.0**-20
 #: Longest word, in bytes, that is broadcast or remembered; number of rare words that a task remembers.
 LONGEST = 48
-CACHED = 300_000
+CACHED = 150_000
 #: Pieces from which a heap finds the next merge; ids after which a batch is passed on.
 HEAP_FROM = 64
 BATCH_IDS = 1 << 20
@@ -209,6 +209,8 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     lens = np.array([len(pieces.get(i, b"")) for i in range(max(pieces) + 1)])
     shared = encoded.sparkSession.sparkContext.broadcast((data, lens))
 
+    small_batches(encoded.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, lens = shared.value
         starts = np.cumsum(lens) - lens

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 #: A combiner passes on what it holds when its texts exceed this many bytes.
-COMBINE_BYTES = 24 << 20
+COMBINE_BYTES = 12 << 20
 #: The directory never exceeds 2**MAX_DEPTH slots of 12 bytes; it is gathered and broadcast.
 MAX_DEPTH = 18
 BUCKETS_PER_PARTITION = 8

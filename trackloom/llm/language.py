@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import bounded
+from .scratch import small_batches
 
 #: Documents that the regression is fitted on, at most about this many.
 FITTED = 3_000
@@ -112,6 +113,7 @@ def _train(texts: list[str], y: np.ndarray, classes: int, idf: np.ndarray) -> tu
 
 def fit(docs: DataFrame, train: Column, most: int = FITTED) -> Model:
     """The model from documents with a non-null lang for which `train` holds; one in five of the sample calibrates."""
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(train)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = rows.select("text").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
@@ -147,6 +149,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Null texts and texts without a letter are `und` with score 0. Rows come back as often as they come; other
     columns are not read. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled, tokens
+from .scratch import small_batches
 
 #: Labelled documents that the field is fitted on, at most about this many.
 FITTED = 4_000
@@ -214,6 +215,8 @@ def score_quality(docs: DataFrame, field: LineField) -> DataFrame:
     read. An empty table gives an empty result.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tokens.text_bytes(batch.column(1))
@@ -225,6 +228,7 @@ def score_quality(docs: DataFrame, field: LineField) -> DataFrame:
 
 def keep_good(docs: DataFrame, field: LineField, least: float = 0.7) -> DataFrame:
     """The rows of `docs`, all columns as they are, whose text scores at least `least`."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

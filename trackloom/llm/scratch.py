@@ -18,6 +18,18 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Rows of an Arrow batch: a few MB of ordinary documents on either side of the Python boundary.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS, as rows that hold whole documents are large. Operators that
+    send texts to Python call it; a session with smaller batches keeps them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 class Scratch:
     """Names Parquet tables below the shared folder and drops those that are no longer needed.
 
@@ -27,6 +39,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/trackloom-{uuid.uuid4().hex}"
         self.count = 0
 

@@ -51,7 +51,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(data: np.ndarray, offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole documents of about `most` bytes: first row, row after the last, bytes, offsets."""
     at, rows = 0, len(offsets) - 1
     while at < rows:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
+from .scratch import small_batches
 
 #: Labelled documents that the lexicon is fitted on, at most about this many.
 FITTED = 20_000
@@ -203,6 +204,8 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     come; other columns are not read. An empty table gives an empty result.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([lexicon.score(t.as_py()) for t in batch.column(1)], pa.float64())], ["doc_id", "score"])
