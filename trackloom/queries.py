@@ -8,13 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+from .functions import kernels
 from .joins import align, nearest_pairs_only
+from .ml import models, templates
 from .operators import groups, interactions, kinematics, neighbours, pairs, summaries
+from .plans import scope
 from .windows import interpolated, rolling, rows_of
 
 FPS = 25.0
@@ -485,3 +489,136 @@ def excluded_rows(spark, sf_dir):
     return summaries.exclude_rows(t, ["far", "high", "missing"]).drop("far", "high")
 
 
+
+
+# ---- entries
+
+
+@query(f"""{WITH_TRACKS}, e AS (SELECT grp, seq, lag(seq) OVER w AS bef, lead(seq) OVER w AS aft FROM (SELECT DISTINCT grp, seq FROM t) WINDOW w AS (PARTITION BY grp ORDER BY seq)),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY grp, seq ORDER BY frame) AS fr, dense_rank() OVER (PARTITION BY grp, seq ORDER BY frame DESC) AS la FROM t)
+SELECT {ENTRY_SQL}, id, frame, true AS is_core FROM t UNION ALL SELECT e.grp, e.seq, k.id, k.frame, false FROM k JOIN e ON k.grp = e.grp AND k.seq = e.bef WHERE la <= 2
+UNION ALL SELECT e.grp, e.seq, k.id, k.frame, false FROM k JOIN e ON k.grp = e.grp AND k.seq = e.aft WHERE fr <= 2""")
+def overlapping_sequences(spark, sf_dir):
+    return scope.with_overlap(tracks(spark, sf_dir).select("group", "sequence", "id", "frame"), 2)
+
+
+@query(f"""{WITH_TRACKS} SELECT DISTINCT {ENTRY_SQL} FROM t WHERE regexp_matches(seq, '-0[12]-') AND seq LIKE '%1' AND grp LIKE 'g%'""")
+def queried_entries(spark, sf_dir):
+    return scope.query_entries(tracks(spark, sf_dir), group_starts="g", contains="-0[12]-", ends="1")
+
+
+@query(f"""{WITH_TRACKS} SELECT {ENTRY_SQL}, id, frame FROM t WHERE grp IN ('g0', 'g2') AND (grp, seq) IN (SELECT (grp, max(seq)) FROM t GROUP BY grp)""")
+def scoped_rows(spark, sf_dir):
+    t = tracks(spark, sf_dir).select("group", "sequence", "id", "frame")
+    last = t.groupBy("group").agg(F.max("sequence").alias("sequence"))
+    return scope.in_scope(t, groups=["g0", "g2"]).join(last, ["group", "sequence"], "left_semi")
+
+
+@query(f"""{WITH_TRACKS} SELECT DISTINCT {ENTRY_SQL}, split_part(seq, '-', 1) AS "year", split_part(seq, '-', 2) AS "month", split_part(seq, '-', 3) AS "day" FROM t""")
+def entry_levels(spark, sf_dir):
+    return scope.entry_levels(tracks(spark, sf_dir), ["year", "month", "day"], "-")
+
+
+# ---- global models over the embeddings table
+
+
+def _embeddings(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def _wide(spark, sf_dir):
+    return _embeddings(spark, sf_dir).select("vec_id", "label", *[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(4)])
+
+
+_PROTO = """WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), m AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x FROM e GROUP BY label, pos),
+p AS (SELECT label, pos, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM m)"""
+
+
+@query(f"{_PROTO} SELECT label, CAST(pos - 1 AS INT) AS pos, {r('x')} AS value FROM p")
+def embedding_prototypes(spark, sf_dir):
+    return models.prototypes(_embeddings(spark, sf_dir)).select("label", F.posexplode("prototype").alias("pos", "value"))
+
+
+@query(f"""{_PROTO}, n AS (SELECT vec_id, sqrt(sum(CAST(x AS DOUBLE) * x)) AS n FROM e GROUP BY vec_id), s AS (SELECT e.vec_id, p.label, sum(CAST(e.x AS DOUBLE) * p.x) / any_value(n.n) / 0.07 AS z FROM e JOIN p USING (pos) JOIN n ON n.vec_id = e.vec_id GROUP BY e.vec_id, p.label),
+w AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) AS w FROM s) SELECT vec_id, label, {r('w / sum(w) OVER (PARTITION BY vec_id)')} AS probability FROM w""")
+def prototype_scores(spark, sf_dir):
+    e = _embeddings(spark, sf_dir)
+    return models.prototype_scores(e, models.prototypes(e), "vec_id")
+
+
+_E = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(4))
+
+
+@query(f"""WITH e AS (SELECT vec_id, label, {_E} FROM embeddings) SELECT vec_id, label, {', '.join(f"{r(f'(e{i} - avg(e{i}) OVER ()) / stddev_pop(e{i}) OVER ()')} AS e{i}" for i in range(4))} FROM e""")
+def scaled_features(spark, sf_dir):
+    wide = _wide(spark, sf_dir)
+    return models.Scaler.fit(wide, [f"e{i}" for i in range(4)]).apply(wide)
+
+
+_CENTERS = [[0.1, 0.1, 0.0, 0.0], [-0.1, 0.0, 0.1, 0.0], [0.0, -0.1, -0.1, 0.1]]
+_NEAR = f"""WITH e AS (SELECT vec_id, label, {_E} FROM embeddings), d AS (SELECT *, {', '.join('(' + ' + '.join(f'(e{i} - {v}e0) * (e{i} - {v}e0)' for i, v in enumerate(c)) + f') AS d{k}' for k, c in enumerate(_CENTERS))} FROM e),
+c AS (SELECT vec_id, label, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS cluster FROM d)"""
+
+
+@query(f"{_NEAR} SELECT vec_id, cluster FROM c")
+def centroid_assignment(spark, sf_dir):
+    return models.nearest_centroid(_wide(spark, sf_dir), [f"e{i}" for i in range(4)], np.array(_CENTERS)).select("vec_id", "cluster")
+
+
+@query(f"{_NEAR} SELECT label AS truth, cluster AS predicted, count(*) AS n FROM c GROUP BY ALL")
+def cluster_contingency(spark, sf_dir):
+    return models.contingency(models.nearest_centroid(_wide(spark, sf_dir), [f"e{i}" for i in range(4)], np.array(_CENTERS)), "label", "cluster")
+
+
+@query()
+def kmeans_clusters(spark, sf_dir):
+    wide, columns = _wide(spark, sf_dir), [f"e{i}" for i in range(4)]
+    return models.nearest_centroid(wide, columns, models.kmeans(wide, columns, 8)).select("vec_id", "cluster")
+
+
+@query()
+def ward_clusters(spark, sf_dir):
+    wide, columns = _wide(spark, sf_dir), [f"e{i}" for i in range(4)]
+    pool = wide.orderBy(F.xxhash64("vec_id")).limit(400).select(*columns).toPandas().to_numpy()
+    return models.nearest_centroid(wide, columns, models.ward(pool, 6)[1]).select("vec_id", "cluster")
+
+
+@query()
+def template_rows(spark, sf_dir):
+    return templates.extract_templates(_thin(tracks(spark, sf_dir)).drop("time"), 300, ["X", "Y"])
+
+
+# ---- kernels over tracks
+
+
+@query()
+def trajectory_smooth(spark, sf_dir):
+    return kinematics.trajectory_smooth(_thin(tracks(spark, sf_dir)), 60.0, expand=1, savgol_window=5)
+
+
+@query()
+def temporal_stack(spark, sf_dir):
+    return kernels.temporal_stack(_thin(tracks(spark, sf_dir)), ["X", "Y"], 4, 2, 1.0, pool_stats=("mean", "std", "var"), fps=FPS)
+
+
+@query()
+def pair_wavelet(spark, sf_dir):
+    return kernels.pair_wavelet(pairs.pair_position(_thin(tracks(spark, sf_dir)).drop("time"), FPS), ["AB_dist"], FPS, n=5)
+
+
+@query()
+def pose_distance_pca(spark, sf_dir):
+    from .joins import pairs as pair_rows
+
+    t = tracks(spark, sf_dir)
+    points = [(f"poseX{i}", f"poseY{i}") for i in range(3)]
+    both = models.pair_distances(pair_rows(t, [c for p in points for c in p]), points)
+    columns = [c for c in both.columns if c.startswith("d") and c[1:].isdigit()]
+    out = models.pca(both, columns, 3).select("group", "sequence", "frame", F.col("id_A").alias("id1"), F.col("id_B").alias("id2"), "PC0", "PC1", "PC2")
+    return out.withColumn("perspective", F.explode(F.array(F.lit(0), F.lit(1))))
+
+
+@query()
+def syllables(spark, sf_dir):
+    t = _thin(tracks(spark, sf_dir)).drop("time")
+    return models.arhmm_decode(t, ["X", "Y"], models.arhmm_fit(t, ["X", "Y"], 3, rounds=3))
