@@ -255,3 +255,23 @@ def test_heading_follows_the_keypoints(spark):
     assert abs(kinematics.heading(df, front=1, rear=0).first()["ANGLE"]) == pytest.approx(3 * math.pi / 4)
     assert kinematics.heading(df, "pca").first()["ANGLE"] == pytest.approx(math.pi / 4)
     assert pairs.body_scale(df).first()["body_scale"] == pytest.approx(math.sqrt(2))
+
+
+def test_alpha_shape_of_a_grid():
+    grid = np.array([[x, y] for x in range(4) for y in range(4)], float)
+    assert kernels._alpha(grid, 1.0)[0] == pytest.approx(9) and kernels._alpha(grid, 0.5) == (None, 0)
+    far = np.vstack([grid, grid + 100])
+    assert kernels._alpha(far, 1.0)[0] == pytest.approx(18)
+    rng = np.random.default_rng(0).random((40, 2))
+    assert kernels._alpha(rng, 1e9)[0] == pytest.approx(kernels._hull(rng), rel=1e-6)
+
+
+def test_cleaning_fills_gaps_and_edges(spark):
+    values = [None, None, 1.0, None, None, None, None, None, 7.0, None, None, None]
+    df = track(spark, [("g", "s", 0, i, v, float(i)) for i, v in enumerate(values)])
+    out = {r["frame"]: r["X"] for r in kinematics.clean_tracks(df, ["X"], 2, 1, 0.5).collect()}
+    assert out == {1: 1.0, 2: 1.0, 3: 2.0, 4: 3.0, 6: 5.0, 7: 6.0, 8: 7.0, 9: 7.0}
+    kept = {r["frame"]: r["X"] for r in kinematics.clean_tracks(df, ["X", "Y"], 2, 1, 0.5).collect()}
+    assert len(kept) == 12 and kept[5] == kept[11] == 4.0
+    pose = spark.createDataFrame([("g", "s", 0, f, float(f), 0.0, 0.1 if f == 1 else 0.9) for f in range(3)], "`group` string, sequence string, id long, frame long, poseX0 double, poseY0 double, poseP0 double")
+    assert [r["poseX0"] for r in kinematics.confidence_filter(pose).orderBy("frame").collect()] == [0.0, 1.0, 2.0]

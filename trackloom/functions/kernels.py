@@ -146,3 +146,58 @@ def pair_wavelet(df: DataFrame, columns: list[str], fps: float = 30.0, f_min: fl
 
     return per_track(df, run, schema, [c for c in (ID, "id1", "id2", "perspective") if c in df.columns])
 
+
+
+def triangles(points: np.ndarray) -> np.ndarray:
+    """Delaunay triangulation of distinct points by insertion; for the points of one frame."""
+    p = np.unique(points, axis=0)
+    if len(p) < 3:
+        return np.zeros((0, 3, 2))
+    span = max(np.ptp(p, axis=0).max(), 1e-9) * 1e3
+    mid = p.mean(0)
+    q = np.vstack([p, mid + [[-3 * span, -span], [3 * span, -span], [0, 3 * span]]])
+    n = len(p)
+
+    def circle(t: tuple) -> tuple[float, float, float]:
+        (ax, ay), (bx, by), (cx, cy) = q[list(t)] - mid
+        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
+        if abs(d) < 1e-30:
+            return 0.0, 0.0, np.inf
+        ux = ((ax * ax + ay * ay) * (by - cy) + (bx * bx + by * by) * (cy - ay) + (cx * cx + cy * cy) * (ay - by)) / d
+        uy = ((ax * ax + ay * ay) * (cx - bx) + (bx * bx + by * by) * (ax - cx) + (cx * cx + cy * cy) * (bx - ax)) / d
+        return ux, uy, (ax - ux) ** 2 + (ay - uy) ** 2
+
+    open_ = {(n, n + 1, n + 2): circle((n, n + 1, n + 2))}
+    for i in range(n):
+        x, y = q[i] - mid
+        bad = [t for t, (cx, cy, r2) in open_.items() if (x - cx) ** 2 + (y - cy) ** 2 <= r2 * (1 + 1e-12)]
+        edges: dict[tuple, int] = {}
+        for t in bad:
+            del open_[t]
+            for e in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])):
+                edges[e] = edges.get(e, 0) + 1
+        for (a, b), times in edges.items():
+            if times == 1:
+                t = tuple(sorted((a, b, i)))
+                open_[t] = circle(t)
+    return np.array([q[list(t)] for t in open_ if max(t) < n]).reshape(-1, 3, 2)
+
+
+def _alpha(points: np.ndarray, alpha: float) -> tuple[float | None, int]:
+    """Area of the triangles whose circumradius is below alpha, and how many there are."""
+    t = triangles(points)
+    a, b, c = (np.hypot(*(t[:, i] - t[:, j]).T) for i, j in ((0, 1), (1, 2), (0, 2)))
+    area = 0.5 * np.abs((t[:, 1, 0] - t[:, 0, 0]) * (t[:, 2, 1] - t[:, 0, 1]) - (t[:, 1, 1] - t[:, 0, 1]) * (t[:, 2, 0] - t[:, 0, 0]))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        keep = (area > 0) & (a * b * c / (4 * area) < alpha)
+    return (float(area[keep].sum()) if keep.any() else None), int(keep.sum())
+
+
+def alpha_shape(points, alpha: float):
+    """(area, n_triangles) of the alpha shape of an array of structs x, y."""
+
+    @F.pandas_udf(T.StructType([T.StructField("area", T.DoubleType()), T.StructField("n_triangles", T.IntegerType())]))
+    def run(column: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_alpha(np.array([[p["x"], p["y"]] for p in own], float).reshape(-1, 2), alpha) for own in column], columns=["area", "n_triangles"])
+
+    return run(points)

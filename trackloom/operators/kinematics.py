@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import ANGLE, ENTRY, FRAME, ID, TIME, X, Y, pose_pairs
-from ..functions.numbers import leftward, ratio, forward, wrap_angle
+from ..functions.numbers import forward, leftward, ratio, scrubbed, wrap_angle
 from ..windows import difference, interpolated, rows_of
 
 
@@ -131,3 +131,30 @@ def time_range(df: DataFrame, start_frame=None, end_frame=None, start_time=None,
     return df
 
 
+
+
+def clean_tracks(df: DataFrame, columns: list[str], limit: int = 10, edge_limit: int = 2, most_missing: float = 0.5) -> DataFrame:
+    """Scrubs and fills the columns of each track: gaps linearly up to `limit` rows from either side, heads and tails
+    with the nearest value up to `edge_limit` rows, then drops rows in which more than `most_missing` of the columns
+    are still missing, and gives the rest the column's median over the track."""
+    df = scrubbed(df, columns)
+    w = rows_of(df.columns)
+    inner = {c: F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).isNotNull() & F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).isNotNull() for c in columns}
+    df = df.withColumns({f"_in_{c}": v for c, v in inner.items()})
+    gaps = interpolated(df, columns, w, limit)
+    edges = interpolated(df, columns, w, edge_limit)
+    keys = [c for c in (*ENTRY, ID, FRAME, TIME) if c in df.columns]
+    edges = edges.select(*keys, *[F.col(c).alias(f"_edge_{c}") for c in columns])
+    both = gaps.join(edges, keys)
+    both = both.withColumns({c: F.when(F.col(f"_in_{c}"), F.col(c)).otherwise(F.col(f"_edge_{c}")) for c in columns})
+    missing = sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))
+    both = both.where(missing <= most_missing * len(columns)).drop(*[f"{p}{c}" for p in ("_in_", "_edge_") for c in columns])
+    track = Window.partitionBy(*[c for c in (*ENTRY, ID) if c in df.columns])
+    return both.withColumns({c: F.coalesce(F.col(c), F.median(c).over(track)) for c in columns})
+
+
+def confidence_filter(df: DataFrame, threshold: float = 0.6, max_gap: int | None = None) -> DataFrame:
+    """Drops keypoints whose confidence (poseP*) is below the threshold and fills gaps of up to `max_gap` rows."""
+    points = [(x, y, x.replace("poseX", "poseP")) for x, y in pose_pairs(df.columns) if x.replace("poseX", "poseP") in df.columns]
+    df = df.withColumns({c: F.when(F.col(p) >= threshold, F.col(c)) for x, y, p in points for c in (x, y)})
+    return interpolated(df, [c for x, y, _ in points for c in (x, y)], rows_of(df.columns), max_gap, both=False)

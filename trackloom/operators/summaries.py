@@ -160,3 +160,14 @@ def uniform_rows(df: DataFrame, target: int) -> DataFrame:
     df = df.withColumns({"_n": F.count("*").over(w), "_r": F.row_number().over(w.orderBy(FRAME, *([ID] if ID in df.columns else []))) - 1})
     stride = F.greatest(F.lit(1), F.floor(F.col("_n") / target))
     return df.where((F.col("_n") <= target) | ((F.col("_r") % stride == 0) & (F.floor(F.col("_r") / stride) < target))).drop("_n", "_r")
+
+
+def labels_of(events: DataFrame, individual: int, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Events in which an individual takes part, from `start` to `end`, both included."""
+    out = events.where((F.col("id1") == individual) | (F.col("id2") == individual))
+    out = out.where(F.col(FRAME) >= start) if start is not None else out
+    return out.where(F.col(FRAME) <= end) if end is not None else out
+
+
+def labels_at(events: DataFrame, frame: int) -> DataFrame:
+    return events.where(F.col(FRAME) == frame)

@@ -622,3 +622,26 @@ def pose_distance_pca(spark, sf_dir):
 def syllables(spark, sf_dir):
     t = _thin(tracks(spark, sf_dir)).drop("time")
     return models.arhmm_decode(t, ["X", "Y"], models.arhmm_fit(t, ["X", "Y"], 3, rounds=3))
+
+
+@query()
+def cleaned_tracks(spark, sf_dir):
+    t = _thin(tracks(spark, sf_dir)).withColumns({c: F.when(F.pmod(F.xxhash64("frame", "id", F.lit(c)), F.lit(4)) != 0, F.col(c)) for c in ("X", "Y")})
+    return kinematics.clean_tracks(t, ["X", "Y"], 2, 1)
+
+
+@query()
+def alpha_areas(spark, sf_dir):
+    t = tracks(spark, sf_dir)
+    points = t.groupBy("group", "sequence", "frame").agg(F.collect_set(F.struct(F.col("X").alias("x"), F.col("Y").alias("y"))).alias("p"))
+    shape = points.withColumn("s", kernels.alpha_shape(F.col("p"), 40.0))
+    return shape.select("group", "sequence", "frame", "s.area", "s.n_triangles")
+
+
+_GT = f"SELECT grp, seq, frame, event_id % 4 AS label, id AS id1, (id + 1) % 8 AS id2 FROM t WHERE event_id % 5 = 0"
+
+
+@query(f"{WITH_TRACKS}, ev AS ({_GT}) SELECT {ENTRY_SQL}, frame, label, id1, id2 FROM ev WHERE (id1 = 3 OR id2 = 3) AND frame >= 1 AND frame <= 4")
+def labels_of_individual(spark, sf_dir):
+    events = tracks(spark, sf_dir).where("event_id % 5 = 0").select("group", "sequence", "frame", (F.col("event_id") % 4).alias("label"), F.col("id").alias("id1"), ((F.col("id") + 1) % 8).alias("id2"))
+    return summaries.labels_of(events, 3, 1, 4)
