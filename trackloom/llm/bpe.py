@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, frugal, small_batches
 
 SLOTS = 1 << 14
 FREQUENT = 2.0**-20
@@ -199,7 +199,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids.slice(at, i + 1 - at), pa.ListArray.from_arrays(ends, np.concatenate(held))], ["doc_id", "ids"])
                     at, size, held, lens = i + 1, 0, [], []
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -224,7 +224,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
                 out.append(data[np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(out, pa.binary())], ["doc_id", "ids", "data"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, data binary")
+    return encoded.select("doc_id", "ids").mapInArrow(frugal(run), "doc_id long, ids array<int>, data binary")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, frugal
 
 #: A combiner passes on what it holds when its texts exceed this many bytes.
 COMBINE_BYTES = 12 << 20
@@ -145,9 +145,9 @@ def build_index(docs: DataFrame, scratch: Scratch, key_bits: int = 64, capacity:
 
     slot = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
     entries = keyed.withColumn("slot", slot).join(F.broadcast(directory), "slot").select("bucket", "key", "text", "doc_id")
-    entries = entries.mapInArrow(_combine, "bucket int, key long, text string, keep_id long, group_size long")
+    entries = entries.mapInArrow(frugal(_combine), "bucket int, key long, text string, keep_id long, group_size long")
     owned = entries.repartition("bucket").sortWithinPartitions("bucket", "key")
-    index = owned.mapInArrow(_own, "bucket int, key long, link int, chained boolean, keep_id long, group_size long, text_sha256 string, text string")
+    index = owned.mapInArrow(frugal(_own), "bucket int, key long, link int, chained boolean, keep_id long, group_size long, text_sha256 string, text string")
     return keys, scratch.write(index, "index")
 
 
@@ -176,7 +176,12 @@ def exact_duplicates(docs: DataFrame, key_bits: int = 64, capacity: int | None =
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """`docs` without its exact duplicates: of equal texts one row with the smallest doc_id stays."""
-    stay = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_stay_id"), F.col("text_sha256").alias("_stay_sha")).distinct()
+    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_stay_id"), F.col("text_sha256").alias("_stay_sha"))
+    stay = Scratch(docs.sparkSession).write(kept.groupBy("_stay_id", "_stay_sha").agg(F.count("*").alias("_times")), "stay")
     sha = F.sha2(normalise(F.col("text")), 256)
     same = F.col("doc_id").eqNullSafe(F.col("_stay_id")) & (F.col("_sha") == F.col("_stay_sha"))
-    return docs.withColumn("_sha", sha).join(stay, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    rows = docs.withColumn("_sha", sha)
+    once, often = rows.join(stay.where("_times = 1"), same, "left_semi"), stay.where("_times > 1")
+    if not often.isEmpty():  # rows that repeat in doc_id and text
+        once = once.union(rows.join(often, same, "left_semi").dropDuplicates(["doc_id", "_sha"]))
+    return once.drop("_sha")

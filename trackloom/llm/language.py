@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import bounded
-from .scratch import small_batches
+from .scratch import frugal, small_batches
 
 #: Documents that the regression is fitted on, at most about this many.
 FITTED = 3_000
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, train: Column, most: int = FITTED) -> Model:
     small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(train)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = rows.select("text").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    counts = rows.select("text").mapInArrow(frugal(_frequencies), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     feature, n = (c.to_numpy() for c in counts.columns)
     total = int(n[feature < 0].sum())
     df = np.zeros(BUCKETS)
@@ -157,4 +157,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             found = [shared.value.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, lang_pred string, score double")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .scratch import Scratch
+from .scratch import Scratch, frugal
 
 UNIVERSE = 1 << 20
 #: A pair of similarity 0.8 shares none of the bands with probability 3e-6, one of 0.85 with 1e-8.
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = texts.mapInArrow(_sketches(shingle), "doc_id long, n_shingles long, digest binary, bands array<long>, bits0 long, bits1 long")
+    sketches = texts.mapInArrow(frugal(_sketches(shingle)), "doc_id long, n_shingles long, digest binary, bands array<long>, bits0 long, bits1 long")
     sketches = scratch.write(sketches, "sketches")
     classes = scratch.write(sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
     # Rows that share a doc_id are one document here: its texts are several nodes of one name.
@@ -248,7 +248,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -
 def _whole_sets(texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """(node, shingles) of every document in a pair. The names grow with the input, so they are never broadcast."""
     named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().hint("merge")
-    return texts.join(named, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, shingles array<long>, bitmap array<long>")
+    return texts.join(named, "doc_id", "left_semi").mapInArrow(frugal(_sets(shingle)), "node long, shingles array<long>, bitmap array<long>")
 
 
 def _similar(x, y, percent: int):

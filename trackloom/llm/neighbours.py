@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, frugal
 
 DIMENSIONS = 10
 CONFIDENCE = 0.97
@@ -169,7 +169,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 17) -
             p = project(x, True)
             yield pa.RecordBatch.from_arrays([pa.array(locate(p, tree, cells)), batch.column(0), batch.column(1), pa.FixedSizeListArray.from_arrays(pa.array(p.reshape(-1)), DIMENSIONS).cast(pa.list_(pa.float64()))], ["cell", "class", "v", "p"])
 
-    index = scratch.write(classes.select("class", "v").mapInArrow(place, "cell long, class long, v array<double>, p array<double>"), "index")
+    index = scratch.write(classes.select("class", "v").mapInArrow(frugal(place), "cell long, class long, v array<double>, p array<double>"), "index")
     box = [f(F.element_at("p", i + 1)).alias(f"{s}{i}") for s, f in (("low", F.min), ("high", F.max)) for i in range(DIMENSIONS)]
     boxes = index.groupBy("cell").agg(*box).collect()
     names = np.array([b["cell"] for b in boxes], np.int64)
@@ -217,9 +217,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 17) -
         return scratch.write(found, name)
 
     visit = "cell long, query long, v array<double>, bar double"
-    near = searched(wanted.mapInArrow(home, visit), "near")
+    near = searched(wanted.mapInArrow(frugal(home), visit), "near")
     held = near.groupBy("query").agg(F.max("cell").alias("cell"), F.when(F.count("*") > k, F.min("score")).otherwise(float("-inf")).alias("bar"))
-    further = searched(wanted.join(held, "query").select("query", "v", "cell", "bar").mapInArrow(others, visit), "further")
+    further = searched(wanted.join(held, "query").select("query", "v", "cell", "bar").mapInArrow(frugal(others), visit), "further")
     by_query = Window.partitionBy("query").orderBy(F.desc("score"), "class")
     best = near.union(further).withColumn("n", F.row_number().over(by_query)).where(F.col("n") <= k + 1).select("query", "class", "score")
     listed = best.join(classes.select("class", "ids"), "class").groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("found"))

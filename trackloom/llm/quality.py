@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled, tokens
-from .scratch import small_batches
+from .scratch import frugal, small_batches
 
 #: Labelled documents that the field is fitted on, at most about this many.
 FITTED = 4_000
@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, most: int = FITTED) -
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(line), *[pa.array(v.copy()) for v in values.T], pa.array(length)], names)
 
     schema = f"doc_id long, label int, line long, {', '.join(f'{m} double' for m in MEASURES)}, size double"
-    table = sample.select("doc_id", "text", "label").mapInArrow(run, schema).toPandas().sort_values(["doc_id", "line"], kind="stable")
+    table = sample.select("doc_id", "text", "label").mapInArrow(frugal(run), schema).toPandas().sort_values(["doc_id", "line"], kind="stable")
     values = table[list(MEASURES)].to_numpy()
     doc = np.cumsum(np.concatenate([[0], np.diff(table["doc_id"].to_numpy()) != 0])) if len(table) else np.zeros(0, int)
     good = (table["label"].to_numpy() > 0).astype(float)
@@ -223,7 +223,7 @@ def score_quality(docs: DataFrame, field: LineField) -> DataFrame:
             for a, b, part, bounds in tokens.pieces(data, offsets):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(field.scores(part, bounds))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, field: LineField, least: float = 0.7) -> DataFrame:
@@ -238,4 +238,4 @@ def keep_good(docs: DataFrame, field: LineField, least: float = 0.7) -> DataFram
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .scratch import Scratch
+from .scratch import Scratch, frugal
 
 DEPTH = 6
 SHARE = 5e-6
@@ -194,7 +194,7 @@ def score_texts(docs: DataFrame, train, least_share: float = FREQUENT) -> DataFr
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (~train).alias("held_out"))
-    counted = texts.where("not held_out").select("text").mapInArrow(_count, "kind int, code long, n long")
+    counted = texts.where("not held_out").select("text").mapInArrow(frugal(_count), "kind int, code long, n long")
     counted = scratch.write(counted.groupBy("kind", "code").agg(F.sum("n").alias("n")), "counts")
     words, grams = (counted.where(F.col("kind") == k).select("code", "n") for k in (WORD, GRAM))
     ends = grams.where(F.col("code").bitwiseAND(255) == END).agg(F.sum("n")).first()[0] or 0
@@ -238,7 +238,7 @@ def score_texts(docs: DataFrame, train, least_share: float = FREQUENT) -> DataFr
                 )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"
-    scored = texts.select("doc_id", "text", "held_out").mapInArrow(run, schema)
+    scored = texts.select("doc_id", "text", "held_out").mapInArrow(frugal(run), schema)
     scored = scratch.write(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.explode("rare").alias("code")).join(words.where(F.col("n") < least), "code", "left")
     value = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / below)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .scratch import small_batches
+from .scratch import frugal, small_batches
 
 #: Labelled documents that the lexicon is fitted on, at most about this many.
 FITTED = 20_000
@@ -143,7 +143,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, train: Column, most: int = FITTED) -> Lexicon:
     """The lexicon from documents with a `toxic` label for which `train` holds, about `most` of them at most."""
     sample = labelled.sample(docs, labels, "toxic", train, most).select("text", "label")
-    counts = sample.mapInArrow(_count_beginnings, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = sample.mapInArrow(frugal(_count_beginnings), "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     seeds = [fold(s).strip() for s in SEEDS]
     short = F.concat(F.col("entry"), F.lit(" "))
     rows = counts.where((F.col("toxic") >= LEAST_TOXIC) | (F.col("entry") == "") | short.isin([f"{s} " for s in seeds]) | F.col("entry").isin([f"{s} " for s in seeds])).collect()
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, most: int = FITTED) -
                 out.append(sorted(pairs))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), batch.column(1)], ["pairs", "label"])
 
-    pairs = sample.mapInArrow(phrases, "pairs array<string>, label int").select(F.explode("pairs").alias("pair"), "label")
+    pairs = sample.mapInArrow(frugal(phrases), "pairs array<string>, label int").select(F.explode("pairs").alias("pair"), "label")
     harmless = pairs.groupBy("pair").agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).where((F.col("toxic") == 0) & (F.col("n") >= LEAST_CLEAN))
     lexicon = Lexicon(weights, lexicon.exceptions | {r["pair"] for r in harmless.collect()})
 
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, most: int = FITTED) -
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([lexicon.raw(t) for t in batch.column(0).to_pylist()]), batch.column(1)], ["x", "label"])
 
-    table = sample.mapInArrow(sums, "x double, label int").groupBy("x", "label").count().toArrow()
+    table = sample.mapInArrow(frugal(sums), "x double, label int").groupBy("x", "label").count().toArrow()
     x, y, n = (table.column(i).to_numpy() for i in range(3))
     if len(set(y.tolist())) == 2:
         lexicon.a, lexicon.b = _calibrate(np.repeat(x, n), np.repeat(y, n).astype(float))
@@ -210,4 +210,4 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([lexicon.score(t.as_py()) for t in batch.column(1)], pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, score double")
