@@ -34,24 +34,31 @@ def hull_area(points: pd.Series) -> pd.Series:
     return pd.Series([_hull(np.array([[p["x"], p["y"]] for p in own], float).reshape(-1, 2)) for own in points])
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def components(ids: pd.Series, links: pd.Series) -> pd.Series:
-    """For each list of ids the smallest id that its links reach."""
-    out = []
-    for own, edges in zip(ids, links):
-        root = {i: i for i in own}
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for e in edges if edges is not None else ():
-            a, b = find(e["id_a"]), find(e["id_b"])
-            root[max(a, b)] = min(a, b)
-        out.append([int(find(i)) for i in own])
-    return pd.Series(out)
+def _linked(ids: np.ndarray, near: list[dict], cutoff: float) -> list[list[int]]:
+    """Members of each component of the individuals whose mean distance over the frames of a window is below the
+    cutoff; a distance counts in the frames in which both are there."""
+    _, k = np.unique([p["frame"] for p in near], return_inverse=True)
+    at = np.full((k.max() + 1, len(ids), 2), np.nan)
+    at[k, np.searchsorted(ids, [p["id"] for p in near])] = np.array([[p["x"], p["y"]] for p in near], float)
+    d = np.sqrt(((at[:, :, None] - at[:, None]) ** 2).sum(-1))
+    there = np.isfinite(d)
+    n = there.sum(0)
+    mean = np.where(there, d, 0.0).sum(0) / np.maximum(n, 1)
+    root = np.arange(len(ids))
+    for a, b in zip(*np.nonzero(np.triu((n > 0) & (mean < cutoff), 1))):
+        low, high = sorted((root[a], root[b]))
+        root[root == high] = low
+    return [[int(i) for i in ids[root == r]] for r in np.unique(root)]
+
+
+def frame_groups(cutoff: float):
+    """For each frame the sorted members of its groups, from all ids and from the rows of the frames around it."""
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
+    def run(ids: pd.Series, near: pd.Series) -> pd.Series:
+        return pd.Series([_linked(np.asarray(own, np.int64), list(frames), cutoff) for own, frames in zip(ids, near)])
+
+    return run
 
 
 def savgol(x: np.ndarray, window: int, polyorder: int, deriv: int = 0) -> np.ndarray:

@@ -113,37 +113,29 @@ def fission_fusion(df: DataFrame, cutoff: float = 50.0, window: int = 5, least_e
     cutoff; groups are the components. An event is a run of consecutive frames in which a group keeps its members and
     whose last and first frames are `least_event` or more apart. Duplicate rows keep one; absent individuals are alone.
     """
+    from ..functions.kernels import frame_groups
+
     df = scrubbed(df, [X, Y])
     entry = [c for c in ENTRY if c in df.columns]
-    df = df.groupBy(*entry, FRAME, ID).agg(F.max_by(F.struct(X, Y), F.struct(F.col(X).isNotNull(), X, Y)).alias("p")).select(*entry, FRAME, ID, f"p.{X}", f"p.{Y}")
-    frames, ids = df.select(*entry, FRAME).distinct(), df.select(*entry, ID).distinct()
-    grid = frames.join(ids, entry).join(df, [*entry, FRAME, ID], "left")
-    a, b = (grid.select(*entry, FRAME, F.col(ID).alias(f"id_{s}"), F.col(X).alias(f"x_{s}"), F.col(Y).alias(f"y_{s}")) for s in "ab")
-    both = a.join(b, [*entry, FRAME]).where("id_a < id_b")
-    distance = F.hypot(F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b"))
-    half = window // 2
-    near = Window.partitionBy(*entry, "id_a", "id_b").orderBy(FRAME).rowsBetween(-half, half)
-    linked = both.withColumn("d", F.avg(distance).over(near)).where(F.col("d") < cutoff)
-    per_frame = grid.groupBy(*entry, FRAME).agg(F.sort_array(F.collect_list(ID)).alias("ids"))
-    links = linked.groupBy(*entry, FRAME).agg(F.collect_list(F.struct("id_a", "id_b")).alias("links"))
-    from ..functions.kernels import components
-
-    labelled = per_frame.join(links, [*entry, FRAME], "left").select(*entry, FRAME, "ids", components(F.col("ids"), F.col("links")).alias("roots"))
-    each = labelled.select(*entry, FRAME, F.explode(F.arrays_zip("ids", "roots")).alias("m")).select(*entry, FRAME, F.col("m.ids").alias(ID), F.col("m.roots").alias("group_membership"))
-    sets = each.groupBy(*entry, FRAME, "group_membership").agg(F.count("*").alias("group_size"), F.sort_array(F.collect_list(ID)).alias("members"))
-    # Runs of consecutive frames of the same members, numbered by start of the frames' own run, members and start.
+    known = F.struct(F.col(X).isNotNull(), X, Y)
+    df = df.groupBy(*entry, FRAME, ID).agg(F.max_by(F.struct(F.col(X).alias("x"), F.col(Y).alias("y")), known).alias("p"))
+    frames = df.groupBy(*entry, FRAME).agg(F.collect_list(F.struct(F.col(FRAME).alias("frame"), F.col(ID).alias("id"), "p.x", "p.y")).alias("at"))
+    # One row per frame from here on: what its window holds, all ids of the sequence, the run of consecutive frames.
     by_frame = Window.partitionBy(*entry).orderBy(FRAME)
-    runs = frames.withColumn("_new", F.coalesce((F.col(FRAME) - F.lag(FRAME).over(by_frame) != 1).cast("int"), F.lit(1)))
-    runs = runs.withColumn("run", F.sum("_new").over(by_frame)).drop("_new")
-    sets = sets.join(runs, [*entry, FRAME])
-    same = Window.partitionBy(*entry, "run", "members").orderBy(FRAME)
-    sets = sets.withColumn("_new", F.coalesce((F.col(FRAME) - F.lag(FRAME).over(same) != 1).cast("int"), F.lit(1))).withColumn("part", F.sum("_new").over(same))
-    part = Window.partitionBy(*entry, "run", "members", "part")
-    sets = sets.withColumns({"_first": F.min(FRAME).over(part), "_last": F.max(FRAME).over(part)})
-    lasting = sets.where(F.col("_last") - F.col("_first") >= least_event)
-    events = lasting.withColumn("event", F.dense_rank().over(Window.partitionBy(*entry).orderBy("run", "members", "_first")) - 1).select(*entry, FRAME, "group_membership", "event")
-    out = each.join(sets.select(*entry, FRAME, "group_membership", "group_size"), [*entry, FRAME, "group_membership"]).join(events, [*entry, FRAME, "group_membership"], "left")
-    return out.select(*entry, FRAME, ID, "group_membership", "group_size", F.coalesce("event", F.lit(-1)).alias("event"))
+    whole = by_frame.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    half = window // 2
+    frames = frames.withColumns({"_new": F.coalesce((F.col(FRAME) - F.lag(FRAME).over(by_frame) != 1).cast("int"), F.lit(1)), "_near": F.collect_list("at").over(by_frame.rowsBetween(-half, half)), "_ids": F.array_sort(F.array_distinct(F.flatten(F.collect_list("at.id").over(whole))))})
+    frames = frames.withColumn("_run", F.sum("_new").over(by_frame))
+    frames = frames.select(*entry, FRAME, "_run", "_ids", F.flatten("_near").alias("_near"))
+    groups = frames.withColumn("_groups", frame_groups(cutoff)(F.col("_ids"), F.col("_near"))).select(*entry, FRAME, "_run", F.explode("_groups").alias("members"))
+    same = Window.partitionBy(*entry, "_run", "members").orderBy(FRAME)
+    groups = groups.withColumn("_new", F.coalesce((F.col(FRAME) - F.lag(FRAME).over(same) != 1).cast("int"), F.lit(1))).withColumn("_part", F.sum("_new").over(same))
+    part = Window.partitionBy(*entry, "_run", "members", "_part")
+    groups = groups.withColumns({"_first": F.min(FRAME).over(part), "_lasts": F.max(FRAME).over(part) - F.min(FRAME).over(part) >= least_event})
+    # Events are numbered by the start of the run, then members, then their own start; what doesn't last comes after.
+    order = Window.partitionBy(*entry).orderBy(F.desc("_lasts"), "_run", "members", "_first")
+    groups = groups.withColumn("event", F.when(F.col("_lasts"), F.dense_rank().over(order) - 1).otherwise(-1))
+    return groups.select(*entry, FRAME, F.explode("members").alias(ID), F.array_min("members").alias("group_membership"), F.size("members").alias("group_size"), "event")
 
 
 def fission_fusion_metrics(df: DataFrame, group: str | None = "event") -> DataFrame:

@@ -86,32 +86,34 @@ def nn_delta_bins(df: DataFrame, bins: int = 45, most: float = 14.0, most_for_me
     if neighbor:
         base = base.unionByName(base.withColumn("neighbor_category", F.lit("all")))
     width, width_y = 2 * most / (bins - 1), 2 * most / bins
+    x, y, turn, speed = (F.col(c) for c in ("x", "y", "dangle", "dspeed"))
+    line = lambda v: _bin(v, -most, width, bins - 1, F.lit(False))
+    ahead, beside = (x >= 0) & (x <= most_for_mean), F.abs(y) <= most_for_mean / 2
 
-    def mirrored(value: Column) -> Column:
-        return F.explode(F.array(F.struct(F.col("x"), F.col("y"), F.col("v")), F.struct(F.col("x"), (-F.col("y")).alias("y"), value.alias("v"))))
+    def one(metric: str, inside: Column, at: Column, value: Column) -> Column:
+        return F.struct(F.lit("1d").alias("dim"), F.lit(metric).alias("metric"), F.when(inside, line(at)).alias("i"), F.lit(-1).alias("j"), value.alias("v"))
 
-    groups = base.select(*entry, *names).distinct()
-    turn, speed = base.withColumn("v", F.col("dangle")), base.withColumn("v", F.col("dspeed"))
+    def two(metric: str, across: Column, value: Column) -> Column:
+        return F.struct(F.lit("2d").alias("dim"), F.lit(metric).alias("metric"), _bin(x, -most, width, bins - 1, F.lit(True)).alias("i"), _bin(across, -most, width_y, bins, F.lit(True)).alias("j"), value.alias("v"))
+
+    # Everything that a row adds to, in one array, so one aggregation covers all bins; the last item keeps the group.
+    adds = [one("turn", ahead, y, turn), one("speed", beside, x, speed), two("turn", y, turn), two("speed", y, speed), two("speed", -y, speed)]
+    adds += [one("turn", ahead, -y, -turn), two("turn", -y, -turn)] if antisymmetric else []
+    adds.append(F.struct(F.lit("").alias("dim"), F.lit("").alias("metric"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0.0).alias("v")))
     keep = [*entry, *names]
-    turn2 = turn.select(*keep, mirrored(-F.col("v")).alias("s")).select(*keep, "s.*") if antisymmetric else turn.select(*keep, "x", "y", "v")
-    speed2 = speed.select(*keep, mirrored(F.col("v")).alias("s")).select(*keep, "s.*")
-    one = [
-        ("turn", turn2.where((F.col("x") >= 0) & (F.col("x") <= most_for_mean)).withColumn("bin_idx", _bin(F.col("y"), -most, width, bins - 1, F.lit(False)))),
-        ("speed", speed.where(F.abs("y") <= most_for_mean / 2).withColumn("bin_idx", _bin(F.col("x"), -most, width, bins - 1, F.lit(False)))),
-    ]
-    line = groups.withColumn("bin_idx", F.explode(F.sequence(F.lit(0), F.lit(bins - 2))))
-    square = groups.withColumn("bin_x", F.explode(F.sequence(F.lit(0), F.lit(bins - 2)))).withColumn("bin_y", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    out = None
-    for metric, rows in one:
-        means = rows.groupBy(*keep, "bin_idx").agg(F.avg("v").alias("value"))
-        part = line.join(means, [*keep, "bin_idx"], "left").withColumns({"dim": F.lit("1d"), "metric": F.lit(metric)})
-        out = part if out is None else out.unionByName(part)
-    for metric, rows in (("turn", turn2), ("speed", speed2)):
-        rows = rows.withColumns({"bin_x": _bin(F.col("x"), -most, width, bins - 1, F.lit(True)), "bin_y": _bin(F.col("y"), -most, width_y, bins, F.lit(True))})
-        sums = rows.groupBy(*keep, "bin_x", "bin_y").agg(F.sum("v").alias("sum_value"), F.count("*").alias("count"))
-        part = square.join(sums, [*keep, "bin_x", "bin_y"], "left").withColumns({"sum_value": F.coalesce("sum_value", F.lit(0.0)), "count": F.coalesce("count", F.lit(0)), "dim": F.lit("2d"), "metric": F.lit(metric)})
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out.select(*entry, *names, "dim", "metric", "bin_idx", "value", "bin_x", "bin_y", "sum_value", "count")
+    each = base.select(*keep, F.explode(F.array(*adds)).alias("a")).select(*keep, "a.*").where("i is not null and j is not null")
+    sums = each.groupBy(*keep, "dim", "metric", "i", "j").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
+    # The empty bins join the sums of their group in one row and are summed with them, without a further exchange.
+    empty = lambda dim, metric, i, j: F.struct(F.lit(dim).alias("dim"), F.lit(metric).alias("metric"), i.alias("i"), j.alias("j"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
+    to = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    line_of = lambda metric: F.transform(to(bins - 1), lambda i: empty("1d", metric, i, F.lit(-1)))
+    square_of = lambda metric: F.flatten(F.transform(to(bins - 1), lambda i: F.transform(to(bins), lambda j: empty("2d", metric, i, j))))
+    grid = [f(metric) for f in (line_of, square_of) for metric in ("turn", "speed")]
+    listed = sums.groupBy(*keep).agg(F.collect_list(F.struct("dim", "metric", "i", "j", "s", "n")).alias("a"))
+    full = listed.select(*keep, F.explode(F.concat("a", *grid)).alias("a")).select(*keep, "a.*").where("dim <> ''")
+    out = full.groupBy(*keep, "dim", "metric", "i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    flat = F.col("dim") == "1d"
+    return out.select(*keep, "dim", "metric", F.when(flat, F.col("i")).alias("bin_idx"), F.when(flat, ratio(F.col("s"), F.col("n"))).alias("value"), F.when(~flat, F.col("i")).alias("bin_x"), F.when(~flat, F.col("j")).alias("bin_y"), F.when(~flat, F.col("s")).alias("sum_value"), F.when(~flat, F.col("n")).alias("count"))
 
 
 def scale_to_cm(df: DataFrame, calibration: DataFrame, suffix: str = "_cm", columns: list[str] | None = None) -> DataFrame:
