@@ -57,15 +57,13 @@ def approach_avoidance(df: DataFrame, distance: float = 200.0, approach_speed: f
 def event_table(aa: DataFrame, least: int = 1) -> DataFrame:
     """Runs of active rows, contiguous in the order of rows: start, end, duration, direction (12 or 21) and roles."""
     keys = [c for c in ENTRY if c in aa.columns] + ["id1", "id2"]
-    w = Window.partitionBy(*keys).orderBy(FRAME)
-    parts = []
-    for direction, approacher, avoider in (("12", "id1", "id2"), ("21", "id2", "id1")):
-        c = f"aa_event_{direction}"
-        run = F.row_number().over(w) - F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        runs = aa.withColumn("_run", run).where(F.col(c) == 1).groupBy(*keys, "_run")
-        runs = runs.agg(F.min(FRAME).alias("start_frame"), F.max(FRAME).alias("end_frame"), F.count("*").alias("duration")).where(F.col("duration") >= least)
-        parts.append(runs.select(*keys, "start_frame", "end_frame", "duration", F.lit(direction).alias("direction"), F.col(approacher).alias("approacher_id"), F.col(avoider).alias("avoider_id")))
-    return parts[0].unionByName(parts[1])
+    either = F.array(*[F.struct(F.lit(d).alias("direction"), F.col(f"aa_event_{d}").alias("_on"), F.col(p).alias("approacher_id"), F.col(q).alias("avoider_id")) for d, p, q in (("12", "id1", "id2"), ("21", "id2", "id1"))])
+    rows = aa.select(*keys, FRAME, F.explode(either).alias("e")).select(*keys, FRAME, "e.*")
+    w = Window.partitionBy(*keys, "direction").orderBy(FRAME)
+    run = F.row_number().over(w) - F.sum("_on").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    runs = rows.withColumn("_run", run).where("_on = 1").groupBy(*keys, "direction", "approacher_id", "avoider_id", "_run")
+    runs = runs.agg(F.min(FRAME).alias("start_frame"), F.max(FRAME).alias("end_frame"), F.count("*").alias("duration")).where(F.col("duration") >= least)
+    return runs.select(*keys, "start_frame", "end_frame", "duration", "direction", "approacher_id", "avoider_id")
 
 
 def pair_interaction_filter(df: DataFrame, shift: float = 15.0, most_distance: float = 40.0, facing: bool = True, most_angle: float = 80.0, least_run: int = 250, padding: int = 10, structure: int = 25, px_scale: float = 1.0) -> DataFrame:
