@@ -92,9 +92,12 @@ def pair_interaction_filter(df: DataFrame, shift: float = 15.0, most_distance: f
     for f in (grow, shrink, shrink, grow):
         both = both.withColumn("_on", f("_on"))
     both = both.withColumn("_run", F.col("_row") - F.sum("_on").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = both.where("_on = 1").groupBy(*keys, "_run", "_rows").agg(F.min("_row").alias("_from"), F.max("_row").alias("_to")).where(F.col("_to") - F.col("_from") + 1 >= least_run)
-    runs = runs.withColumns({"_from": F.greatest(F.lit(1), F.col("_from") - padding), "_to": F.least("_rows", F.col("_to") + padding)})
-    runs = runs.withColumn("segment", F.row_number().over(Window.partitionBy(*keys).orderBy("_from")) - 1)
-    each = runs.select(*keys, "segment", F.explode(F.sequence("_from", "_to")).alias("_row")).join(both.select(*keys, FRAME, "_row"), [*keys, "_row"])
+    long = (F.col("_on") == 1) & (F.count("*").over(Window.partitionBy(*keys, "_run", "_on")) >= least_run)
+    both = both.withColumn("_long", long.cast("int"))
+    starts = F.when((F.col("_long") == 1) & (F.coalesce(F.lag("_long").over(w), F.lit(0)) == 0), 1).otherwise(0)
+    both = both.withColumn("_start", starts).withColumn("_segment", F.when(F.col("_long") == 1, F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1))
+    # A row belongs to every segment that has a row within the padding.
+    near = F.array_distinct(F.collect_list("_segment").over(w.rowsBetween(-padding, padding)))
+    each = both.select(*keys, FRAME, near.alias("_near")).select(*keys, FRAME, F.explode("_near").alias("segment"))
     span = Window.partitionBy(*keys, "segment")
     return each.select(*keys, FRAME, "segment", F.min(FRAME).over(span).alias("interaction_start"), F.max(FRAME).over(span).alias("interaction_end"))
