@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, frugal, small_batches
+from .scratch import Scratch, frugal, settle, small_batches
 
 SLOTS = 1 << 14
 FREQUENT = 2.0**-20
@@ -182,6 +182,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folded = frequent.repartition(slices, "word").select("word", encode_word(F.hex(F.col("word").cast("binary")), table).alias("ids"))
     found = folded.toArrow()
+    settle(spark)
     known = spark.sparkContext.broadcast((dict(zip(found.column(0).to_pylist(), map(tuple, found.column(1).to_pylist()))), ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

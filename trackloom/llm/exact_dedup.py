@@ -139,9 +139,9 @@ def build_index(docs: DataFrame, scratch: Scratch, key_bits: int = 64, capacity:
     count = keys.count()
     capacity = capacity or max(16, min(LARGEST_BUCKET, count // (BUCKETS_PER_PARTITION * partitions)))
     fine = min(MAX_DEPTH, max(1, (count // capacity).bit_length() + 3))
-    rows = distinct.groupBy(F.shiftrightunsigned("key", 64 - fine).alias("p")).count().collect()
-    depth, slots, _ = build_directory({r[0]: r[1] for r in rows}, fine, capacity)
-    directory = spark.createDataFrame(list(enumerate(slots)), "slot long, bucket int")
+    counts = distinct.groupBy(F.shiftrightunsigned("key", 64 - fine).alias("p")).count().toArrow()
+    depth, slots, _ = build_directory(dict(zip(*(c.to_pylist() for c in counts.columns))), fine, capacity)
+    directory = spark.createDataFrame(pa.table({"slot": pa.array(range(len(slots)), pa.int64()), "bucket": pa.array(slots, pa.int32())}))
 
     slot = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
     entries = keyed.withColumn("slot", slot).join(F.broadcast(directory), "slot").select("bucket", "key", "text", "doc_id")

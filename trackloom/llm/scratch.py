@@ -34,6 +34,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+def settle(spark: SparkSession) -> None:
+    """Has the driver collect its garbage. Iterative operators call it between rounds: Spark removes the shuffle files
+    and broadcasts of a finished round only when the driver's objects for them are gone."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """A batch function that gives freed memory back to the system when its task ends: Python workers stay alive and
     idle between tasks, beside executors that need the memory."""
@@ -81,3 +87,4 @@ class Scratch:
         for df in tables:
             path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        settle(self.spark)
