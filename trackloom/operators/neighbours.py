@@ -55,39 +55,37 @@ def local_order(df: DataFrame, radius: float, heading_source: str = "auto", shel
     """
     df = unit_headings(scrubbed(df, [X, Y, ANGLE]), heading_source)
     keys = [c for c in (*ENTRY, FRAME, *([subgroup] if subgroup else [])) if c in df.columns]
-    df = df.withColumn("_ok", F.col(X).isNotNull() & F.col(Y).isNotNull() & (F.col(subgroup) >= 0 if subgroup else F.lit(True)))
-    known = df.where("_ok")
-    df = df.select(*keys, ID, *[c for c in (TIME,) if c in df.columns], "_ok", "heading_source")
+    ok = F.col(X).isNotNull() & F.col(Y).isNotNull() & (F.col(subgroup) >= 0 if subgroup else F.lit(True))
     frame = Window.partitionBy(*keys)
-    known = known.withColumns({"_rx": F.col(X) - F.avg(X).over(frame), "_ry": F.col(Y) - F.avg(Y).over(frame)})
-    known = known.withColumn("dist_to_center", F.hypot("_rx", "_ry"))
+    df = df.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+    df = df.withColumns({"_rx": F.when(F.col("_ok"), F.col(X) - F.avg(F.when(F.col("_ok"), F.col(X))).over(frame)), "_ry": F.when(F.col("_ok"), F.col(Y) - F.avg(F.when(F.col("_ok"), F.col(Y))).over(frame))})
+    df = df.withColumn("dist_to_center", F.hypot("_rx", "_ry"))
     # At the centre no direction is radial.
-    known = known.withColumn("radial_rotation", cross(ratio(F.col("_rx"), F.col("dist_to_center")), ratio(F.col("_ry"), F.col("dist_to_center")), F.col("ux"), F.col("uy")))
-    far = frame.orderBy(F.desc("dist_to_center"), ID)
-    known = known.withColumn("_far", F.row_number().over(far))
-    known = known.withColumn("outer_radius", F.median(F.when(F.col("_far") <= peripheral, F.col("dist_to_center"))).over(frame))
+    df = df.withColumn("radial_rotation", cross(ratio(F.col("_rx"), F.col("dist_to_center")), ratio(F.col("_ry"), F.col("dist_to_center")), F.col("ux"), F.col("uy")))
+    df = df.withColumn("_far", F.row_number().over(frame.orderBy(F.desc_nulls_last("dist_to_center"), ID)))
+    df = df.withColumn("outer_radius", F.when(F.col("_ok"), F.median(F.when(F.col("_far") <= peripheral, F.col("dist_to_center"))).over(frame)))
     shell = F.greatest(F.lit(0), F.least(F.lit(shells - 1), F.floor(F.try_divide(F.col("dist_to_center"), F.col("outer_radius") / shells)).cast("int")))
-    known = known.withColumn("shell_index", F.when(F.col("outer_radius") > 0, shell).otherwise(-1))
+    df = df.withColumn("shell_index", F.when(F.col("outer_radius") > 0, shell).otherwise(-1))
     in_shell = Window.partitionBy(*keys, "shell_index")
-    known = known.withColumns({"shell_n": F.when(F.col("shell_index") >= 0, F.count("*").over(in_shell)).otherwise(-1), "shell_rotation": F.when(F.col("shell_index") >= 0, F.avg("radial_rotation").over(in_shell))})
+    df = df.withColumns({"shell_n": F.when(F.col("shell_index") >= 0, F.count("*").over(in_shell)).otherwise(-1), "shell_rotation": F.when(F.col("shell_index") >= 0, F.avg("radial_rotation").over(in_shell))})
 
-    side = [X, Y, "ux", "uy", "radial_rotation"]
-    a, b = (known.select(*keys, *[F.col(c).alias(f"{c}{s}") for c in (ID, *side)]) for s in ("_A", "_B"))
-    dx, dy = F.col("X_B") - F.col("X_A"), F.col("Y_B") - F.col("Y_A")
-    disc = a.join(b, keys).where(dx * dx + dy * dy <= radius * radius)
+    own = [c for c in (TIME, "heading_source", "dist_to_center", "radial_rotation", "outer_radius", "shell_index", "shell_n", "shell_rotation") if c in df.columns]
+    a = df.select(*keys, ID, "_ok", F.col(X).alias("x_A"), F.col(Y).alias("y_A"), *own).alias("a")
+    b = df.where("_ok").select(*keys, F.col(ID).alias("id_B"), F.col(X).alias("x_B"), F.col(Y).alias("y_B"), F.col("ux").alias("ux_B"), F.col("uy").alias("uy_B"), F.col("radial_rotation").alias("rr_B")).alias("b")
+    dx, dy = F.col("x_B") - F.col("x_A"), F.col("y_B") - F.col("y_A")
+    same = F.col("a._ok") & (dx * dx + dy * dy <= radius * radius)
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    disc = a.join(b, same, "left").select(*[F.col(f"a.{c}").alias(c) for c in (*keys, ID, *own)], "id_B", "ux_B", "uy_B", "rr_B")
     aimed = F.col("ux_B").isNotNull() & F.col("uy_B").isNotNull()
-    other = aimed & (F.col("id_A") != F.col("id_B"))
-    local = disc.groupBy(*keys, F.col("id_A").alias(ID)).agg(
-        (F.count("*") - 1).alias("n_local_neighbors"),
-        F.count(F.when(other, 1)).alias("n_local_headings"),
+    out = disc.groupBy(*keys, ID).agg(
+        *[F.first(c).alias(c) for c in own],
+        (F.count("id_B") - 1).alias("n_local_neighbors"),
+        F.when(F.count("id_B") > 0, F.count(F.when(aimed & (F.col(ID) != F.col("id_B")), 1))).otherwise(-1).alias("n_local_headings"),
         F.avg(F.when(aimed, F.col("ux_B"))).alias("local_heading_x"),
         F.avg(F.when(aimed, F.col("uy_B"))).alias("local_heading_y"),
-        F.avg("radial_rotation_B").alias("local_rotation"),
+        F.avg("rr_B").alias("local_rotation"),
     )
-    known = known.select(*keys, ID, "dist_to_center", "radial_rotation", "outer_radius", "shell_index", "shell_n", "shell_rotation")
-    out = df.join(known, [*keys, ID], "left").join(local, [*keys, ID], "left")
     thick = F.col("n_local_headings") >= least
     out = out.withColumns({c: F.when(thick, F.col(c)) for c in ("local_heading_x", "local_heading_y", "local_rotation")})
-    out = out.withColumn("local_polarization", F.hypot("local_heading_x", "local_heading_y"))
-    counts = ("n_local_neighbors", "n_local_headings", "shell_index", "shell_n")
-    return out.withColumns({c: F.coalesce(F.col(c), F.lit(-1)) for c in counts}).drop("_ok")
+    return out.withColumn("local_polarization", F.hypot("local_heading_x", "local_heading_y"))
