@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..columns import ANGLE, ENTRY, FRAME, ID, TIME, X, Y
 from ..functions.numbers import cross, forward, leftward, ratio, scrubbed, wrap_angle
-from ..joins import pairs
 from ..windows import difference, rows_of
 
 
@@ -17,16 +16,20 @@ def nearest_neighbor(df: DataFrame) -> DataFrame:
     df = scrubbed(df, [X, Y, ANGLE])
     turned = ANGLE in df.columns
     keys = [c for c in (*ENTRY, FRAME) if c in df.columns]
-    known = df.where(F.col(X).isNotNull() & F.col(Y).isNotNull())
-    both = pairs(known, [X, Y, *([ANGLE] if turned else [])], ordered=True)
-    dx, dy = F.col("X_B") - F.col("X_A"), F.col("Y_B") - F.col("Y_A")
-    best = F.min(F.struct((dx * dx + dy * dy).alias("d2"), F.col("id_B").alias("nn"), dx.alias("dx"), dy.alias("dy"), *([F.col(f"{ANGLE}_B").alias("angle")] if turned else [])))
-    found = both.groupBy(*keys, F.col("id_A").alias(ID)).agg(best.alias("_nn"))
-    df = df.select(*keys, ID, *[c for c in (TIME,) if c in df.columns], *([ANGLE] if turned else [])).join(found, [*keys, ID], "left")
+    carried = [c for c in (TIME, ANGLE) if c in df.columns]
+    a = df.select(*keys, ID, X, Y, *carried).alias("a")
+    b = df.where(F.col(X).isNotNull() & F.col(Y).isNotNull()).select(*keys, F.col(ID).alias("nn"), F.col(X).alias("_x"), F.col(Y).alias("_y"), *([F.col(ANGLE).alias("nn_angle")] if turned else [])).alias("b")
+    others = (F.col(f"a.{ID}") != F.col("b.nn")) & F.col(f"a.{X}").isNotNull() & F.col(f"a.{Y}").isNotNull()
+    for k in keys:
+        others = others & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    both = a.join(b, others, "left").select(*[F.col(f"a.{c}").alias(c) for c in (*keys, ID, X, Y, *carried)], "nn", "_x", "_y", *(["b.nn_angle"] if turned else []))
+    dx, dy = F.col("_x") - F.col(X), F.col("_y") - F.col(Y)
+    best = F.min(F.when(F.col("nn").isNotNull(), F.struct((dx * dx + dy * dy).alias("d2"), "nn", dx.alias("dx"), dy.alias("dy"), *(["nn_angle"] if turned else []))))
+    df = both.groupBy(*keys, ID).agg(*[F.first(c).alias(c) for c in carried], best.alias("_nn"))
     dx, dy, theta = F.col("_nn.dx"), F.col("_nn.dy"), F.col(ANGLE) if turned else F.lit(0.0)
     out = {"nn_id": F.col("_nn.nn").cast("double"), "nn_delta_x": dx, "nn_delta_y": dy, "nn_dist": F.sqrt("_nn.d2"), "nn_delta_x_ego": forward(dx, dy, theta), "nn_delta_y_ego": leftward(dx, dy, theta)}
     if turned:
-        out["nn_delta_angle"] = wrap_angle(F.col("_nn.angle") - F.col(ANGLE))
+        out["nn_delta_angle"] = wrap_angle(F.col("_nn.nn_angle") - F.col(ANGLE))
     out["nn_ego_unrotated"] = F.lit(not turned)
     return df.withColumns(out).drop("_nn", ANGLE)
 
