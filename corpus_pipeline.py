@@ -38,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and digests of the ids and of the bytes that they decode to."""
-    both = bpe.decode(bpe.encode(docs, VOCABULARY, PATTERN), VOCABULARY)
+    both = bpe.encode(docs, VOCABULARY, PATTERN, decoded=True)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
 
 

@@ -47,6 +47,12 @@ def test_fold_equals_the_library_on_words(spark, encoding):
         assert r["ids"] == want and list(bpe.merge_word(r["word"].encode(), ranks)) == want
 
 
+def test_decode_alone(spark):
+    docs = spark.createDataFrame(list(enumerate(texts()[:40])), "doc_id long, text string")
+    got = bpe.decode(bpe.encode(docs, PATH, public_tokenizers.PATTERN), PATH).collect()
+    assert {r["doc_id"]: bytes(r["data"]).decode() for r in got} == {i: t or "" for i, t in enumerate(texts()[:40])}
+
+
 def test_long_words_by_heap(encoding):
     ranks = bpe.load_ranks(PATH)
     rng = random.Random(2)

@@ -29,10 +29,10 @@ SLOTS = 1 << 14
 FREQUENT = 2.0**-20
 #: Longest word, in bytes, that is broadcast or remembered; number of rare words that a task remembers.
 LONGEST = 48
-CACHED = 150_000
+CACHED = 100_000
 #: Pieces from which a heap finds the next merge; ids after which a batch is passed on.
 HEAP_FROM = 64
-BATCH_IDS = 1 << 20
+BATCH_IDS = 1 << 19
 NO_RANK = 1 << 60
 
 
@@ -164,8 +164,9 @@ class _Words(dict):
         return ids
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """(doc_id, ids) of `docs(doc_id, text, ...)`, without special tokens.
+def encode(docs: DataFrame, vocabulary: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids) of `docs(doc_id, text, ...)`, without special tokens; with `decoded` also data, the bytes that the
+    ids decode to.
 
     `vocabulary` is a file of base64 pieces and ranks, read by the driver; `pattern` splits text into words. Spark's
     higher-order functions fold the merges of the frequent distinct words, using a literal rank map; tasks take
@@ -187,6 +188,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, split = _Words(*known.value), regex.compile(pattern).findall
+        data, widths = _pieces(words.ranks)
+        starts = np.cumsum(widths) - widths
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             at, size, held, lens = 0, 0, [], []
@@ -197,19 +200,31 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 size += len(found)
                 if size > BATCH_IDS or i + 1 == len(texts):
                     ends = np.cumsum([0, *lens]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, i + 1 - at), pa.ListArray.from_arrays(ends, np.concatenate(held))], ["doc_id", "ids"])
+                    columns = [ids.slice(at, i + 1 - at), pa.ListArray.from_arrays(ends, np.concatenate(held))]
+                    columns += [pa.array([_joined(own, data, widths, starts) for own in held], pa.binary())] if decoded else []
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "data"][: len(columns)])
                     at, size, held, lens = i + 1, 0, [], []
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, ids array<int>" + ", data binary" * decoded)
 
 
-def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, ids, data): the bytes of `encoded(doc_id, ids)`, the pieces of the ids one after another."""
-    pieces = {v: k for k, v in load_ranks(vocabulary).items()}
-    data = np.frombuffer(b"".join(pieces.get(i, b"") for i in range(max(pieces) + 1)), np.uint8)
-    lens = np.array([len(pieces.get(i, b"")) for i in range(max(pieces) + 1)])
-    shared = encoded.sparkSession.sparkContext.broadcast((data, lens))
+def _pieces(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all pieces one after another, in the order of their ids, and their lengths."""
+    pieces = {v: k for k, v in ranks.items()}
+    every = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+    return np.frombuffer(b"".join(every), np.uint8), np.array([len(p) for p in every])
+
+
+def _joined(ids: np.ndarray, data: np.ndarray, lens: np.ndarray, starts: np.ndarray) -> bytes:
+    """The pieces of the ids concatenated."""
+    n = lens[ids]
+    return data[np.repeat(starts[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
 
+
+def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, ids, data): the bytes of `encoded(doc_id, ids)`, the pieces of the ids one after another; null ids are
+    empty. Where texts are encoded and decoded at once, `encode(..., decoded=True)` does both in one worker."""
+    shared = encoded.sparkSession.sparkContext.broadcast(_pieces(load_ranks(vocabulary)))
     small_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,11 +233,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             lists = batch.column(1)
             flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))])
-            out = []
-            for i in range(len(lists)):
-                own = flat[ends[i] : ends[i + 1]]
-                n = lens[own]
-                out.append(data[np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes())
+            out = [_joined(flat[a:b], data, lens, starts) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(out, pa.binary())], ["doc_id", "ids", "data"])
 
     return encoded.select("doc_id", "ids").mapInArrow(frugal(run), "doc_id long, ids array<int>, data binary")
@@ -230,5 +241,5 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """Digests of the ids and of what they decode to: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs, vocabulary, pattern), vocabulary)
+    both = encode(docs, vocabulary, pattern, decoded=True)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
