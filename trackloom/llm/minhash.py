@@ -169,8 +169,11 @@ def _close(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
 def _proposals(bands: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b, star, check): star marks a hub and a member of its family, check those to confirm."""
     columns = ["band", "node", "bits0", "bits1"]
-    sizes = bands.groupBy("band").agg(F.count("*").alias("members"))
-    left = scratch.write(bands.join(sizes.where("members > 1"), "band"), "shared")
+    # Sizes and hubs are written before they are joined: Spark splits a hot bucket in a join of two tables, but not in
+    # one whose other side is an aggregate of the same task.
+    sizes = scratch.write(bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
+    left = scratch.write(bands.join(sizes, "band"), "shared")
+    scratch.drop(sizes)
     out, round_ = None, 0
     while True:
         small = left.where(F.col("members") <= SMALL_BUCKET)
@@ -178,7 +181,7 @@ def _proposals(bands: DataFrame, scratch: Scratch) -> DataFrame:
         large = left.where(F.col("members") > SMALL_BUCKET)
         first = Window.partitionBy("band").orderBy(F.xxhash64("node", "band", F.lit(round_)), "node")
         hubs = large.withColumn("r", F.row_number().over(first)).where(F.col("r") <= min(MOST_HUBS, 4**round_))
-        hubs = hubs.groupBy("band").agg(F.collect_list(F.struct("node", "bits0", "bits1")).alias("hubs"))
+        hubs = scratch.write(hubs.groupBy("band").agg(F.collect_list(F.struct("node", "bits0", "bits1")).alias("hubs")), "hubs")
         apart = lambda h: F.struct(_far(F.col("bits0"), F.col("bits1"), h["bits0"], h["bits1"]).alias("bits"), h["node"].alias("hub"))
         measured = large.join(hubs, "band").where(~F.exists("hubs", lambda h: h["node"] == F.col("node")))
         measured = measured.select(*columns, F.filter(F.transform("hubs", apart), lambda h: h["bits"] <= FAMILY_BITS).alias("hubs"))
@@ -188,11 +191,11 @@ def _proposals(bands: DataFrame, scratch: Scratch) -> DataFrame:
         stars = stars.groupBy("a", "b", "star").agg(F.max("check").alias("check"))
         found = scratch.write(found.union(stars), "proposals")
         out = found if out is None else out.union(found)
-        scratch.drop(left)
+        scratch.drop(left, hubs)
         rest = measured.where(F.col("nearest").isNull() | (F.col("nearest.bits") > SETTLED_BITS)).select(*columns)
-        sizes = rest.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+        sizes = scratch.write(rest.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
         left = scratch.write(rest.join(sizes, "band"), "rest")
-        scratch.drop(measured)
+        scratch.drop(measured, sizes)
         round_ += 1
         if left.isEmpty():
             return out.groupBy("a", "b").agg(F.max("star").alias("star"), F.max("check").alias("check"))
@@ -270,6 +273,7 @@ def _within_families(pairs: DataFrame, labels: DataFrame, nodes: DataFrame, sets
     at = family.join(labels, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
     counted = at.groupBy("family", "component").agg(F.count("*").alias("n"))
     top = counted.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    top = scratch.write(top, "tops")
     maps = sets.select("node", F.size("shingles").alias("n"), *[F.element_at("bitmap", i + 1).alias(f"w{i}") for i in range(BITMAP_WORDS)])
     at = scratch.write(at.join(top, "family").drop("parts").join(nodes, "node").join(maps, "node"), "families")
     part = F.pmod(F.xxhash64("node"), F.lit(FAMILY_PARTS)).cast("int")
