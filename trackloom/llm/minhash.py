@@ -261,10 +261,11 @@ def _similar(x, y, percent: int):
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar enough."""
+    """The pairs (a, b) whose whole shingle sets are similar enough, repeated where a node has several texts. They
+    aren't made distinct here: that would fix the join's partitioning, and Spark could not split a hub's."""
     sets = sets.select("node", "shingles")
     a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    return pairs.select("a", "b").join(a, "a").join(b, "b").where(_similar(F.col("sa"), F.col("sb"), percent)).select("a", "b").distinct()
+    return pairs.select("a", "b").join(a, "a").join(b, "b").where(_similar(F.col("sa"), F.col("sb"), percent)).select("a", "b")
 
 
 def _within_families(pairs: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
