@@ -93,3 +93,16 @@ def test_empty_table_repeats_and_no_training_rows(spark):
     got = st.score_texts(rows, st.held_out(1, 1)).collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got] == [(3, 0, 0)] * 2
     assert got[0]["score"] == pytest.approx(5 * math.log10(1 / 256), rel=1e-5)
+
+
+def test_rare_contexts_are_states_however_large_the_corpus(spark, monkeypatch):
+    rare = "quixotic zebras vex"
+    rows = [(d, rare if d < 8 else "ab " * 18000) for d in range(20)]
+    with monkeypatch.context() as m:
+        m.setattr(st, "SHARE", 0.0)
+        want = brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for more in ({}, {"most_grams": 10}):
+        got = {r["doc_id"]: r for r in st.score_texts(docs, ~st.held_out(10, 0), **more).collect()}
+        for d in want:
+            assert got[d]["score"] == pytest.approx(want[d][-1], rel=1e-5), d
