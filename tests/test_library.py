@@ -275,3 +275,24 @@ def test_cleaning_fills_gaps_and_edges(spark):
     assert len(kept) == 12 and kept[5] == kept[11] == 4.0
     pose = spark.createDataFrame([("g", "s", 0, f, float(f), 0.0, 0.1 if f == 1 else 0.9) for f in range(3)], "`group` string, sequence string, id long, frame long, poseX0 double, poseY0 double, poseP0 double")
     assert [r["poseX0"] for r in kinematics.confidence_filter(pose).orderBy("frame").collect()] == [0.0, 1.0, 2.0]
+
+
+def test_pose_distance_pca_has_both_perspectives_of_all_keypoints(spark):
+    from trackloom import queries
+
+    sf = "/root/testdata/sf0.001"
+    at = {}
+    for r in queries.tracks(spark, sf).collect():
+        at.setdefault((r["group"], r["sequence"], r["frame"]), {})[r["id"]] = np.array([[r[f"poseX{i}"], r[f"poseY{i}"]] for i in range(7)])
+    keys, rows = [], []
+    for entry, own in at.items():
+        for a, b in ((a, b) for a in own for b in own if a != b):
+            p = np.concatenate([own[a], own[b]])
+            keys.append((*entry, min(a, b), max(a, b), int(a > b)))
+            rows.append([np.hypot(*(p[i] - p[j])) for i in range(14) for j in range(i + 1, 14)])
+    x = np.array(rows) - np.mean(rows, axis=0)
+    want = x @ np.linalg.eigh(x.T @ x)[1][:, :-7:-1]
+    got = {(r["group"], r["sequence"], r["frame"], r["id1"], r["id2"], r["perspective"]): [r[f"PC{i}"] for i in range(6)] for r in queries.pose_distance_pca(spark, sf).collect()}
+    assert got.keys() == set(keys)
+    ours = np.array([got[k] for k in keys])
+    assert np.allclose(ours * np.sign((ours * want).sum(0)), want, atol=1e-6)
