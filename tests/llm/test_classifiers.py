@@ -149,3 +149,12 @@ def test_chi_square():
     assert neighbours.chi_square(np.array(neighbours.quantile(0.9))) == pytest.approx(0.9)
     sample = (np.random.default_rng(0).normal(size=(20000, neighbours.DIMENSIONS)) ** 2).sum(1)
     assert (sample < neighbours.quantile(0.5)).mean() == pytest.approx(0.5, abs=0.02)
+
+
+def test_language_learns_rare_languages(spark):
+    texts = {"aa": "the house and the garden of the people", "zz": "вода река гора снег зима"}
+    rows = [(i, texts["zz" if i % 400 == 7 else "aa"] + f" {i}", "zz" if i % 400 == 7 else "aa") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, F.lit(True), 100)
+    assert model.languages == ["aa", "zz"]
+    assert model.predict(texts["zz"])[0] == "zz" and model.predict(texts["aa"])[0] == "aa"

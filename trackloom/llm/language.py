@@ -2,7 +2,8 @@
 
 N-grams of one to three characters of the lower-cased text are hashed into BUCKETS features. Document frequencies
 come from all training documents. The regression is trained online by follow-the-regularised-leader with an
-elastic net, one pass after another over a bounded sample of training documents; a further part of the sample
+elastic net, one pass after another over a bounded sample of training documents, in which each language has about
+LEAST documents or more, or all it has; intercepts undo what that adds to rare ones. A further part of the sample
 calibrates a temperature. A document's score is the mean of its n-grams' weights times their idf, so scoring is one
 gather of the whole text.
 """
@@ -16,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import bounded
 from .scratch import frugal, small_batches
 
 #: Documents that the regression is fitted on, at most about this many.
 FITTED = 3_000
+#: Documents of each language that the sample has besides, where there are so many.
+LEAST = 100
+_STEPS = 1_000_000
 BUCKETS = 1 << 17
 ORDERS = (1, 2, 3)
 PASSES = 3
@@ -112,7 +115,8 @@ def _train(texts: list[str], y: np.ndarray, classes: int, idf: np.ndarray) -> tu
 
 
 def fit(docs: DataFrame, train: Column, most: int = FITTED) -> Model:
-    """The model from documents with a non-null lang for which `train` holds; one in five of the sample calibrates."""
+    """The model from documents with a non-null lang for which `train` holds; one in five of each language's in the
+    sample calibrates."""
     small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(train)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -122,22 +126,31 @@ def fit(docs: DataFrame, train: Column, most: int = FITTED) -> Model:
     df = np.zeros(BUCKETS)
     df[feature[feature >= 0]] = n[feature >= 0]
     idf = np.where(df > 0, np.log((1 + total) / (1 + df)) + 0.1, 0.0)
-    sample = sorted(map(tuple, bounded(rows, most).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    per = dict(map(tuple, rows.groupBy("lang").count().collect()))
+    common = min(1.0, most / max(1, sum(per.values())))
+    share = {lang: max(common, min(1.0, LEAST / n)) for lang, n in per.items()}
+    if common < 1:
+        below = docs.sparkSession.createDataFrame([(lang, max(1, int(_STEPS * f))) for lang, f in share.items()], "lang string, below long")
+        rows = rows.join(F.broadcast(below), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(_STEPS)) < F.col("below")).select("doc_id", "text", "lang")
+    sample = sorted(map(tuple, rows.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     languages = sorted({r[2] for r in sample})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     y = np.array([languages.index(r[2]) for r in sample])
-    kept = np.arange(len(sample)) % 5 != 4
+    kept = np.ones(len(sample), bool)
+    for k in range(len(languages)):  # the first four documents of a language are always fitted
+        kept[np.flatnonzero(y == k)[4::5]] = False
+    more = np.array([share[lang] / common for lang in languages])  # how much more often than by its true share
     texts = [r[1] for r in sample]
     weights, bias = _train([t for t, k in zip(texts, kept) if k], y[kept], len(languages), idf)
-    model = Model(languages, weights.astype(np.float32), bias)
+    model = Model(languages, weights.astype(np.float32), bias - np.log(more))
     if (~kept).any():
         z = np.stack([model.logits(t) for t, k in zip(texts, kept) if not k])
 
         def loss(t: float) -> float:
             s = z / t
             s = s - s.max(1, keepdims=True)
-            return float((np.log(np.exp(s).sum(1)) - s[np.arange(len(s)), y[~kept]]).mean())
+            return float(np.average(np.log(np.exp(s).sum(1)) - s[np.arange(len(s)), y[~kept]], weights=1 / more[y[~kept]]))
 
         model.temperature = float(min(np.geomspace(0.05, 20, 121), key=loss))
     return model
