@@ -1,80 +1,96 @@
 """Near-duplicate detection by circulant MinHash, banding and exact Jaccard verification.
 
-Two permutations are all the randomness of a signature: `sigma` scatters a shingle over `UNIVERSE` slots and
-`pi` orders the slots; coordinate k of a signature is the smallest `pi` value over the document's slots after
-`pi` is shifted circularly by k. The k shifted values of one shingle are k neighbours in the table of `pi`, so
-a whole signature is a running minimum over short contiguous slices.
-
-Plan. (1) One pass over the texts writes a sketch of each document: size and 128-bit digest of its shingle set,
-band hashes, and a 128-bit sketch, one bit for each coordinate. (2) Documents with the same set fall into one
-class, represented by its smallest doc_id; only representatives go on, so groups of copies cost one row. (3) Band
-buckets propose pairs: a small bucket all of its pairs, a large one only pairs with its hubs. Members that are not
-clearly close to a hub stay for a further round with other hubs, until few are left, so a bucket that really
-is one group costs one round. Pairs with clearly different sketches go (a pair of similarity 0.8 differs in 13 of
-128 bits, standard deviation 3.4; the limit is 36). (4) All proposed pairs are confirmed on their whole shingle
-sets and the links contracted to components by distributed rounds. (5) What hubs alone may miss is a link between
-two members of a large bucket that are both close to its hub, one or both too far to be linked with it. So the
-hubs' groups of close members, the families, are searched again: every member outside its family's largest
-component is compared with all members of other components. Fixed-size bitmaps of the whole sets bound each
-intersection from above within the join; pairs that may be links by that bound, and only they, leave it and are
-confirmed like the others. A pair of different components is never left out.
+Two permutations of the 64-bit integers are all the randomness of a signature: `sigma` scatters the shingles, `pi`
+orders them; coordinate k is the least `pi(sigma(x) + k)` of a document's shingles x, `pi` shifted circularly by k. Both
+are bijections computed by multiplication and shifts, so different shingles never meet in a slot.
+
+Plan. (1) One pass over the texts writes a sketch of each document: size and 128-bit digest of its shingle set, band
+hashes, a byte and a 2-bit symbol for each coordinate. (2) Documents with the same set fall into one class, represented
+by its smallest doc_id; only representatives, the nodes, go on, so groups of copies cost one row. (3) Every bucket has one
+hub, the member whose buckets hold the most members of all, so the centre of a group is the hub of most of its
+buckets. Each other member proposes one pair, with the hub; proposals are distinct over all bands before anything
+else is done with them, so a group costs a few pairs a member. Sketches that differ in more than MOST symbols are
+no link. Members whose sketch is not clearly close to the hub's (more than `settled` symbols) go to the next
+level: their bucket is dealt anew by SUBBANDS further bands, until no bucket has two of them. Unlike members of a
+bucket part there by the fourth power of their similarity a level. (4) Pairs with a hub are confirmed on the whole
+sets, and the links contracted to components by distributed rounds. (5) What is left is a link between two members that
+are both close to their hub, one of them at least not linked with it. By the triangle inequality of the number of
+different symbols both are among the hub's ball, the members that differ from it in `settled + MOST` symbols or
+less. In each ball of several components the members outside its largest one are compared with all members, in
+blocks of about BLOCK shingles, exactly, inside tasks that emit only links which join components.
+
+So the pairs that leave a task are at most a few for each member, whatever the size of a group. A pair of similarity 0.8
+is missed with probability 3e-6 by the first level's bands, 1e-5 if it is found on the second, and 4e-8 by MOST.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
 from .scratch import Scratch, frugal
 
-UNIVERSE = 1 << 20
 #: A pair of similarity 0.8 shares none of the bands with probability 3e-6, one of 0.85 with 1e-8.
 BANDS, ROWS = 24, 4
-BITS = COORDINATES = 128
-#: Bits in which a linked pair differs at most; a family's member and its hub; members that need no further hub:
-#: whatever is similar to such a member is close enough to the hub to be in the family.
-MOST_BITS, FAMILY_BITS, SETTLED_BITS = 36, 50, 30
-SMALL_BUCKET = 24
-#: A large bucket has 1 hub in its first round, then 4, 16 and at most this many.
-MOST_HUBS = 64
-#: Words of the bitmap of a set; parts into which the members of a family are dealt.
-BITMAP_WORDS = 64
-FAMILY_PARTS = 8
-
-_pi: np.ndarray | None = None
-
-
-def _shifted() -> np.ndarray:
-    """`pi`, extended so that the shifts of the last slots need no wrap-around; made once in a worker."""
-    global _pi
-    if _pi is None:
-        pi = np.random.Generator(np.random.PCG64(971)).permutation(UNIVERSE).astype(np.int32)
-        _pi = np.concatenate([pi, pi[:COORDINATES]])
-    return _pi
+COORDINATES = 128
+#: Bands by which a bucket is dealt on the next level.
+SUBBANDS = 8
+#: Symbols of a coordinate; symbols in which a member of a ball and its hub differ at most. Unrelated sketches differ
+#: in 96 of 128, with a standard deviation of 4.9.
+SYMBOLS, BALL = 4, 84
+WORDS = 4
+#: Shingles of a block of a ball, each member counted as LEAST of them at least.
+BLOCK, LEAST = 1 << 17, 128
+#: Rows of shifted shingles that are ordered at a time.
+SLICE = 256
+
+_SHIFTS = np.arange(COORDINATES, dtype=np.uint64)
+
+
+def _pi(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """A permutation of the 64-bit integers, in place."""
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    np.right_shift(x, np.uint64(32), out=spare)
+    x ^= spare
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The coordinates of one set."""
-    k = COORDINATES
-    windows = np.lib.stride_tricks.sliding_window_view(_shifted(), k)
-    slots = (shingles >> np.uint64(13)).astype(np.int64) & (UNIVERSE - 1)
-    best = windows[slots[:4096]].min(axis=0)
-    for i in range(4096, len(slots), 4096):
-        np.minimum(best, windows[slots[i : i + 4096]].min(axis=0), out=best)
+    slots = tokens.mix(shingles ^ np.uint64(0xA0761D6478BD642F))  # sigma
+    best = np.full(COORDINATES, np.uint64(2**64 - 1))
+    held = np.empty((2, min(SLICE, len(slots)), COORDINATES), np.uint64)
+    for i in range(0, len(slots), SLICE):
+        own = slots[i : i + SLICE, None]
+        x = np.add(own, _SHIFTS, out=held[0, : len(own)])
+        np.minimum(best, _pi(x, held[1, : len(own)]).min(axis=0), out=best)
     return best
 
 
+def most_apart(percent: int) -> int:
+    """Symbols in which the sketches of a linked pair differ, but for a probability of 1e-7."""
+    p, tail, t = (1 - 1 / SYMBOLS) * (1 - percent / 100), 0.0, COORDINATES
+    while t >= 0:
+        tail += math.comb(COORDINATES, t) * p**t * (1 - p) ** (COORDINATES - t)
+        if tail > 1e-7:
+            return t
+        t -= 1
+    return 0
+
+
 def _bands(sigs: np.ndarray) -> np.ndarray:
-    rows = sigs[:, : BANDS * ROWS].astype(np.uint64).reshape(len(sigs), BANDS, ROWS)
+    rows = sigs[:, : BANDS * ROWS].reshape(len(sigs), BANDS, ROWS)
     h = np.zeros((len(sigs), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for i in range(ROWS):
-        h = tokens.mix(h ^ (rows[:, :, i] + np.uint64(i << 40)))
+        h = tokens.mix(h ^ rows[:, :, i])
     return h.view(np.int64)
 
 
@@ -91,18 +107,23 @@ def _sketches(size: int):
                     found = tokens.shingles(hashes[cuts[i] : cuts[i + 1]], size)
                     counts[i] = len(found)
                     digests.append(xxhash.xxh3_128_digest(found) if len(found) else None)
-                    sigs.append(signature(found) if len(found) else np.zeros(COORDINATES, np.int32))
+                    sigs.append(signature(found) if len(found) else np.zeros(COORDINATES, np.uint64))
                 sigs = np.stack(sigs)
-                bits = np.packbits((tokens.mix(sigs[:, :BITS].astype(np.uint64)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+                mixed = tokens.mix(sigs)
+                symbols = (mixed >> np.uint64(8) & np.uint64(SYMBOLS - 1)).reshape(b - a, WORDS, -1)
+                words = (symbols << (2 * np.arange(COORDINATES // WORDS, dtype=np.uint64))).sum(2, dtype=np.uint64).view(np.int64)
                 bands = pa.ListArray.from_arrays(np.arange(0, (b - a) * BANDS + 1, BANDS, dtype=np.int32), pa.array(_bands(sigs).reshape(-1)))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(counts), pa.array(digests, pa.binary()), bands, pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy())],
-                    ["doc_id", "n_shingles", "digest", "bands", "bits0", "bits1"],
-                )
+                sig = pa.Array.from_buffers(pa.binary(COORDINATES), b - a, [None, pa.py_buffer(mixed.astype(np.uint8).tobytes())]).cast(pa.binary())
+                columns = [ids.slice(a, b - a), pa.array(counts), pa.array(digests, pa.binary()), bands, sig, *[pa.array(words[:, i].copy()) for i in range(WORDS)]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "bands", "sig", *_W])
 
     return run
 
 
+_W = [f"w{i}" for i in range(WORDS)]
+_SKETCH = f"doc_id long, n_shingles long, digest binary, bands array<long>, sig binary, {', '.join(f'{w} long' for w in _W)}"
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,13 +134,7 @@ def _sets(size: int):
                 cuts = np.searchsorted(rows, np.arange(b - a + 1))
                 found = [tokens.shingles(hashes[cuts[i] : cuts[i + 1]], size) for i in range(b - a)]
                 lens = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                values = np.concatenate(found)
-                bits = np.zeros((b - a, BITMAP_WORDS * 64), np.uint8)
-                bits[np.repeat(np.arange(b - a), np.diff(lens)), (values >> np.uint64(20)).astype(np.int64) % (BITMAP_WORDS * 64)] = 1
-                words = np.packbits(bits, axis=1).view(np.int64).reshape(-1)
-                at = np.arange(0, (b - a) * BITMAP_WORDS + 1, BITMAP_WORDS, dtype=np.int32)
-                columns = [ids.slice(a, b - a), pa.ListArray.from_arrays(lens, pa.array(values.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(words))]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", "bitmap"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.ListArray.from_arrays(lens, pa.array(np.concatenate(found).view(np.int64)))], ["node", "shingles"])
 
     return run
 
@@ -154,51 +169,52 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return labels
 
 
-def _far(a0, a1, b0, b1):
-    return F.bit_count(a0.bitwiseXOR(b0)) + F.bit_count(a1.bitwiseXOR(b1))
+def _apart(a: str, b: str) -> Column:
+    """Symbols in which two sketches differ."""
+    def one(i: int) -> Column:
+        x = F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+    return sum((one(i) for i in range(1, WORDS)), one(0))
 
 
-def _close(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) of rows of one band whose sketches differ in at most `most` bits, with that number."""
-    x, y = left.alias("x"), right.alias("y")
-    bits = _far(F.col("x.bits0"), F.col("x.bits1"), F.col("y.bits0"), F.col("y.bits1"))
-    joined = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (bits <= most))
-    return joined.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+def _dealt_anew(left: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node) on the next level: each bucket's members by SUBBANDS bands, of coordinates that its key picks."""
 
+    def band(s: Column) -> Column:
+        at = [(F.pmod(F.xxhash64("key", s, F.lit(i)), F.lit(COORDINATES)) + 1).cast("int") for i in range(ROWS)]
+        return F.xxhash64("key", s, *[F.substring("sig", i, F.lit(1)) for i in at])
 
-def _proposals(bands: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b, star, check): star marks a hub and a member of its family, check those to confirm."""
-    columns = ["band", "node", "bits0", "bits1"]
-    # Sizes and hubs are written before they are joined: Spark splits a hot bucket in a join of two tables, but not in
-    # one whose other side is an aggregate of the same task.
-    sizes = scratch.write(bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
-    left = scratch.write(bands.join(sizes, "band"), "shared")
-    scratch.drop(sizes)
-    out, round_ = None, 0
+    bands = F.transform(F.sequence(F.lit(0), F.lit(SUBBANDS - 1)), band)
+    return left.join(nodes.select("node", "sig"), "node").select(F.explode(bands).alias("key"), "node")
+
+
+def _proposals(members: DataFrame, nodes: DataFrame, most: int, scratch: Scratch) -> DataFrame:
+    """Distinct (node, hub, apart) of the buckets `members(key, node)`, those of a ball only."""
+    words = lambda name, w: nodes.select(F.col("node").alias(name), *[F.col(f"w{i}").alias(f"{w}{i}") for i in range(WORDS)])
+    out = None
     while True:
-        small = left.where(F.col("members") <= SMALL_BUCKET)
-        found = _close(small, small, MOST_BITS).withColumn("star", F.lit(False)).withColumn("check", F.lit(True))
-        large = left.where(F.col("members") > SMALL_BUCKET)
-        first = Window.partitionBy("band").orderBy(F.xxhash64("node", "band", F.lit(round_)), "node")
-        hubs = large.withColumn("r", F.row_number().over(first)).where(F.col("r") <= min(MOST_HUBS, 4**round_))
-        hubs = scratch.write(hubs.groupBy("band").agg(F.collect_list(F.struct("node", "bits0", "bits1")).alias("hubs")), "hubs")
-        apart = lambda h: F.struct(_far(F.col("bits0"), F.col("bits1"), h["bits0"], h["bits1"]).alias("bits"), h["node"].alias("hub"))
-        measured = large.join(hubs, "band").where(~F.exists("hubs", lambda h: h["node"] == F.col("node")))
-        measured = measured.select(*columns, F.filter(F.transform("hubs", apart), lambda h: h["bits"] <= FAMILY_BITS).alias("hubs"))
-        measured = scratch.write(measured.withColumn("nearest", F.array_min("hubs")), "measured")
-        star = F.explode(F.transform("hubs", lambda h: F.struct(h["hub"].alias("hub"), ((h == F.col("nearest")) & (h["bits"] <= MOST_BITS)).alias("check"))))
-        stars = measured.select("node", star.alias("s")).select(F.least("node", "s.hub").alias("a"), F.greatest("node", "s.hub").alias("b"), F.lit(True).alias("star"), "s.check")
-        stars = stars.groupBy("a", "b", "star").agg(F.max("check").alias("check"))
-        found = scratch.write(found.union(stars), "proposals")
+        # What is aggregated is written before it is joined: Spark splits a hot bucket in a join of two tables, but not
+        # in one whose other side is an aggregate of the same task.
+        sizes = scratch.write(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+        shared = scratch.write(members.join(sizes, "key"), "shared")
+        central = shared.groupBy("node").agg(F.sum("n").alias("central"))
+        first = F.min_by("node", F.struct(-F.col("central"), F.col("node")))
+        hubs = scratch.write(shared.join(central, "node").groupBy("key").agg(first.alias("hub")), "hubs")
+        pairs = scratch.write(shared.join(hubs, "key").where("node <> hub").select("key", "node", "hub"), "pairs")
+        found = pairs.select("node", "hub").distinct().join(words("node", "x"), "node").join(words("hub", "y"), "hub")
+        # Not made distinct here, where a node has several texts: Spark could not split a hub's part of the join then.
+        found = found.select("node", "hub", _apart("x", "y").alias("apart")).where(F.col("apart") <= BALL)
+        found = scratch.write(found, "stars")
         out = found if out is None else out.union(found)
-        scratch.drop(left, hubs)
-        rest = measured.where(F.col("nearest").isNull() | (F.col("nearest.bits") > SETTLED_BITS)).select(*columns)
-        sizes = scratch.write(rest.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
-        left = scratch.write(rest.join(sizes, "band"), "rest")
-        scratch.drop(measured, sizes)
-        round_ += 1
-        if left.isEmpty():
-            return out.groupBy("a", "b").agg(F.max("star").alias("star"), F.max("check").alias("check"))
+        rest = pairs.join(found.where(F.col("apart") <= BALL - most), ["node", "hub"], "left_anti").select("key", "node")
+        rest = scratch.write(rest, "rest")
+        scratch.drop(sizes, shared, hubs, pairs)
+        several = scratch.write(rest.groupBy("key").count().where("count > 1").select("key"), "several")
+        if several.isEmpty():
+            return out.groupBy("node", "hub").agg(F.min("apart").alias("apart"))
+        members = scratch.write(_dealt_anew(rest.join(several, "key"), nodes), "members")
+        scratch.drop(rest, several)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -206,33 +222,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     Returns doc_id, n_shingles (size of the set of distinct `shingle`-word runs), component_id (smallest doc_id
     that links reach) and kept (doc_id = component_id). Two documents are linked when
-    100 * |intersection| >= percent * |union| of their whole sets. A text with fewer words than `shingle` has
-    its whole word sequence as its one shingle.
+    100 * |intersection| >= percent * |union| of their whole sets, whose elements are 64-bit hashes of the runs. A text
+    with fewer words than `shingle` has its whole word sequence as its one shingle.
 
     Null, empty and blank texts have no shingles and link with nothing. Rows with equal doc_id and text are
     returned as often as they come; a null doc_id comes back with its own null component and kept false. Other
-    columns of `docs` are not read, whatever their names. An empty table gives an empty result. Documents over
-    the largest Arrow batch still go through whole: a sketch is a running minimum over slices of 4,096.
+    columns of `docs` are not read, whatever their names. An empty table gives an empty result. Very long texts go
+    through whole: a signature is a running minimum over slices of SLICE shingles.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
+    most = most_apart(percent)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = texts.mapInArrow(frugal(_sketches(shingle)), "doc_id long, n_shingles long, digest binary, bands array<long>, bits0 long, bits1 long")
-    sketches = scratch.write(sketches, "sketches")
+    sketches = scratch.write(texts.mapInArrow(frugal(_sketches(shingle)), _SKETCH), "sketches")
     classes = scratch.write(sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
     # Rows that share a doc_id are one document here: its texts are several nodes of one name.
     nodes = sketches.join(classes, "digest").where("doc_id = node").dropDuplicates(["node", "digest"])
-    bands = scratch.write(nodes.select("node", "bits0", "bits1", F.explode("bands").alias("band")), "bands")
-    pairs = scratch.write(_proposals(bands, scratch), "pairs")
-    scratch.drop(bands)
-    sets = scratch.write(_whole_sets(texts, pairs, shingle), "sets")
-    links = scratch.write(_confirm(pairs.where("check"), sets, percent), "links")
+    nodes = scratch.write(nodes.select("node", "bands", "sig", *_W), "nodes")
+    stars = _proposals(nodes.select(F.explode("bands").alias("key"), "node"), nodes, most, scratch)
+    stars = scratch.write(stars, "proposals")
+    sets = scratch.write(_whole_sets(texts, stars, shingle), "sets")
+    links = scratch.write(_confirm(stars.where(F.col("apart") <= most), sets, percent), "links")
     labels = components(links, scratch)
-    missed = scratch.write(_within_families(pairs, labels, nodes.select("node", "bits0", "bits1"), sets, percent, scratch), "missed")
-    missed = scratch.write(_confirm(missed, sets, percent), "more-links")
+    missed = scratch.write(_within_balls(stars, labels, sets, percent, scratch), "missed")
     if not missed.isEmpty():
         labels = components(links.union(missed), scratch)
-    scratch.drop(sets, pairs)
+    scratch.drop(sets, stars, nodes)
 
     named = classes.join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     has = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
@@ -243,15 +258,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """`docs`, all columns as they are, with one document of each group of near duplicates: the one of the smallest
-    doc_id. Rows with a null doc_id stay."""
-    gone = near_duplicates(docs, shingle, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone_id"), "left_anti")
+    doc_id. Rows with a null doc_id or without words stay, as do all rows of a doc_id that stays."""
+    gone = near_duplicates(docs, shingle, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
-def _whole_sets(texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of every document in a pair. The names grow with the input, so they are never broadcast."""
-    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().hint("merge")
-    return texts.join(named, "doc_id", "left_semi").mapInArrow(frugal(_sets(shingle)), "node long, shingles array<long>, bitmap array<long>")
+def _whole_sets(texts: DataFrame, stars: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of every document in a ball. The names grow with the input, so they are never broadcast."""
+    named = stars.select(F.col("node").alias("doc_id")).union(stars.select("hub")).distinct().hint("merge")
+    return texts.join(named, "doc_id", "left_semi").mapInArrow(frugal(_sets(shingle)), "node long, shingles array<long>")
 
 
 def _similar(x, y, percent: int):
@@ -260,34 +275,75 @@ def _similar(x, y, percent: int):
     return (100 * lesser >= percent * greater) & (100 * both >= percent * (F.size(x) + F.size(y) - both))
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirm(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar enough, repeated where a node has several texts. They
     aren't made distinct here: that would fix the join's partitioning, and Spark could not split a hub's."""
-    sets = sets.select("node", "shingles")
-    a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    return pairs.select("a", "b").join(a, "a").join(b, "b").where(_similar(F.col("sa"), F.col("sb"), percent)).select("a", "b")
-
-
-def _within_families(pairs: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs of different components of one family that may be links."""
-    family = components(pairs.where("star").select("a", "b"), scratch).withColumnRenamed("component", "family")
-    at = family.join(labels, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
-    counted = at.groupBy("family", "component").agg(F.count("*").alias("n"))
-    top = counted.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    top = scratch.write(top, "tops")
-    maps = sets.select("node", F.size("shingles").alias("n"), *[F.element_at("bitmap", i + 1).alias(f"w{i}") for i in range(BITMAP_WORDS)])
-    at = scratch.write(at.join(top, "family").drop("parts").join(nodes, "node").join(maps, "node"), "families")
-    part = F.pmod(F.xxhash64("node"), F.lit(FAMILY_PARTS)).cast("int")
-    x = at.where("component <> top").withColumn("part", part).alias("x")
-    y = at.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(FAMILY_PARTS - 1)))).alias("y")
-    other = (F.col("x.family") == F.col("y.family")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.component") != F.col("y.component"))
-    once = (F.col("y.component") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
-    near = _far(F.col("x.bits0"), F.col("x.bits1"), F.col("y.bits0"), F.col("y.bits1")) <= MOST_BITS
-    # Elements of both sets share a bit, or are lost to a collision within either set.
-    ones = lambda side: sum((F.bit_count(F.col(f"{side}.w{i}")) for i in range(1, BITMAP_WORDS)), F.bit_count(F.col(f"{side}.w0")))
-    shared = sum((F.bit_count(F.col(f"x.w{i}").bitwiseAND(F.col(f"y.w{i}"))) for i in range(1, BITMAP_WORDS)), F.bit_count(F.col("x.w0").bitwiseAND(F.col("y.w0"))))
-    x, y = (d.select("*", (F.col("n") - ones(s)).alias("lost")).alias(s) for d, s in ((x, "x"), (y, "y")))
-    # 100 * i >= percent * (nx + ny - i), solved for i.
-    most = shared + F.least("x.lost", "y.lost")
-    found = x.join(y, other & once & near & ((100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n"))))
-    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    a, b = sets.toDF("node", "sa"), sets.toDF("hub", "sb")
+    found = stars.select("node", "hub").join(a, "node").join(b, "hub").where(_similar(F.col("sa"), F.col("sb"), percent))
+    return found.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+
+
+def _within_balls(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between members of one ball, at most one for each component that another one of the ball takes in.
+
+    A member outside the ball's largest component meets all blocks of the ball, and is itself in one block of such
+    members; a task holds two blocks.
+    """
+    ball = stars.select("hub", "node").union(stars.select("hub", F.col("hub").alias("node"))).distinct()
+    at = ball.join(labels, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
+    at = scratch.write(at, "balls")
+    counted = at.groupBy("hub", "component").agg(F.count("*").alias("n"))
+    tops = counted.groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("members"))
+    tops = scratch.write(tops.where("parts > 1 and members > 2").select("hub", "top"), "tops")
+    at = at.join(tops, "hub").withColumn("outside", F.col("component") != F.col("top")).join(sets, "node")
+    at = scratch.write(at.select("hub", "node", "component", "outside", "shingles"), "compared")
+    blocks = lambda c: F.ceil(F.sum(c) / BLOCK).cast("int")
+    size = F.greatest(F.size("shingles"), F.lit(LEAST))
+    sized = scratch.write(at.groupBy("hub").agg(blocks(size).alias("all"), blocks(F.when(F.col("outside"), size)).alias("out")), "blocks")
+    at = at.join(sized, "hub")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["hub", "i", "j", "outside", "node", "component", "shingles"]
+    x = at.where("outside").withColumn("i", own("out")).withColumn("j", every("all")).select(columns)
+    y = at.withColumn("outside", F.lit(False)).withColumn("j", own("all")).withColumn("i", every("out")).select(columns)
+    return x.union(y).groupBy("hub", "i", "j").applyInArrow(_joining(percent), "a long, b long")
+
+
+def _joining(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Links of the members outside with all of their block that join components not joined yet."""
+        outside, node, component = (group[c].to_numpy(zero_copy_only=False) for c in ("outside", "node", "component"))
+        sets = group["shingles"].combine_chunks()
+        lens = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        _, code = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        row = np.repeat(np.arange(len(lens)), lens)
+        # Only shingles of both sides count; each row's are the bits of its words.
+        vocabulary = code.max() + 1 if len(code) else 0
+        both = (np.bincount(code[outside[row]], minlength=vocabulary) > 0) & (np.bincount(code[~outside[row]], minlength=vocabulary) > 0)
+        place = np.cumsum(both) - 1
+        use = both[code]
+        width = int(both.sum()) // 64 + 1
+        bits = np.zeros((len(lens), width), np.uint64)
+        np.bitwise_or.at(bits, (row[use], place[code[use]] // 64), np.uint64(1) << (place[code[use]] % 64).astype(np.uint64))
+        root = {int(c): int(c) for c in component}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        others = np.flatnonzero(~outside)
+        known, n, size = bits[others], lens[others], {}
+        found = []
+        for i in np.flatnonzero(outside):
+            shared = np.zeros(len(others), np.int64)
+            for k in np.flatnonzero(bits[i]):
+                shared += np.bitwise_count(known[:, k] & bits[i, k])
+            for j in others[100 * shared >= percent * (lens[i] + n - shared)]:
+                p, q = find(int(component[i])), find(int(component[j]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    found.append((min(node[i], node[j]), max(node[i], node[j])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return run
