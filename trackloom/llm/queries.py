@@ -86,7 +86,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = """
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS n FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = min(doc_id) OVER w AS kept, sha256(n) AS text_sha256
+       row_number() OVER (PARTITION BY n ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(n) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY n)
 """
 
