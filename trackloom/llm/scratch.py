@@ -8,15 +8,21 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is configured."""
+    """The cluster's checkpoint folder; one of our own only where none is configured and Spark runs in one process."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
     own = tempfile.mkdtemp(prefix="trackloom-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -49,14 +55,50 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            trim()
 
     return wrapped
 
 
+def trim() -> None:
+    """Gives freed memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    found = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if found:
+        found(0)
+
+
+def running_totals(df: DataFrame, order: list[Column], values: dict[str, str], scratch: Scratch, name: str) -> DataFrame:
+    """`df`, sorted over all its rows, written, with running sums: `values` maps output columns to whole-number columns.
+
+    Spark sorts by ranges; a task adds up its own range, and what the ranges before it hold, one row a range, is
+    gathered and broadcast, so no task sees more than its range.
+    """
+    outputs, inputs = list(values), list(values.values())
+    sorted_ = df.orderBy(*order)
+    schema = T.StructType([*sorted_.schema, *[T.StructField(c, T.LongType()) for c in outputs], T.StructField("range_no", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sofar, no = [0] * len(inputs), TaskContext.get().partitionId()
+        for batch in batches:
+            sums = []
+            for i, c in enumerate(inputs):
+                sums.append(np.cumsum(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)) + sofar[i])
+                sofar[i] = int(sums[i][-1]) if len(sums[i]) else sofar[i]
+            columns = [*batch.columns, *map(pa.array, sums), pa.array(np.full(batch.num_rows, no, np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *outputs, "range_no"])
+
+    summed = scratch.write(sorted_.mapInArrow(frugal(run), schema), name)
+    totals = sorted(map(tuple, summed.groupBy("range_no").agg(*[F.max(c) for c in outputs]).collect()))
+    before, rows = [0] * len(outputs), []
+    for no, *sums in totals:
+        rows.append((no, *before))
+        before = [b + s for b, s in zip(before, sums)]
+    ahead = df.sparkSession.createDataFrame(rows, ", ".join(["range_no int", *[f"before_{c} long" for c in outputs]]))
+    out = summed.join(F.broadcast(ahead), "range_no").withColumns({c: F.col(c) + F.col(f"before_{c}") for c in outputs})
+    return out.select(*df.columns, *outputs)
+
+
 class Scratch:
     """Names Parquet tables below the shared folder and drops those that are no longer needed.
 
