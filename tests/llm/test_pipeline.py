@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from trackloom.llm import bpe, mixing
 from trackloom.llm.exact_dedup import normalise
+from trackloom.llm.scratch import Scratch, running_totals
 
 from .test_dedup import brute_near
 
@@ -109,3 +110,31 @@ def test_mix_matches_targets_and_skips_odd_rows(spark):
     again = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(docs.repartition(7)).collect()}
     assert again == {d: r["taken"] for d, r in got.items()}
     assert mixing.mix_sources(docs.limit(0)).count() == 0
+
+
+def test_take_mix_tells_sources_and_repeated_rows_apart(spark):
+    text = "w " * 9
+    rows = [(i, text, s, i, "c") for s in "ac" for i in range(10)] + [(i, text, "b", i, "c") for i in range(50, 60)]
+    rows += [(70, "x y z", "b", 1, "c"), (70, "z y x", "b", 2, "c"), (70, "z y x", "b", 3, "c"), (None, "p q", "a", 4, "c"), (None, "p q", "a", 5, "c"), (80, None, "a", 6, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, _mix_id string")
+    taken = mixing.mix_sources(docs).collect()
+    got = mixing.take_mix(docs)
+    assert got.columns == docs.columns
+    per = Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in got.collect())
+    source = {(r["doc_id"], r["size"]): 0 for r in taken}
+    assert sum(n * k[2] for k, n in per.items()) == sum(r["taken"] for r in taken) <= 1.5 * sum(r["size"] for r in taken)
+    for r in taken:
+        source[r["doc_id"], r["size"]] += r["taken"]
+    assert {k: v for k, v in source.items() if v} == {k: v for k in source if (v := sum(n * x[2] for x, n in per.items() if (x[0], x[2]) == k))}
+    assert mixing.take_mix(docs.limit(0)).count() == 0
+
+
+def test_running_totals_go_on_over_ranges(spark):
+    rows = [(i * 37 % 101, i % 3) for i in range(101)]
+    df = spark.createDataFrame(rows, "k int, v long").repartition(5)
+    out = running_totals(df, [F.col("k")], {"upto": "v"}, Scratch(spark), "totals")
+    want, total = {}, 0
+    for k, v in sorted(rows):
+        total += v
+        want[k] = total
+    assert {r["k"]: r["upto"] for r in out.collect()} == want

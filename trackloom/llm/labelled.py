@@ -26,9 +26,9 @@ def bounded(rows: DataFrame, most: int) -> DataFrame:
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int) -> DataFrame:
     """(doc_id, text, label), written, of about `most` documents at most that have the label and for which `train`
-    holds; one that has several labels gets the largest. The chosen ids are no more than that, so they are broadcast
+    holds. A label above 0 counts as 1, any other as 0; a document that has several gets the largest. The chosen ids are no more than that, so they are broadcast
     and the texts are not shuffled."""
-    known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(label) > 0).cast("int").alias("label"))
     known = bounded(known.where(train).groupBy("doc_id").agg(F.max("label").alias("label")), most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return Scratch(docs.sparkSession).write(texts.join(F.broadcast(known), "doc_id"), "sample")

@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled, tokens
-from .scratch import frugal, small_batches
+from .scratch import frugal, small_batches, trim
 
 #: Labelled documents that the field is fitted on, at most about this many.
 FITTED = 4_000
 BINS = 8
 ROUNDS, RIDGE = 120, 1e-3
+#: What a text scores where there are no labels at all: it passes for good until something says otherwise.
+PRIOR = 0.75
 MEASURES = ("length", "words", "word_length", "letters", "upper", "digits", "signs", "bars", "stops", "repeats", "distinct", "again")
 
 _UPPER = np.zeros(256, bool)
@@ -189,10 +191,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, most: int = FITTED) -
     table = sample.select("doc_id", "text", "label").mapInArrow(frugal(run), schema).toPandas().sort_values(["doc_id", "line"], kind="stable")
     values = table[list(MEASURES)].to_numpy()
     doc = np.cumsum(np.concatenate([[0], np.diff(table["doc_id"].to_numpy()) != 0])) if len(table) else np.zeros(0, int)
-    good = (table["label"].to_numpy() > 0).astype(float)
-    if len(set(good.tolist())) < 2:
+    good, size = (table["label"].to_numpy() > 0).astype(float), table["size"].to_numpy()
+    del table
+    if len(set(good.tolist())) < 2:  # one class or none: every text gets the share of good lines, smoothed by PRIOR
         field = LineField(np.zeros((len(MEASURES), BINS)))
-        field.b = 2.0
+        field.a, field.b = 0.0, float(np.log((good.sum() + PRIOR) / (len(good) - good.sum() + 1 - PRIOR)))
         return field
     edges = np.quantile(values, np.linspace(0, 1, BINS + 2)[1:-1], axis=0).T
     bad = values[good == 0]
@@ -203,16 +206,19 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, most: int = FITTED) -
     p, _ = field.marginals(field.emission(bins, doc), doc)
     field.fit(bins, doc, np.where((good == 0) & (p > 0.8), 1.0, good))
     p, _ = field.marginals(field.emission(bins, doc), doc)
-    x = field.means(p, table["size"].to_numpy(), doc, int(doc[-1]) + 1)
+    x = field.means(p, size, doc, int(doc[-1]) + 1)
     field.a, field.b = _calibrate(x, good[np.searchsorted(doc, np.arange(len(x)))])
+    del values, bins, p
+    trim()
     return field
 
 
 def score_quality(docs: DataFrame, field: LineField) -> DataFrame:
     """doc_id and score of the whole texts of `docs(doc_id, text, ...)`.
 
-    Null and empty texts are scored as one empty line. Rows come back as often as they come; other columns are not
-    read. An empty table gives an empty result.
+    Null and empty texts are scored as one empty line, texts of any length whole. Rows come back as often as they come,
+    null doc_ids too; other columns are not read. An empty table gives an empty result. A field that was fitted on one
+    class only gives every text the same score, near that class.
     """
 
     small_batches(docs.sparkSession)
@@ -227,7 +233,9 @@ def score_quality(docs: DataFrame, field: LineField) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, field: LineField, least: float = 0.7) -> DataFrame:
-    """The rows of `docs`, all columns as they are, whose text scores at least `least`."""
+    """The rows of `docs`, all columns as they are and of any name, whose text scores at least `least`. Null and empty
+    texts count as one empty line, repeated rows are kept or go together, texts of any length are read whole, and an
+    empty table gives an empty result."""
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 

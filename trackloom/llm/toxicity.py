@@ -200,8 +200,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, most: int = FITTED) -
 def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id and score of the whole texts of `docs(doc_id, text, ...)`.
 
-    Null and empty texts hold no entry and get the score of a text without any. Rows come back as often as they
-    come; other columns are not read. An empty table gives an empty result.
+    Null and empty texts hold no entry and get the score of a text without any; texts of any length are read whole, at
+    linear cost. Rows come back as often as they come, null doc_ids too; other columns are not read. An empty table
+    gives an empty result.
     """
 
     small_batches(docs.sparkSession)
