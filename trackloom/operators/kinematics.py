@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..columns import ANGLE, ENTRY, FRAME, ID, TIME, X, Y, pose_pairs
 from ..functions.numbers import forward, leftward, ratio, scrubbed, wrap_angle
-from ..windows import difference, interpolated, rows_of
+from ..windows import between, difference, interpolated, rows_of, with_nearest_known
 
 
 def time_step(columns: list[str], w, n: int = 1, fps: float | None = None) -> Column:
@@ -21,8 +21,10 @@ def time_step(columns: list[str], w, n: int = 1, fps: float | None = None) -> Co
     return F.when(dt != 0, dt)
 
 
-def speed_angvel(df: DataFrame, step: int = 1, fps: float | None = None) -> DataFrame:
-    """Adds speed, vx, vy and angvel to the keys of each row, and with step > 1 also speed_step and angvel_step."""
+def speed_angvel(df: DataFrame, step: int = 1, fps: float | None = None, smooth_window: int | None = None, polyorder: int = 2) -> DataFrame:
+    """Adds speed, vx, vy and angvel to the keys of each row, with step > 1 also speed_step and angvel_step, and with
+    `smooth_window` also speed_smooth, the speed after a Savitzky-Golay filter over that many rows (see
+    `kernels.smooth_columns`)."""
     w = rows_of(df.columns)
     out = [c for c in (*ENTRY, ID, FRAME, TIME) if c in df.columns]
     for n, suffix in ((1, ""), (step, "_step")):
@@ -37,7 +39,12 @@ def speed_angvel(df: DataFrame, step: int = 1, fps: float | None = None) -> Data
             new[f"angvel{suffix}"] = ratio(wrap_angle(difference(F.col(ANGLE), w, n)), dt)
         df = df.withColumns(new)
         out += new
-    return df.select(*out)
+    df = df.select(*out)
+    if smooth_window:
+        from ..functions.kernels import smooth_columns
+
+        df = smooth_columns(df.withColumn("speed_smooth", F.col("speed")), ["speed_smooth"], smooth_window, polyorder)
+    return df
 
 
 def heading(df: DataFrame, method: str = "two_point", front: int = 0, rear: int = 1, output: str = ANGLE) -> DataFrame:
@@ -72,7 +79,7 @@ def trajectory_smooth(df: DataFrame, threshold: float, fps: float | None = None,
     df = bad_frames(df, threshold, fps, expand)
     columns = [X, Y] + ([c for pair in pose_pairs(df.columns) for c in pair] if pose else [])
     df = df.withColumns({c: F.when(~F.col("bad_frame"), F.col(c)) for c in columns})
-    df = interpolated(df, columns, rows_of(df.columns))
+    df = interpolated(df, columns)
     if savgol_window:
         from ..functions.kernels import smooth_columns
 
@@ -131,30 +138,35 @@ def time_range(df: DataFrame, start_frame=None, end_frame=None, start_time=None,
     return df
 
 
+def frame_range(fps: float | None, start_frame: int | None = None, end_frame: int | None = None, start_time: float | None = None, end_time: float | None = None) -> tuple[int | None, int | None]:
+    """The frames that a range given in frames or seconds begins and ends at; each end has one unit, and seconds need
+    the frames per second."""
+    out = []
+    for name, frame, time in (("start", start_frame, start_time), ("end", end_frame, end_time)):
+        if frame is not None and time is not None:
+            raise ValueError(f"{name}_frame and {name}_time exclude each other")
+        if time is not None and fps is None:
+            raise ValueError(f"{name}_time needs the frames per second")
+        out.append(frame if time is None else int(time * fps))
+    return out[0], out[1]
 
 
 def clean_tracks(df: DataFrame, columns: list[str], limit: int = 10, edge_limit: int = 2, most_missing: float = 0.5) -> DataFrame:
     """Scrubs and fills the columns of each track: gaps linearly up to `limit` rows from either side, heads and tails
     with the nearest value up to `edge_limit` rows, then drops rows in which more than `most_missing` of the columns
     are still missing, and gives the rest the column's median over the track."""
-    df = scrubbed(df, columns)
-    w = rows_of(df.columns)
-    inner = {c: F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).isNotNull() & F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).isNotNull() for c in columns}
-    df = df.withColumns({f"_in_{c}": v for c, v in inner.items()})
-    gaps = interpolated(df, columns, w, limit)
-    edges = interpolated(df, columns, w, edge_limit)
-    keys = [c for c in (*ENTRY, ID, FRAME, TIME) if c in df.columns]
-    edges = edges.select(*keys, *[F.col(c).alias(f"_edge_{c}") for c in columns])
-    both = gaps.join(edges, keys)
-    both = both.withColumns({c: F.when(F.col(f"_in_{c}"), F.col(c)).otherwise(F.col(f"_edge_{c}")) for c in columns})
+    names = df.columns
+    df = with_nearest_known(scrubbed(df, columns), columns)
+    inner = lambda c: F.col(f"_l_{c}").isNotNull() & F.col(f"_r_{c}").isNotNull()
+    df = df.withColumns({c: F.when(inner(c), between(c, limit)).otherwise(between(c, edge_limit)) for c in columns}).select(*names)
     missing = sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))
-    both = both.where(missing <= most_missing * len(columns)).drop(*[f"{p}{c}" for p in ("_in_", "_edge_") for c in columns])
-    track = Window.partitionBy(*[c for c in (*ENTRY, ID) if c in df.columns])
-    return both.withColumns({c: F.coalesce(F.col(c), F.median(c).over(track)) for c in columns})
+    df = df.where(missing <= most_missing * len(columns))
+    track = Window.partitionBy(*[c for c in (*ENTRY, ID) if c in names])
+    return df.withColumns({c: F.coalesce(F.col(c), F.median(c).over(track)) for c in columns})
 
 
 def confidence_filter(df: DataFrame, threshold: float = 0.6, max_gap: int | None = None) -> DataFrame:
     """Drops keypoints whose confidence (poseP*) is below the threshold and fills gaps of up to `max_gap` rows."""
     points = [(x, y, x.replace("poseX", "poseP")) for x, y in pose_pairs(df.columns) if x.replace("poseX", "poseP") in df.columns]
     df = df.withColumns({c: F.when(F.col(p) >= threshold, F.col(c)) for x, y, p in points for c in (x, y)})
-    return interpolated(df, [c for x, y, _ in points for c in (x, y)], rows_of(df.columns), max_gap, both=False)
+    return interpolated(df, [c for x, y, _ in points for c in (x, y)], limit=max_gap, both=False)
