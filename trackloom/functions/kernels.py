@@ -34,31 +34,28 @@ def hull_area(points: pd.Series) -> pd.Series:
     return pd.Series([_hull(np.array([[p["x"], p["y"]] for p in own], float).reshape(-1, 2)) for own in points])
 
 
-def _linked(ids: np.ndarray, near: list[dict], cutoff: float) -> list[list[int]]:
-    """Members of each component of the individuals whose mean distance over the frames of a window is below the
-    cutoff; a distance counts in the frames in which both are there."""
-    _, k = np.unique([p["frame"] for p in near], return_inverse=True)
-    at = np.full((k.max() + 1, len(ids), 2), np.nan)
-    at[k, np.searchsorted(ids, [p["id"] for p in near])] = np.array([[p["x"], p["y"]] for p in near], float)
-    d = np.sqrt(((at[:, :, None] - at[:, None]) ** 2).sum(-1))
-    there = np.isfinite(d)
-    n = there.sum(0)
-    mean = np.where(there, d, 0.0).sum(0) / np.maximum(n, 1)
-    root = np.arange(len(ids))
-    for a, b in zip(*np.nonzero(np.triu((n > 0) & (mean < cutoff), 1))):
-        low, high = sorted((root[a], root[b]))
-        root[root == high] = low
-    return [[int(i) for i in ids[root == r]] for r in np.unique(root)]
+def _components(ids: list[int], links: list[dict]) -> list[list[int]]:
+    """Sorted members of each component."""
+    root = {int(i): int(i) for i in ids}
 
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
 
-def frame_groups(cutoff: float):
-    """For each frame the sorted members of its groups, from all ids and from the rows of the frames around it."""
+    for link in links:
+        low, high = sorted((find(link["a"]), find(link["b"])))
+        root[high] = low
+    out: dict[int, list[int]] = {}
+    for i in sorted(root):
+        out.setdefault(find(i), []).append(i)
+    return list(out.values())
 
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
-    def run(ids: pd.Series, near: pd.Series) -> pd.Series:
-        return pd.Series([_linked(np.asarray(own, np.int64), list(frames), cutoff) for own, frames in zip(ids, near)])
 
-    return run
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
+def grouped(ids: pd.Series, links: pd.Series) -> pd.Series:
+    """For each frame the sorted members of its groups, from all ids and the pairs that are linked."""
+    return pd.Series([_components(list(own), [] if pairs is None else list(pairs)) for own, pairs in zip(ids, links)])
 
 
 def savgol(x: np.ndarray, window: int, polyorder: int, deriv: int = 0) -> np.ndarray:
@@ -154,7 +151,6 @@ def pair_wavelet(df: DataFrame, columns: list[str], fps: float = 30.0, f_min: fl
     return per_track(df, run, schema, [c for c in (ID, "id1", "id2", "perspective") if c in df.columns])
 
 
-
 def triangles(points: np.ndarray) -> np.ndarray:
     """Delaunay triangulation of distinct points by insertion; for the points of one frame."""
     p = np.unique(points, axis=0)

@@ -113,21 +113,28 @@ def fission_fusion(df: DataFrame, cutoff: float = 50.0, window: int = 5, least_e
     cutoff; groups are the components. An event is a run of consecutive frames in which a group keeps its members and
     whose last and first frames are `least_event` or more apart. Duplicate rows keep one; absent individuals are alone.
     """
-    from ..functions.kernels import frame_groups
+    from ..functions.kernels import grouped
 
     df = scrubbed(df, [X, Y])
     entry = [c for c in ENTRY if c in df.columns]
     known = F.struct(F.col(X).isNotNull(), X, Y)
     df = df.groupBy(*entry, FRAME, ID).agg(F.max_by(F.struct(F.col(X).alias("x"), F.col(Y).alias("y")), known).alias("p"))
-    frames = df.groupBy(*entry, FRAME).agg(F.collect_list(F.struct(F.col(FRAME).alias("frame"), F.col(ID).alias("id"), "p.x", "p.y")).alias("at"))
-    # One row per frame from here on: what its window holds, all ids of the sequence, the run of consecutive frames.
+    # One row per frame: its number among the frames of the sequence, and the run of consecutive frames that it is in.
     by_frame = Window.partitionBy(*entry).orderBy(FRAME)
-    whole = by_frame.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    frames = df.select(*entry, FRAME).distinct()
+    frames = frames.withColumns({"_at": F.row_number().over(by_frame), "_new": F.coalesce((F.col(FRAME) - F.lag(FRAME).over(by_frame) != 1).cast("int"), F.lit(1))})
+    frames = frames.withColumn("_run", F.sum("_new").over(by_frame)).drop("_new")
+    # The distance of a pair counts in each frame whose window holds it, so a pair's mean over a window is one sum.
+    there = df.join(frames, [*entry, FRAME]).where(F.col("p.x").isNotNull() & F.col("p.y").isNotNull())
+    a, b = (there.select(*entry, "_at", F.col(ID).cast("long").alias(i), F.col("p").alias(p)) for i, p in (("a", "pa"), ("b", "pb")))
+    apart = a.join(b, [*entry, "_at"]).where("a < b").select(*entry, "a", "b", "_at", F.hypot(F.col("pa.x") - F.col("pb.x"), F.col("pa.y") - F.col("pb.y")).alias("d"))
     half = window // 2
-    frames = frames.withColumns({"_new": F.coalesce((F.col(FRAME) - F.lag(FRAME).over(by_frame) != 1).cast("int"), F.lit(1)), "_near": F.collect_list("at").over(by_frame.rowsBetween(-half, half)), "_ids": F.array_sort(F.array_distinct(F.flatten(F.collect_list("at.id").over(whole))))})
-    frames = frames.withColumn("_run", F.sum("_new").over(by_frame))
-    frames = frames.select(*entry, FRAME, "_run", "_ids", F.flatten("_near").alias("_near"))
-    groups = frames.withColumn("_groups", frame_groups(cutoff)(F.col("_ids"), F.col("_near"))).select(*entry, FRAME, "_run", F.explode("_groups").alias("members"))
+    spread = apart.select(*entry, "a", "b", "d", F.explode(F.sequence(F.col("_at") - half, F.col("_at") + half)).alias("_at"))
+    links = spread.groupBy(*entry, "_at", "a", "b").agg(F.avg("d").alias("d")).where(F.col("d") < cutoff)
+    links = links.groupBy(*entry, "_at").agg(F.collect_list(F.struct("a", "b")).alias("_links"))
+    ids = df.groupBy(*entry).agg(F.array_sort(F.collect_set(F.col(ID).cast("long"))).alias("_ids"))
+    frames = frames.join(links, [*entry, "_at"], "left").join(ids, entry)
+    groups = frames.withColumn("_groups", grouped(F.col("_ids"), F.col("_links"))).select(*entry, FRAME, "_run", F.explode("_groups").alias("members"))
     same = Window.partitionBy(*entry, "_run", "members").orderBy(FRAME)
     groups = groups.withColumn("_new", F.coalesce((F.col(FRAME) - F.lag(FRAME).over(same) != 1).cast("int"), F.lit(1))).withColumn("_part", F.sum("_new").over(same))
     part = Window.partitionBy(*entry, "_run", "members", "_part")

@@ -62,12 +62,14 @@ def with_overlap(df: DataFrame, frames: int) -> DataFrame:
     order = order_column(df.columns)
     by_group = Window.partitionBy(GROUP).orderBy(SEQUENCE)
     seqs = entries_of(df).withColumns({"_before": F.lag(SEQUENCE).over(by_group), "_after": F.lead(SEQUENCE).over(by_group)})
-    rank = Window.partitionBy(*ENTRY)
-    ranked = df.withColumns({"_first": F.dense_rank().over(rank.orderBy(order)), "_last": F.dense_rank().over(rank.orderBy(F.desc(order)))})
+    # The edges of a sequence come from its distinct frames, ranked with a limit that Spark applies before the exchange.
+    numbers = df.select(*ENTRY, order).distinct()
     out = df.withColumn("is_core", F.lit(True))
-    for near, edge in (("_before", "_last"), ("_after", "_first")):
+    for near, ascending in (("_before", False), ("_after", True)):
         links = seqs.where(F.col(near).isNotNull()).select(F.col(GROUP), F.col(SEQUENCE).alias("_to"), F.col(near).alias(SEQUENCE))
-        rows = ranked.where(F.col(edge) <= frames).join(links, [GROUP, SEQUENCE]).withColumn(SEQUENCE, F.col("_to"))
+        first = Window.partitionBy(*ENTRY).orderBy(F.col(order).asc() if ascending else F.col(order).desc())
+        edge = numbers.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= frames).drop("_r")
+        rows = df.join(edge, [*ENTRY, order]).join(links, [GROUP, SEQUENCE]).withColumn(SEQUENCE, F.col("_to"))
         out = out.unionByName(rows.select(*df.columns, F.lit(False).alias("is_core")))
     return out
 
