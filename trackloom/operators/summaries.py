@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..columns import ENTRY, FRAME, ID
+from ..columns import ENTRY, FRAME, ID, ensure_columns
 from ..functions.numbers import ratio, scrubbed
 from ..windows import difference, rows_of
 
-# Columns and prefixes that hold lengths.
-LENGTHS = ("X", "Y", "SPEED", "VX", "VY")
+# Columns and prefixes that hold lengths. A column may name a point behind a #, as in X#head.
+LENGTHS = ("X", "Y", "SPEED", "VX", "VY", "AX", "AY", "speed", "vx", "vy")
 LENGTH_PREFIXES = ("poseX", "poseY", "bbox_", "midline_")
 
 
@@ -117,12 +117,16 @@ def nn_delta_bins(df: DataFrame, bins: int = 45, most: float = 14.0, most_for_me
 
 
 def scale_to_cm(df: DataFrame, calibration: DataFrame, suffix: str = "_cm", columns: list[str] | None = None) -> DataFrame:
-    """Adds each length column in centimetres. `calibration(group, sequence, cm_per_pixel)`; an entry without one fails."""
-    lengths = columns or [c for c in df.columns if c in LENGTHS or (c.startswith(LENGTH_PREFIXES) and not c.startswith("poseP"))]
+    """Adds each length column, or each of `columns`, in centimetres. `calibration(group, sequence, cm_per_pixel)`; an
+    entry whose scale is missing or isn't positive fails, as do names that the table lacks and a table without lengths."""
+    ensure_columns(df, columns or [])
+    lengths = columns or [c for c in df.columns if c.split("#")[0] in LENGTHS or c.startswith(LENGTH_PREFIXES)]
+    if not lengths:
+        raise ValueError("the table has no column that holds a length")
     entry = [c for c in ENTRY if c in df.columns]
-    joined = df.join(calibration.select(*entry, "cm_per_pixel"), entry, "left")
-    scale = F.when(F.col("cm_per_pixel").isNull(), F.raise_error(F.lit("an entry has no cm_per_pixel"))).otherwise(F.col("cm_per_pixel")).cast("double")
-    return joined.withColumns({f"{c}{suffix}": F.col(c) * scale for c in lengths}).drop("cm_per_pixel")
+    joined = df.join(calibration.select(*entry, F.col("cm_per_pixel").cast("double").alias("cm_per_pixel")), entry, "left")
+    scale = F.when(F.col("cm_per_pixel") > 0, F.col("cm_per_pixel")).otherwise(F.raise_error(F.lit("an entry has no usable cm_per_pixel")).cast("double"))
+    return joined.withColumns({f"{c}{suffix}": F.col(f"`{c}`") * scale for c in lengths}).drop("cm_per_pixel")
 
 
 def id_tag_columns(df: DataFrame, tags: DataFrame, fields: list[str], renames: dict[str, str] | None = None) -> DataFrame:
