@@ -7,14 +7,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..columns import feature_columns
+from ..columns import ENTRY, FRAME, ID, feature_columns
+
+#: Standard deviations of a cell's count that expected agreement is summed over.
+SPREAD = 12
+#: Values of all prototypes that are broadcast at most, 64 MB.
+MOST_VALUES = 1 << 23
 
 
 def finite(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -151,13 +158,54 @@ def agreement(table: pd.DataFrame) -> dict[str, float]:
 
 
 def _expected_mutual(a: np.ndarray, b: np.ndarray, n: float) -> float:
-    lf = lambda x: math.lgamma(x + 1)
+    """Mutual information expected of labelings with these class sizes.
+
+    A cell's count is hypergeometric; it is summed over SPREAD standard deviations around its mode, outwards by the
+    ratio of neighbouring terms, so the cost doesn't grow with the counts but with their square root.
+    """
     out = 0.0
     for x in a:
         for y in b:
-            for k in range(int(max(1, x + y - n)), int(min(x, y)) + 1):
-                p = lf(x) + lf(y) + lf(n - x) + lf(n - y) - lf(n) - lf(k) - lf(x - k) - lf(y - k) - lf(n - x - y + k)
-                out += k / n * math.log(n * k / (x * y)) * math.exp(p)
+            low, high = max(1.0, x + y - n), min(x, y)
+            mode = min(max(math.floor((x + 1) * (y + 1) / (n + 2)), low), high)
+            wide = SPREAD * math.sqrt(max(1.0, x * y / n * (n - x) * (n - y) / max(n * (n - 1), 1))) + SPREAD
+            k = np.arange(max(low, math.floor(mode - wide)), min(high, math.ceil(mode + wide)) + 1)
+            if not len(k):
+                continue
+            lf = math.lgamma
+            first = lf(x + 1) + lf(y + 1) + lf(n - x + 1) + lf(n - y + 1) - lf(n + 1) - lf(k[0] + 1) - lf(x - k[0] + 1) - lf(y - k[0] + 1) - lf(n - x - y + k[0] + 1)
+            steps = np.log((x - k[:-1]) * (y - k[:-1])) - np.log((k[:-1] + 1) * (n - x - y + k[:-1] + 1))
+            p = np.exp(first + np.concatenate([[0.0], np.cumsum(steps)]))
+            out += float((k / n * np.log(n * k / (x * y)) * p).sum())
+    return out
+
+
+def dataset_agreement(clusters: DataFrame, labels: DataFrame, cluster: str = "cluster", label: str = "label", frames: int | None = None, seed: int = 0, per_sequence: bool = False) -> dict:
+    """Agreement of per-frame clusters with per-frame labels over the entries that both tables have.
+
+    Rows meet by frame where both tables have one, else by their order within the entry, up to the shorter of the two.
+    With `frames`, about as many rows are drawn by a hash of their keys. What comes to the driver is a count for each
+    pair of labels, and of each entry with `per_sequence`.
+    """
+    entry = [c for c in ENTRY if c in clusters.columns and c in labels.columns]
+    by_frame = FRAME in clusters.columns and FRAME in labels.columns
+    if by_frame:
+        on, left, right = [*entry, FRAME], clusters, labels
+    else:
+        order = [F.col(c) for c in (FRAME, ID) if c in clusters.columns] or [F.monotonically_increasing_id()]
+        number = lambda df, by: df.withColumn("_row", F.row_number().over(Window.partitionBy(*entry).orderBy(*by)))
+        on, left, right = [*entry, "_row"], number(clusters, order), number(labels, [F.col(FRAME)] if FRAME in labels.columns else [F.monotonically_increasing_id()])
+    both = left.select(*on, F.col(cluster).alias("predicted")).join(right.select(*on, F.col(label).alias("truth")), on).where("predicted is not null and truth is not null")
+    total = both.count()
+    if not total:
+        raise ValueError("clusters and labels share no frame of an entry")
+    if frames is not None and total > frames:
+        both = both.where(F.pmod(F.xxhash64(F.lit(seed), *on), F.lit(1 << 40)) < int(frames / total * (1 << 40)))
+    counts = both.groupBy(*(entry if per_sequence else []), "truth", "predicted").agg(F.count("*").alias("n")).toPandas()
+    overall = counts.groupby(["truth", "predicted"], as_index=False)["n"].sum()
+    out = {"n_frames_total": total, "n_frames_used": int(counts["n"].sum()), "sampled": frames is not None and total > frames, "metrics": agreement(overall)}
+    if per_sequence:
+        out["per_sequence"] = [dict(zip(entry, k)) | agreement(own) for k, own in counts.groupby(entry)]
     return out
 
 
@@ -206,18 +254,42 @@ def prototypes(df: DataFrame, vector: str = "embedding", label: str = "label") -
 
 
 def prototype_scores(df: DataFrame, proto: DataFrame, key: str, vector: str = "embedding", label: str = "label", temperature: float = 0.07) -> DataFrame:
-    """Softmax of the cosine with each prototype over `temperature`: one row per row and label. There is a prototype a
-    label, so the few are gathered and put into the plan."""
-    few = sorted((r[label], r["prototype"]) for r in proto.collect())
-    v = F.col(vector).cast("array<double>")
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    table = F.array(*[F.struct(F.lit(k).alias("label"), F.array(*map(F.lit, p)).alias("p")) for k, p in few])
-    cosine = lambda p: F.aggregate(F.zip_with(v, p, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) / F.when(norm > 0, norm).otherwise(1.0)
-    scored = df.select(key, F.transform(table, lambda t: F.struct(t["label"].alias("label"), (cosine(t["p"]) / temperature).alias("z"))).alias("_s"))
-    top = F.array_max(F.transform("_s", lambda s: s["z"]))
-    weights = F.transform("_s", lambda s: F.struct(s["label"].alias("label"), F.exp(s["z"] - top).alias("w")))
-    scored = scored.withColumn("_w", weights).withColumn("_t", F.aggregate("_w", F.lit(0.0), lambda a, s: a + s["w"]))
-    return scored.select(key, F.explode("_w").alias("_e"), "_t").select(key, F.col("_e.label").alias("label"), (F.col("_e.w") / F.col("_t")).alias("probability"))
+    """Softmax of the cosine with each prototype over `temperature`: one row per row and label; null probabilities for
+    null vectors. Up to MOST_VALUES values of all prototypes are broadcast and multiplied with batches of vectors; more
+    of them meet the vectors in a join on the component."""
+    size = proto.agg(F.sum(F.size("prototype"))).first()[0] or 0
+    if size > MOST_VALUES:
+        return _joined_scores(df, proto, key, vector, label, temperature)
+    kinds = {f.name: f.dataType for f in proto.schema}
+    few = proto.select(label, "prototype").orderBy(label).toArrow()
+    names, matrix = few.column(0).combine_chunks(), np.array(few.column(1).to_pylist(), float).reshape(few.num_rows, -1)
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField(label, kinds[label]), T.StructField("probability", T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            n, vectors = batch.num_rows, batch.column(1)
+            known = pc.fill_null(pc.equal(pc.list_value_length(vectors), matrix.shape[1]), False).to_numpy(zero_copy_only=False)
+            x = np.full((n, matrix.shape[1]), np.nan)
+            x[known] = vectors.filter(pa.array(known)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, matrix.shape[1])
+            norm = np.sqrt((x * x).sum(1, keepdims=True))
+            z = x @ matrix.T / np.where(norm > 0, norm, 1.0) / temperature
+            w = np.exp(z - z.max(1, keepdims=True)) if len(names) else z
+            p = (w / w.sum(1, keepdims=True)).ravel()
+            columns = [batch.column(0).take(pa.array(np.repeat(np.arange(n), len(names)))), names.take(pa.array(np.tile(np.arange(len(names)), n))), pa.array(p, mask=np.isnan(p))]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return df.select(key, vector).mapInArrow(run, schema)
+
+
+def _joined_scores(df: DataFrame, proto: DataFrame, key: str, vector: str, label: str, temperature: float) -> DataFrame:
+    """The same from one row per component; `key` tells the rows of df apart."""
+    x = df.select(key, F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "x"))
+    p = proto.select(label, F.posexplode("prototype").alias("pos", "p"))
+    sums = x.join(p, "pos").groupBy(key, label).agg(F.sum(F.col("x") * F.col("p")).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    z = sums.select(key, label, (F.col("dot") / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0) / temperature).alias("z"))
+    each = Window.partitionBy(key)
+    w = z.withColumn("w", F.exp(F.col("z") - F.max("z").over(each)))
+    return w.select(key, label, (F.col("w") / F.sum("w").over(each)).alias("probability"))
 
 
 # ---- classifier

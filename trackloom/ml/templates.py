@@ -9,56 +9,90 @@ from pyspark.sql import functions as F
 from ..columns import ENTRY, feature_columns
 
 
-def quotas(counts: dict, pool: int, most_share: float = 1.0) -> dict:
-    """How many rows of each entry go into a pool: in proportion, capped at a share of the pool (at least an equal
-    share), the remainder spread over the uncapped. Small entries may get none."""
-    total = sum(counts.values())
-    if total <= pool:
-        return dict(counts)
-    cap = max(int(max(most_share, 1 / len(counts)) * pool), 1)
-    out = {k: min(int(n / total * pool), cap, n) for k, n in counts.items()}
-    left = pool - sum(out.values())
-    open_ = {k: n for k, n in counts.items() if out[k] < min(cap, n)}
-    size = sum(open_.values())
-    for k, n in open_.items():
-        out[k] = min(out[k] + int(n / size * left), cap, n)
-    return out
+def with_quotas(counts: DataFrame, pool: int, most_share: float = 1.0) -> DataFrame:
+    """Adds to `counts(..., n)`, one row an entry, how many of its rows go into a pool: in proportion, capped at a share
+    of the pool (at least an equal share), the remainder spread over the uncapped. Small entries may get none."""
+    total, entries = counts.agg(F.sum("n"), F.count("*")).first()
+    if (total or 0) <= pool:
+        return counts.withColumn("quota", F.col("n"))
+    cap = max(int(max(most_share, 1 / entries) * pool), 1)
+    most = F.least(F.lit(cap), F.col("n"))
+    first = counts.withColumn("quota", F.least(F.floor(F.col("n") * (pool / total)), most))
+    unfilled = F.col("quota") < most
+    given, size = first.agg(F.sum("quota"), F.sum(F.when(unfilled, F.col("n")))).first()
+    more = F.floor(F.col("n") * ((pool - given) / (size or 1)))
+    return first.withColumn("quota", F.when(unfilled, F.least(F.col("quota") + more, most)).otherwise(F.col("quota")))
+
+
+def _complete(df: DataFrame, columns: list[str]) -> DataFrame:
+    for c in columns:
+        df = df.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    return df
+
+
+def _drawn(seed: int, columns: list[str], df: DataFrame):
+    """An order of rows that depends on the seed and their values only."""
+    return F.xxhash64(F.lit(seed), *columns, *[c for c in ("frame", "id") if c in df.columns])
 
 
 def extract_templates(df: DataFrame, pool: int, columns: list[str] | None = None, seed: int = 0, most_share: float = 1.0) -> DataFrame:
     """About `pool` rows, shared among entries in proportion to their complete rows, in an order that depends on the
-    seed and the rows' values only. The quotas are one number an entry; rows stay on the executors."""
+    seed and the rows' values only. Quotas and rows stay on the executors."""
     columns = columns or feature_columns(df)
-    complete = df.dropna(subset=columns)
-    for c in columns:
-        complete = complete.where(~F.isnan(c) & (F.abs(c) < float("inf")))
-    counts = {(r["group"], r["sequence"]): r["count"] for r in complete.groupBy(*ENTRY).count().collect()}
-    share = quotas(counts, pool, most_share)
-    table = df.sparkSession.createDataFrame([(*k, n) for k, n in share.items()], "`group` string, sequence string, _quota long")
-    order = Window.partitionBy(*ENTRY).orderBy(F.xxhash64(F.lit(seed), *columns, *[c for c in ("frame", "id") if c in df.columns]))
-    picked = complete.join(table, ENTRY).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("_quota"))
+    complete = _complete(df, columns)
+    table = with_quotas(complete.groupBy(*ENTRY).agg(F.count("*").alias("n")), pool, most_share).select(*ENTRY, "quota")
+    order = Window.partitionBy(*ENTRY).orderBy(_drawn(seed, columns, df))
+    picked = complete.join(table, ENTRY).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("quota"))
     return picked.select(*[c for c in (*ENTRY, "frame", "id") if c in df.columns], *columns)
 
 
 def provenance(templates: DataFrame) -> DataFrame:
+    """Rows of each entry among the templates, and their share of all."""
     counts = templates.groupBy(*ENTRY).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.withColumn("share", F.try_divide(F.col("n"), F.lit(total)))
 
 
 def split_by_sequence(df: DataFrame, test_share: float = 0.2, seed: int = 0) -> DataFrame:
-    """Adds split (train, test): whole sequences go to one side, at least one to each where there are two."""
+    """Adds split (train, test): whole sequences go to one side, at least one to each where there are two and the share
+    is neither 0 nor 1."""
     entries = df.select(*ENTRY).distinct()
     n = entries.count()
-    n_test = max(1, min(n - 1, round(test_share * n))) if n > 1 else 0
-    ranked = entries.withColumn("_r", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), *ENTRY), *ENTRY)))
-    return df.join(ranked.select(*ENTRY, F.when(F.col("_r") <= n_test, "test").otherwise("train").alias("split")), ENTRY)
+    n_test = 0 if test_share <= 0 or (n <= 1 and test_share < 1) else n if test_share >= 1 else max(1, min(n - 1, round(test_share * n)))
+    test = entries.orderBy(F.xxhash64(F.lit(seed), *ENTRY), *ENTRY).limit(n_test).withColumn("split", F.lit("test"))
+    return df.join(test, ENTRY, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+
+
+def labelled_templates(df: DataFrame, columns: list[str], per_class: int | dict[int, int] | None = None, total: int | None = None, strategy: str = "random", pool: int | None = None, test_share: float = 0.2, seed: int = 0) -> DataFrame:
+    """Complete rows of each label in each split (whole sequences, see `split_by_sequence`), at most as many as its target.
+
+    The target is `per_class`, one number or one for each label, or `total` over the number of labels; just one of the
+    two is given. `random` draws rows by a hash; `farthest_first` draws `pool` rows of each split and label, the
+    target if there is no pool, and keeps those that are farthest from each other.
+    """
+    if (per_class is None) == (total is None):
+        raise ValueError("give either per_class or total")
+    if strategy not in ("random", "farthest_first"):
+        raise ValueError(f"no strategy {strategy!r}")
+    rows = split_by_sequence(_complete(df, columns).where("label is not null"), test_share, seed)
+    if total is not None:
+        target = F.lit(total // max(1, rows.select("label").distinct().count()))
+    elif isinstance(per_class, dict):
+        target = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in per_class.items() for x in kv]), F.col("label").cast("int")), F.lit(0)) if per_class else F.lit(0)
+    else:
+        target = F.lit(per_class)
+    held = F.greatest(F.when(target > 0, F.lit(pool)), target) if strategy == "farthest_first" and pool else target
+    w = Window.partitionBy("split", "label").orderBy(_drawn(seed, columns, df))
+    keys = [c for c in (*ENTRY, "frame", "id") if c in df.columns]
+    drawn = rows.withColumns({"_r": F.row_number().over(w), "_target": target.cast("int")}).where(F.col("_r") <= held)
+    drawn = drawn.select("split", "label", *keys, *columns, "_target")
+    if strategy == "random":
+        return drawn.drop("_target")
 
+    def spread(own):
+        return own.iloc[farthest_first(own[columns].to_numpy(float), int(own["_target"].iloc[0]), seed)]
 
-def labelled_templates(df: DataFrame, per_class: int, columns: list[str], test_share: float = 0.2, seed: int = 0) -> DataFrame:
-    """Up to `per_class` rows of each label in each split."""
-    w = Window.partitionBy("split", "label").orderBy(F.xxhash64(F.lit(seed), *columns, *[c for c in ("frame", "id") if c in df.columns]))
-    rows = split_by_sequence(df.dropna(subset=columns), test_share, seed)
-    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_class).select("split", "label", *columns)
+    return drawn.groupBy("split", "label").applyInPandas(spread, drawn.schema).drop("_target")
 
 
 def farthest_first(points: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
