@@ -9,17 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
 from .functions import kernels
 from .joins import align, nearest_pairs_only
 from .ml import models, templates
 from .operators import groups, interactions, kinematics, neighbours, pairs, summaries
-from .plans import scope
-from .windows import interpolated, rolling, rows_of
+from .plans import scope, values
+from .sources import readers
+from .windows import interpolated, rolling, rows_of, with_moving_average
 
 FPS = 25.0
 POINTS = 7
@@ -140,9 +140,11 @@ def _calibration(spark, sf_dir):
     return tracks(spark, sf_dir).select("group", "sequence").distinct().withColumn("cm_per_pixel", F.when(F.col("group") == "g0", 0.5).otherwise(0.25))
 
 
-@query(f"""{WITH_TRACKS} SELECT {ENTRY_SQL}, id, frame, {r("x * CASE WHEN grp = 'g0' THEN 0.5e0 ELSE 0.25e0 END")} AS "X_cm", {r("y * CASE WHEN grp = 'g0' THEN 0.5e0 ELSE 0.25e0 END")} AS "Y_cm" FROM t""")
+@query(f"""{WITH_TRACKS} SELECT {ENTRY_SQL}, id, frame, {', '.join(f"""{r(f"{e} * CASE WHEN grp = 'g0' THEN 0.5e0 ELSE 0.25e0 END")} AS "{n}_cm\"""" for n, e in (('X', 'x'), ('Y', 'y'), ('X#head', 'px3'), ('poseY1', 'py1'), ('speed', 'x * a'), ('vx', 'y * a')))} FROM t""")
 def scale_to_cm(spark, sf_dir):
-    return summaries.scale_to_cm(tracks(spark, sf_dir).select("group", "sequence", "id", "frame", "X", "Y"), _calibration(spark, sf_dir)).drop("X", "Y")
+    t = tracks(spark, sf_dir).select("group", "sequence", "id", "frame", "X", "Y", "ANGLE", F.col("poseX3").alias("X#head"), "poseY1", (F.col("X") * F.col("ANGLE")).alias("speed"), (F.col("Y") * F.col("ANGLE")).alias("vx"))
+    out = summaries.scale_to_cm(t, _calibration(spark, sf_dir))
+    return out.select("group", "sequence", "id", "frame", *[c for c in out.columns if c.endswith("_cm")])
 
 
 @query(f"""{WITH_TRACKS} SELECT {ENTRY_SQL}, id, frame, CASE WHEN id % 2 = 0 THEN concat('tag', CAST(id AS VARCHAR)) END AS label FROM t""")
@@ -191,8 +193,7 @@ _FILLED = "coalesce(v0 + (v1 - v0) * (p - p0) / nullif(p1 - p0, 0), v0, v1)"
 @query(f"""{_GAPPY} SELECT {ENTRY_SQL}, id, frame, {r(f'coalesce(v, {_FILLED})')} AS free, {r(f'coalesce(v, CASE WHEN p - p0 <= 1 OR p1 - p <= 1 THEN {_FILLED} END)')} AS limited FROM q""")
 def interpolation(spark, sf_dir):
     t = tracks(spark, sf_dir).select("group", "sequence", "id", "frame", F.when(F.col("event_id") % 3 == 0, F.col("X")).alias("free")).withColumn("limited", F.col("free"))
-    w = rows_of(t.columns)
-    return interpolated(interpolated(t, ["free"], w), ["limited"], w, 1)
+    return interpolated(interpolated(t, ["free"]), ["limited"], limit=1)
 
 
 @query(f"""{WITH_TRACKS}, j AS (SELECT *, CASE WHEN sqrt((x - lag(x) OVER w) ^ 2 + (y - lag(y) OVER w) ^ 2) > 60 THEN 1 ELSE 0 END AS j FROM t WINDOW w AS ({WIN}))
@@ -348,7 +349,21 @@ def group_area(spark, sf_dir):
     return out.select("group", "sequence", "frame", "n_ids", "area", "density", "elongation")
 
 
-@query()
+_FUSION = f"""WITH RECURSIVE tr AS ({TRACKS}), fr AS (SELECT grp, seq, frame, row_number() OVER w AS k, frame - lag(frame) OVER w AS gap FROM (SELECT DISTINCT grp, seq, frame FROM tr) WINDOW w AS (PARTITION BY grp, seq ORDER BY frame)),
+f AS (SELECT grp, seq, frame, k, sum(CASE WHEN gap = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY grp, seq ORDER BY frame) AS run FROM fr),
+p AS (SELECT A.grp, A.seq, f.k, A.id AS a, B.id AS b, sqrt((A.x - B.x) ^ 2 + (A.y - B.y) ^ 2) AS d FROM tr A JOIN tr B ON A.grp = B.grp AND A.seq = B.seq AND A.frame = B.frame AND A.id < B.id JOIN f ON f.grp = A.grp AND f.seq = A.seq AND f.frame = A.frame),
+l AS (SELECT f.grp, f.seq, f.frame, a, b FROM p JOIN f ON f.grp = p.grp AND f.seq = p.seq AND f.k BETWEEN p.k - 1 AND p.k + 1 GROUP BY ALL HAVING avg(d) < 40),
+e AS (SELECT * FROM l UNION ALL SELECT grp, seq, frame, b, a FROM l),
+reach(grp, seq, frame, a, b) AS (SELECT f.grp, f.seq, f.frame, i.id, i.id FROM f JOIN (SELECT DISTINCT grp, seq, id FROM tr) i ON f.grp = i.grp AND f.seq = i.seq
+  UNION SELECT r.grp, r.seq, r.frame, r.a, e.b FROM reach r JOIN e ON e.grp = r.grp AND e.seq = r.seq AND e.frame = r.frame AND e.a = r.b),
+m AS (SELECT grp, seq, frame, a AS id, min(b) AS g, count(*) AS n, list_sort(list(b)) AS members FROM reach GROUP BY grp, seq, frame, a),
+q AS (SELECT DISTINCT m.grp, m.seq, m.frame, run, members FROM m JOIN f ON m.grp = f.grp AND m.seq = f.seq AND m.frame = f.frame),
+q1 AS (SELECT *, frame - lag(frame) OVER (PARTITION BY grp, seq, run, members ORDER BY frame) AS gap FROM q), q2 AS (SELECT *, sum(CASE WHEN gap = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY grp, seq, run, members ORDER BY frame) AS part FROM q1),
+q3 AS (SELECT *, min(frame) OVER w AS first, max(frame) OVER w - min(frame) OVER w >= 1 AS lasts FROM q2 WINDOW w AS (PARTITION BY grp, seq, run, members, part)),
+q4 AS (SELECT *, CASE WHEN lasts THEN dense_rank() OVER (PARTITION BY grp, seq ORDER BY lasts DESC, run, members, first) - 1 ELSE -1 END AS event FROM q3)"""
+
+
+@query(f"""{_FUSION} SELECT {ENTRY_SQL.replace('grp', 'm.grp').replace('seq AS', 'm.seq AS')}, m.frame, m.id, m.g AS group_membership, m.n AS group_size, event FROM m JOIN q4 ON m.grp = q4.grp AND m.seq = q4.seq AND m.frame = q4.frame AND m.members = q4.members""")
 def fission_fusion(spark, sf_dir):
     return groups.fission_fusion(_thin(tracks(spark, sf_dir)), 40.0, 3)
 
@@ -507,11 +522,9 @@ def queried_entries(spark, sf_dir):
     return scope.query_entries(tracks(spark, sf_dir), group_starts="g", contains="-0[12]-", ends="1")
 
 
-@query(f"""{WITH_TRACKS} SELECT {ENTRY_SQL}, id, frame FROM t WHERE grp IN ('g0', 'g2') AND (grp, seq) IN (SELECT (grp, max(seq)) FROM t GROUP BY grp)""")
+@query(f"""{WITH_TRACKS} SELECT {ENTRY_SQL}, id, frame FROM t WHERE grp IN ('g0', 'g2')""")
 def scoped_rows(spark, sf_dir):
-    t = tracks(spark, sf_dir).select("group", "sequence", "id", "frame")
-    last = t.groupBy("group").agg(F.max("sequence").alias("sequence"))
-    return scope.in_scope(t, groups=["g0", "g2"]).join(last, ["group", "sequence"], "left_semi")
+    return scope.in_scope(tracks(spark, sf_dir).select("group", "sequence", "id", "frame"), groups=["g0", "g2"])
 
 
 @query(f"""{WITH_TRACKS} SELECT DISTINCT {ENTRY_SQL}, split_part(seq, '-', 1) AS "year", split_part(seq, '-', 2) AS "month", split_part(seq, '-', 3) AS "day" FROM t""")
@@ -526,8 +539,12 @@ def _embeddings(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
+WIDTH = 64
+_FEATURES = [f"e{i}" for i in range(WIDTH)]
+
+
 def _wide(spark, sf_dir):
-    return _embeddings(spark, sf_dir).select("vec_id", "label", *[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(4)])
+    return _embeddings(spark, sf_dir).select("vec_id", "label", *[F.get("embedding", i).cast("double").alias(c) for i, c in enumerate(_FEATURES)])
 
 
 _PROTO = """WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), m AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x FROM e GROUP BY label, pos),
@@ -546,41 +563,53 @@ def prototype_scores(spark, sf_dir):
     return models.prototype_scores(e, models.prototypes(e), "vec_id")
 
 
-_E = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(4))
+_E = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(WIDTH))
 
 
-@query(f"""WITH e AS (SELECT vec_id, label, {_E} FROM embeddings) SELECT vec_id, label, {', '.join(f"{r(f'(e{i} - avg(e{i}) OVER ()) / stddev_pop(e{i}) OVER ()')} AS e{i}" for i in range(4))} FROM e""")
+@query(f"""WITH e AS (SELECT vec_id, label, {_E} FROM embeddings) SELECT vec_id, label, {', '.join(f"{r(f'(e{i} - avg(e{i}) OVER ()) / stddev_pop(e{i}) OVER ()')} AS e{i}" for i in range(WIDTH))} FROM e""")
 def scaled_features(spark, sf_dir):
     wide = _wide(spark, sf_dir)
-    return models.Scaler.fit(wide, [f"e{i}" for i in range(4)]).apply(wide)
+    return models.Scaler.fit(wide, _FEATURES).apply(wide)
 
 
-_CENTERS = [[0.1, 0.1, 0.0, 0.0], [-0.1, 0.0, 0.1, 0.0], [0.0, -0.1, -0.1, 0.1]]
-_NEAR = f"""WITH e AS (SELECT vec_id, label, {_E} FROM embeddings), d AS (SELECT *, {', '.join('(' + ' + '.join(f'(e{i} - {v}e0) * (e{i} - {v}e0)' for i, v in enumerate(c)) + f') AS d{k}' for k, c in enumerate(_CENTERS))} FROM e),
+_CENTERS = [[round(0.1 * (((i * (k + 2)) % 5) - 2), 1) for i in range(WIDTH)] for k in range(3)]
+_NEAR = f"""WITH e AS (SELECT vec_id, label, {_E} FROM embeddings), d AS (SELECT *, {', '.join('(' + ' + '.join(f'(e{i} - ({v}e0)) * (e{i} - ({v}e0))' for i, v in enumerate(c)) + f') AS d{k}' for k, c in enumerate(_CENTERS))} FROM e),
 c AS (SELECT vec_id, label, CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END AS cluster FROM d)"""
 
 
 @query(f"{_NEAR} SELECT vec_id, cluster FROM c")
 def centroid_assignment(spark, sf_dir):
-    return models.nearest_centroid(_wide(spark, sf_dir), [f"e{i}" for i in range(4)], np.array(_CENTERS)).select("vec_id", "cluster")
+    return models.nearest_centroid(_wide(spark, sf_dir), _FEATURES, np.array(_CENTERS)).select("vec_id", "cluster")
 
 
 @query(f"{_NEAR} SELECT label AS truth, cluster AS predicted, count(*) AS n FROM c GROUP BY ALL")
 def cluster_contingency(spark, sf_dir):
-    return models.contingency(models.nearest_centroid(_wide(spark, sf_dir), [f"e{i}" for i in range(4)], np.array(_CENTERS)), "label", "cluster")
+    return models.contingency(models.nearest_centroid(_wide(spark, sf_dir), _FEATURES, np.array(_CENTERS)), "label", "cluster")
 
 
 @query()
 def kmeans_clusters(spark, sf_dir):
-    wide, columns = _wide(spark, sf_dir), [f"e{i}" for i in range(4)]
+    wide, columns = _wide(spark, sf_dir), _FEATURES
     return models.nearest_centroid(wide, columns, models.kmeans(wide, columns, 8)).select("vec_id", "cluster")
 
 
 @query()
 def ward_clusters(spark, sf_dir):
-    wide, columns = _wide(spark, sf_dir), [f"e{i}" for i in range(4)]
-    pool = wide.orderBy(F.xxhash64("vec_id")).limit(400).select(*columns).toPandas().to_numpy()
-    return models.nearest_centroid(wide, columns, models.ward(pool, 6)[1]).select("vec_id", "cluster")
+    """Fitted on a pool of 2,000 templates at most, drawn by label; all rows are assigned."""
+    wide = _wide(spark, sf_dir)
+    pool = templates.extract_templates(wide.withColumns({"group": F.lit("all"), "sequence": F.col("label").cast("string")}), 2_000, _FEATURES)
+    return models.nearest_centroid(wide, _FEATURES, models.ward(pool.select(*_FEATURES).toPandas().to_numpy(), 6)[1]).select("vec_id", "cluster")
+
+
+@query(f"""{_NEAR}, n AS (SELECT label, cluster, count(*)::DOUBLE AS n FROM c GROUP BY ALL), a AS (SELECT label, sum(n) AS n FROM n GROUP BY label), b AS (SELECT cluster, sum(n) AS n FROM n GROUP BY cluster), t AS (SELECT sum(n) AS n FROM n),
+h AS (SELECT (SELECT -sum(a.n / t.n * ln(a.n / t.n)) FROM a, t) AS ha, (SELECT -sum(b.n / t.n * ln(b.n / t.n)) FROM b, t) AS hb, (SELECT sum(n.n / t.n * ln(t.n * n.n / (a.n * b.n))) FROM n JOIN a USING (label) JOIN b USING (cluster), t) AS mi,
+  (SELECT sum(n * (n - 1) / 2) FROM n) AS pn, (SELECT sum(n * (n - 1) / 2) FROM a) AS pa, (SELECT sum(n * (n - 1) / 2) FROM b) AS pb, (SELECT n * (n - 1) / 2 FROM t) AS pt, (SELECT sum(m) FROM (SELECT max(n) AS m FROM n GROUP BY label)) AS top, (SELECT n FROM t) AS n),
+v AS (SELECT 'homogeneity' AS measure, mi / ha AS value FROM h UNION ALL SELECT 'completeness', mi / hb FROM h UNION ALL SELECT 'v_measure', 2 * (mi / ha) * (mi / hb) / (mi / ha + mi / hb) FROM h UNION ALL SELECT 'ari', (pn - pa * pb / pt) / ((pa + pb) / 2 - pa * pb / pt) FROM h UNION ALL SELECT 'purity', (SELECT sum(m) FROM (SELECT max(n) AS m FROM n GROUP BY cluster)) / n FROM h)
+SELECT measure, {r('value')} AS value FROM v""")
+def cluster_agreement(spark, sf_dir):
+    near = models.nearest_centroid(_wide(spark, sf_dir), _FEATURES, np.array(_CENTERS)).select(F.lit("g").alias("group"), F.lit("s").alias("sequence"), F.col("vec_id").alias("frame"), "cluster", "label")
+    found = models.dataset_agreement(near.drop("label"), near.drop("cluster"))["metrics"]
+    return spark.createDataFrame([(k, float(found[k])) for k in ("homogeneity", "completeness", "v_measure", "ari", "purity")], "measure string, value double")
 
 
 @query()
@@ -591,19 +620,87 @@ def template_rows(spark, sf_dir):
 # ---- kernels over tracks
 
 
-@query()
+def _fill_sql(source: str, columns: dict[str, str]) -> str:
+    """CTE q: for each column of `source` its value v, row p and count n of the track, and (v0, p0), (v1, p1) of the last
+    and next known value."""
+    parts = [f"{e} AS v_{c}" for c, e in columns.items()]
+    at = "last_value(CASE WHEN v_{c} IS NOT NULL THEN {e} END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS {o}0_{c}, first_value(CASE WHEN v_{c} IS NOT NULL THEN {e} END IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS {o}1_{c}"
+    known = ", ".join(at.format(c=c, e=e, o=o) for c in columns for e, o in ((f"v_{c}", "v"), ("p", "p")))
+    return f"""g0 AS (SELECT *, row_number() OVER ({WIN}) AS p, count(*) OVER (PARTITION BY grp, seq, id) AS n, {', '.join(parts)} FROM {source}), q AS (SELECT *, {known} FROM g0 WINDOW w AS ({WIN}))"""
+
+
+def _between_sql(c: str, limit: int | None = None, both: bool = True) -> str:
+    value = f"coalesce(v0_{c} + (v1_{c} - v0_{c}) * (p - p0_{c}) / nullif(p1_{c} - p0_{c}, 0), v0_{c}{f', v1_{c}' if both else ''})"
+    near = f"p - p0_{c} <= {limit}" + (f" OR p1_{c} - p <= {limit}" if both else "")
+    return f"coalesce(v_{c}, {value if limit is None else f'CASE WHEN {near} THEN {value} END'})"
+
+
+def _savgol_sql(c: str, arr: str, window: int, polyorder: int) -> str:
+    """Savitzky-Golay of the list `arr` of a track's values at its row p of n, where c is known; the ends are fitted once each."""
+    basis = np.vander(np.arange(window) - window // 2, polyorder + 1, increasing=True).astype(float)
+    smooth, half = basis @ np.linalg.pinv(basis), window // 2
+    fit = lambda row, start: "(" + " + ".join(f"({smooth[row, j]:.17e}) * coalesce({arr}[CAST({start} AS BIGINT) + {j}], 0)" for j in range(window)) + ")"
+    ends = " ".join(f"WHEN p = {i + 1} THEN {fit(i, '1')} WHEN p = n - {i} THEN {fit(window - 1 - i, f'n - {window - 1}')}" for i in range(half))
+    return f"CASE WHEN {c} IS NULL THEN NULL WHEN n < {window} THEN {c} {ends} ELSE {fit(half, f'p - {half}')} END"
+
+
+_BAD = f"""{WITH_TRACKS}, j AS (SELECT *, CASE WHEN sqrt((x - lag(x) OVER w) ^ 2 + (y - lag(y) OVER w) ^ 2) > 60 THEN 1 ELSE 0 END AS j FROM t WINDOW w AS ({WIN})),
+bd AS (SELECT *, max(j) OVER ({WIN} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 AS bad FROM j), {_fill_sql('bd', {'x': 'CASE WHEN NOT bad THEN x END', 'y': 'CASE WHEN NOT bad THEN y END'})},
+fi AS (SELECT *, {_between_sql('x')} AS fx, {_between_sql('y')} AS fy FROM q), li AS (SELECT *, list(fx) OVER w AS lx, list(fy) OVER w AS ly FROM fi WINDOW w AS ({WIN} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+@query(f"""{_BAD} SELECT {ENTRY_SQL}, id, frame, {r('fx')} AS "X", {r('fy')} AS "Y", bad AS bad_frame FROM fi""")
+def trajectory_filled(spark, sf_dir):
+    return kinematics.trajectory_smooth(_thin(tracks(spark, sf_dir)), 60.0, expand=1).drop("time", "ANGLE")
+
+
+@query(f"""{_BAD} SELECT {ENTRY_SQL}, id, frame, {r('tm')} AS "time", {r('a')} AS "ANGLE", bad AS bad_frame, {r(_savgol_sql('fx', 'lx', 5, 2))} AS "X", {r(_savgol_sql('fy', 'ly', 5, 2))} AS "Y" FROM li""")
 def trajectory_smooth(spark, sf_dir):
     return kinematics.trajectory_smooth(_thin(tracks(spark, sf_dir)), 60.0, expand=1, savgol_window=5)
 
 
-@query()
+@query(f"""{_SPEED}, k AS (SELECT *, row_number() OVER ({WIN}) AS p, count(*) OVER (PARTITION BY grp, seq, id) AS n, list(speed) OVER ({WIN} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM s)
+SELECT {ENTRY_SQL}, id, frame, {r('speed')} AS speed, {r(_savgol_sql('speed', 'l', 5, 2))} AS speed_smooth FROM k""")
+def speed_smooth(spark, sf_dir):
+    out = kinematics.speed_angvel(_thin(tracks(spark, sf_dir)), fps=FPS, smooth_window=5)
+    return out.select("group", "sequence", "id", "frame", "speed", "speed_smooth")
+
+
+@query(f"""{WITH_TRACKS}, k AS (SELECT *, row_number() OVER ({WIN}) AS p, count(*) OVER (PARTITION BY grp, seq, id) AS n, list(x) OVER ({WIN} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM t)
+SELECT {ENTRY_SQL}, id, frame, {r('list_avg(list_transform(range(-2, 3), lambda o: l[CASE WHEN p + o < 1 THEN 2 - p - o WHEN p + o > n THEN 2 * n - p - o ELSE p + o END]))')} AS averaged FROM k WHERE n > 2""")
+def moving_average(spark, sf_dir):
+    t = tracks(spark, sf_dir).select("group", "sequence", "id", "frame", "X")
+    rows = F.count(F.lit(1)).over(Window.partitionBy("group", "sequence", "id"))
+    return with_moving_average(t, "X", "averaged", 5).withColumn("n", rows).where("n > 2").drop("X", "n")
+
+
+def _kernel(sigma: float, truncate: float) -> tuple[int, str]:
+    half = int(truncate * sigma + 0.5)
+    k = np.exp(-0.5 * (np.arange(-half, half + 1) / sigma) ** 2)
+    return half, "[" + ", ".join(f"{v:.17e}" for v in k / k.sum()) + "]"
+
+
+def _stack_sql() -> str:
+    pool_sigma = max(1.0, 0.5 * FPS / 6)
+    window = max(1, round(0.5 * FPS))
+    (h, ker), (ph, pker) = _kernel(1.0, 4.0), _kernel(pool_sigma, max(1.0, window / (2 * pool_sigma)))
+    conv = lambda arr, half, kernel, at: f"list_sum(list_transform(range({-half}, {half + 1}), lambda o: ({kernel})[o + {half + 1}] * {arr}[least(greatest({at} + o, 1), n)]))"
+    lists = ", ".join(f"list({e}) OVER w AS l{c}" for c, e in (("x", "x"), ("y", "y"), ("xx", "x * x"), ("yy", "y * y")))
+    outs = [f'{r(conv(f"l{c}", h, ker, f"least(greatest(p + ({o}), 1), n)"))} AS "{n}__t{o:+03d}"' for o in range(-4, 5, 2) for c, n in (("x", "X"), ("y", "Y"))]
+    pools = ", ".join(f"{conv(f'l{c}', ph, pker, 'p')} AS m{c}, {conv(f'l{c}{c}', ph, pker, 'p')} AS s{c}" for c in "xy")
+    outs += [f'{r(e.format(c=c))} AS "{n}__pool_{k}"' for k, e in (("mean", "m{c}"), ("std", "sqrt(greatest(s{c} - m{c} * m{c}, 0))"), ("var", "greatest(s{c} - m{c} * m{c}, 0)")) for c, n in (("x", "X"), ("y", "Y"))]
+    return f"""{WITH_TRACKS}, k AS (SELECT *, row_number() OVER ({WIN}) AS p, count(*) OVER (PARTITION BY grp, seq, id) AS n, {lists} FROM t WINDOW w AS ({WIN} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+m AS (SELECT *, {pools} FROM k) SELECT {ENTRY_SQL}, id, frame, {r('tm')} AS "time", {', '.join(outs)} FROM m"""
+
+
+@query(_stack_sql())
 def temporal_stack(spark, sf_dir):
     return kernels.temporal_stack(_thin(tracks(spark, sf_dir)), ["X", "Y"], 4, 2, 1.0, pool_stats=("mean", "std", "var"), fps=FPS)
 
 
 @query()
 def pair_wavelet(spark, sf_dir):
-    return kernels.pair_wavelet(pairs.pair_position(_thin(tracks(spark, sf_dir)).drop("time"), FPS), ["AB_dist"], FPS, n=5)
+    return kernels.pair_wavelet(pairs.pair_position(_thin(tracks(spark, sf_dir)).drop("time"), FPS), list(pairs.PAIR_FEATURES), FPS)
 
 
 @query()
@@ -623,15 +720,67 @@ def pose_distance_pca(spark, sf_dir):
 @query()
 def syllables(spark, sf_dir):
     t = _thin(tracks(spark, sf_dir)).drop("time")
-    return models.arhmm_decode(t, ["X", "Y"], models.arhmm_fit(t, ["X", "Y"], 3, rounds=3))
+    return models.arhmm_decode(t, ["X", "Y"], models.arhmm_fit(t, ["X", "Y"], 3))
 
 
-@query()
+_CLEAN = {c: f"coalesce(v_{c}, CASE WHEN v0_{c} IS NOT NULL AND v1_{c} IS NOT NULL THEN {_between_sql(c, 2)} ELSE {_between_sql(c, 1)} END)" for c in "xy"}
+
+
+@query(f"""{WITH_TRACKS}, {_fill_sql('t', {'x': 'CASE WHEN event_id % 4 <> 0 THEN x END', 'y': 'CASE WHEN event_id % 3 <> 0 THEN y END'})}, c AS (SELECT *, {_CLEAN['x']} AS cx, {_CLEAN['y']} AS cy FROM q), d AS (SELECT * FROM c WHERE cx IS NOT NULL OR cy IS NOT NULL)
+SELECT {ENTRY_SQL}, id, frame, {', '.join(f'{r(f"coalesce(c{c}, median(c{c}) OVER (PARTITION BY grp, seq, id))")} AS "{c.upper()}"' for c in 'xy')} FROM d""")
 def cleaned_tracks(spark, sf_dir):
-    t = _thin(tracks(spark, sf_dir)).withColumns({c: F.when(F.pmod(F.xxhash64("frame", "id", F.lit(c)), F.lit(4)) != 0, F.col(c)) for c in ("X", "Y")})
+    t = tracks(spark, sf_dir).select("group", "sequence", "id", "frame", F.when(F.col("event_id") % 4 != 0, F.col("X")).alias("X"), F.when(F.col("event_id") % 3 != 0, F.col("Y")).alias("Y"))
     return kinematics.clean_tracks(t, ["X", "Y"], 2, 1)
 
 
+_SURE = {f"{c}{k}": f"CASE WHEN event_id * {k + 3} % 10 >= 6 THEN p{c}{k} END" for k in range(POINTS) for c in "xy"}
+
+
+@query(f"""{WITH_TRACKS}, {_fill_sql('t', _SURE)} SELECT {ENTRY_SQL}, id, frame, {', '.join(f'{r(_between_sql(c, 1, both=False))} AS "pose{c[0].upper()}{c[1:]}"' for c in _SURE)} FROM q""")
+def confidence_filter(spark, sf_dir):
+    t = tracks(spark, sf_dir).withColumns({f"poseP{k}": F.col("event_id") * (k + 3) % 10 / 10.0 for k in range(POINTS)})
+    out = kinematics.confidence_filter(t, 0.6, 1)
+    return out.select("group", "sequence", "id", "frame", *[f"pose{c}{k}" for k in range(POINTS) for c in "XY"])
+
+
+@query(f"""{_SOCIAL}, rw AS (SELECT s.*, e.event_id, row_number() OVER (PARTITION BY s.grp, s.seq, s.id ORDER BY s.frame) AS p FROM so s JOIN t e ON s.grp = e.grp AND s.seq = e.seq AND s.id = e.id AND s.frame = e.frame),
+ow AS (SELECT *, CASE WHEN event_id % 3 >= 1 THEN event_id % 3 ELSE 2 END AS k FROM rw)
+SELECT a.grp AS "group", a.seq AS "sequence", a.id, a.frame, {r('b.x - a.x')} AS dx, {r('b.y - a.y')} AS dy, {r(f'a.k / {FPS}')} AS dt, {r(f"{wrap('b.a - a.a')} / a.k * {FPS}")} AS dangle, {r('b.speed - a.speed')} AS dspeed
+FROM ow a JOIN ow b ON a.grp = b.grp AND a.seq = b.seq AND a.id = b.id AND b.p = a.p + a.k WHERE b.frame - a.frame = a.k""")
+def variable_lag_response(spark, sf_dir):
+    lags = tracks(spark, sf_dir).select("group", "sequence", "id", "frame", (F.col("event_id") % 3).alias("lag"))
+    t = _social(spark, sf_dir).join(lags, ["group", "sequence", "id", "frame"])
+    return kinematics.nn_delta_response(t, 2, FPS, lag_column="lag").select("group", "sequence", "id", "frame", "dx", "dy", "dt", "dangle", "dspeed")
+
+
+@query(f"""{_SPEED}, e AS (SELECT grp, seq, frame, max(id) AS label FROM t WHERE y > 60 GROUP BY grp, seq, frame)
+SELECT s.grp AS "group", s.seq AS "sequence", s.id, s.frame, {r('s.tm')} AS "time", {r('s.x')} AS "X", {r('s.speed')} AS "speed", {r('s.x')} AS "X-1", coalesce(label, 0) AS "labels-high" FROM s LEFT JOIN e USING (grp, seq, frame) WHERE s.frame >= 1 AND s.frame < 4""")
+def loaded_values(spark, sf_dir):
+    t = _thin(tracks(spark, sf_dir))
+    events = tracks(spark, sf_dir).where("Y > 60").select("group", "sequence", "frame", F.col("id").alias("label"))
+    speed = kinematics.speed_angvel(t, fps=FPS)
+    sources = [values.Values(t, "X"), values.Values(speed, "speed"), values.Values(t, "X"), values.Labels(events, "high")]
+    return values.load_values(sources, fps=FPS, start_frame=1, end_time=4 / FPS)
+
+
+@query(f"""{WITH_TRACKS} SELECT {ENTRY_SQL}, frame, event_id % 4 AS label, id AS id1, (id + 1) % 8 AS id2 FROM t WHERE frame = 2""")
+def labels_at_frame(spark, sf_dir):
+    events = tracks(spark, sf_dir).select("group", "sequence", "frame", (F.col("event_id") % 4).alias("label"), F.col("id").alias("id1"), ((F.col("id") + 1) % 8).alias("id2"))
+    return summaries.labels_at(events, 2)
+
+
+@query(f"""{WITH_TRACKS} (SELECT DISTINCT {ENTRY_SQL} FROM t WHERE frame >= 8) INTERSECT (SELECT DISTINCT {ENTRY_SQL} FROM t WHERE x > 95 AND y > 60)""")
+def common_entries(spark, sf_dir):
+    t = tracks(spark, sf_dir)
+    return scope.common_entries([t.where("frame >= 8"), t.where("X > 95 and Y > 60")])
+
+
+@query(f"""{WITH_TRACKS} SELECT {ENTRY_SQL}, id, frame, {r('x')} AS "X", CAST(NULL AS DOUBLE) AS "Y" FROM t WHERE id < 4 UNION ALL SELECT grp, seq, id, frame, NULL, {r('y')} FROM t WHERE id >= 4""")
+def united_columns(spark, sf_dir):
+    t = tracks(spark, sf_dir).select("group", "sequence", "id", "frame", "X", "Y")
+    return readers.union_by_columns([t.where("id < 4").drop("Y"), t.where("id >= 4").drop("X")])
+
+
 @query()
 def alpha_areas(spark, sf_dir):
     t = tracks(spark, sf_dir)
@@ -640,10 +789,10 @@ def alpha_areas(spark, sf_dir):
     return shape.select("group", "sequence", "frame", "s.area", "s.n_triangles")
 
 
-_GT = f"SELECT grp, seq, frame, event_id % 4 AS label, id AS id1, (id + 1) % 8 AS id2 FROM t WHERE event_id % 5 = 0"
+_GT = f"SELECT grp, seq, frame, event_id % 4 AS label, id AS id1, (id + 1) % 8 AS id2 FROM t"
 
 
 @query(f"{WITH_TRACKS}, ev AS ({_GT}) SELECT {ENTRY_SQL}, frame, label, id1, id2 FROM ev WHERE (id1 = 3 OR id2 = 3) AND frame >= 1 AND frame <= 4")
 def labels_of_individual(spark, sf_dir):
-    events = tracks(spark, sf_dir).where("event_id % 5 = 0").select("group", "sequence", "frame", (F.col("event_id") % 4).alias("label"), F.col("id").alias("id1"), ((F.col("id") + 1) % 8).alias("id2"))
+    events = tracks(spark, sf_dir).select("group", "sequence", "frame", (F.col("event_id") % 4).alias("label"), F.col("id").alias("id1"), ((F.col("id") + 1) % 8).alias("id2"))
     return summaries.labels_of(events, 3, 1, 4)
