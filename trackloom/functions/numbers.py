@@ -61,3 +61,15 @@ def axes(sxx: Column, syy: Column, sxy: Column) -> tuple[Column, Column, Column,
     major, minor = F.sqrt(F.greatest(mid + half, F.lit(0.0))), F.sqrt(F.greatest(mid - half, F.lit(0.0)))
     ratio_ = F.when(minor > 0, F.try_divide(major, minor)).when(major > 0, float("inf"))
     return major, minor, ratio_, 0.5 * F.atan2(2 * sxy, sxx - syy)
+
+
+def heading_between(front_x: Column, front_y: Column, rear_x: Column, rear_y: Column) -> Column:
+    """The direction from the rear to the front point, null where they are one point."""
+    dx, dy = front_x - rear_x, front_y - rear_y
+    return F.when((dx != 0) | (dy != 0), F.atan2(dy, dx))
+
+
+def in_degrees(df: DataFrame, column: str) -> bool:
+    """Whether a column of angles holds degrees: some value is beyond a full turn in radians."""
+    most = df.agg(F.max(F.abs(scrub(F.col(column))))).first()[0]
+    return most is not None and most > 2 * PI

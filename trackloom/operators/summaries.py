@@ -177,3 +177,15 @@ def labels_of(events: DataFrame, individual: int, start: int | None = None, end:
 
 def labels_at(events: DataFrame, frame: int) -> DataFrame:
     return events.where(F.col(FRAME) == frame)
+
+
+def last_labels(df: DataFrame, label: str, order: str | None = None) -> DataFrame:
+    """(group, sequence, id1, id2, frame, label): one label for each frame of an individual (id2 null), of a pair (smaller
+    id first) and of the whole sequence (both null), the last by `order` where a frame has several."""
+    entry = [c for c in ENTRY if c in df.columns]
+    a, b = ((F.col(c).cast("long") if c in df.columns else F.lit(None).cast("long")) for c in ("id1", "id2"))
+    if "id1" not in df.columns and ID in df.columns:
+        a = F.col(ID).cast("long")
+    low, high = F.when(b.isNotNull(), F.least(a, b)).otherwise(a), F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
+    rows = df.select(*entry, low.alias("id1"), high.alias("id2"), FRAME, F.col(label).alias("label"), F.col(order or label).alias("_order"))
+    return rows.where("label is not null").groupBy(*entry, "id1", "id2", FRAME).agg(F.max_by("label", "_order").alias("label"))
