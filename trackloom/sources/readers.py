@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import io
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,9 +46,9 @@ def ultralytics(df: DataFrame) -> DataFrame:
 
 
 def deeplabcut_csv(spark: SparkSession, path: str, group: str, sequence: str, fps: float = 30.0) -> DataFrame:
-    """A CSV with three or four header rows (scorer, individuals if there are several, bodyparts, coords). The header
-    is read as the file's first rows; the body is a plain CSV scan, unpivoted by individual."""
-    head = [r["value"].split(",") for r in spark.read.text(path).limit(4).collect()]
+    """One CSV file with three or four header rows (scorer, individuals if there are several, bodyparts, coords). Only
+    the file's head is read here; the body is a plain CSV scan, unpivoted by individual."""
+    head = [line.split(",") for line in _head(spark, path, 4)]
     several = head[1][0] == "individuals"
     rows = head[: 4 if several else 3]
     who = rows[1][1:] if several else ["0"] * (len(rows[1]) - 1)
@@ -69,6 +69,20 @@ def deeplabcut_csv(spark: SparkSession, path: str, group: str, sequence: str, fp
     return out.withColumns({"group": F.lit(group), "sequence": F.lit(sequence), "time": F.col(FRAME) / F.lit(fps), "X": mean(x), "Y": mean(y)})
 
 
+def _head(spark: SparkSession, path: str, lines: int) -> list[str]:
+    """The first lines of one file."""
+    jvm = spark.sparkContext._jvm
+    name = jvm.org.apache.hadoop.fs.Path(path)
+    system = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.isFile(name):
+        raise ValueError(f"{path} is not one file")
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(system.open(name), "UTF-8"))
+    try:
+        return [line for _ in range(lines) if (line := reader.readLine()) is not None]
+    finally:
+        reader.close()
+
+
 def _files(spark: SparkSession, path: str, parse, schema: T.StructType) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -78,10 +92,10 @@ def _files(spark: SparkSession, path: str, parse, schema: T.StructType) -> DataF
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
 
 
-def trex_npz(spark: SparkSession, path: str, group: str, sequence: str, points: int = 7) -> DataFrame:
-    """One npz per individual: arrays by frame, short ones padded with NaN; the id from its array or the file's name.
-    Lengths come in centimetres and leave in pixels by cm_per_pixel; X#wcentroid and Y#wcentroid become X and Y, the
-    head's position stays as X#head and Y#head."""
+def trex_parser(points: int = 7) -> tuple[T.StructType, Callable[[str, bytes], Iterator[pd.DataFrame]]]:
+    """Schema and parser of one individual's npz: arrays by frame, short ones padded with NaN; the id from its array or
+    the file's name. Lengths come in centimetres and leave in pixels by cm_per_pixel; X#wcentroid and Y#wcentroid become
+    X and Y, the head's position stays as X#head and Y#head."""
     values = ["X", "Y", "X#head", "Y#head", "ANGLE", *[f"pose{a}{i}" for i in range(points) for a in "XY"]]
     schema = T.StructType([T.StructField(ID, T.LongType()), T.StructField(FRAME, T.LongType()), T.StructField("time", T.DoubleType()), *[T.StructField(v, T.DoubleType()) for v in values]])
 
@@ -104,17 +118,25 @@ def trex_npz(spark: SparkSession, path: str, group: str, sequence: str, points:
         out |= {f"pose{a}{i}": column(f"pose{a}{i}", cm) for i in range(points) for a in "XY"}
         yield pd.DataFrame(out)
 
+    return schema, parse
+
+
+def trex_npz(spark: SparkSession, path: str, group: str, sequence: str, points: int = 7) -> DataFrame:
+    """The npz files of one sequence, one an individual (see `trex_parser`)."""
+    schema, parse = trex_parser(points)
     return _files(spark, path, parse, schema).withColumns({"group": F.lit(group), "sequence": F.lit(sequence)})
 
 
-def calms21_json(spark: SparkSession, path: str, fps: float = 30.0, points: int = 7) -> DataFrame:
-    """JSON of {group: {sequence: {keypoints (T, 2, 2, points), scores?, annotations?}}}: two individuals a frame, X
-    and Y the mean of the keypoints, label from the annotations."""
+def calms21_parser(fps: float = 30.0, points: int = 7) -> tuple[T.StructType, Callable[[str, bytes], Iterator[pd.DataFrame]]]:
+    """Schema and parser of {group: {sequence: {keypoints (T, 2, 2, points), scores?, annotations?}}}, as JSON or as an npy
+    file that holds such a JSON text: two individuals a frame, X and Y the mean of the keypoints, label from the
+    annotations."""
     values = [f"pose{a}{i}" for i in range(points) for a in "XYP"]
     schema = T.StructType([T.StructField("group", T.StringType()), T.StructField("sequence", T.StringType()), T.StructField(ID, T.LongType()), T.StructField(FRAME, T.LongType()), T.StructField("time", T.DoubleType()), T.StructField("X", T.DoubleType()), T.StructField("Y", T.DoubleType()), *[T.StructField(v, T.DoubleType()) for v in values], T.StructField("label", T.LongType())])
 
     def parse(name: str, content: bytes) -> Iterator[pd.DataFrame]:
-        for group, sequences in json.loads(content).items():
+        text = str(np.load(io.BytesIO(content), allow_pickle=False)) if content[:6] == b"\x93NUMPY" else content
+        for group, sequences in json.loads(text).items():
             for sequence, own in sequences.items():
                 k = np.array(own["keypoints"], float)
                 scores = np.array(own["scores"], float) if own.get("scores") is not None else np.full((len(k), 2, points), np.nan)
@@ -126,9 +148,40 @@ def calms21_json(spark: SparkSession, path: str, fps: float = 30.0, points: int
                         out |= {f"poseX{p}": k[:, i, 0, p], f"poseY{p}": k[:, i, 1, p], f"poseP{p}": scores[:, i, p]}
                     yield pd.DataFrame(out | {"label": pd.array(labels if labels is not None else [None] * len(k), dtype="Int64")})
 
+    return schema, parse
+
+
+def calms21_json(spark: SparkSession, path: str, fps: float = 30.0, points: int = 7) -> DataFrame:
+    """Files of whole groups of sequences (see `calms21_parser`)."""
+    schema, parse = calms21_parser(fps, points)
     return _files(spark, path, parse, schema)
 
 
+def npz_array(spark: SparkSession, path: str, key: str, transpose: bool = False) -> DataFrame:
+    """(path, row, values) of one array of each npz file that the path or glob names; a vector is one value a row."""
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("row", T.LongType()), T.StructField("values", T.ArrayType(T.DoubleType()))])
+
+    def parse(name: str, content: bytes) -> Iterator[pd.DataFrame]:
+        data = np.load(io.BytesIO(content), allow_pickle=False)
+        if key not in data:
+            raise ValueError(f"{name} holds no array {key!r}")
+        found = np.atleast_1d(data[key].astype(float))
+        found = found.reshape(len(found), -1)
+        found = found.T if transpose else found
+        yield pd.DataFrame({"path": name, "row": np.arange(len(found)), "values": list(found)})
+
+    return _files(spark, path, parse, schema)
+
+
+def table_artifact(spark: SparkSession, path: str, columns: list[str] | None = None, drop: list[str] | None = None, numeric_only: bool = False) -> DataFrame:
+    """A Parquet artifact with the columns that are asked for; the selection reaches the scan."""
+    df = spark.read.parquet(path)
+    chosen = [f.name for f in df.schema if (not numeric_only or isinstance(f.dataType, T.NumericType)) and f.name not in (drop or []) and (columns is None or f.name in columns)]
+    if missing := [c for c in columns or [] if c not in df.columns]:
+        raise ValueError(f"{path} lacks {missing}")
+    return df.select(*chosen)
+
+
 # ---- labels and tags
 
 

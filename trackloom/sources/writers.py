@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import json
+import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..columns import ENTRY, order_column
 
@@ -25,7 +30,30 @@ def append_index(old: DataFrame | None, new: DataFrame, keys: list[str]) -> Data
 
 
 def write_index(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    """A CSV index: written beside the old one, which it replaces once it is whole."""
+    spark = df.sparkSession
+    new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.csv(new, header=True)
+    to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    old = to_path(path)
+    system = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(old, True)
+    system.rename(to_path(new), old)
+
+
+def npz_entries(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(group, sequence, npz): the columns of each entry as arrays in the order of its rows, as the bytes of an npz file.
+    A task holds one entry."""
+    entry = [c for c in ENTRY if c in df.columns]
+    order = [c for c in (order_column(df.columns), "id") if c in df.columns]
+    schema = T.StructType([df.schema[c] for c in entry] + [T.StructField("npz", T.BinaryType())])
+
+    def pack(own: pd.DataFrame) -> pd.DataFrame:
+        own, out = own.sort_values(order, kind="stable"), io.BytesIO()
+        np.savez_compressed(out, **{c: own[c].to_numpy() for c in columns})
+        return own[entry].head(1).assign(npz=out.getvalue())
+
+    return df.select(*entry, *dict.fromkeys([*order, *columns])).groupBy(*entry).applyInPandas(pack, schema)
 
 
 def coco_document(points: DataFrame) -> DataFrame:
