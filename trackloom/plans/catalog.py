@@ -55,7 +55,7 @@ class Catalog:
         rows = self._read("entries", ENTRIES)
         rows = rows.where(F.col("run_id") == run) if run else rows
         newest = F.row_number().over(Window.partitionBy("run_id", *ENTRY).orderBy(F.desc("at")))
-        return rows.withColumn("_r", newest).where("_r = 1").drop("_r")
+        return rows.withColumn("_r", newest).where("_r = 1 and path is not null").drop("_r")
 
     def record(self, feature: str, run: str, params: dict, upstream: list[str], status: str) -> None:
         row = (feature, run, json.dumps(params, sort_keys=True), upstream, status, time.time())
@@ -121,3 +121,39 @@ class Catalog:
                 break
             out = out.union(level)
         return out.groupBy("run_id").agg(F.min("distance").alias("distance"))
+
+    def reached_by(self, run: str) -> DataFrame:
+        """All runs that consume a run, directly or not, with their distance."""
+        uses = self.runs().select("feature", "run_id", F.explode("upstream").alias("up"))
+        level = uses.where(F.col("up") == run).select("feature", "run_id", F.lit(1).alias("distance")).distinct()
+        out = level
+        for d in range(2, 50):
+            level = uses.join(level.select(F.col("run_id").alias("up")), "up").select("feature", "run_id", F.lit(d).alias("distance")).distinct()
+            if level.isEmpty():
+                break
+            out = out.union(level)
+        return out.groupBy("feature", "run_id").agg(F.min("distance").alias("distance"))
+
+    def delete_set(self, run: str, current: DataFrame, apply: bool = False) -> tuple[DataFrame, DataFrame]:
+        """What a change of a run's entries makes wrong: (candidates, declined), each an entry of a run that consumes it.
+
+        `current(group, sequence, consumed)` are the changed entries with the digest of what they would consume now. An
+        entry is a candidate where its recorded digest differs, and declined where nothing was recorded, as that shows
+        no change. With `apply` the candidates' files go, and they count as not written.
+        """
+        now = current.select(*ENTRY, F.col("consumed").alias("now"))
+        written = self.entries().join(self.reached_by(run).select("feature", "run_id"), "run_id").join(now, ENTRY)
+        columns = ["feature", "run_id", *ENTRY, "path"]
+        declined = written.where("consumed is null or now is null").select(*columns)
+        candidates = written.where("consumed <> now").select(*columns)
+        if apply:
+            candidates = gone = self.spark.createDataFrame(candidates.toArrow(), candidates.schema)
+            for r in gone.select("path").distinct().collect():  # one path a run
+                own = gone.where(F.col("path") == r["path"]).select(*ENTRY)
+                files = self.spark.read.parquet(r["path"]).withColumns({c: F.col(c).cast("string") for c in ENTRY}).join(own, ENTRY, "left_semi")
+                for f in files.select(F.input_file_name().alias("file")).distinct().collect():
+                    path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f["file"])
+                    path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+            marks = gone.select("run_id", *ENTRY, F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("n_rows"), F.lit(None).cast("string").alias("consumed"), F.lit(time.time()).alias("at"))
+            self._append("entries", marks)
+        return candidates, declined
