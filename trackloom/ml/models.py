@@ -295,35 +295,116 @@ def _joined_scores(df: DataFrame, proto: DataFrame, key: str, vector: str, label
 # ---- classifier
 
 
-def fit_classifier(templates: DataFrame, columns: list[str], label: str = "label", rounds: int = 20, depth: int = 3, balanced: bool = True):
-    """One boosted-tree model a class, against the rest, weighted by the ratio of negatives to positives."""
-    from pyspark.ml.classification import GBTClassifier
+def undersampled(templates: DataFrame, label: str = "label", most_ratio: float = 3.0, seed: int = 0) -> DataFrame:
+    """Rows of every class, of none more than `most_ratio` times as many as the smallest has; the choice follows a hash of
+    the rows' values."""
+    counts = templates.groupBy(label).agg(F.count("*").alias("_n"))
+    least = counts.agg(F.min("_n")).first()[0] or 0
+    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), *templates.columns))
+    return templates.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= int(most_ratio * least)).drop("_r")
+
+
+def oversampled(templates: DataFrame, columns: list[str], label: str = "label", neighbors: int = 5, seed: int = 0) -> DataFrame:
+    """`label` and the columns of all rows, and for each class as many synthetic rows as it lacks to the largest: points
+    between a row and one of its nearest `neighbors` of its class. Templates are bounded, so a task holds one class."""
+    rows = finite(templates, columns).select(label, *[F.col(c).cast("double").alias(c) for c in columns])
+    most = (rows.groupBy(label).count().agg(F.max("count")).first()[0]) or 0
+
+    def more(own: pd.DataFrame) -> pd.DataFrame:
+        x, lacking = own[columns].to_numpy(float), most - len(own)
+        if lacking <= 0 or len(x) < 2:
+            return own
+        rng = np.random.default_rng(seed)
+        far = ((x[:, None] - x[None]) ** 2).sum(2) if len(x) <= 1000 else None
+        base, k = rng.integers(len(x), size=lacking), min(neighbors, len(x) - 1)
+        ends = np.empty(lacking, int)
+        for i, r in enumerate(base):
+            d = far[r].copy() if far is not None else ((x - x[r]) ** 2).sum(1)
+            d[r] = np.inf
+            ends[i] = rng.choice(np.argpartition(d, k - 1)[:k])
+        new = x[base] + rng.random((lacking, 1)) * (x[ends] - x[base])
+        made = pd.DataFrame(new, columns=columns)
+        made.insert(0, label, own[label].iloc[0])
+        return pd.concat([own, made])
+
+    return rows.groupBy(label).applyInPandas(more, rows.schema)
 
-    rows = _assembled(finite(templates, columns), columns).persist()
+
+@dataclass
+class Forest:
+    """One model of all classes; `classes` are in the order of its probabilities."""
+
+    model: object
+    classes: list
+
+
+def fit_classifier(templates: DataFrame, columns: list[str], label: str = "label", rounds: int = 20, depth: int = 3, balanced: bool = True, mode: str = "one_vs_rest", most_ratio: float | None = None, oversample: bool = False, seed: int = 0):
+    """`one_vs_rest`: a boosted-tree model a class, against the rest, weighted by the ratio of negatives to positives.
+    `multiclass`: one random forest of `rounds` trees over all classes, weighted by the inverse of their sizes.
+
+    Rows with split `test` are left out. `most_ratio` undersamples large classes, `oversample` fills up small ones.
+    """
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+
+    if mode not in ("one_vs_rest", "multiclass"):
+        raise ValueError(f"no mode {mode!r}")
+    train = templates.where("split <> 'test'") if "split" in templates.columns else templates
+    train = train.select(label, *columns)
+    train = undersampled(train, label, most_ratio, seed) if most_ratio else train
+    train = oversampled(train, columns, label, seed=seed) if oversample else train
+    rows = _assembled(finite(train, columns), columns).persist()
     counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
     total = sum(counts.values())
+    if mode == "multiclass":
+        classes = sorted(counts)
+        place = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, float(i))])
+        share = F.create_map(*[F.lit(x) for c in classes for x in (c, total / len(classes) / counts[c] if balanced else 1.0)])
+        known = rows.withColumns({"_y": F.try_element_at(place, F.col(label)), "_weight": F.try_element_at(share, F.col(label))})
+        model = RandomForestClassifier(featuresCol="_v", labelCol="_y", weightCol="_weight", numTrees=rounds, maxDepth=depth, seed=seed).fit(known)
+        rows.unpersist()
+        return Forest(model, classes)
     models = {}
     for c, n in sorted(counts.items()):
         weight = F.when(F.col(label) == c, (total - n) / max(n, 1) if balanced else 1.0).otherwise(1.0)
         own = rows.withColumns({"_y": (F.col(label) == c).cast("double"), "_weight": weight.cast("double")})
-        models[c] = GBTClassifier(featuresCol="_v", labelCol="_y", weightCol="_weight", maxIter=rounds, maxDepth=depth, seed=0).fit(own)
+        models[c] = GBTClassifier(featuresCol="_v", labelCol="_y", weightCol="_weight", maxIter=rounds, maxDepth=depth, seed=seed).fit(own)
     rows.unpersist()
     return models
 
 
-def classify(df: DataFrame, models: dict, columns: list[str], thresholds: dict | None = None, default=None) -> DataFrame:
+def classify(df: DataFrame, models: dict | Forest, columns: list[str], thresholds: dict | None = None, default=None) -> DataFrame:
     """Adds prob_<class> and predicted_label: the likeliest class among those at or above their threshold, else the
     default."""
     out = _assembled(finite(df, columns), columns)
-    for c, m in models.items():
-        m = m.copy().setProbabilityCol("_p").setPredictionCol("_q").setRawPredictionCol("_r")
-        out = m.transform(out).withColumn(f"prob_{c}", vector_to_array("_p")[1]).drop("_p", "_q", "_r")
+    if isinstance(models, Forest):
+        classes = models.classes
+        m = models.model.copy().setProbabilityCol("_p").setPredictionCol("_q").setRawPredictionCol("_r")
+        out = m.transform(out).withColumn("_p", vector_to_array("_p"))
+        out = out.withColumns({f"prob_{c}": F.get("_p", F.lit(i)) for i, c in enumerate(classes)}).drop("_p", "_q", "_r")
+    else:
+        classes = list(models)
+        for c, m in models.items():
+            m = m.copy().setProbabilityCol("_p").setPredictionCol("_q").setRawPredictionCol("_r")
+            out = m.transform(out).withColumn(f"prob_{c}", vector_to_array("_p")[1]).drop("_p", "_q", "_r")
     thresholds = thresholds or {}
-    options = F.array(*[F.when(F.col(f"prob_{c}") >= thresholds.get(c, 0.0), F.struct(F.col(f"prob_{c}").alias("p"), F.lit(c).alias("c"))) for c in models])
+    options = F.array(*[F.when(F.col(f"prob_{c}") >= thresholds.get(c, 0.0), F.struct(F.col(f"prob_{c}").alias("p"), F.lit(c).alias("c"))) for c in classes])
     best = F.array_max(options)["c"]
     return out.withColumn("predicted_label", F.coalesce(best, F.lit(default)) if default is not None else best).drop("_v")
 
 
+def report(predicted: DataFrame, label: str = "label", prediction: str = "predicted_label") -> DataFrame:
+    """(label, precision, recall, f1, support) of each class, from one count of pairs of labels."""
+    pairs_ = predicted.groupBy(F.col(label).alias("t"), F.col(prediction).alias("p")).agg(F.count("*").alias("n"))
+    zero = F.lit(0).cast("long")
+    part = lambda c, support, said, hit: F.struct(F.col(c).alias("label"), support.alias("support"), said.alias("said"), hit.alias("hit"))
+    both = F.array(part("t", F.col("n"), zero, F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(zero)), part("p", zero, F.col("n"), zero))
+    each = pairs_.select(F.explode(both).alias("e")).select("e.*").where("label is not null")
+    sums = each.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("support", "said", "hit")])
+    precision, recall = (F.coalesce(F.try_divide(F.col("hit"), F.col(c)), F.lit(0.0)) for c in ("said", "support"))
+    out = sums.select("label", precision.alias("precision"), recall.alias("recall"), "support")
+    return out.select("label", "precision", "recall", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)).alias("f1"), "support")
+
+
 # ---- autoregressive hidden Markov model
 
 
