@@ -10,19 +10,20 @@ from pyspark.sql import functions as F
 from ..columns import ANGLE, ENTRY, FRAME, ID, X, Y
 from ..functions.numbers import scrubbed
 from ..joins import pairs
-from ..windows import difference, rows_of
+from ..windows import difference, rows_of, with_moving_average
 
 TINY = 1e-12
 
 
-def approach_avoidance(df: DataFrame, distance: float = 200.0, approach_speed: float = 5.0, avoid_speed: float = 5.0, cos_approach: float = 0.8, cos_avoid: float = 0.5, window: int = 10, least: int = 5, orientation_gate: float | None = 0.866, consecutive: int = 1, fps: float | None = None) -> DataFrame:
+def approach_avoidance(df: DataFrame, distance: float = 200.0, approach_speed: float = 5.0, avoid_speed: float = 5.0, cos_approach: float = 0.8, cos_avoid: float = 0.5, window: int = 10, least: int = 5, orientation_gate: float | None = 0.866, consecutive: int = 1, fps: float | None = None, smooth_window: int | None = None) -> DataFrame:
     """For each pair id1 < id2 and frame: aa_event_12 (1 where id1 approaches and id2 avoids), aa_event_21, and their
     maximum as aa_event and label_id.
 
     A frame is a candidate if the two are no further apart than `distance`, both are fast enough, the approacher moves
     towards the other and the avoider away; with a gate the approacher also looks where it moves. An event needs
     `least` candidates within the last `window` frames, this one included. Velocity needs a step of `consecutive`
-    frames; it is per second if fps is given.
+    frames; it is per second if fps is given. With `smooth_window` distance, speeds and cosines are averaged over that
+    many rows of the pair first (see `windows.with_moving_average`).
     """
     df = scrubbed(df, [X, Y, ANGLE])
     w = rows_of(df.columns)
@@ -37,12 +38,19 @@ def approach_avoidance(df: DataFrame, distance: float = 200.0, approach_speed: f
         along = sign * (F.col(f"_vx{s}") * F.col("_dx") + F.col(f"_vy{s}") * F.col("_dy"))
         return along / F.greatest(F.col("_d") * F.col(f"_s{s}"), F.lit(TINY))
 
+    gated = orientation_gate is not None and ANGLE in df.columns
+    ahead = lambda s: (F.col(f"_vx{s}") * F.cos(f"{ANGLE}{s}") + F.col(f"_vy{s}") * F.sin(f"{ANGLE}{s}")) / F.greatest(F.col(f"_s{s}"), F.lit(TINY))
+    both = both.withColumns({"_raw": F.col("_s1").isNotNull() & F.col("_s2").isNotNull()})
+    both = both.withColumns({f"_cos{s}{sign > 0}": cosine(s, sign) for s in (1, 2) for sign in (1, -1)} | ({f"_ahead{s}": ahead(s) for s in (1, 2)} if gated else {}))
+    if smooth_window:
+        measured = ["_d", "_s1", "_s2", *[c for c in both.columns if c.startswith(("_cos", "_ahead"))]]
+        both = with_moving_average(both, {c: c for c in measured}, smooth_window, ["id1", "id2"])
+
     def candidate(a: int, b: int, sign: int):
-        c = (F.col("_d") > 0) & (F.col("_d") <= distance) & (F.col(f"_s{a}") >= approach_speed) & (F.col(f"_s{b}") >= avoid_speed)
-        c = c & (cosine(a, sign) >= cos_approach) & (cosine(b, sign) >= cos_avoid)
-        if orientation_gate is not None and ANGLE in df.columns:
-            ahead = F.col(f"_vx{a}") * F.cos(f"{ANGLE}{a}") + F.col(f"_vy{a}") * F.sin(f"{ANGLE}{a}")
-            c = c & (ahead / F.greatest(F.col(f"_s{a}"), F.lit(TINY)) >= orientation_gate)
+        c = F.col("_raw") & (F.col("_d") > 0) & (F.col("_d") <= distance) & (F.col(f"_s{a}") >= approach_speed) & (F.col(f"_s{b}") >= avoid_speed)
+        c = c & (F.col(f"_cos{a}{sign > 0}") >= cos_approach) & (F.col(f"_cos{b}{sign > 0}") >= cos_avoid)
+        if gated:
+            c = c & (F.col(f"_ahead{a}") >= orientation_gate)
         return F.coalesce(c.cast("int"), F.lit(0))
 
     both = both.withColumns({"_c12": candidate(1, 2, 1), "_c21": candidate(2, 1, -1)})

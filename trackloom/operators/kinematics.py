@@ -87,12 +87,16 @@ def trajectory_smooth(df: DataFrame, threshold: float, fps: float | None = None,
     return df
 
 
-def nn_delta_response(df: DataFrame, lag: int = 4, fps: float = 30.0, speed: str = "speed", backward: bool = False, lag_column: str | None = None, wrap: bool = True, per_frame: bool = True, per_second: bool = True) -> DataFrame:
+def nn_delta_response(df: DataFrame, lag: int = 4, fps: float = 30.0, speed: str = "speed", backward: bool = False, lag_column: str | None = None, wrap: bool = True, per_frame: bool = True, per_second: bool = True, tags: list[str] | None = None) -> DataFrame:
     """Change of position, angle and speed over the next `lag` frames, with the neighbour's position in the own frame.
 
     A row stays if the row `lag` rows on is `lag` frames on. `lag_column` gives each row its own lag; values that are
-    null or below 1 mean `lag`.
+    null or below 1 mean `lag`. Each of `tags` also comes as neighbor_<tag>, that of the nearest neighbour in the frame.
     """
+    if tags:
+        at = [c for c in (*ENTRY, FRAME) if c in df.columns]
+        theirs = df.select(*at, F.col(ID).cast("long").alias("_who"), *[F.col(t).alias(f"neighbor_{t}") for t in tags])
+        df = df.withColumn("_who", F.col("nn_id").cast("long")).join(theirs, [*at, "_who"], "left")
     w = rows_of(df.columns)
     carried = [X, Y, ANGLE, speed]
     if lag_column is None:

@@ -49,12 +49,13 @@ def unit_headings(df: DataFrame, source: str = "auto") -> DataFrame:
     return df.withColumns({"ux": pick(F.cos(ANGLE), vx), "uy": pick(F.sin(ANGLE), vy), "heading_source": pick(F.lit("angle"), F.lit("velocity"))})
 
 
-def local_order(df: DataFrame, radius: float, heading_source: str = "auto", shells: int = 6, peripheral: int = 5, least: int = 1, subgroup: str | None = None) -> DataFrame:
+def local_order(df: DataFrame, radius: float, heading_source: str = "auto", shells: int = 6, peripheral: int = 5, least: int = 1, subgroup: str | None = None, scale: DataFrame | None = None) -> DataFrame:
     """Order around each individual: who is within the radius, how aligned they are, how they turn about the group's
     centre, and the same by shell of distance from that centre.
 
     The disc is closed and holds the individual itself. Rows without finite position have counts of -1 and no values;
-    with `subgroup`, only members of the same subgroup count, and negative subgroups have none.
+    with `subgroup`, only members of the same subgroup count, and negative subgroups have none. With `scale`, rows of body
+    scale, the radius is in means of the sequence's scale; a sequence without one fails.
     """
     df = unit_headings(scrubbed(df, [X, Y, ANGLE]), heading_source)
     keys = [c for c in (*ENTRY, FRAME, *([subgroup] if subgroup else [])) if c in df.columns]
@@ -72,11 +73,17 @@ def local_order(df: DataFrame, radius: float, heading_source: str = "auto", shel
     in_shell = Window.partitionBy(*keys, "shell_index")
     df = df.withColumns({"shell_n": F.when(F.col("shell_index") >= 0, F.count("*").over(in_shell)).otherwise(-1), "shell_rotation": F.when(F.col("shell_index") >= 0, F.avg("radial_rotation").over(in_shell))})
 
-    own = [c for c in (TIME, "heading_source", "dist_to_center", "radial_rotation", "outer_radius", "shell_index", "shell_n", "shell_rotation") if c in df.columns]
+    df = df.withColumn("local_radius", F.lit(float(radius)))
+    if scale is not None:
+        entry = [c for c in ENTRY if c in df.columns]
+        means = scale.groupBy(*entry).agg(F.avg("body_scale").alias("_scale"))
+        size = F.when(F.col("_scale") > 0, F.col("_scale")).otherwise(F.raise_error(F.lit("a sequence has no body scale")).cast("double"))
+        df = df.join(means, entry, "left").withColumn("local_radius", F.col("local_radius") * size)
+    own = [c for c in (TIME, "local_radius", "heading_source", "dist_to_center", "radial_rotation", "outer_radius", "shell_index", "shell_n", "shell_rotation") if c in df.columns]
     a = df.select(*keys, ID, "_ok", F.col(X).alias("x_A"), F.col(Y).alias("y_A"), *own).alias("a")
     b = df.where("_ok").select(*keys, F.col(ID).alias("id_B"), F.col(X).alias("x_B"), F.col(Y).alias("y_B"), F.col("ux").alias("ux_B"), F.col("uy").alias("uy_B"), F.col("radial_rotation").alias("rr_B")).alias("b")
     dx, dy = F.col("x_B") - F.col("x_A"), F.col("y_B") - F.col("y_A")
-    same = F.col("a._ok") & (dx * dx + dy * dy <= radius * radius)
+    same = F.col("a._ok") & (dx * dx + dy * dy <= F.col("a.local_radius") * F.col("a.local_radius"))
     for k in keys:
         same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
     disc = a.join(b, same, "left").select(*[F.col(f"a.{c}").alias(c) for c in (*keys, ID, *own)], "id_B", "ux_B", "uy_B", "rr_B")

@@ -223,7 +223,7 @@ def nearest_neighbor(spark, sf_dir):
     return neighbours.nearest_neighbor(_thin(tracks(spark, sf_dir)))
 
 
-_HEAD = f"""{WITH_TRACKS}, b AS (SELECT *, degrees(atan2(py3 - py5, px3 - px5)) AS body FROM t),
+_HEAD = f"""{WITH_TRACKS}, b AS (SELECT *, degrees(atan2(py5 - py3, px5 - px3)) AS body FROM t),
 p AS (SELECT f.grp, f.seq, f.frame, f.id AS focal_id, n.id AS target_id, f.body, degrees(atan2(n.py3 - f.py3, n.px3 - f.px3)) AS bearing, sqrt((n.px3 - f.px3) ^ 2 + (n.py3 - f.py3) ^ 2) AS dist
   FROM b f JOIN b n ON f.grp = n.grp AND f.seq = n.seq AND f.frame = n.frame AND f.id <> n.id),
 fc AS (SELECT *, abs(bearing - body + 180 - floor((bearing - body + 180) / 360) * 360 - 180) AS diff FROM p),
@@ -288,13 +288,17 @@ def pair_egocentric(spark, sf_dir):
 _PB = ", ".join(f"sqrt((n.px{k} - f.x) ^ 2 + (n.py{k} - f.y) ^ 2) / s.scale" for k in range(POINTS))
 
 
+_PXY = ", ".join(f"list_sort([{', '.join(e.format(k=k) for k in range(POINTS))}]) AS {c}p" for c, e in (("x", "((n.px{k} - f.x) * cos(f.a) + (n.py{k} - f.y) * sin(f.a)) / s.scale"), ("y", "((n.py{k} - f.y) * cos(f.a) - (n.px{k} - f.x) * sin(f.a)) / s.scale")))
+
+
 @query(f"""{WITH_TRACKS}, s AS (SELECT grp, seq, avg(list_aggregate([{_DIST}], $$median$$)) AS scale FROM t GROUP BY grp, seq),
-o AS (SELECT f.grp, f.seq, f.frame, f.id AS id1, n.id AS id2, ((n.x - f.x) * cos(f.a) + (n.y - f.y) * sin(f.a)) / s.scale AS rx, ((n.y - f.y) * cos(f.a) - (n.x - f.x) * sin(f.a)) / s.scale AS ry, {wrap('n.a - f.a')} AS rt, list_sort([{_PB}]) AS d
+o AS (SELECT f.grp, f.seq, f.frame, f.id AS id1, n.id AS id2, ((n.x - f.x) * cos(f.a) + (n.y - f.y) * sin(f.a)) / s.scale AS rx, ((n.y - f.y) * cos(f.a) - (n.x - f.x) * sin(f.a)) / s.scale AS ry, {wrap('n.a - f.a')} AS rt, list_sort([{_PB}]) AS d, {_PXY}
   FROM t f JOIN t n ON f.grp = n.grp AND f.seq = n.seq AND f.frame = n.frame AND f.id <> n.id JOIN s ON s.grp = f.grp AND s.seq = f.seq)
-SELECT {ENTRY_SQL}, frame, id1, id2, {r('rx')} AS rel_dx, {r('ry')} AS rel_dy, {r('rt')} AS rel_dtheta, {r('d[1]')} AS dist_min, {r('d[4]')} AS dist_median, {r('d[7]')} AS dist_max, {r('d[1]')} AS near_1, {r('d[2]')} AS near_2, {r('d[3]')} AS near_3 FROM o""")
+SELECT {ENTRY_SQL}, frame, id1, id2, {r('rx')} AS dx, {r('ry')} AS dy, {r('rt')} AS dtheta, {r('d[1]')} AS dist_min, {r('d[4]')} AS dist_median, {r('d[7]')} AS dist_max, {r('d[1]')} AS near_0, {r('d[2]')} AS near_1, {r('d[3]')} AS near_2,
+  {r('d[2] + 0.5e0 * (d[3] - d[2])')} AS dist_q25, {', '.join(f"{r(f'{c}p[{i}]')} AS {c}_{n}" for c in 'xy' for n, i in (('min', 1), ('median', 4), ('max', 7)))} FROM o""")
 def orientation_relative(spark, sf_dir):
     t = tracks(spark, sf_dir)
-    return pairs.orientation_relative(t, pairs.body_scale(t))
+    return pairs.orientation_relative(t, pairs.body_scale(t), quantiles=(0.25,))
 
 
 @query(f"""{_NN}, pr AS (SELECT A.grp, A.seq, A.frame, A.id AS id1, B.id AS id2 FROM t A JOIN t B ON A.grp = B.grp AND A.seq = B.seq AND A.frame = B.frame AND A.id < B.id)
@@ -317,7 +321,7 @@ l AS (SELECT A.grp, A.seq, A.frame, A.id, count(*) - 1 AS nb, count(*) FILTER (B
   FROM s A JOIN s B ON A.grp = B.grp AND A.seq = B.seq AND A.frame = B.frame WHERE (B.x - A.x) * (B.x - A.x) + (B.y - A.y) * (B.y - A.y) <= {_RADIUS * _RADIUS} GROUP BY ALL)"""
 
 
-@query(f"""{_LOCAL} SELECT {ENTRY_SQL}, frame, id, {r('tm')} AS "time", 'angle' AS heading_source, {r('dc')} AS dist_to_center, {r('rr')} AS radial_rotation, {r('outer_r')} AS outer_radius, sh AS shell_index, sn AS shell_n, {r('sr')} AS shell_rotation,
+@query(f"""{_LOCAL} SELECT {ENTRY_SQL}, frame, id, {r('tm')} AS "time", {r(str(_RADIUS))} AS local_radius, 'angle' AS heading_source, {r('dc')} AS dist_to_center, {r('rr')} AS radial_rotation, {r('outer_r')} AS outer_radius, sh AS shell_index, sn AS shell_n, {r('sr')} AS shell_rotation,
   nb AS n_local_neighbors, nh AS n_local_headings, {r('CASE WHEN nh >= 1 THEN hx END')} AS local_heading_x, {r('CASE WHEN nh >= 1 THEN hy END')} AS local_heading_y, {r('CASE WHEN nh >= 1 THEN lr END')} AS local_rotation,
   {r('CASE WHEN nh >= 1 THEN sqrt(hx * hx + hy * hy) END')} AS local_polarization FROM s JOIN l USING (grp, seq, frame, id)""")
 def local_order(spark, sf_dir):
@@ -671,7 +675,7 @@ SELECT {ENTRY_SQL}, id, frame, {r('list_avg(list_transform(range(-2, 3), lambda
 def moving_average(spark, sf_dir):
     t = tracks(spark, sf_dir).select("group", "sequence", "id", "frame", "X")
     rows = F.count(F.lit(1)).over(Window.partitionBy("group", "sequence", "id"))
-    return with_moving_average(t, "X", "averaged", 5).withColumn("n", rows).where("n > 2").drop("X", "n")
+    return with_moving_average(t, {"averaged": "X"}, 5).withColumn("n", rows).where("n > 2").drop("X", "n")
 
 
 def _kernel(sigma: float, truncate: float) -> tuple[int, str]:

@@ -79,19 +79,20 @@ def interpolated(df: DataFrame, columns: list[str], by: list[str] | None = None,
     return with_nearest_known(df, columns, by).withColumns({c: between(c, limit, both) for c in columns}).select(*names)
 
 
-def with_moving_average(df: DataFrame, column: str, output: str, window: int, by: list[str] | None = None) -> DataFrame:
-    """Adds the mean of the known values of `window` rows around each row (one more before than after if `window` is
-    even). The track is mirrored at its first and last row, which don't repeat; where it is too short for that, the
-    mean is of the rows that there are."""
+def with_moving_average(df: DataFrame, columns: dict[str, str], window: int, by: list[str] | None = None) -> DataFrame:
+    """Adds, for each column of `columns` (output: input), the mean of the known values of `window` rows around each row,
+    one more before than after if `window` is even. The track is mirrored at its first and last row, which don't
+    repeat; where it is too short for that, the mean is of the rows that there are."""
     left, right = window // 2, window - 1 - window // 2
     w = rows_of(df.columns, by)
-    df = df.withColumns({"_at": F.row_number().over(w), "_n": F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "_held": F.collect_list(F.struct(F.col(column).alias("v"))).over(w.rowsBetween(-left, left))})
+    held = F.collect_list(F.struct(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns.values())])).over(w.rowsBetween(-left, left))
+    df = df.withColumns({"_at": F.row_number().over(w), "_n": F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "_held": held})
     start = F.greatest(F.col("_at") - left, F.lit(1))
     mirrored = lambda j: F.when(j < 1, 2 - j).when(j > F.col("_n"), 2 * F.col("_n") - j).otherwise(j)
-    taken = F.transform(F.sequence(F.lit(-left), F.lit(right)), lambda o: F.get(F.col("_held.v"), (mirrored(F.col("_at") + o) - start).cast("int")))
-    df = df.withColumn("_held", F.filter(taken, lambda v: v.isNotNull()))
-    mean = F.try_divide(F.aggregate("_held", F.lit(0.0), lambda t, v: t + v), F.size("_held"))
-    return df.withColumn(output, mean).drop("_at", "_n", "_held")
+    df = df.withColumn("_held", F.transform(F.sequence(F.lit(-left), F.lit(right)), lambda o: F.get("_held", (mirrored(F.col("_at") + o) - start).cast("int"))))
+    known = lambda i: F.filter(F.transform("_held", lambda s: s[f"v{i}"]), lambda v: v.isNotNull() & ~F.isnan(v))
+    mean = lambda v: F.try_divide(F.aggregate(v, F.lit(0.0), lambda t, x: t + x), F.size(v))
+    return df.withColumns({out: mean(known(i)) for i, out in enumerate(columns)}).drop("_at", "_n", "_held")
 
 
 def rolling(c: Column, w: WindowSpec, window: int, statistic: str = "mean", least: int = 1) -> Column:
