@@ -8,14 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom import columns, schema, windows
-from trackloom.functions import kernels
+from trackloom.functions import boxes, kernels, numbers
 from trackloom.joins import align
 from trackloom.ml import models, templates
-from trackloom.operators import groups, kinematics, neighbours, pairs
-from trackloom.plans import scope
+from trackloom.operators import groups, kinematics, neighbours, pairs, sampling, summaries
+from trackloom.plans import scope, values
 from trackloom.plans.catalog import Catalog, run_id
 from trackloom.plans.pipeline import Pipeline
-from trackloom.sources import readers, writers
+from trackloom.sources import conversion, readers, writers
 from trackloom.streaming import live
 
 
@@ -58,7 +58,7 @@ def test_interpolation_matches_pandas(spark, limit):
     rng = random.Random(1)
     values = [None, None, None, 1.0, None, None, None, None, None, 7.0, None, None, None, None] + [rng.choice([None, rng.random()]) for _ in range(40)]
     df = track(spark, [("g", "s", 0, i, v, 0.0) for i, v in enumerate(values)])
-    got = [r["X"] for r in windows.interpolated(df, ["X"], windows.rows_of(df.columns), limit).orderBy("frame").collect()]
+    got = [r["X"] for r in windows.interpolated(df, ["X"], limit=limit).orderBy("frame").collect()]
     own = pd.Series(values, dtype=float)
     want = own.interpolate(limit=limit, limit_direction="both") if limit else own.interpolate().bfill()
     assert [None if g is None else pytest.approx(g) for g in got] == [None if math.isnan(w) else w for w in want]
@@ -173,7 +173,7 @@ def test_templates_and_models(spark):
     own = models.fit_classifier(df, ["f0", "f1"], rounds=3)
     got = models.classify(df, own, ["f0", "f1"])
     assert got.where("predicted_label = label").count() / df.count() > 0.95
-    assert templates.labelled_templates(df, 5, ["f0", "f1"]).groupBy("split", "label").count().where("count > 5").isEmpty()
+    assert templates.labelled_templates(df, ["f0", "f1"], 5).groupBy("split", "label").count().where("count > 5").isEmpty()
     assert len(set(templates.farthest_first(points, 10).tolist())) == 10
     assert "PC1" in models.pca(df, ["f0", "f1"], 2).columns
     y = models.tsne(points[:60], 10, 150)
@@ -296,3 +296,217 @@ def test_pose_distance_pca_has_both_perspectives_of_all_keypoints(spark):
     assert got.keys() == set(keys)
     ours = np.array([got[k] for k in keys])
     assert np.allclose(ours * np.sign((ours * want).sum(0)), want, atol=1e-6)
+
+
+def test_interpolation_of_a_long_track_is_linear(spark):
+    df = spark.range(60_000).select(F.lit("g").alias("group"), F.lit("s").alias("sequence"), F.lit(0).alias("id"), F.col("id").alias("frame"), F.when(F.col("id") % 1000 == 0, F.col("id") * 2.0).alias("X"))
+    out = windows.interpolated(df, ["X"]).agg(F.max(F.abs(F.col("X") - F.least(F.col("frame"), F.lit(59_000)) * 2))).first()[0]
+    assert out == pytest.approx(0, abs=1e-6)
+
+
+@pytest.mark.parametrize("window", [4, 5])
+def test_moving_average_mirrors_the_ends(spark, window):
+    x = np.random.default_rng(3).normal(size=23)
+    df = track(spark, [("g", "s", 0, i, float(v), 0.0) for i, v in enumerate(x)])
+    got = [r["m"] for r in windows.with_moving_average(df, {"m": "X"}, window).orderBy("frame").collect()]
+    padded = np.pad(x, (window // 2, window - 1 - window // 2), mode="reflect")
+    assert got == pytest.approx(np.convolve(padded, np.ones(window) / window, "valid"))
+
+
+def test_entry_keys_of_blank_groups():
+    assert [columns.entry_key(g, "seq") for g in ("", " ", None)] == ["seq"] * 3 and columns.entry_key("a", "b") == "a__b"
+    assert columns.parse_entry_key("s1") == ("", "s1") and columns.parse_entry_key("g__a__b") == ("g", "a__b")
+    with pytest.raises(ValueError):
+        columns.entry_key("a/b", "c")
+
+
+def test_frame_range():
+    assert kinematics.frame_range(30, 100, 500) == (100, 500) and kinematics.frame_range(30, start_time=1.0, end_time=5.0) == (30, 150)
+    assert kinematics.frame_range(30, start_frame=100, end_time=5.0) == (100, 150) and kinematics.frame_range(None, 100) == (100, None)
+    for bad in ({"start_frame": 1, "start_time": 1.0}, {"end_frame": 1, "end_time": 1.0}):
+        with pytest.raises(ValueError):
+            kinematics.frame_range(30, **bad)
+    with pytest.raises(ValueError):
+        kinematics.frame_range(None, start_time=1.0)
+
+
+def test_scale_to_cm_refuses_what_it_cannot_scale(spark):
+    df = track(spark, [("g", "s", 0, 0, 4.0, 8.0)]).withColumns({"speed": F.lit(2.0), "X#head": F.lit(6.0), "ANGLE": F.lit(1.0), "poseP0": F.lit(0.5)})
+    scale = lambda v: spark.createDataFrame([("g", "s", v)], "`group` string, sequence string, cm_per_pixel double")
+    r = summaries.scale_to_cm(df, scale(0.5)).first()
+    assert (r["X_cm"], r["speed_cm"], r["X#head_cm"]) == (2.0, 1.0, 3.0) and not {"ANGLE_cm", "poseP0_cm"} & set(r.asDict())
+    for bad in (0.0, -1.0, None):
+        with pytest.raises(Exception, match="cm_per_pixel"):
+            summaries.scale_to_cm(df, scale(bad)).collect()
+    with pytest.raises(ValueError):
+        summaries.scale_to_cm(df, scale(1.0), columns=["nope"])
+    with pytest.raises(ValueError):
+        summaries.scale_to_cm(df.select("group", "sequence", "id", "frame", "ANGLE"), scale(1.0))
+
+
+def test_expected_mutual_information_matches_its_definition():
+    def slow(a, b, n):
+        lf = lambda v: math.lgamma(v + 1)
+        out = 0.0
+        for x in a:
+            for y in b:
+                for k in range(max(1, x + y - n), min(x, y) + 1):
+                    out += k / n * math.log(n * k / (x * y)) * math.exp(lf(x) + lf(y) + lf(n - x) + lf(n - y) - lf(n) - lf(k) - lf(x - k) - lf(y - k) - lf(n - x - y + k))
+        return out
+
+    for a, b in (([3, 4, 5], [6, 6]), ([100, 1, 399], [250, 250]), ([7], [7])):
+        assert models._expected_mutual(np.array(a, float), np.array(b, float), float(sum(a))) == pytest.approx(slow(a, b, sum(a)), rel=1e-9, abs=1e-12)
+    assert np.isfinite(models._expected_mutual(np.array([5e8, 5e8]), np.array([1e8, 9e8]), 1e9))
+
+
+def test_dataset_agreement_by_frame_and_by_order(spark):
+    clusters = spark.createDataFrame([("g", "s", i, i // 5) for i in range(20)], "`group` string, sequence string, frame long, cluster long")
+    labels = spark.createDataFrame([("g", "s", i, i // 5 + 7) for i in range(18)] + [("g", "t", 0, 1)], "`group` string, sequence string, frame long, label long")
+    for own in (clusters, clusters.drop("frame")):
+        out = models.dataset_agreement(own, labels, per_sequence=True)
+        assert out["n_frames_total"] == 18
+    assert models.dataset_agreement(clusters, labels)["metrics"]["ari"] == pytest.approx(1)
+    assert models.dataset_agreement(clusters, labels, frames=9)["sampled"]
+    with pytest.raises(ValueError):
+        models.dataset_agreement(clusters, labels.where("sequence = 't'"))
+
+
+def test_prototype_scores_by_product_and_by_join(spark):
+    rng = np.random.default_rng(0)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=5)], int(i % 3)) for i in range(30)] + [(30, None, None)], "vec_id long, embedding array<double>, label int")
+    proto = models.prototypes(df)
+    both = [{(r["vec_id"], r["label"]): r["probability"] for r in f(df, proto, "vec_id", "embedding", "label", 0.07).collect() if r["probability"] is not None} for f in (models.prototype_scores, models._joined_scores)]
+    assert both[0].keys() == both[1].keys() and len(both[0]) == 90
+    assert all(both[0][k] == pytest.approx(both[1][k], abs=1e-9) for k in both[0])
+
+
+def test_labelled_templates_targets(spark):
+    rows = [("g", f"s{i % 5}", i, float(i), float(i * i % 17), i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "`group` string, sequence string, frame long, f0 double, f1 double, label int")
+    count = lambda out: {(r["split"], r["label"]): r["count"] for r in out.groupBy("split", "label").count().collect()}
+    assert set(count(templates.labelled_templates(df, ["f0", "f1"], {0: 4, 1: 2})).items()) == {((s, k), n) for s in ("train", "test") for k, n in ((0, 4), (1, 2))}
+    assert set(count(templates.labelled_templates(df, ["f0", "f1"], total=30)).values()) == {10}
+    assert set(count(templates.labelled_templates(df, ["f0", "f1"], 3, strategy="farthest_first", pool=12)).values()) == {3}
+    for bad in ({}, {"per_class": 1, "total": 1}):
+        with pytest.raises(ValueError):
+            templates.labelled_templates(df, ["f0"], **bad)
+    sides = templates.split_by_sequence(df, 0.2).select("sequence", "split").distinct().collect()
+    assert sorted(r["split"] for r in sides) == ["test"] + ["train"] * 4
+
+
+def test_quotas(spark):
+    counts = spark.createDataFrame([("a", 1000), ("b", 100), ("c", 1)], "e string, n long")
+    got = {r["e"]: r["quota"] for r in templates.with_quotas(counts, 110).collect()}
+    assert 99 <= got["a"] <= 100 and 9 <= got["b"] <= 10 and got["c"] == 0
+    capped = {r["e"]: r["quota"] for r in templates.with_quotas(counts, 110, 0.5).collect()}
+    assert capped["a"] == 55 and capped["b"] > 9
+    assert {r["quota"] for r in templates.with_quotas(counts, 5000).collect()} == {1000, 100, 1}
+
+
+def test_classifiers_and_sampling_of_classes(spark):
+    rng = np.random.default_rng(1)
+    rows = [(float(x), float(y), k, "test" if i % 4 == 0 else "train") for k, n in ((0, 120), (1, 40), (2, 24)) for i, (x, y) in enumerate(rng.normal(3.0 * k, 0.5, (n, 2)))]
+    df = spark.createDataFrame(rows, "f0 double, f1 double, label int, split string")
+    assert {r["label"]: r["count"] for r in models.undersampled(df, most_ratio=2).groupBy("label").count().collect()} == {0: 48, 1: 40, 2: 24}
+    more = models.oversampled(df, ["f0", "f1"])
+    assert {r["count"] for r in more.groupBy("label").count().collect()} == {120}
+    assert more.where("label = 2 and (f0 < 3 or f0 > 9)").isEmpty()
+    for mode in ("multiclass", "one_vs_rest"):
+        fitted = models.fit_classifier(df, ["f0", "f1"], rounds=4, mode=mode, most_ratio=3, oversample=True)
+        found = models.classify(df.where("split = 'test'"), fitted, ["f0", "f1"])
+        assert all(r["f1"] > 0.9 and r["support"] > 5 for r in models.report(found).collect())
+
+
+def posed(spark, n, frames):
+    rng = np.random.default_rng(5)
+    rows = [("g", "s", i, f, float(f), float(i), 0.3, *map(float, rng.normal(size=6))) for i in range(n) for f in range(frames)]
+    return spark.createDataFrame(rows, "`group` string, sequence string, id long, frame long, X double, Y double, ANGLE double, " + ", ".join(f"pose{c}{k} double" for k in range(3) for c in "XY"))
+
+
+def test_subsamples_of_a_sequence(spark):
+    df = posed(spark, 2, 50)
+    assert sampling.subsample(df, 200).count() == 100
+    assert sampling.subsample(df, 10, "uniform").count() == 10
+    assert 5 <= sampling.subsample(df, 10).count() <= 10
+    clips = [(r["id"], r["frame"]) for r in sampling.subsample(df, 24, "clips", clip=8).collect()]
+    assert len(clips) in (8, 16, 24) and len(set(clips)) == len(clips)
+    assert sampling.spans(np.array([0, 3, 97]), 100, 8) == [0, 8, 92]
+    assert [r["frame"] for r in sampling.uniform_frames(df, 3).orderBy("frame").collect()] == [0, 24, 49]
+    assert sampling.kmeans_frames(df.where("id = 0"), ["poseX0", "poseY0"], 6).count() == 6
+
+
+def test_boxes_of_keypoints(spark):
+    df = spark.createDataFrame([(10.0, 20.0, 30.0, 20.0), (None, None, None, None)], "poseX0 double, poseY0 double, poseX1 double, poseY1 double")
+    tight, none = boxes.keypoint_boxes(df, 100, 100).collect()
+    assert [tight[c] for c in boxes.BOX] == pytest.approx([0.2, 0.2, 0.24, 0.0]) and [none[c] for c in boxes.BOX] == [0.0] * 4
+    wide = boxes.keypoint_boxes(df, 100, 100, "isotropic", head=0, tail=1, least_pad=1.0).first()
+    assert [wide[c] for c in boxes.BOX] == pytest.approx([0.2, 0.2, 0.32, 0.12])
+    turned = boxes.keypoint_boxes(df, 100, 100, "oriented", head=0, tail=1).first()
+    assert [turned[c] for c in boxes.BOX] == pytest.approx([0.2, 0.2, 0.3, 0.14])
+    with pytest.raises(ValueError):
+        boxes.keypoint_boxes(df, 100, 100, "oriented")
+
+
+def test_last_labels_and_headings(spark):
+    df = spark.createDataFrame([("g", "s", 2, 1, 5, 7, 0), ("g", "s", 1, 2, 5, 8, 1), ("g", "s", 1, None, 5, 9, 2), ("g", "s", None, None, 5, 3, 3)], "`group` string, sequence string, id1 long, id2 long, frame long, label long, at long")
+    got = {(r["id1"], r["id2"]): r["label"] for r in summaries.last_labels(df, "label", "at").collect()}
+    assert got == {(1, 2): 8, (1, None): 9, (None, None): 3}
+    assert numbers.in_degrees(spark.createDataFrame([(90.0,)], "a double"), "a") and not numbers.in_degrees(spark.createDataFrame([(3.0,), (None,)], "a double"), "a")
+    one = spark.createDataFrame([(1.0, 1.0, 0.0, 0.0)], "a double, b double, c double, d double")
+    assert one.select(numbers.heading_between(*map(F.col, "abcd"))).first()[0] == pytest.approx(math.pi / 4)
+
+
+def test_conversion_reports_broken_files_and_goes_on(spark, tmp_path):
+    for name, n in (("a__one_id0.npz", 5), ("a__two_id0.npz", 3)):
+        np.savez(tmp_path / name, frame=np.arange(n), X=np.arange(n), Y=np.arange(n), id=np.array([0]))
+    (tmp_path / "a__bad_id0.npz").write_bytes(b"not an npz")
+    (tmp_path / "skip_me.npz").write_bytes(b"")
+    index = conversion.index_raw(spark, [str(tmp_path)], "*.npz", "trex_npz", exclude=["skip*"], group_from="name", checksum=True)
+    assert {(r["group"], r["sequence"], len(r["md5"])) for r in index.collect()} == {("a", s, 32) for s in ("one_id0", "two_id0", "bad_id0")}
+    tracks, failed = conversion.convert(spark, index, "trex_npz")
+    assert {(r["sequence"], r["n"]) for r in tracks.groupBy("sequence").agg(F.count("*").alias("n")).collect()} == {("one_id0", 5), ("two_id0", 3)}
+    assert [r["sequence"] for r in failed.collect()] == ["bad_id0"]
+    out = f"{tmp_path}/out"
+    with pytest.raises(ValueError, match="1 of 3"):
+        conversion.convert_all(spark, index, "trex_npz", out, strict=True)
+    assert conversion.convert_all(spark, index, "trex_npz", out) == {"files": 3, "failed": 1, "entries": 2}
+    assert conversion.convert_all(spark, index, "trex_npz", out)["entries"] == 0
+    with pytest.raises(ValueError, match="no converter"):
+        conversion.converter_of("nothing")
+
+
+def test_npz_entries_go_out_and_come_back(spark, tmp_path):
+    df = track(spark, [("g", "s", 0, i, float(i), 2.0 * i) for i in range(4)])
+    (tmp_path / "one.npz").write_bytes(bytes(writers.npz_entries(df, ["X", "Y"]).first()["npz"]))
+    rows = readers.npz_array(spark, f"{tmp_path}/*.npz", "Y").orderBy("row").collect()
+    assert [r["values"] for r in rows] == [[0.0], [2.0], [4.0], [6.0]]
+    assert [r["values"] for r in readers.npz_array(spark, f"{tmp_path}/*.npz", "X", transpose=True).collect()] == [[0.0, 1.0, 2.0, 3.0]]
+    index = spark.createDataFrame([("a", 1)], "k string, v int")
+    for v in (1, 2):
+        writers.write_index(index.withColumn("v", F.lit(v)), f"{tmp_path}/index")
+    assert [r["v"] for r in spark.read.csv(f"{tmp_path}/index", header=True).collect()] == ["2"]
+
+
+def test_loaded_values_names_and_selection(spark):
+    df = track(spark, [("g", s, 0, i, float(i), -float(i)) for s in "st" for i in range(4)])
+    assert values.column_names(["X", "Y", "X", "X"]) == ["X", "Y", "X-1", "X-2"]
+    labels = spark.createDataFrame([("g", "s", 2, 5)], "`group` string, sequence string, frame long, label long")
+    out = values.load_values([values.Values(df, "X"), values.Values(df.withColumn("X", F.col("X") * 2), "X"), values.Labels(labels, "b")], sequences=["s"], fps=1.0, start_time=1.0)
+    assert sorted((r["frame"], r["X"], r["X-1"], r["labels-b"]) for r in out.collect()) == [(1, 1.0, 2.0, 0), (2, 2.0, 4.0, 5), (3, 3.0, 6.0, 0)]
+    with pytest.raises(ValueError):
+        values.load_values([values.Labels(labels, "b")])
+
+
+def test_delete_set_takes_what_drifted(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path))
+    df = track(spark, [("g", s, 0, 0, 1.0, 1.0) for s in "abc"])
+    digests = lambda rows: spark.createDataFrame([("g", s, d) for s, d in rows], "`group` string, sequence string, consumed string")
+    catalog.write("up", "u-1", df, {}, [])
+    catalog.write("down", "d-1", df, {}, ["u-1"], digests([("a", "1"), ("b", "1"), ("c", None)]))
+    now = digests([("a", "2"), ("b", "1"), ("c", "2")])
+    candidates, declined = catalog.delete_set("u-1", now)
+    assert [r["sequence"] for r in candidates.collect()] == ["a"] and [r["sequence"] for r in declined.collect()] == ["c"]
+    assert catalog.read("down", "d-1").count() == 3
+    candidates, _ = catalog.delete_set("u-1", now, apply=True)
+    assert candidates.count() == 1 and sorted(r["sequence"] for r in catalog.read("down", "d-1").collect()) == ["b", "c"]
+    assert sorted(r["sequence"] for r in catalog.entries("d-1").collect()) == ["b", "c"]
