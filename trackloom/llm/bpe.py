@@ -4,7 +4,8 @@ The merges of a word are a fold of Spark's `aggregate` over its byte pieces that
 A fold costs some 0.1 ms, so it is done once for each frequent distinct word: there are at most 1 / FREQUENT of
 them, whatever the size of the corpus, and their ids are broadcast. Tasks that encode texts merge rare words
 themselves, by the same rule, and remember them; sending every occurrence of a word through a join with all
-distinct words would move several times the input.
+distinct words would move several times the input. Decoding is a Spark expression: the pieces of the ids, from a literal
+array, joined.
 """
 
 from __future__ import annotations
@@ -18,12 +19,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, frugal, settle, small_batches
+from .scratch import Scratch, frugal, settle
 
 SLOTS = 1 << 14
 FREQUENT = 2.0**-20
@@ -164,9 +164,8 @@ class _Words(dict):
         return ids
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, decoded: bool = False) -> DataFrame:
-    """(doc_id, ids) of `docs(doc_id, text, ...)`, without special tokens; with `decoded` also data, the bytes that the
-    ids decode to.
+def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """(doc_id, ids) of `docs(doc_id, text, ...)`, without special tokens.
 
     `vocabulary` is a file of base64 pieces and ranks, read by the driver; `pattern` splits text into words. Spark's
     higher-order functions fold the merges of the frequent distinct words, using a literal rank map; tasks take
@@ -188,8 +187,6 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, decoded: bool = False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, split = _Words(*known.value), regex.compile(pattern).findall
-        data, widths = _pieces(words.ranks)
-        starts = np.cumsum(widths) - widths
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             at, size, held, lens = 0, 0, [], []
@@ -200,46 +197,25 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, decoded: bool = False
                 size += len(found)
                 if size > BATCH_IDS or i + 1 == len(texts):
                     ends = np.cumsum([0, *lens]).astype(np.int32)
-                    columns = [ids.slice(at, i + 1 - at), pa.ListArray.from_arrays(ends, np.concatenate(held))]
-                    columns += [pa.array([_joined(own, data, widths, starts) for own in held], pa.binary())] if decoded else []
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "data"][: len(columns)])
+                    yield pa.RecordBatch.from_arrays([ids.slice(at, i + 1 - at), pa.ListArray.from_arrays(ends, np.concatenate(held))], ["doc_id", "ids"])
                     at, size, held, lens = i + 1, 0, [], []
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, ids array<int>" + ", data binary" * decoded)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, ids array<int>")
 
 
-def _pieces(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all pieces one after another, in the order of their ids, and their lengths."""
-    pieces = {v: k for k, v in ranks.items()}
-    every = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
-    return np.frombuffer(b"".join(every), np.uint8), np.array([len(p) for p in every])
-
-
-def _joined(ids: np.ndarray, data: np.ndarray, lens: np.ndarray, starts: np.ndarray) -> bytes:
-    """The pieces of the ids concatenated."""
-    n = lens[ids]
-    return data[np.repeat(starts[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
+def pieces(vocabulary: str) -> Column:
+    """A literal array of the pieces of all ids, as hex; an id without a piece is empty."""
+    by_id = {v: k.hex() for k, v in load_ranks(vocabulary).items()}
+    return F.from_json(F.lit(json.dumps([by_id.get(i, "") for i in range(max(by_id) + 1)], separators=(",", ":"))), "array<string>")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, ids, data): the bytes of `encoded(doc_id, ids)`, the pieces of the ids one after another; null ids are
-    empty. Where texts are encoded and decoded at once, `encode(..., decoded=True)` does both in one worker."""
-    shared = encoded.sparkSession.sparkContext.broadcast(_pieces(load_ranks(vocabulary)))
-    small_batches(encoded.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, lens = shared.value
-        starts = np.cumsum(lens) - lens
-        for batch in batches:
-            lists = batch.column(1)
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))])
-            out = [_joined(flat[a:b], data, lens, starts) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(out, pa.binary())], ["doc_id", "ids", "data"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(frugal(run), "doc_id long, ids array<int>, data binary")
+    """`encoded(ids, ...)` with data, the bytes of the ids' pieces one after another; null ids are empty."""
+    table = pieces(vocabulary)
+    return encoded.withColumn("data", F.coalesce(F.unhex(F.array_join(F.transform("ids", lambda i: F.element_at(table, i + 1)), "")), F.lit(b"")))
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """Digests of the ids and of what they decode to: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = encode(docs, vocabulary, pattern, decoded=True)
+    both = decode(encode(docs, vocabulary, pattern), vocabulary)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
