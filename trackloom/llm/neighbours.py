@@ -29,6 +29,8 @@ FITTED = 20_000
 CELL, LEAST_CELLS = 32_768, 8
 BLOCK = 4_096
 LEAF = 128
+#: Visits of a batch that is passed on.
+VISITS = 8_192
 
 
 def chi_square(x: np.ndarray, m: int = DIMENSIONS) -> np.ndarray:
@@ -74,6 +76,41 @@ def locate(points: np.ndarray, tree: list[tuple[int, float]], cells: int) -> np.
     return at - (cells - 1)
 
 
+class Cells:
+    """The boxes of the cells' vectors and of all nodes above them, as a heap; empty nodes are out of reach."""
+
+    def __init__(self, cells: int, names: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.cells = cells
+        self.low, self.high = np.full((2 * cells - 1, DIMENSIONS), np.inf), np.full((2 * cells - 1, DIMENSIONS), -np.inf)
+        self.low[names + cells - 1], self.high[names + cells - 1] = low, high
+        for i in range(cells - 2, -1, -1):
+            self.low[i] = np.minimum(self.low[2 * i + 1], self.low[2 * i + 2])
+            self.high[i] = np.maximum(self.high[2 * i + 1], self.high[2 * i + 2])
+
+    def far(self, points: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Squared distance of each point and the box of its node."""
+        gap = np.maximum(np.maximum(self.low[nodes] - points, points - self.high[nodes]), 0)
+        return (gap * gap).sum(1)
+
+    def home(self, points: np.ndarray) -> np.ndarray:
+        """The cell that a descent to the nearer child reaches."""
+        at = np.zeros(len(points), np.int64)
+        for _ in range(int(math.log2(self.cells))):
+            left = 2 * at + 1
+            at = left + (self.far(points, left + 1) < self.far(points, left))
+        return at - (self.cells - 1)
+
+    def within(self, points: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, cell) of all cells whose squared distance is below the point's reach, by a descent of the tree."""
+        who, at = np.arange(len(points)), np.zeros(len(points), np.int64)
+        for level in range(int(math.log2(self.cells)) + 1):
+            near = self.far(points[who], at) < reach[who]
+            who, at = who[near], at[near]
+            if level < int(math.log2(self.cells)):
+                who, at = np.repeat(who, 2), (2 * at[:, None] + [1, 2]).ravel()
+        return who, at - (self.cells - 1)
+
+
 def _leaves(points: np.ndarray) -> list[np.ndarray]:
     out, stack = [], [np.arange(len(points))]
     while stack:
@@ -174,6 +211,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 17) -
     boxes = index.groupBy("cell").agg(*box).collect()
     names = np.array([b["cell"] for b in boxes], np.int64)
     low, high = (np.array([[b[f"{s}{i}"] for i in range(DIMENSIONS)] for b in boxes]).reshape(-1, DIMENSIONS) for s in ("low", "high"))
+    found_cells = spark.sparkContext.broadcast(Cells(cells, names, low, high))
 
     asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
     asked = scratch.write(asked.join(classes.select("v", "class"), "v").select("query_id", F.col("class").alias("query")), "asked")
@@ -181,22 +219,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, seed: int = 17) -
     limit = quantile(CONFIDENCE)
 
     def home(batches):
-        """Each query with the cell it is nearest to."""
+        """Each query with the cell it is in, or near to."""
         for batch in batches:
-            p = project(_matrix(batch.column(1), width), False)
-            gap = np.maximum(np.maximum(low[None] - p[:, None], p[:, None] - high[None]), 0)
-            cell = names[(gap * gap).sum(2).argmin(1)]
+            cell = found_cells.value.home(project(_matrix(batch.column(1), width), False))
             yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(0), batch.column(1), pa.array(np.full(len(cell), -np.inf))], ["cell", "query", "v", "bar"])
 
     def others(batches):
         """Each query with the further cells that its k-th product so far doesn't rule out."""
         for batch in batches:
             x, homes, bar = _matrix(batch.column(1), width), batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
-            p = project(x, False)
-            gap = np.maximum(np.maximum(low[None] - p[:, None], p[:, None] - high[None]), 0)
-            left = ((x * x).sum(1) + longest**2 - 2 * bar)[:, None]
-            i, j = np.nonzero(((gap * gap).sum(2) < limit * np.maximum(left, 1e-12)) & (names[None] != homes[:, None]))
-            yield pa.RecordBatch.from_arrays([pa.array(names[j]), batch.column(0).take(pa.array(i)), batch.column(1).take(pa.array(i)), pa.array(bar[i])], ["cell", "query", "v", "bar"])
+            left = np.maximum((x * x).sum(1) + longest**2 - 2 * bar, 1e-12)
+            i, cell = found_cells.value.within(project(x, False), limit * left)
+            away = cell != homes[i]
+            i, cell = i[away], cell[away]
+            for at in range(0, len(i), VISITS):
+                own = pa.array(i[at : at + VISITS])
+                yield pa.RecordBatch.from_arrays([pa.array(cell[at : at + VISITS]), batch.column(0).take(own), batch.column(1).take(own), pa.array(bar[i[at : at + VISITS]])], ["cell", "query", "v", "bar"])
 
     def look(key, data: pa.Table, queries: pa.Table) -> pa.Table:
         schema = pa.schema([("cell", pa.int64()), ("query", pa.int64()), ("class", pa.int64()), ("score", pa.float64())])
