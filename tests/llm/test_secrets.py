@@ -1,7 +1,11 @@
 import hashlib
+import math
 import re
+from collections import Counter
 
-from trackloom.llm.secrets import scan_secrets, train, training_samples
+import pytest
+
+from trackloom.llm.secrets import ALPHABET, CANDIDATE, corpus_samples, generated_samples, scan_secrets, train
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 TEXTS = [
@@ -49,7 +53,33 @@ def test_markov_models_tell_random_from_ordinary(spark):
 
 def test_empty_table_and_repeated_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    ratios = train(training_samples(spark, 64))
+    ratios = train(generated_samples(spark, 64))
     assert scan_secrets(none, ratios).count() == 0
     twice = spark.createDataFrame([(None, TEXTS[3])] * 2, "doc_id long, text string")
     assert [r["n_assign"] for r in scan_secrets(twice, ratios).collect()] == [2, 2]
+
+
+def test_ratios_and_markov_spans_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    samples = [tuple(r) for r in corpus_samples(docs).union(generated_samples(spark, 512)).collect()]
+    counts = {0: Counter(), 1: Counter()}
+    for label, text in samples:
+        counts[label].update((a, b) for a, b in zip(text, text[1:]) if a in ALPHABET and b in ALPHABET)
+    first = {k: Counter() for k in counts}
+    for k, c in counts.items():
+        for (a, _), n in c.items():
+            first[k][a] += n
+    size = len(ALPHABET)
+    log = lambda k, a, b: math.log((counts[k][a, b] + 1) / (first[k][a] + size))
+    ratios = train(spark.createDataFrame(samples, "label int, text string"))
+    assert ratios == pytest.approx([log(1, a, b) - log(0, a, b) for a in ALPHABET for b in ALPHABET])
+    ratio = dict(zip(((a, b) for a in ALPHABET for b in ALPHABET), ratios))
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    for r in scan_secrets(docs, ratios).collect():
+        text, want = texts[r["doc_id"]] or "", []
+        found = base(text)
+        for m in re.finditer(CANDIDATE, text):
+            score = sum(ratio[p] for p in zip(m[0], m[0][1:]))
+            if score >= max(12.0, 0.6 * (len(m[0]) - 1)) and not any(a < m.end() and m.start() < b for a, _, b in found):
+                want.append(f"markov:{m.start()}:{m.end()}")
+        assert [s for s in r["spans"].split(",") if s.startswith("markov")] == want, r["doc_id"]

@@ -2,7 +2,8 @@
 
 Everything on the main path is a DataFrame or SQL function. One bigram model is trained on samples labelled
 random, one on samples labelled ordinary; a candidate token is a secret when the log-likelihood ratio of the two
-is high, in total and per character. Training gathers one count per pair of character classes and label, at most
+is high, in total and per character. The samples are tokens of a bounded number of documents, random where the base
+patterns call them secrets, and generated digests and identifiers besides. Training gathers one count per pair of character classes and label, at most
 2 * 67 * 67 rows, and puts the table of ratios into the plan as a literal array, read by position.
 """
 
@@ -20,7 +21,11 @@ HEX = "[0-9a-f]+"
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "markov")
 
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+#: What the models judge: the least total is out of reach of shorter tokens.
+CANDIDATE = "[A-Za-z0-9+/_=-]{12,}"
+TOKEN = "[A-Za-z0-9+/_=-]{6,}"
+#: Documents whose tokens the models learn from, at most about this many.
+SAMPLED = 2_000
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CLASSES = len(ALPHABET)
 
@@ -44,7 +49,7 @@ title tracker transaction transfer transport trigger update upload user utility
 version view virtual warehouse warning weather window worker writer""".split()
 
 
-def training_samples(spark: SparkSession, n: int = 4096) -> DataFrame:
+def generated_samples(spark: SparkSession, n: int = 4096) -> DataFrame:
     """2 * n labelled samples: label 1 random (digests in base 64, base 62 and hex), label 0 ordinary identifiers."""
     parts = F.array(*map(F.lit, PARTS))
     part = lambda k: F.element_at(parts, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(PARTS))) + 1).cast("int"))
@@ -66,6 +71,20 @@ def training_samples(spark: SparkSession, n: int = 4096) -> DataFrame:
     return ids.select(F.lit(1).alias("label"), random.alias("text")).union(ids.select(F.lit(0), ordinary))
 
 
+def corpus_samples(docs: DataFrame, most: int = SAMPLED) -> DataFrame:
+    """Distinct labelled samples of about `most` documents: label 1 what the base patterns find, label 0 other tokens of
+    6 characters or more that two of the documents share, as ordinary words recur and random strings don't. The
+    documents are chosen by a hash of their id."""
+    n = docs.select("doc_id").count()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(text.alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("at")).where(F.col("at") < int(1_000_000 * min(1, most / max(1, n))))
+    secret = F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit("[0-9a-f]{32,}"), F.lit(0)))
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), "[0-9a-f]{32,}", " ")
+    found = rows.select(F.lit(1).alias("label"), F.explode(secret).alias("text")).where(F.length("text") >= LEAST["assign"])
+    tokens = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(rest, F.lit(TOKEN), F.lit(0)))).alias("text"))
+    return found.distinct().union(tokens.groupBy("text").count().where("count > 1").select(F.lit(0), "text"))
+
+
 def _codes(token: Column) -> Column:
     """The class of each character, 0 for one that is not in the alphabet."""
     return F.transform(F.split(token, ""), lambda c: F.when(c != "", F.instr(F.lit(ALPHABET), c)).otherwise(0))
@@ -130,22 +149,25 @@ def scan_secrets(docs: DataFrame, ratios: list[float] | None = None, least_total
 
     Returns doc_id, n_assign, n_access, n_hex (base matches), base_sha256 (digest of the base spans) and spans,
     all spans as kind:start:end, ordered by start, then by kind as listed in KINDS; positions are code points, the
-    end is exclusive. `markov` spans are candidate tokens of 20 or more characters whose log-likelihood ratio is
-    at least `least_total` nats and `least_mean` nats a pair and which overlap no base span.
+    end is exclusive. `markov` spans are tokens of 12 or more characters whose log-likelihood ratio is at least
+    `least_total` nats and `least_mean` nats a pair and which overlap no base span. Unless `ratios` are given, the models
+    learn from `corpus_samples` of these documents and from `generated_samples`.
 
     A null text counts as empty: no spans, and the digest of the empty string. Repeated rows and null doc_ids
     come back as they are. Other columns are not read. An empty table gives an empty result.
     """
-    table = _literal(ratios or train(training_samples(docs.sparkSession)))
+    table = _literal(ratios or train(corpus_samples(docs).union(generated_samples(docs.sparkSession))))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     value = lambda m: F.regexp_extract(m, ASSIGN, 2)
+    enough = lambda m: F.greatest(F.lit(least_total), least_mean * (F.length(m) - 1))
+    likely = lambda m: _score(m, table) >= enough(m)
     found = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         _when(text, "(?i:passw|secret|token|api_?key)", _spans(text, ASSIGN, 0, lambda m: F.length(value(m)) >= LEAST["assign"])).alias("assign"),
         _when(text, "AKIA[A-Z0-9]", _spans(text, ACCESS, 1, lambda m: F.length(m) >= LEAST["access"])).alias("access"),
         # A run of hex digits is matched whole, so asking for 32 in the pattern drops just the short ones.
         _when(text, "[0-9a-f]{32}", _spans(text, "[0-9a-f]{32,}", 2, lambda m: F.lit(True))).alias("hex"),
-        _when(text, CANDIDATE, _spans(text, CANDIDATE, 3, lambda m: (_score(m, table) >= least_total) & (_score(m, table) >= least_mean * (F.length(m) - 1)))).alias("random"),
+        _when(text, CANDIDATE, _spans(text, CANDIDATE, 3, likely)).alias("random"),
     )
     base = F.concat("assign", "access", "hex")
     apart = F.filter("random", lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
