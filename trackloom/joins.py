@@ -26,7 +26,7 @@ def align(inputs: list[DataFrame], check: bool = True, allow_mixed: bool = False
     if not keys:
         raise ValueError("the tables share no alignment key")
     on = [c for c in ENTRY if all(c in df.columns for df in inputs)] + keys
-    if check and not allow_mixed and sum(not df.groupBy(*on).count().where("count > 1").isEmpty() for df in inputs) > 1:
+    if check and not allow_mixed and _repeating(inputs, on) > 1:
         raise ValueError(f"several tables hold a key of {on} more than once")
     seen = set(on)
     renamed = []
@@ -37,6 +37,12 @@ def align(inputs: list[DataFrame], check: bool = True, allow_mixed: bool = False
     return reduce(lambda a, b: a.join(b, on), renamed)
 
 
+def _repeating(inputs: list[DataFrame], on: list[str]) -> int:
+    """How many of the tables hold a key more than once, in one pass over all their keys."""
+    keys = reduce(DataFrame.union, [df.select(*on, F.lit(i).alias("_i")) for i, df in enumerate(inputs)])
+    return keys.groupBy(*on, "_i").count().where("count > 1").select("_i").distinct().count()
+
+
 def pairs(df: DataFrame, carry: list[str], ordered: bool = False, suffixes: tuple[str, str] = ("_A", "_B"), by: list[str] | None = None) -> DataFrame:
     """Pairs of individuals of one frame: id_A < id_B, or all id_A <> id_B if `ordered`. Both sides hash on the same
     keys, so the exchange is reused and the inequality stays a condition of an equi-join."""

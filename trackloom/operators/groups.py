@@ -13,7 +13,8 @@ from .neighbours import unit_headings
 
 def frame_aggregate(df: DataFrame, column: str, agg: str = "mean", output: str | None = None, where: str | None = None, threshold: float | None = None, absolute: bool = False) -> DataFrame:
     """One row per frame: an aggregate of a column over its rows. With a threshold the column becomes 1.0 above it and
-    0.0 elsewhere; std has n - 1 in the denominator; the sum of nothing is 0."""
+    0.0 elsewhere; std has n - 1 in the denominator; the sum of nothing is 0. The time is the frame's smallest, as rows have
+    no order here; the rows of a frame have one time."""
     value = scrub(F.col(column))
     value = F.abs(value) if absolute else value
     value = above(value, threshold) if threshold is not None else value

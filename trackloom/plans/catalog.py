@@ -110,6 +110,12 @@ class Catalog:
         df = self.spark.read.parquet(f"{self.root}/data/{feature}/{self.resolve(feature, run)}")
         return df.withColumns({c: F.col(c).cast("string") for c in ENTRY})
 
+    def delete(self, feature: str, run: str) -> None:
+        """Removes what a run wrote; the catalogue keeps that it was there."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/data/{feature}/{run}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.record(feature, run, {}, [], "deleted")
+
     def lineage(self, run: str) -> DataFrame:
         """All runs that a run consumes, directly or not, with their distance."""
         found = self.runs().select("run_id", F.explode("upstream").alias("up"))

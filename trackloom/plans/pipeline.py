@@ -8,6 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .catalog import Catalog, run_id
 
@@ -21,6 +22,7 @@ class Step:
     version: str = "1"
     materialise: bool = False
     scope_dependent: bool = False
+    callback: bool = False
 
 
 @dataclass
@@ -39,6 +41,24 @@ class Pipeline:
         self.steps[name] = Step(name, operator, inputs, params, version, materialise, scope_dependent)
         return self
 
+    def add_callback(self, name: str, function: Callable[..., DataFrame | None], inputs: list[str], **params) -> Pipeline:
+        """A step that calls `function` with its inputs each time the pipeline runs, as for a plot or an export. What it
+        returns is its result; if that is nothing, its first input is."""
+        self.add(name, function, inputs, **params)
+        self.steps[name].callback = True
+        return self
+
+    def clean(self, scope: list | None = None) -> list[str]:
+        """Deletes the written data of steps whose runs aren't the ones that the pipeline would use now; their names."""
+        gone = []
+        for s in self.steps.values():
+            if s.materialise:
+                runs = self.catalog.runs().where((F.col("feature") == s.name) & (F.col("run_id") != self.run_id(s.name, scope)) & (F.col("status") != "deleted"))
+                for r in runs.select("run_id").toLocalIterator():
+                    self.catalog.delete(s.name, r["run_id"])
+                    gone.append(f"{s.name}/{r['run_id']}")
+        return gone
+
     def run_id(self, name: str, scope: list | None = None) -> str:
         step = self.steps[name]
         inputs = [i if i == "tracks" else f"{i}/{self.run_id(i, scope)}" for i in step.inputs]
@@ -52,12 +72,16 @@ class Pipeline:
         return out
 
     def status(self, scope: list | None = None) -> dict[str, str]:
-        """cached, stale (an input isn't cached) or lazy for each step."""
-        finished = {(r["feature"], r["run_id"]) for r in self.catalog.runs().where("status = 'finished'").select("feature", "run_id").collect()} if self.catalog else set()
+        """cached, stale (an input isn't cached), lazy or callback for each step."""
+        own = {(s.name, self.run_id(s.name, scope)) for s in self.steps.values() if s.materialise}
+        finished = set()
+        if own:  # a row for each written step at most
+            runs = self.catalog.runs().where("status = 'finished'").where(F.col("feature").isin(*{n for n, _ in own}) & F.col("run_id").isin(*{i for _, i in own}))
+            finished = own & {(r["feature"], r["run_id"]) for r in runs.select("feature", "run_id").collect()}
         out: dict[str, str] = {}
         for s in self.steps.values():
             if not s.materialise:
-                out[s.name] = "lazy"
+                out[s.name] = "callback" if s.callback else "lazy"
             else:
                 own = (s.name, self.run_id(s.name, scope)) in finished
                 out[s.name] = "cached" if own and not any(out.get(i) == "stale" for i in s.inputs) else "stale"
@@ -74,7 +98,8 @@ class Pipeline:
             if s.materialise and status[s.name] == "cached" and s.name not in forced:
                 out[s.name], did = self.catalog.read(s.name, ident), "read"
             else:
-                df, did = s.operator(*[out[i] for i in s.inputs], **s.params), "planned"
+                df, did = s.operator(*[out[i] for i in s.inputs], **s.params), "called" if s.callback else "planned"
+                df = out[s.inputs[0]] if df is None and s.callback else df
                 if s.materialise:
                     upstream = [self.run_id(i, scope) for i in s.inputs if i != "tracks"]
                     df, did = self.catalog.write(s.name, ident, df, s.params, upstream), "written"
