@@ -510,3 +510,15 @@ def test_delete_set_takes_what_drifted(spark, tmp_path):
     candidates, _ = catalog.delete_set("u-1", now, apply=True)
     assert candidates.count() == 1 and sorted(r["sequence"] for r in catalog.read("down", "d-1").collect()) == ["b", "c"]
     assert sorted(r["sequence"] for r in catalog.entries("d-1").collect()) == ["b", "c"]
+
+
+def test_pipeline_callbacks_and_cleaning(spark, tmp_path):
+    df = track(spark, [("g", "s", 0, i, float(i), 0.0) for i in range(3)])
+    seen = []
+    make = lambda version: Pipeline(Catalog(spark, str(tmp_path))).add("twice", lambda t: t.withColumn("X", F.col("X") * 2), ["tracks"], materialise=True, version=version).add_callback("look", lambda t: seen.append(t.count()), ["twice"])
+    old, new = make("1"), make("2")
+    assert old.run(df)["look"].agg(F.max("X")).first()[0] == 4.0 and seen == [3]
+    assert new.status() == {"twice": "stale", "look": "callback"}
+    new.run(df)
+    assert new.clean() == [f"twice/{old.run_id('twice')}"] and new.clean() == []
+    assert new.status()["twice"] == "cached" and old.status()["twice"] == "stale"
