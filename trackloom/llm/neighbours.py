@@ -3,9 +3,9 @@
 Vectors get one more component that gives all the same length, so the largest inner product is the least Euclidean
 distance; then a Gaussian matrix, which is 2-stable, projects them to DIMENSIONS. A kd-tree over a bounded sample of
 projected vectors deals all vectors to cells, and within its task each cell is a kd-tree of small leaves. A query
-looks at leaves in the order of their projected distance and verifies their vectors by the true product. It stops
-when a vector at the present k-th distance or nearer would have been projected nearer than the next leaf with
-probability CONFIDENCE, by the chi-square distribution of projected squared distances. Each query first searches the
+verifies the vectors of the leaves nearest in projection by the true product, then all vectors whose projection is
+nearer than where the stopping test holds: beyond it, a vector at the k-th distance or nearer would have been projected
+nearer with probability CONFIDENCE, by the chi-square distribution of projected squared distances. Each query first searches the
 cell it falls into, then those other cells that the test doesn't rule out with what it has found.
 
 Equal vectors are one class, with as many of its smallest ids as a result can hold, so copies cost nothing.
@@ -29,6 +29,8 @@ FITTED = 20_000
 CELL, LEAST_CELLS = 32_768, 8
 BLOCK = 4_096
 LEAF = 128
+#: Leaves that are verified before the stopping test is made.
+FIRST = 4
 #: Visits of a batch that is passed on.
 VISITS = 8_192
 
@@ -128,32 +130,46 @@ def search(vectors: np.ndarray, points: np.ndarray, ids: np.ndarray, queries: np
     """Best k of these vectors for each query: positions of queries, ids, products.
 
     worst: each query's k-th product so far, or -inf. spare: |q|**2 + M**2, from which a product follows as half of
-    what the squared distance leaves.
+    what the squared distance leaves. The vectors of the FIRST leaves nearest to the query are verified; the k-th
+    distance then sets how near a vector must be projected to be looked at, which rules out leaves by their boxes and
+    vectors by their own projections.
     """
     leaves = _leaves(points)
-    low, high = np.stack([points[i].min(0) for i in leaves]), np.stack([points[i].max(0) for i in leaves])
-    limit = quantile(CONFIDENCE)
+    sizes = np.array([len(i) for i in leaves])
+    order = np.concatenate(leaves)
+    vectors, points, ids = vectors[order], points[order], ids[order]
+    starts = np.cumsum(sizes) - sizes
+    low, high = np.minimum.reduceat(points, starts), np.maximum.reduceat(points, starts)
+    norms, limit = (points * points).sum(1), quantile(CONFIDENCE)
     out_q, out_i, out_s = [], [], []
     for q in range(len(queries)):
-        gap = np.maximum(np.maximum(low - query_points[q], query_points[q] - high), 0)
+        p = query_points[q]
+        gap = np.maximum(np.maximum(low - p, p - high), 0)
         far = (gap * gap).sum(1)
-        order = np.argsort(far, kind="stable")
-        best_s, best_i, bar, at = np.zeros(0), np.zeros(0, np.int64), worst[q], 0
-        while at < len(order):
-            if bar > -np.inf and far[order[at]] >= limit * max(spare[q] - 2 * bar, 1e-12):
-                break
-            rows = np.concatenate([leaves[i] for i in order[at : at + 4]])
-            at += 4
-            s, i = np.append(best_s, vectors[rows] @ queries[q]), np.append(best_i, ids[rows])
-            if len(s) > k:
-                top = np.lexsort((i, -s))[:k]
-                s, i = s[top], i[top]
-            best_s, best_i = s, i
-            if len(best_s) >= k:
-                bar = max(bar, float(best_s.min()))
-        out_q.append(np.full(len(best_s), q))
-        out_i.append(best_i)
-        out_s.append(best_s)
+        nearest = np.argpartition(far, FIRST)[:FIRST] if len(far) > FIRST else np.arange(len(far))
+        look = np.zeros(len(ids), bool)
+        for i in nearest:
+            look[starts[i] : starts[i] + sizes[i]] = True
+        s, bar = vectors[look] @ queries[q], worst[q]
+        if len(s) >= k:
+            bar = max(bar, float(np.partition(s, len(s) - k)[len(s) - k]))
+        if bar == -np.inf:
+            look[:] = True
+        else:
+            reach = limit * max(spare[q] - 2 * bar, 1e-12)
+            rows = np.flatnonzero(np.repeat(far < reach, sizes))
+            look[rows[norms[rows] - 2 * (points[rows] @ p) + p @ p < reach]] = True
+        found = np.flatnonzero(look)
+        s = (vectors @ queries[q])[found] if 4 * len(found) > len(ids) else vectors[found] @ queries[q]
+        i = ids[found]
+        if len(s) > k:
+            top = s >= np.partition(s, len(s) - k)[len(s) - k]
+            s, i = s[top], i[top]
+            top = np.lexsort((i, -s))[:k]
+            s, i = s[top], i[top]
+        out_q.append(np.full(len(s), q))
+        out_i.append(i)
+        out_s.append(s)
     return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
 
 
