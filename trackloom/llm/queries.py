@@ -83,6 +83,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import nearest_exactly
+
+    return nearest_exactly(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periods import digest, periodic_runs, with_repeats
+
+    return digest(periodic_runs(with_repeats(_documents(spark, sf_dir))))
+
+
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sort_means import clusters_with_inertia
+
+    return clusters_with_inertia(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8, rounds=10, dims=64, salt="3")
+
+
 OP7_SQL = """
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS n FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -92,10 +110,16 @@ FROM t WINDOW w AS (PARTITION BY n)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_neighbours, op3_quality, op4_toxicity, op5_suffix_tree, op6_mix, op7_exact_dedup, op8_secrets, op9_bpe, op10_language)}
+    return {f.__name__: f for f in (op1_minhash, op2_neighbours, op3_quality, op4_toxicity, op5_suffix_tree, op6_mix, op7_exact_dedup, op8_secrets, op9_bpe, op10_language, op11_topk, op12_periods, op13_sort_means)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import mixing
-
-    return {"op6_mix": mixing.ORACLE_SQL, "op7_exact_dedup": OP7_SQL}
+    from . import mixing, periods, sort_means, topk
+
+    return {
+        "op6_mix": mixing.ORACLE_SQL,
+        "op7_exact_dedup": OP7_SQL,
+        "op11_topk": topk.ORACLE_SQL,
+        "op12_periods": periods.ORACLE_SQL,
+        "op13_sort_means": sort_means.oracle_sql(),
+    }
