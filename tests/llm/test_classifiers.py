@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -208,6 +209,15 @@ def test_quality_without_labels(spark):
     assert quality.score_quality(docs, field).count() == 6
 
 
+def test_toxic_matches_of_a_text_of_megabytes_cost_one_walk():
+    lexicon = toxicity.Lexicon({"idiot": 2.0, "trash": 1.5}, {"trash can"})
+    text = "idiot trash can trash heap " * 40_000
+    began = time.perf_counter()
+    found = lexicon.matches(toxicity.fold(text))
+    assert time.perf_counter() - began < 20
+    assert len(found) == 80_000 and sum(found.values()) == 40_000 * 3.5
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     lexicon = toxicity.fit(docs, labels, remainder(5) != 0)

@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import string
 from collections import Counter
 
 import pytest
@@ -51,6 +53,16 @@ def test_markov_models_tell_random_from_ordinary(spark):
     assert rows == {9: f"markov:{at}:{at + 30}", 2: ""}
 
 
+@pytest.mark.parametrize("length,least", [(12, 0.25), (16, 0.7), (24, 0.95)])
+def test_planted_keys_of_any_length_are_found_and_numbers_are_not(spark, length, least):
+    rng = random.Random(length)
+    keys = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(length)) for _ in range(60)]
+    rows = [(i, f"the key {k} opens it") for i, k in enumerate(keys)] + [(100 + i, f"card {rng.randrange(10**15, 10**16)} is lost, internationalisation") for i in range(30)]
+    found = {r["doc_id"]: r["spans"] for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found[i] == f"markov:8:{8 + length}" for i in range(60)) >= least * 60
+    assert not any(found[100 + i] for i in range(30))
+
+
 def test_empty_table_and_repeated_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     ratios = train(generated_samples(spark, 64))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-_STEPS = 1_000_000
+#: Steps of a hash threshold: a bounded sample is a fraction of these for any table that fits on disks.
+STEPS = 1 << 40
 
 
 def remainder(n: int) -> Column:
@@ -21,7 +22,7 @@ def bounded(rows: DataFrame, most: int) -> DataFrame:
     n = rows.select("doc_id").count()
     if n <= most:
         return rows
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(_STEPS)) < int(_STEPS * most / n))
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(STEPS)) < int(STEPS * most / n))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int) -> DataFrame:

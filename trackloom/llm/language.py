@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .labelled import STEPS
 from .scratch import frugal, small_batches
 
 #: Documents that the regression is fitted on, at most about this many.
 FITTED = 3_000
 #: Documents of each language that the sample has besides, where there are so many.
 LEAST = 100
-_STEPS = 1_000_000
 BUCKETS = 1 << 17
 ORDERS = (1, 2, 3)
 PASSES = 3
@@ -130,8 +130,8 @@ def fit(docs: DataFrame, train: Column, most: int = FITTED) -> Model:
     common = min(1.0, most / max(1, sum(per.values())))
     share = {lang: max(common, min(1.0, LEAST / n)) for lang, n in per.items()}
     if common < 1:
-        below = docs.sparkSession.createDataFrame([(lang, max(1, int(_STEPS * f))) for lang, f in share.items()], "lang string, below long")
-        rows = rows.join(F.broadcast(below), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(_STEPS)) < F.col("below")).select("doc_id", "text", "lang")
+        below = docs.sparkSession.createDataFrame([(lang, max(1, int(STEPS * f))) for lang, f in share.items()], "lang string, below long")
+        rows = rows.join(F.broadcast(below), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(STEPS)) < F.col("below")).select("doc_id", "text", "lang")
     sample = sorted(map(tuple, rows.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     languages = sorted({r[2] for r in sample})
     if not languages:

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .labelled import STEPS
+
 # The base patterns and their least lengths.
 ASSIGN = "(?i:(password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]+"
@@ -21,9 +23,9 @@ HEX = "[0-9a-f]+"
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "markov")
 
-#: What the models judge. Of the documents of sf0.1, those of 16 to 19 characters that they would add are numbers of 16
-#: digits only, 340 of them, as of payment cards; no secret is among them.
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+#: What the models judge: tokens of 20 characters, and of 12 if they hold both a letter and a digit. Of digits alone the
+#: models can't tell a key from the number of a card, and of letters alone most tokens of 12 are words.
+CANDIDATE = "(?<![A-Za-z0-9+/_=-])(?:(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{12,}|[A-Za-z0-9+/_=-]{20,})"
 TOKEN = "[A-Za-z0-9+/_=-]{6,}"
 #: Documents whose tokens the models learn from, at most about this many.
 SAMPLED = 2_000
@@ -78,7 +80,7 @@ def corpus_samples(docs: DataFrame, most: int = SAMPLED) -> DataFrame:
     documents are chosen by a hash of their id."""
     n = docs.select("doc_id").count()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(text.alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("at")).where(F.col("at") < int(1_000_000 * min(1, most / max(1, n))))
+    rows = docs.select(text.alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(STEPS)).alias("at")).where(F.col("at") < int(STEPS * min(1, most / max(1, n))))
     secret = F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit("[0-9a-f]{32,}"), F.lit(0)))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), "[0-9a-f]{32,}", " ")
     found = rows.select(F.lit(1).alias("label"), F.explode(secret).alias("text")).where(F.length("text") >= LEAST["assign"])
@@ -150,7 +152,7 @@ def scan_secrets(docs: DataFrame, ratios: list[float] | None = None, least_total
 
     Returns doc_id, n_assign, n_access, n_hex (base matches), base_sha256 (digest of the base spans) and spans,
     all spans as kind:start:end, ordered by start, then by kind as listed in KINDS; positions are code points, the
-    end is exclusive. `markov` spans are tokens of 20 or more characters whose log-likelihood ratio is at least
+    end is exclusive. `markov` spans are tokens of 20 or more characters, or of 12 if they hold both a letter and a digit, whose log-likelihood ratio is at least
     `least_total` nats and `least_mean` nats a pair and which overlap no base span. Unless `ratios` are given, the models
     learn from `corpus_samples` of these documents and from `generated_samples`.
 

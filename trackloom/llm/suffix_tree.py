@@ -31,8 +31,6 @@ from .scratch import Scratch, frugal, settle
 
 DEPTH = 6
 LEAST = 2
-#: The share of all positions that a state needs besides: none, as it would drop more contexts the larger the corpus.
-SHARE = 0.0
 DIVERGENCE = 0.01
 STRENGTH = 4.0
 FREQUENT = 2.0**-22

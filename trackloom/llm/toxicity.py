@@ -113,10 +113,17 @@ class Lexicon:
                 best[start] = max(w, best.get(start, 0.0))
             else:
                 spared.append((start, end))
-        for start, end in spared if best else ():
-            for s in [s for s in best if start <= s <= end - 1]:
-                del best[s]
-        return best
+        if not spared:
+            return best
+        # One walk over the matches in order, with how far the phrases that have begun reach.
+        spared.sort(reverse=True)
+        left, reach = {}, -1
+        for s in sorted(best):
+            while spared and spared[-1][0] <= s:
+                reach = max(reach, spared.pop()[1])
+            if reach <= s:
+                left[s] = best[s]
+        return left
 
     def raw(self, text: str | None) -> float:
         folded = fold(text)
