@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..columns import ENTRY, ID, order_column
+from ..columns import ENTRY, ID
+from ..windows import rows_of
 
 
 def _hull(points: np.ndarray) -> float | None:
@@ -82,14 +83,35 @@ def gaussian(x: np.ndarray, sigma: float, truncate: float = 4.0) -> np.ndarray:
     return np.apply_along_axis(lambda v: np.convolve(v, kernel, "valid"), 0, padded)
 
 
-def per_track(df: DataFrame, f, schema: T.StructType, by: list[str] | None = None) -> DataFrame:
-    """Applies f to the ordered rows of each individual (or of `by`) of each sequence: memory is one track."""
-    keys = [c for c in (*ENTRY, *(by if by is not None else [ID])) if c in df.columns]
-    order = order_column(df.columns)
-    return df.groupBy(*keys).applyInPandas(lambda own: f(own.sort_values(order, kind="stable").reset_index(drop=True)), schema)
+#: Rows of a track that a task holds, besides those that its kernel reaches beyond them.
+RANGE = 16_384
 
 
-def smooth_columns(df: DataFrame, columns: list[str], window: int, polyorder: int) -> DataFrame:
+def per_range(df: DataFrame, f, schema: T.StructType, reach: int, by: list[str] | None = None, size: int | None = None) -> DataFrame:
+    """Applies f to ranges of `size` ordered rows of each individual (or of `by`) of each sequence, with the `reach` rows on
+    either side that the track has; f returns a row for every row it got, in order, and those of the range itself stay.
+
+    f sees the ends of a range as the ends of a track, so `reach` is how far a row's result may depend on others. A track
+    longer than a range goes to several tasks, and rows near an edge go to two of them.
+    """
+    size = size or RANGE
+    by = [c for c in (by if by is not None else [ID])]
+    keys = [c for c in (*ENTRY, *by) if c in df.columns]
+    track = Window.partitionBy(*keys)
+    p, n = F.col("_p"), F.col("_n")
+    df = df.withColumns({"_p": F.row_number().over(rows_of(df.columns, by)) - 1, "_n": F.count(F.lit(1)).over(track)})
+    first, last = F.greatest(F.lit(0), F.floor((p - reach) / size)), F.least(F.floor((n - 1) / size), F.floor((p + reach) / size))
+    dealt = df.withColumn("_range", F.explode(F.sequence(first, last))).drop("_n")
+
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("_p", kind="stable").reset_index(drop=True)
+        inner = (own["_p"] // size == key[-1]).to_numpy()
+        return f(own.drop(columns=["_p", "_range"]))[inner]
+
+    return dealt.groupBy(*keys, "_range").applyInPandas(run, schema)
+
+
+def smooth_columns(df: DataFrame, columns: list[str], window: int, polyorder: int, size: int | None = None) -> DataFrame:
     """Savitzky-Golay over each track; missing values count as 0 and are missing again afterwards."""
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
@@ -101,10 +123,10 @@ def smooth_columns(df: DataFrame, columns: list[str], window: int, polyorder: in
             own[c] = pd.Series(y).astype(object).where(~bad, None)
         return own
 
-    return per_track(df, run, df.schema)
+    return per_range(df, run, df.schema, window, size=size)
 
 
-def temporal_stack(df: DataFrame, columns: list[str], half: int = 60, skip: int = 5, sigma: float = 30.0, pool: bool = True, pool_stats: tuple[str, ...] = ("mean",), fps: float = 30.0, seconds: float = 0.5) -> DataFrame:
+def temporal_stack(df: DataFrame, columns: list[str], half: int = 60, skip: int = 5, sigma: float = 30.0, pool: bool = True, pool_stats: tuple[str, ...] = ("mean",), fps: float = 30.0, seconds: float = 0.5, size: int | None = None) -> DataFrame:
     """Gaussian-smoothed columns at offsets -half..half in steps of skip rows (`x__t+05`), ends repeated, and Gaussian
     pools over a window of seconds (`x__pool_mean`)."""
     offsets = list(range(-half, half + 1, skip))
@@ -113,6 +135,7 @@ def temporal_stack(df: DataFrame, columns: list[str], half: int = 60, skip: int
     schema = T.StructType(keys + [T.StructField(n, T.DoubleType()) for n in names])
     window = max(1, round(seconds * fps))
     pool_sigma = max(1.0, seconds * fps / 6)
+    truncate = max(1.0, window / (2 * pool_sigma))
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         x = own[columns].to_numpy(float)
@@ -120,19 +143,55 @@ def temporal_stack(df: DataFrame, columns: list[str], half: int = 60, skip: int
         at = np.clip(np.arange(len(x))[:, None] + np.array(offsets), 0, len(x) - 1)
         parts = [smooth[at].reshape(len(x), -1)]
         if pool:
-            truncate = max(1.0, window / (2 * pool_sigma))
             mean = gaussian(x, pool_sigma, truncate)
             var = np.maximum(gaussian(x * x, pool_sigma, truncate) - mean * mean, 0)
             parts += [{"mean": mean, "var": var, "std": np.sqrt(var)}[s] for s in pool_stats]
         return pd.concat([own[[f.name for f in keys]], pd.DataFrame(np.concatenate(parts, 1), columns=names)], axis=1)
 
     by = [c for c in (ID, "id1", "id2", "perspective") if c in df.columns]
-    return per_track(df, run, schema, by)
-
-
-def pair_wavelet(df: DataFrame, columns: list[str], fps: float = 30.0, f_min: float = 0.2, f_max: float = 5.0, n: int = 25, bandwidth: float = 1.5, center: float = 1.0, floor: float = -3.0) -> DataFrame:
-    """Log power of a complex Morlet transform of each column at n frequencies (`W_x_f0`), from below by `floor`."""
-    freqs = 2.0 ** np.linspace(np.log2(f_min), np.log2(f_max), n)
+    reach = half + 1 + int(max(4.0 * sigma, truncate * pool_sigma) + 0.5)
+    return per_range(df.select(*[f.name for f in keys], *columns), run, schema, reach, by, size)
+
+
+def morlet_kernel(scale: float, bandwidth: float = 1.5, center: float = 1.0) -> np.ndarray:
+    """The complex Morlet wavelet at a scale in rows, as weights of the rows around one (from before it to after it): its
+    integral over each row's share of the support from -8 to 8, times the root of the scale.
+
+    The integral is a running sum over 4,096 points, and a row reads the point at or before its edge.
+    """
+    x = np.linspace(-8, 8, 4096)
+    psi = np.exp(-(x**2) / bandwidth) * np.exp(2j * np.pi * center * x) / np.sqrt(np.pi * bandwidth)
+    step = x[1] - x[0]
+    total = np.conj(np.cumsum(psi) * step)
+    edges = (np.arange(scale * (x[-1] - x[0]) + 1) / (scale * step)).astype(int)
+    shares = np.diff(np.concatenate([[0], total[edges[edges < len(x)]], [0]]))
+    return np.sqrt(scale) * shares
+
+
+def frequencies(f_min: float, f_max: float, n: int) -> np.ndarray:
+    """n frequencies from f_min to f_max, evenly apart in octaves."""
+    return 2.0 ** np.linspace(np.log2(f_min), np.log2(f_max), n)
+
+
+def _weighted(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Sums of the rows around each row by the kernel, rows that aren't there being 0; products of spectra in blocks of rows
+    whose sums overlap and are added."""
+    ahead = len(kernel) - 1 - len(kernel) // 2
+    out = np.zeros(len(x) + len(kernel) - 1, complex)
+    block = max(1024, 1 << int(np.ceil(np.log2(2 * len(kernel)))))
+    size = 1 << int(np.ceil(np.log2(block + len(kernel) - 1)))
+    spectrum = np.fft.fft(kernel[::-1], size)
+    for at in range(0, len(x), block):
+        part = x[at : at + block]
+        out[at : at + len(part) + len(kernel) - 1] += np.fft.ifft(np.fft.fft(part, size) * spectrum)[: len(part) + len(kernel) - 1]
+    # The kernel's middle, the later one of two, weighs the row itself.
+    return out[ahead : ahead + len(x)]
+
+
+def pair_wavelet(df: DataFrame, columns: list[str], fps: float = 30.0, f_min: float = 0.2, f_max: float = 5.0, n: int = 25, bandwidth: float = 1.5, center: float = 1.0, floor: float = -3.0, size: int | None = None) -> DataFrame:
+    """Log power of a complex Morlet transform of each column at n frequencies (`W_x_f0`), from below by `floor`. A row's
+    value depends on 8 periods' worth of rows to either side; values that are missing count as 0."""
+    kernels = [morlet_kernel(fps / (f * center), bandwidth, center) for f in frequencies(f_min, f_max, n)]
     names = [f"W_{c}_f{i}" for c in columns for i in range(n)]
     keys = [f for f in df.schema if f.name in (*ENTRY, ID, "id1", "id2", "perspective", "frame", "time")]
     schema = T.StructType(keys + [T.StructField(x, T.FloatType()) for x in names])
@@ -141,14 +200,12 @@ def pair_wavelet(df: DataFrame, columns: list[str], fps: float = 30.0, f_min: fl
         parts = []
         for c in columns:
             x = np.nan_to_num(own[c].to_numpy(float))
-            size = 1 << int(np.ceil(np.log2(max(2, 2 * len(x)))))
-            spectrum, f = np.fft.fft(x, size), np.fft.fftfreq(size, 1 / fps)
-            scales = fps / (freqs * center) / fps * center
-            transform = [np.fft.ifft(spectrum * np.sqrt(s * fps) * np.exp(-((np.pi * bandwidth**0.5) ** 2) * (s * f - center) ** 2))[: len(x)] for s in scales]
-            parts.append(np.maximum(np.log(np.abs(np.array(transform).T) ** 2 + np.finfo(float).tiny), floor))
+            power = np.abs(np.array([_weighted(x, k) for k in kernels]).T) ** 2
+            parts.append(np.maximum(np.log(power + np.finfo(float).tiny), floor))
         return pd.concat([own[[k.name for k in keys]], pd.DataFrame(np.concatenate(parts, 1).astype(np.float32), columns=names)], axis=1)
 
-    return per_track(df, run, schema, [c for c in (ID, "id1", "id2", "perspective") if c in df.columns])
+    by = [c for c in (ID, "id1", "id2", "perspective") if c in df.columns]
+    return per_range(df.select(*[f.name for f in keys], *columns), run, schema, max(map(len, kernels)), by, size)
 
 
 def triangles(points: np.ndarray) -> np.ndarray:

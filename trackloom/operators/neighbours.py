@@ -8,21 +8,38 @@ from pyspark.sql import functions as F
 from ..columns import ANGLE, ENTRY, FRAME, ID, TIME, X, Y
 from ..functions.numbers import cross, forward, leftward, ratio, scrubbed, wrap_angle
 from ..windows import difference, rows_of
+from . import grid
 
 
 def nearest_neighbor(df: DataFrame) -> DataFrame:
     """For each row the nearest other individual of its frame, ties to the smaller id, with offsets in world and own
-    frame. Rows without finite position have no neighbour and are none; without ANGLE offsets aren't rotated."""
+    frame. Rows without finite position have no neighbour and are none; without ANGLE offsets aren't rotated.
+
+    In frames of many rows, a row looks no further than the nearer of its two neighbours along a space-filling curve, and
+    so meets the rows of nine cells of about that width (see `grid`).
+    """
     df = scrubbed(df, [X, Y, ANGLE])
     turned = ANGLE in df.columns
     keys = [c for c in (*ENTRY, FRAME) if c in df.columns]
     carried = [c for c in (TIME, ANGLE) if c in df.columns]
-    a = df.select(*keys, ID, X, Y, *carried).alias("a")
-    b = df.where(F.col(X).isNotNull() & F.col(Y).isNotNull()).select(*keys, F.col(ID).alias("nn"), F.col(X).alias("_x"), F.col(Y).alias("_y"), *([F.col(ANGLE).alias("nn_angle")] if turned else [])).alias("b")
-    others = (F.col(f"a.{ID}") != F.col("b.nn")) & F.col(f"a.{X}").isNotNull() & F.col(f"a.{Y}").isNotNull()
-    for k in keys:
+    frame = Window.partitionBy(*keys)
+    placed = grid.placed(df.select(*keys, ID, X, Y, *carried), keys, X, Y)
+    # Rows that repeat an id are one individual, so a neighbour on the curve may be the row's own; it bounds nothing then.
+    curve = frame.orderBy(*[F.when(F.col("_many"), c) for c in (grid.z_order(), F.col(X), F.col(Y))], ID)
+    away = lambda f: F.when(f(ID, 1).over(curve) != F.col(ID), F.hypot(f(X, 1).over(curve) - F.col(X), f(Y, 1).over(curve) - F.col(Y)))
+    reach = F.coalesce(F.least(away(F.lag), away(F.lead)), F.col("_extent") * 2)
+    # Of rows at one spot no one needs more than two individuals: the smallest id, or the next if that is its own.
+    before = [F.struct(*[F.lag(c, n).over(curve).alias(c) for c in (ID, X, Y)]) for n in (1, 2)]
+    at_spot = (before[0][X] == F.col(X)) & (before[1][X] == F.col(X)) & (before[0][Y] == F.col(Y)) & (before[1][Y] == F.col(Y))
+    spare = F.col("_many") & at_spot & (before[0][ID] != F.col(ID)) & (before[1][ID] != before[0][ID])
+    placed = placed.withColumns({"_reach": F.when(F.col("_many"), reach), "_spare": F.coalesce(spare, F.lit(False))}).withColumn("_level", grid.level(F.col("_reach")))
+    placed = placed.withColumn("_levels", F.collect_set(F.when(F.col("_ix").isNotNull(), F.col("_level"))).over(frame))
+    theirs = grid.seen(placed.where(~F.col("_spare")), F.col("_levels")).select(*keys, *grid.CELL, F.col(ID).alias("nn"), F.col(X).alias("_x"), F.col(Y).alias("_y"), *([F.col(ANGLE).alias("nn_angle")] if turned else [])).alias("b")
+    a = grid.looking(placed).select(*keys, ID, X, Y, *carried, *grid.CELL).alias("a")
+    others = F.col(f"a.{ID}") != F.col("b.nn")
+    for k in (*keys, *grid.CELL):
         others = others & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    both = a.join(b, others, "left").select(*[F.col(f"a.{c}").alias(c) for c in (*keys, ID, X, Y, *carried)], "nn", "_x", "_y", *(["b.nn_angle"] if turned else []))
+    both = a.join(theirs, others, "left").select(*[F.col(f"a.{c}").alias(c) for c in (*keys, ID, X, Y, *carried)], "nn", "_x", "_y", *(["b.nn_angle"] if turned else []))
     dx, dy = F.col("_x") - F.col(X), F.col("_y") - F.col(Y)
     best = F.min(F.when(F.col("nn").isNotNull(), F.struct((dx * dx + dy * dy).alias("d2"), "nn", dx.alias("dx"), dy.alias("dy"), *(["nn_angle"] if turned else []))))
     df = both.groupBy(*keys, ID).agg(*[F.first(c).alias(c) for c in carried], best.alias("_nn"))
@@ -79,13 +96,16 @@ def local_order(df: DataFrame, radius: float, heading_source: str = "auto", shel
         means = scale.groupBy(*entry).agg(F.avg("body_scale").alias("_scale"))
         size = F.when(F.col("_scale") > 0, F.col("_scale")).otherwise(F.raise_error(F.lit("a sequence has no body scale")).cast("double"))
         df = df.join(means, entry, "left").withColumn("local_radius", F.col("local_radius") * size)
+    df = grid.placed(df.withColumns({c: F.when(F.col("_ok"), F.col(c)) for c in (X, Y)}), keys, X, Y).withColumn("_level", grid.level(F.col("local_radius")))
     own = [c for c in (TIME, "local_radius", "heading_source", "dist_to_center", "radial_rotation", "outer_radius", "shell_index", "shell_n", "shell_rotation") if c in df.columns]
-    a = df.select(*keys, ID, "_ok", F.col(X).alias("x_A"), F.col(Y).alias("y_A"), *own).alias("a")
-    b = df.where("_ok").select(*keys, F.col(ID).alias("id_B"), F.col(X).alias("x_B"), F.col(Y).alias("y_B"), F.col("ux").alias("ux_B"), F.col("uy").alias("uy_B"), F.col("radial_rotation").alias("rr_B")).alias("b")
+    a = grid.looking(df).select(*keys, ID, "_ok", F.col(X).alias("x_A"), F.col(Y).alias("y_A"), *own, *grid.CELL).alias("a")
+    b = grid.seen(df, F.array("_level")).select(*keys, *grid.CELL, F.col(ID).alias("id_B"), F.col(X).alias("x_B"), F.col(Y).alias("y_B"), F.col("ux").alias("ux_B"), F.col("uy").alias("uy_B"), F.col("radial_rotation").alias("rr_B")).alias("b")
     dx, dy = F.col("x_B") - F.col("x_A"), F.col("y_B") - F.col("y_A")
     same = F.col("a._ok") & (dx * dx + dy * dy <= F.col("a.local_radius") * F.col("a.local_radius"))
     for k in keys:
         same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    for k in grid.CELL:
+        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
     disc = a.join(b, same, "left").select(*[F.col(f"a.{c}").alias(c) for c in (*keys, ID, *own)], "id_B", "ux_B", "uy_B", "rr_B")
     aimed = F.col("ux_B").isNotNull() & F.col("uy_B").isNotNull()
     out = disc.groupBy(*keys, ID).agg(

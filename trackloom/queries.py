@@ -1,7 +1,8 @@
 """The operators as queries over the driver's tables, and the same rows as SQL for DuckDB.
 
 `TRACKS` turns `events` into trajectories; its text runs in both engines. Doubles are rounded to 4 digits on both
-sides, as sums depend on the order of their terms.
+sides, as sums depend on the order of their terms, by arithmetic that both engines do alike. `OPERATORS` has the same
+results as they come.
 """
 
 from __future__ import annotations
@@ -49,12 +50,12 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tidy(df: DataFrame) -> DataFrame:
     """Rounded doubles without negative zeros; floats as doubles."""
-    wide = {f.name: F.round(F.col(f.name).cast("double"), 4) + F.lit(0.0) for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    wide = {f.name: F.floor(F.col(f.name).cast("double") * 1e4 + 0.5) / 1e4 for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     return df.withColumns(wide)
 
 
 def r(e: str) -> str:
-    return f"round(CAST({e} AS DOUBLE), 4) + 0e0"
+    return f"floor(CAST({e} AS DOUBLE) * 1e4 + 0.5e0) / 1e4"
 
 
 def wrap(e: str) -> str:
@@ -62,12 +63,13 @@ def wrap(e: str) -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
+        QUERIES[f.__name__], OPERATORS[f.__name__] = lambda spark, sf_dir: tidy(f(spark, sf_dir)), f
         if sql:
             ORACLES[f.__name__] = sql
         return f
@@ -260,7 +262,7 @@ def _pair_sql(source: str) -> str:
         along, aside = (lambda p, s: f"{p[0]} * ux{s} + {p[1]} * uy{s}"), (lambda p, s: f"{p[1]} * ux{s} - {p[0]} * uy{s}")
         size = lambda p: f"sqrt({p[0]} * {p[0]} + {p[1]} * {p[1]})"
         values = [size(v[a]), along(v[a], a), aside(v[a], a), f"vtu{a}", f"cos(th{a})", f"sin(th{a})", size(d), along(d, a), aside(d, a), "cos(tuB - tuA)", f"sin({sign} * (tuB - tuA))", size(v[b]), along(v[b], b), aside(v[b], b), f"vtu{b}"]
-        columns = ", ".join(f"round(CAST(CAST({e} AS FLOAT) AS DOUBLE), 2) + 0e0 AS \"{n}\"" for n, e in zip(pairs.PAIR_FEATURES, values))
+        columns = ", ".join(f"{r(f'CAST({e} AS FLOAT)')} AS \"{n}\"" for n, e in zip(pairs.PAIR_FEATURES, values))
         return f"SELECT {ENTRY_SQL}, frame, {k} AS perspective, id{a} AS id1, id{b} AS id2, {columns} FROM pg WHERE vcxA IS NOT NULL AND vcxB IS NOT NULL"
 
     return f"""pp AS (SELECT A.grp, A.seq, A.frame, {sides} FROM {source} A JOIN {source} B ON A.grp = B.grp AND A.seq = B.seq AND A.frame = B.frame AND A.id < B.id),
@@ -268,13 +270,9 @@ ps AS (SELECT *, {steps} FROM pp WINDOW w AS (PARTITION BY grp, seq, idA, idB OR
 pg AS (SELECT *, {grads} FROM pt WINDOW w AS (PARTITION BY grp, seq, idA, idB ORDER BY frame)) {seen('A', 'B', 1, 0)} UNION ALL {seen('B', 'A', -1, 1)}"""
 
 
-def _coarse(df: DataFrame) -> DataFrame:
-    return df.withColumns({n: F.round(F.col(n).cast("double"), 2) + F.lit(0.0) for n in pairs.PAIR_FEATURES})
-
-
 @query(f"{WITH_TRACKS}, src AS (SELECT grp, seq, frame, id, x AS cx, y AS cy, cos(a) AS ux, sin(a) AS uy, a AS th FROM t), " + _pair_sql("src"))
 def pair_position(spark, sf_dir):
-    return _coarse(pairs.pair_position(_thin(tracks(spark, sf_dir)).drop("time"), FPS))
+    return pairs.pair_position(_thin(tracks(spark, sf_dir)).drop("time"), FPS)
 
 
 @query(
@@ -282,7 +280,7 @@ def pair_position(spark, sf_dir):
     + _pair_sql("src")
 )
 def pair_egocentric(spark, sf_dir):
-    return _coarse(pairs.pair_egocentric(tracks(spark, sf_dir).drop("time"), FPS))
+    return pairs.pair_egocentric(tracks(spark, sf_dir).drop("time"), FPS)
 
 
 _PB = ", ".join(f"sqrt((n.px{k} - f.x) ^ 2 + (n.py{k} - f.y) ^ 2) / s.scale" for k in range(POINTS))
@@ -702,6 +700,30 @@ def temporal_stack(spark, sf_dir):
     return kernels.temporal_stack(_thin(tracks(spark, sf_dir)), ["X", "Y"], 4, 2, 1.0, pool_stats=("mean", "std", "var"), fps=FPS)
 
 
+_BANDS = (1.0, 4.0, 3)
+
+
+def _wavelet_sql() -> str:
+    """Convolutions of each track's lists with the kernels as literal lists, at frequencies that keep them short."""
+    weights = [kernels.morlet_kernel(FPS / f) for f in kernels.frequencies(*_BANDS)]
+    literal = lambda v: "[" + ", ".join(f"{x:.17e}" for x in v) + "]::DOUBLE[]"
+    lists = ", ".join(f"{literal(part)} AS {c}{i}" for i, k in enumerate(weights) for c, part in (("re", k.real), ("im", k.imag)))
+
+    def part(c: str, i: int, kind: str) -> str:
+        middle = len(weights[i]) // 2
+        first, last = f"greatest(1, p - {middle})", f"least(n, p + {len(weights[i]) - 1 - middle})"
+        return f"list_sum(list_transform(range({first}, {last} + 1), lambda j: {kind}{i}[j - p + {middle + 1}] * l{c}[j]))"
+
+    outs = [f"""{r(f"CAST(greatest(ln(power + 2.2250738585072014e-308), -3) AS FLOAT)").replace('power', f'({part(c, i, "re")} ^ 2 + {part(c, i, "im")} ^ 2)')} AS "W_{c.upper()}_f{i}\"""" for c in "xy" for i in range(len(weights))]
+    return f"""{WITH_TRACKS}, ke AS (SELECT {lists}), k AS (SELECT *, row_number() OVER ({WIN}) AS p, count(*) OVER (PARTITION BY grp, seq, id) AS n, list(x) OVER w AS lx, list(y) OVER w AS ly FROM t WINDOW w AS ({WIN} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT {ENTRY_SQL}, id, frame, {r('tm')} AS "time", {', '.join(outs)} FROM k, ke"""
+
+
+@query(_wavelet_sql())
+def track_wavelet(spark, sf_dir):
+    return kernels.pair_wavelet(_thin(tracks(spark, sf_dir)), ["X", "Y"], FPS, *_BANDS)
+
+
 @query()
 def pair_wavelet(spark, sf_dir):
     return kernels.pair_wavelet(pairs.pair_position(_thin(tracks(spark, sf_dir)).drop("time"), FPS), list(pairs.PAIR_FEATURES), FPS)
