@@ -13,7 +13,7 @@ from trackloom.joins import align
 from trackloom.ml import models, templates
 from trackloom.operators import groups, kinematics, neighbours, pairs, sampling, summaries
 from trackloom.plans import scope, values
-from trackloom.plans.catalog import Catalog, run_id
+from trackloom.plans.catalog import RUNS, Catalog, run_id
 from trackloom.plans.pipeline import Pipeline
 from trackloom.sources import conversion, readers, writers
 from trackloom.streaming import live
@@ -512,6 +512,44 @@ def test_delete_set_takes_what_drifted(spark, tmp_path):
     assert sorted(r["sequence"] for r in catalog.entries("d-1").collect()) == ["b", "c"]
 
 
+def test_lineage_has_no_depth_limit(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path))
+    # A chain of 200 runs, each of which also consumes the run before the last, so there are very many ways.
+    rows = [("f", f"r-{i}", "{}", [f"r-{j}" for j in (i - 1, i - 2) if j >= 0], "finished", float(i)) for i in range(200)]
+    catalog._append("runs", spark.createDataFrame(rows, RUNS).coalesce(1))
+    assert {r["run_id"]: r["distance"] for r in catalog.lineage("r-199").collect()} == {f"r-{i}": (200 - i) // 2 for i in range(199)}
+    assert {r["run_id"]: r["distance"] for r in catalog.reached_by("r-0").collect()} == {f"r-{i}": (i + 1) // 2 for i in range(1, 200)}
+    assert catalog.lineage("r-0").count() == 0
+
+
+def test_drift_far_down_the_chain_is_found(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path))
+    catalog._append("runs", spark.createDataFrame([("f", f"r-{i}", "{}", [f"r-{i - 1}"] if i else [], "finished", float(i)) for i in range(60)], RUNS).coalesce(1))
+    df = track(spark, [("g/1", s, 0, 0, 1.0, 1.0) for s in "ab"])
+    digests = lambda d: spark.createDataFrame([("g/1", s, d) for s in "ab"], "`group` string, sequence string, consumed string")
+    catalog.write("last", "r-60", df, {}, ["r-59"], digests("1"))
+    candidates, _ = catalog.delete_set("r-0", digests("2").where("sequence = 'b'"), apply=True)
+    assert [(r["run_id"], r["sequence"]) for r in candidates.collect()] == [("r-60", "b")]
+    assert [r["sequence"] for r in catalog.read("last", "r-60").collect()] == ["a"]
+
+
+def test_index_survives_a_writer_that_is_cut_off(spark, tmp_path):
+    path = f"{tmp_path}/index"
+    for v in (1, 2):
+        writers.write_index(spark.createDataFrame([(v,)], "v int"), path)
+        assert [r["v"] for r in writers.read_index(spark, path).collect()] == [str(v)]
+    assert not (tmp_path / "index.old").exists()
+    (tmp_path / "index").rename(tmp_path / "index.old")
+    assert [r["v"] for r in writers.read_index(spark, path).collect()] == ["2"]
+
+
+def test_last_event_of_a_frame_wins_and_repeats_of_pairs_do_not(spark):
+    df = track(spark, [("g", "s", 0, i, float(i), 0.0) for i in range(3)])
+    events = spark.createDataFrame([("g", "s", 1, 9, 1, 1, 2), ("g", "s", 1, 4, 2, 1, 2), ("g", "s", 1, 7, 3, 2, 1), ("g", "s", 2, 8, 4, 3, 1)], "`group` string, sequence string, frame long, label long, event long, id1 long, id2 long")
+    get = lambda **o: [r["labels-b"] for r in values.load_values([values.Values(df, "X"), values.Labels(events, "b", **o)]).orderBy("frame").collect()]
+    assert get() == [0, 4, 0] and get(symmetric=False) == [0, 7, 8]
+
+
 def test_pipeline_callbacks_and_cleaning(spark, tmp_path):
     df = track(spark, [("g", "s", 0, i, float(i), 0.0) for i in range(3)])
     seen = []

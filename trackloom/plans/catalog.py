@@ -116,36 +116,42 @@ class Catalog:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         self.record(feature, run, {}, [], "deleted")
 
+    def _reach(self, links: DataFrame, start: list[str]) -> dict[str, int]:
+        """Distance of every run that `links(source, target)` reach from `start`, however far it is. Links are followed level by
+        level; a run is followed once, so many ways to it cost no more than one. Only run ids of a level, of which there
+        are as many as a catalogue has runs, pass through the driver."""
+        links = links.select("source", "target").distinct().persist()
+        found, level, distance = {}, start, 0
+        while level:
+            distance += 1
+            here = self.spark.createDataFrame([(r,) for r in level], "source string")
+            level = [r["target"] for r in links.join(here, "source", "left_semi").select("target").distinct().collect() if r["target"] not in found]
+            found |= dict.fromkeys(level, distance)
+        links.unpersist()
+        return found
+
     def lineage(self, run: str) -> DataFrame:
-        """All runs that a run consumes, directly or not, with their distance."""
-        found = self.runs().select("run_id", F.explode("upstream").alias("up"))
-        level = found.where(F.col("run_id") == run).select(F.col("up").alias("run_id"), F.lit(1).alias("distance"))
-        out = level
-        for d in range(2, 50):
-            level = level.select("run_id").join(found, "run_id").select(F.col("up").alias("run_id"), F.lit(d).alias("distance")).distinct()
-            if level.isEmpty():
-                break
-            out = out.union(level)
-        return out.groupBy("run_id").agg(F.min("distance").alias("distance"))
+        """All runs that a run consumes, directly or not, with their least distance."""
+        links = self.runs().select(F.col("run_id").alias("source"), F.explode("upstream").alias("target"))
+        return self.spark.createDataFrame(list(self._reach(links, [run]).items()), "run_id string, distance int")
 
     def reached_by(self, run: str) -> DataFrame:
-        """All runs that consume a run, directly or not, with their distance."""
-        uses = self.runs().select("feature", "run_id", F.explode("upstream").alias("up"))
-        level = uses.where(F.col("up") == run).select("feature", "run_id", F.lit(1).alias("distance")).distinct()
-        out = level
-        for d in range(2, 50):
-            level = uses.join(level.select(F.col("run_id").alias("up")), "up").select("feature", "run_id", F.lit(d).alias("distance")).distinct()
-            if level.isEmpty():
-                break
-            out = out.union(level)
-        return out.groupBy("feature", "run_id").agg(F.min("distance").alias("distance"))
+        """All runs that consume a run, directly or not, with their least distance."""
+        links = self.runs().select(F.explode("upstream").alias("source"), F.col("run_id").alias("target"))
+        found = self.spark.createDataFrame(list(self._reach(links, [run]).items()), "run_id string, distance int")
+        return self.runs().join(found, "run_id").select("feature", "run_id", "distance")
+
+    def _folder(self, path: str, entry) -> str:
+        """The folder of an entry's rows below its run's path."""
+        part = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+        return "/".join([path, *[part(c, entry[c]) for c in ENTRY]])
 
     def delete_set(self, run: str, current: DataFrame, apply: bool = False) -> tuple[DataFrame, DataFrame]:
         """What a change of a run's entries makes wrong: (candidates, declined), each an entry of a run that consumes it.
 
         `current(group, sequence, consumed)` are the changed entries with the digest of what they would consume now. An
         entry is a candidate where its recorded digest differs, and declined where nothing was recorded, as that shows
-        no change. With `apply` the candidates' files go, and they count as not written.
+        no change. With `apply` the candidates' folders go, and they count as not written.
         """
         now = current.select(*ENTRY, F.col("consumed").alias("now"))
         written = self.entries().join(self.reached_by(run).select("feature", "run_id"), "run_id").join(now, ENTRY)
@@ -153,13 +159,13 @@ class Catalog:
         declined = written.where("consumed is null or now is null").select(*columns)
         candidates = written.where("consumed <> now").select(*columns)
         if apply:
-            candidates = gone = self.spark.createDataFrame(candidates.toArrow(), candidates.schema)
-            for r in gone.select("path").distinct().collect():  # one path a run
-                own = gone.where(F.col("path") == r["path"]).select(*ENTRY)
-                files = self.spark.read.parquet(r["path"]).withColumns({c: F.col(c).cast("string") for c in ENTRY}).join(own, ENTRY, "left_semi")
-                for f in files.select(F.input_file_name().alias("file")).distinct().collect():
-                    path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f["file"])
-                    path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+            # Written first, as what is to go must not depend on what has gone; it stays as the record of the deletion.
+            log = f"{self.root}/deletions/{time.time_ns()}"
+            candidates.write.parquet(log)
+            candidates = gone = self.spark.read.schema(candidates.schema).parquet(log)
+            for r in gone.select("path", *ENTRY).distinct().toLocalIterator():
+                path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._folder(r["path"], r))
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
             marks = gone.select("run_id", *ENTRY, F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("n_rows"), F.lit(None).cast("string").alias("consumed"), F.lit(time.time()).alias("at"))
             self._append("entries", marks)
         return candidates, declined

@@ -23,10 +23,22 @@ class Values:
 
 @dataclass
 class Labels:
-    """Per-frame labels `table(group, sequence, frame, label)`, named `labels-<kind>`; 0 where a frame has none."""
+    """Events `table(group, sequence, frame, label)`, a label for each frame, named `labels-<kind>`; 0 where a frame has none.
+
+    Of several events of a frame the last counts, in the order of column `event` if there is one, else of the rows' ids
+    and labels. Events of pairs have id1 and id2; those with id1 > id2 are taken for repeats of the other order unless
+    `symmetric` is false.
+    """
 
     table: DataFrame
     kind: str
+    symmetric: bool = True
+
+    def per_frame(self, on: list[str]) -> DataFrame:
+        pair = {"id1", "id2"} <= set(self.table.columns)
+        events = self.table.where("id1 <= id2") if pair and self.symmetric else self.table
+        order = F.struct(*[c for c in ("event", "id1", "id2", "label") if c in self.table.columns])
+        return events.groupBy(*on).agg(F.max_by("label", order).alias("_label"))
 
 
 def column_names(names: list[str]) -> list[str]:
@@ -61,7 +73,6 @@ def load_values(sources: list[Values | Labels], groups=None, sequences=None, ent
     for s, name in zip(sources, names):
         if isinstance(s, Labels):
             on = [c for c in (*ENTRY, FRAME) if c in out.columns and c in s.table.columns]
-            per_frame = s.table.groupBy(*on).agg(F.max("label").alias("_label"))
-            out = out.join(per_frame, on, "left").withColumn(name, F.coalesce("_label", F.lit(0))).drop("_label")
+            out = out.join(s.per_frame(on), on, "left").withColumn(name, F.coalesce("_label", F.lit(0))).drop("_label")
     keys = [c for c in (*ENTRY, *ALIGN) if c in out.columns]
     return out.select(*keys, *[F.col(f"`{n}`") for n in names])

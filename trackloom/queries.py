@@ -779,11 +779,12 @@ def variable_lag_response(spark, sf_dir):
     return kinematics.nn_delta_response(t, 2, FPS, lag_column="lag").select("group", "sequence", "id", "frame", "dx", "dy", "dt", "dangle", "dspeed")
 
 
-@query(f"""{_SPEED}, e AS (SELECT grp, seq, frame, max(id) AS label FROM t WHERE y > 60 GROUP BY grp, seq, frame)
+@query(f"""{_SPEED}, e AS (SELECT grp, seq, frame, arg_max(event_id % 4, event_id) AS label FROM t WHERE y > 30 AND id <= (id + 1) % 8 GROUP BY grp, seq, frame)
 SELECT s.grp AS "group", s.seq AS "sequence", s.id, s.frame, {r('s.tm')} AS "time", {r('s.x')} AS "X", {r('s.speed')} AS "speed", {r('s.x')} AS "X-1", coalesce(label, 0) AS "labels-high" FROM s LEFT JOIN e USING (grp, seq, frame) WHERE s.frame >= 1 AND s.frame < 4""")
 def loaded_values(spark, sf_dir):
     t = _thin(tracks(spark, sf_dir))
-    events = tracks(spark, sf_dir).where("Y > 60").select("group", "sequence", "frame", F.col("id").alias("label"))
+    ids = F.col("id").alias("id1"), ((F.col("id") + 1) % 8).alias("id2")
+    events = tracks(spark, sf_dir).where("Y > 30").select("group", "sequence", "frame", (F.col("event_id") % 4).alias("label"), F.col("event_id").alias("event"), *ids)
     speed = kinematics.speed_angvel(t, fps=FPS)
     sources = [values.Values(t, "X"), values.Values(speed, "speed"), values.Values(t, "X"), values.Labels(events, "high")]
     return values.load_values(sources, fps=FPS, start_frame=1, end_time=4 / FPS)

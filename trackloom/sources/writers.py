@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,15 +30,26 @@ def append_index(old: DataFrame | None, new: DataFrame, keys: list[str]) -> Data
 
 
 def write_index(df: DataFrame, path: str) -> None:
-    """A CSV index: written beside the old one, which it replaces once it is whole."""
+    """A CSV index: written beside the old one, which steps aside as `<path>.old` and goes once the new one is in place.
+    A writer that is cut off in between leaves one of them whole, which `read_index` finds."""
     spark = df.sparkSession
     new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     df.write.csv(new, header=True)
     to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    old = to_path(path)
-    system = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    system.delete(old, True)
-    system.rename(to_path(new), old)
+    here, aside = to_path(path), to_path(f"{path.rstrip('/')}.old")
+    system = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(here):
+        system.delete(aside, True)
+        system.rename(here, aside)
+    system.rename(to_path(new), here)
+    system.delete(aside, True)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index, or the one before it if a writer was cut off."""
+    here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(here)
+    return spark.read.csv(path if there else f"{path.rstrip('/')}.old", header=True)
 
 
 def npz_entries(df: DataFrame, columns: list[str]) -> DataFrame:
