@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..columns import ENTRY, FRAME, ID, feature_columns
+from .arhmm import arhmm_decode, arhmm_fit
 
 #: Standard deviations of a cell's count that expected agreement is summed over.
 SPREAD = 12
@@ -405,114 +406,6 @@ def report(predicted: DataFrame, label: str = "label", prediction: str = "predic
     return out.select("label", "precision", "recall", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)).alias("f1"), "support")
 
 
-# ---- autoregressive hidden Markov model
-
-
-def _emissions(x: np.ndarray, weights: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    inputs, y = np.hstack([x[:-1], np.ones((len(x) - 1, 1))]), x[1:]
-    out = np.empty((len(y), len(weights)))
-    for k, (w, c) in enumerate(zip(weights, cov)):
-        e = y - inputs @ w
-        chol = np.linalg.cholesky(c)
-        z = np.linalg.solve(chol, e.T)
-        out[:, k] = -0.5 * (z * z).sum(0) - np.log(np.diag(chol)).sum() - 0.5 * y.shape[1] * math.log(2 * math.pi)
-    return out
-
-
-def _expect(x: np.ndarray, model: dict) -> dict:
-    """Sufficient statistics of one sequence."""
-    log_e = _emissions(x, model["weights"], model["cov"])
-    top = log_e.max(1, keepdims=True)
-    e, a, start = np.exp(log_e - top), model["transition"], model["start"]
-    n, k = e.shape
-    f, c = np.empty((n, k)), np.empty(n)
-    for t in range(n):
-        f[t] = (start if t == 0 else f[t - 1] @ a) * e[t]
-        c[t] = max(f[t].sum(), 1e-300)
-        f[t] /= c[t]
-    b = np.ones((n, k))
-    xi = np.zeros((k, k))
-    for t in range(n - 2, -1, -1):
-        step = e[t + 1] * b[t + 1] / c[t + 1]
-        xi += f[t][:, None] * a * step[None]
-        b[t] = a @ step
-    g = f * b
-    g /= g.sum(1, keepdims=True)
-    inputs, y = np.hstack([x[:-1], np.ones((n, 1))]), x[1:]
-    return {"start": g[0], "xi": xi, "mass": g.sum(0), "xx": np.einsum("tk,ti,tj->kij", g, inputs, inputs), "xy": np.einsum("tk,ti,tj->kij", g, inputs, y), "yy": np.einsum("tk,ti,tj->kij", g, y, y), "ll": float((np.log(c) + top[:, 0]).sum())}
-
-
-def arhmm_fit(df: DataFrame, columns: list[str], states: int, rounds: int = 20, sticky: float = 10.0, seed: int = 0, tolerance: float = 1e-4) -> dict:
-    """EM over all tracks: each round's E step runs per individual of a sequence on the executors and returns
-    sufficient statistics, summed there by partition; the M step is a few small regressions on the driver."""
-    d = len(columns)
-    rng = np.random.default_rng(seed)
-    r = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    mean, scale = np.array([r[f"m_{c}"] for c in columns]), np.array([r[f"s_{c}"] or 1.0 for c in columns])
-    model = {"weights": np.vstack([np.eye(d), np.zeros((1, d))])[None].repeat(states, 0) + rng.normal(scale=0.1, size=(states, d + 1, d)), "cov": np.eye(d)[None].repeat(states, 0), "start": np.full(states, 1 / states), "mean": mean, "scale": scale}
-    model["transition"] = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
-    keys = [c for c in ("group", "sequence", "id") if c in df.columns]
-    shapes = {"start": (states,), "xi": (states, states), "mass": (states,), "xx": (states, d + 1, d + 1), "xy": (states, d + 1, d), "yy": (states, d, d), "ll": ()}
-    last = -math.inf
-    for _ in range(rounds):
-        current = {k: v.copy() for k, v in model.items()}
-
-        def step(own: pd.DataFrame) -> pd.DataFrame:
-            x = own.sort_values("frame")[columns].dropna().to_numpy(float)
-            if len(x) < 3:
-                return pd.DataFrame({"i": pd.Series([], dtype="int64"), "v": pd.Series([], dtype="float64")})
-            s = _expect((x - mean) / scale, current)
-            flat = np.concatenate([np.ravel(s[k]) for k in shapes])
-            return pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
-
-        table = df.select(*keys, "frame", *columns).groupBy(*keys).applyInPandas(step, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()
-        flat, at, s = table["v"].to_numpy(), 0, {}
-        for k, shape in shapes.items():
-            size = int(np.prod(shape))
-            s[k] = flat[at : at + size].reshape(shape)
-            at += size
-        for k in range(states):
-            xx = s["xx"][k] + 1e-6 * np.eye(d + 1)
-            w = np.linalg.solve(xx, s["xy"][k])
-            c = (s["yy"][k] - w.T @ s["xy"][k] - s["xy"][k].T @ w + w.T @ s["xx"][k] @ w) / max(s["mass"][k], 1e-9)
-            model["weights"][k], model["cov"][k] = w, (c + c.T) / 2 + 1e-4 * np.eye(d)
-        a = s["xi"] + 1e-10 + sticky * np.eye(states)
-        model["transition"], model["start"] = a / a.sum(1, keepdims=True), (s["start"] + 1e-10) / (s["start"] + 1e-10).sum()
-        if abs(float(s["ll"]) - last) <= tolerance * max(1.0, abs(last)):
-            break
-        last = float(s["ll"])
-    keep = np.flatnonzero(s["mass"] > 1e-3 * s["mass"].sum())
-    model["weights"], model["cov"], model["start"] = model["weights"][keep], model["cov"][keep], model["start"][keep] / model["start"][keep].sum()
-    a = model["transition"][np.ix_(keep, keep)]
-    model["transition"] = a / a.sum(1, keepdims=True)
-    return model
-
-
-def arhmm_decode(df: DataFrame, columns: list[str], model: dict) -> DataFrame:
-    """The most likely state (`syllable`) of each row; the first row of a track takes the first decoded state."""
-    keys = [f for f in df.schema if f.name in ("group", "sequence", "id", "frame")]
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("frame").dropna(subset=columns)
-        x = (own[columns].to_numpy(float) - model["mean"]) / model["scale"]
-        if len(x) < 2:
-            return own[[k.name for k in keys]].assign(syllable=np.int32(0))
-        e, a = _emissions(x, model["weights"], model["cov"]), np.log(model["transition"])
-        best, back = np.log(model["start"]) + e[0], []
-        for t in range(1, len(e)):
-            to = best[:, None] + a
-            back.append(to.argmax(0))
-            best = to.max(0) + e[t]
-        path = [int(best.argmax())]
-        for p in reversed(back):
-            path.append(int(p[path[-1]]))
-        path = path[::-1]
-        return own[[k.name for k in keys]].assign(syllable=np.array([path[0], *path], np.int32))
-
-    by = [k.name for k in keys if k.name != "frame"]
-    return df.select(*[k.name for k in keys], *columns).groupBy(*by).applyInPandas(run, T.StructType(keys + [T.StructField("syllable", T.IntegerType())]))
-
-
 # ---- t-SNE
 
 
