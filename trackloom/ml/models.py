@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..columns import ENTRY, FRAME, ID, feature_columns
 from .arhmm import arhmm_decode, arhmm_fit
+from .tsne import tsne, tsne_map
 
 #: Standard deviations of a cell's count that expected agreement is summed over.
 SPREAD = 12
@@ -404,59 +405,3 @@ def report(predicted: DataFrame, label: str = "label", prediction: str = "predic
     precision, recall = (F.coalesce(F.try_divide(F.col("hit"), F.col(c)), F.lit(0.0)) for c in ("said", "support"))
     out = sums.select("label", precision.alias("precision"), recall.alias("recall"), "support")
     return out.select("label", "precision", "recall", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)).alias("f1"), "support")
-
-
-# ---- t-SNE
-
-
-def tsne(points: np.ndarray, perplexity: float = 30.0, rounds: int = 500, seed: int = 0) -> np.ndarray:
-    """Exact t-SNE of a template pool in two dimensions, from its principal components."""
-    n = len(points)
-    if n < 3:
-        return np.zeros((n, 2))
-    x = points - points.mean(0)
-    d = ((x[:, None] - x[None]) ** 2).sum(2)
-    p = np.zeros((n, n))
-    goal = math.log(min(perplexity, (n - 1) / 3))
-    for i in range(n):
-        low, high, beta = 0.0, math.inf, 1.0
-        own = np.delete(d[i], i)
-        for _ in range(60):
-            w = np.exp(-(own - own.min()) * beta)
-            s = w.sum()
-            h = math.log(s) + beta * ((own - own.min()) * w).sum() / s
-            low, high = (beta, high) if h > goal else (low, beta)
-            beta = (low + high) / 2 if high < math.inf else beta * 2
-        p[i, np.arange(n) != i] = w / s
-    p = np.maximum((p + p.T) / (2 * n), 1e-12)
-    _, _, vt = np.linalg.svd(x, full_matrices=False)
-    y = x @ vt[:2].T if vt.shape[0] > 1 else np.hstack([x, np.zeros((n, 1))])
-    y = y / max(y[:, 0].std(), 1e-12) * 1e-4 + np.random.default_rng(seed).normal(scale=1e-6, size=y.shape)
-    move, gain = np.zeros_like(y), np.ones_like(y)
-    for t in range(rounds):
-        q = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(2))
-        np.fill_diagonal(q, 0)
-        f = ((12.0 if t < rounds // 4 else 1.0) * p - q / q.sum()) * q
-        grad = 4 * (f.sum(1)[:, None] * y - f @ y)
-        gain = np.maximum(np.where(np.sign(grad) != np.sign(move), gain + 0.2, gain * 0.8), 0.01)
-        move = (0.5 if t < rounds // 4 else 0.8) * move - max(50.0, n / 12) * gain * grad
-        y = y + move
-    return y - y.mean(0)
-
-
-def tsne_map(df: DataFrame, columns: list[str], templates: np.ndarray, embedded: np.ndarray, k: int = 10) -> DataFrame:
-    """Adds tsne_x and tsne_y: the mean of the k nearest templates' places, weighted by nearness. The templates are a
-    bounded pool, so they go to every task."""
-
-    @F.pandas_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
-    def place(rows: pd.Series) -> pd.DataFrame:
-        x = np.stack(rows.to_list()) if len(rows) else np.zeros((0, len(columns)))
-        d = ((x[:, None] - templates[None]) ** 2).sum(2)
-        near = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
-        dist = np.take_along_axis(d, near, 1)
-        w = np.exp(-dist / np.maximum(dist.mean(1, keepdims=True), 1e-12))
-        at = (embedded[near] * w[:, :, None]).sum(1) / w.sum(1, keepdims=True)
-        return pd.DataFrame(at, columns=["x", "y"])
-
-    out = finite(df, columns).withColumn("_at", place(F.array(*[F.col(c).cast("double") for c in columns])))
-    return out.withColumns({"tsne_x": F.col("_at.x"), "tsne_y": F.col("_at.y")}).drop("_at")

@@ -603,6 +603,15 @@ def ward_clusters(spark, sf_dir):
     return models.nearest_centroid(wide, _FEATURES, models.ward(pool.select(*_FEATURES).toPandas().to_numpy(), 6)[1]).select("vec_id", "cluster")
 
 
+@query()
+def tsne_places(spark, sf_dir):
+    """The map is of a pool of 2,000 templates at most, drawn by label; all rows get their place on it."""
+    wide = _wide(spark, sf_dir)
+    pool = templates.extract_templates(wide.withColumns({"group": F.lit("all"), "sequence": F.col("label").cast("string")}), 2_000, _FEATURES)
+    points = pool.select(*_FEATURES).toPandas().to_numpy()
+    return models.tsne_map(wide, _FEATURES, points, models.tsne(points, 20.0)).select("vec_id", "label", "tsne_x", "tsne_y")
+
+
 @query(f"""{_NEAR}, n AS (SELECT label, cluster, count(*)::DOUBLE AS n FROM c GROUP BY ALL), a AS (SELECT label, sum(n) AS n FROM n GROUP BY label), b AS (SELECT cluster, sum(n) AS n FROM n GROUP BY cluster), t AS (SELECT sum(n) AS n FROM n),
 h AS (SELECT (SELECT -sum(a.n / t.n * ln(a.n / t.n)) FROM a, t) AS ha, (SELECT -sum(b.n / t.n * ln(b.n / t.n)) FROM b, t) AS hb, (SELECT sum(n.n / t.n * ln(t.n * n.n / (a.n * b.n))) FROM n JOIN a USING (label) JOIN b USING (cluster), t) AS mi,
   (SELECT sum(n * (n - 1) / 2) FROM n) AS pn, (SELECT sum(n * (n - 1) / 2) FROM a) AS pa, (SELECT sum(n * (n - 1) / 2) FROM b) AS pb, (SELECT n * (n - 1) / 2 FROM t) AS pt, (SELECT sum(m) FROM (SELECT max(n) AS m FROM n GROUP BY label)) AS top, (SELECT n FROM t) AS n),
