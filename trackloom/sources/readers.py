@@ -69,6 +69,57 @@ def deeplabcut_csv(spark: SparkSession, path: str, group: str, sequence: str, fp
     return out.withColumns({"group": F.lit(group), "sequence": F.lit(sequence), "time": F.col(FRAME) / F.lit(fps), "X": mean(x), "Y": mean(y)})
 
 
+def deeplabcut_parser(points: int, fps: float = 30.0) -> tuple[T.StructType, Callable[[str, bytes], Iterator[pd.DataFrame]]]:
+    """Schema and parser of files as `deeplabcut_csv` reads them, for batch conversion: `points` body parts, in the order in
+    which a file names them first; parts that a file lacks are missing, and a file of more parts is an error."""
+    values = ["X", "Y", *[f"pose{a}{i}" for i in range(points) for a in "XYP"]]
+    schema = T.StructType([T.StructField(ID, T.LongType()), T.StructField(FRAME, T.LongType()), T.StructField("time", T.DoubleType()), *[T.StructField(v, T.DoubleType()) for v in values]])
+    kind = {"x": "X", "y": "Y", "likelihood": "P"}
+
+    def parse(name: str, content: bytes) -> Iterator[pd.DataFrame]:
+        lines = content.decode("utf-8-sig").splitlines()
+        several = lines[1].split(",")[0] == "individuals"
+        head = [line.split(",")[1:] for line in lines[1 : 4 if several else 3]]
+        who, part, coord = head if several else (["0"] * len(head[0]), *head)
+        parts, whose = list(dict.fromkeys(part)), list(dict.fromkeys(who))
+        if len(parts) > points:
+            raise ValueError(f"{len(parts)} body parts, {points} expected")
+        body = pd.read_csv(io.StringIO("\n".join(lines[4 if several else 3 :])), header=None)
+        body = body[pd.to_numeric(body[0], errors="coerce").notna()]
+        frames = body[0].astype(np.int64).to_numpy()
+        for i, w in enumerate(whose):
+            out = {f"pose{a}{p}": np.full(len(body), np.nan) for p in range(points) for a in "XYP"}
+            for c, (x, p, k) in enumerate(zip(who, part, coord)):
+                if x == w and k in kind:
+                    out[f"pose{kind[k]}{parts.index(p)}"] = pd.to_numeric(body[c + 1], errors="coerce").to_numpy(float)
+            centre = {a: pd.DataFrame({p: out[f"pose{a}{p}"] for p in range(points)}).mean(axis=1).to_numpy() for a in "XY"}
+            yield pd.DataFrame({ID: i, FRAME: frames, "time": frames / fps, **centre, **out})
+
+    return schema, parse
+
+
+def ultralytics_parser(points: int = 0, fps: float = 30.0) -> tuple[T.StructType, Callable[[str, bytes], Iterator[pd.DataFrame]]]:
+    """Schema and parser of one sequence's Parquet file of detections, by the rules of `ultralytics`."""
+    values = ["X", "Y", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2", "conf", *[f"pose{a}{i}" for i in range(points) for a in "XYP"]]
+    schema = T.StructType([T.StructField(ID, T.LongType()), T.StructField(FRAME, T.LongType()), T.StructField("time", T.DoubleType()), *[T.StructField(v, T.DoubleType()) for v in values], T.StructField("cls", T.LongType())])
+
+    def parse(name: str, content: bytes) -> Iterator[pd.DataFrame]:
+        rows = pd.read_parquet(io.BytesIO(content))
+        rows = rows[rows["track_id"].notna()].reset_index(drop=True)
+        get = lambda c: rows[c].to_numpy(float) if c in rows else np.full(len(rows), np.nan)
+        out = {f"bbox_{c}": get(c) for c in ("x1", "y1", "x2", "y2")} | {"conf": get("conf")}
+        out |= {f"pose{a}{i}": get(f"kp{a.lower()}{i}") for i in range(points) for a in "XYP"}
+        for a in "XY":
+            middle = (out[f"bbox_{a.lower()}1"] + out[f"bbox_{a.lower()}2"]) / 2
+            own = pd.DataFrame({i: out[f"pose{a}{i}"] for i in range(points)}, index=rows.index).mean(axis=1).to_numpy(float) if points else np.full(len(rows), np.nan)
+            out[a] = np.where(np.isnan(own), middle, own)
+        frames = rows["frame"].to_numpy(np.int64)
+        dense = rows["track_id"].rank(method="dense").astype(np.int64).to_numpy() - 1
+        yield pd.DataFrame({ID: dense, FRAME: frames, "time": frames / fps, **out, "cls": pd.array(rows["cls"] if "cls" in rows else [None] * len(rows), dtype="Int64")})
+
+    return schema, parse
+
+
 def _head(spark: SparkSession, path: str, lines: int) -> list[str]:
     """The first lines of one file."""
     jvm = spark.sparkContext._jvm
