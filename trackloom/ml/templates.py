@@ -35,15 +35,37 @@ def _drawn(seed: int, columns: list[str], df: DataFrame):
     return F.xxhash64(F.lit(seed), *columns, *[c for c in ("frame", "id") if c in df.columns])
 
 
-def extract_templates(df: DataFrame, pool: int, columns: list[str] | None = None, seed: int = 0, most_share: float = 1.0) -> DataFrame:
+def extract_templates(df: DataFrame, pool: int, columns: list[str] | None = None, seed: int = 0, most_share: float = 1.0, strategy: str = "random", templates: int | None = None) -> DataFrame:
     """About `pool` rows, shared among entries in proportion to their complete rows, in an order that depends on the
-    seed and the rows' values only. Quotas and rows stay on the executors."""
+    seed and the rows' values only. Quotas and rows stay on the executors.
+
+    `farthest_first` then keeps `templates` rows of the pool, each the farthest from those before: every entry's part of
+    the pool is thinned to that many in a task of its own, and the last choice is among what these keep. The pool is
+    bounded, so one task can hold it.
+    """
+    if strategy not in ("random", "farthest_first"):
+        raise ValueError(f"no strategy {strategy!r}")
     columns = columns or feature_columns(df)
     complete = _complete(df, columns)
-    table = with_quotas(complete.groupBy(*ENTRY).agg(F.count("*").alias("n")), pool, most_share).select(*ENTRY, "quota")
-    order = Window.partitionBy(*ENTRY).orderBy(_drawn(seed, columns, df))
-    picked = complete.join(table, ENTRY).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("quota"))
-    return picked.select(*[c for c in (*ENTRY, "frame", "id") if c in df.columns], *columns)
+    counts = with_quotas(complete.groupBy(*ENTRY).agg(F.count("*").alias("n")), pool, most_share)
+    # Row numbers are uniform hashes, so the first `quota` of them lie below this share of all but for a chance of 1e-20; what
+    # lies above never leaves its task.
+    share = (F.col("quota") + 10 * F.sqrt(F.col("quota")) + 60) / F.greatest(F.col("n"), F.lit(1))
+    at = F.shiftrightunsigned(F.col("_h"), 11) / F.lit(float(1 << 53))
+    near = complete.withColumn("_h", _drawn(seed, columns, df)).join(counts.withColumn("_share", share).select(*ENTRY, "quota", "_share"), ENTRY).where(at < F.col("_share"))
+    order = Window.partitionBy(*ENTRY).orderBy(at, *[c for c in ("frame", "id") if c in df.columns])
+    picked = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("quota"))
+    picked = picked.select(*[c for c in (*ENTRY, "frame", "id") if c in df.columns], *columns)
+    if strategy == "random":
+        return picked if templates is None else picked.orderBy(_drawn(seed, columns, df)).limit(templates)
+    if templates is None:
+        raise ValueError("farthest_first needs a number of templates")
+
+    def spread(own):
+        own = own.sort_values([c for c in (*ENTRY, "frame", "id") if c in own.columns], kind="stable")
+        return own.iloc[farthest_first(own[columns].to_numpy(float), templates, seed)]
+
+    return picked.groupBy(*ENTRY).applyInPandas(spread, picked.schema).groupBy().applyInPandas(spread, picked.schema)
 
 
 def provenance(templates: DataFrame) -> DataFrame:

@@ -63,6 +63,21 @@ def social_motion_summary(df: DataFrame, fps: float = 30.0, speed: str = "speed"
     return df.groupBy(*entry, ID).agg(*[v.alias(k) for k, v in aggs.items()])
 
 
+def quantile_category(df: DataFrame, source: str, output: str, quantile: float = 0.75, above: bool = True, accuracy: int | None = None) -> DataFrame:
+    """Adds `output`: whether a row's `source` is above (or not above) its entry's quantile; false where it is missing.
+
+    The quantile is exact, interpolated between values. With `accuracy` it is that of a mergeable sketch, whose size does
+    not grow with the entry: a value whose rank is off by 1 / accuracy of the rows at most.
+    """
+    entry = [c for c in ENTRY if c in df.columns]
+    known = F.col(source).cast("double")
+    known = F.when(~F.isnan(known), known)
+    edge = F.percentile(known, F.lit(quantile)) if accuracy is None else F.percentile_approx(known, quantile, accuracy)
+    edges = df.groupBy(*entry).agg(edge.alias("_edge"))
+    side = known > F.col("_edge") if above else known <= F.col("_edge")
+    return df.join(edges, entry).withColumn(output, F.coalesce(side, F.lit(False))).drop("_edge")
+
+
 def _bin(v: Column, low: float, width: float, bins: int, closed: bool) -> Column:
     """Number of the bin, null outside; `closed` puts the right edge into the last bin."""
     i = F.floor((v - low) / width).cast("int")

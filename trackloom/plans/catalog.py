@@ -61,6 +61,14 @@ class Catalog:
         row = (feature, run, json.dumps(params, sort_keys=True), upstream, status, time.time())
         self._append("runs", self.spark.createDataFrame([row], RUNS).coalesce(1))
 
+    def note(self, event: dict) -> None:
+        """Adds an event of a step to the log, as a line of JSON."""
+        self.spark.createDataFrame([(json.dumps(event, sort_keys=True),)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/log")
+
+    def events(self) -> DataFrame:
+        """The log: step, run_id, did, error, seconds, at; from the oldest on."""
+        return self.spark.read.schema("step string, run_id string, did string, error string, seconds double, at double").json(f"{self.root}/log").orderBy("at")
+
     def resolve(self, feature: str, run: str | None = None) -> str:
         """The run that a reference means: the named one; else the only run that no other consumes, where runs of the
         feature consume one another; else the newest finished one, else the newest."""

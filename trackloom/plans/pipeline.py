@@ -4,10 +4,11 @@ it is marked so, and is then reused while its description stays the same."""
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Catalog, run_id
@@ -93,16 +94,44 @@ class Pipeline:
         status = self.status(scope)
         out = {"tracks": tracks}
         for s in self.steps.values():
-            began = time.time()
             ident = self.run_id(s.name, scope)
-            if s.materialise and status[s.name] == "cached" and s.name not in forced:
-                out[s.name], did = self.catalog.read(s.name, ident), "read"
-            else:
-                df, did = s.operator(*[out[i] for i in s.inputs], **s.params), "called" if s.callback else "planned"
+            with self._job(s, ident, tracks.sparkSession) as did:
+                if s.materialise and status[s.name] == "cached" and s.name not in forced:
+                    out[s.name], did["did"] = self.catalog.read(s.name, ident), "read"
+                    continue
+                df, did["did"] = s.operator(*[out[i] for i in s.inputs], **s.params), "called" if s.callback else "planned"
                 df = out[s.inputs[0]] if df is None and s.callback else df
                 if s.materialise:
                     upstream = [self.run_id(i, scope) for i in s.inputs if i != "tracks"]
-                    df, did = self.catalog.write(s.name, ident, df, s.params, upstream), "written"
+                    df, did["did"] = self.catalog.write(s.name, ident, df, s.params, upstream), "written"
                 out[s.name] = df
-            self.log.append({"step": s.name, "run_id": ident, "did": did, "seconds": time.time() - began})
         return out
+
+    def tag(self, name: str, scope: list | None = None) -> str:
+        """The tag of all Spark jobs of a step."""
+        return f"trackloom.{name}.{self.run_id(name, scope)}"
+
+    def cancel(self, spark: SparkSession, name: str | None = None, scope: list | None = None) -> None:
+        """Stops the running jobs of a step, or of all, from any thread. What a step had begun to write is never
+        committed, and its run counts as failed."""
+        for step in [name] if name else list(self.steps):
+            spark.sparkContext.cancelJobsWithTag(self.tag(step, scope))
+
+    @contextmanager
+    def _job(self, s: Step, ident: str, spark: SparkSession) -> Iterator[dict]:
+        """Tags the step's jobs and notes what became of it, in `log` and, with a catalogue, in its table of events."""
+        note, began, tag = {"step": s.name, "run_id": ident, "did": "failed", "error": None}, time.time(), f"trackloom.{s.name}.{ident}"
+        spark.sparkContext.addJobTag(tag)
+        try:
+            yield note
+        except Exception as e:
+            note |= {"did": "failed", "error": f"{type(e).__name__}: {e}"[:2_000]}
+            if s.materialise:
+                self.catalog.record(s.name, ident, s.params, [], "failed")
+            raise
+        finally:
+            spark.sparkContext.removeJobTag(tag)
+            note["seconds"] = time.time() - began
+            self.log.append(note)
+            if self.catalog is not None:
+                self.catalog.note(note | {"at": began})

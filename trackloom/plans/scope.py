@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import ENTRY, GROUP, SEQUENCE, level_names, order_column
+from ..joins import align
 
 #: A list of entries up to this long becomes a filter that prunes partitions; a longer one is joined.
 INLINE = 1_000
@@ -74,6 +75,26 @@ def with_overlap(df: DataFrame, frames: int) -> DataFrame:
     return out
 
 
+def manifest(tables: list[DataFrame], frames: int = 0, groups: list[str] | None = None, sequences: list[str] | None = None, entries: list[tuple[str, str]] | None = None, where: str | None = None, allow_mixed: bool = False) -> DataFrame:
+    """The rows of several tables side by side (see `joins.align`), of the chosen entries, with the neighbouring sequences'
+    edge rows around each.
+
+    The selection and the SQL condition `where` reach every table that has the columns; neighbours that aren't chosen lend
+    no rows. `origin` is the sequence that a row comes from, as frames of neighbours may be equal, and `is_core` tells own
+    rows. An operator runs over the whole, and `core` trims what it returns.
+    """
+    chosen = [in_scope(df, groups, sequences, entries) for df in tables]
+    both = align(chosen, check=not allow_mixed, allow_mixed=allow_mixed)
+    both = both.where(where) if where else both
+    return with_overlap(both.withColumn("origin", F.col(SEQUENCE)), frames)
+
+
+def core_bounds(df: DataFrame) -> DataFrame:
+    """(group, sequence, core_start, core_end): where an entry's own rows begin and end among all of a manifest's."""
+    before = F.count(F.when(~F.col("is_core") & (F.col("origin") < F.col(SEQUENCE)), 1))
+    return df.groupBy(*ENTRY).agg(before.alias("core_start"), (before + F.count(F.when(F.col("is_core"), 1))).alias("core_end"))
+
+
 def core(df: DataFrame) -> DataFrame:
     return df.where("is_core").drop("is_core")
 
