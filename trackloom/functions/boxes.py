@@ -36,24 +36,28 @@ def keypoint_boxes(df: DataFrame, width: float, height: float, method: str = "ti
     known = [F.col(x).isNotNull() & F.col(y).isNotNull() for x, y in points]
     axis = lambda i: [F.when(k, F.col(p[i])) for k, p in zip(known, points)]
     least, most = (lambda c: F.least(*c) if len(c) > 1 else c[0]), (lambda c: F.greatest(*c) if len(c) > 1 else c[0])
-    low, high = [least(axis(i)) for i in (0, 1)], [most(axis(i)) for i in (0, 1)]
-    extent = [b - a for a, b in zip(low, high)]
-    end = lambda i: [F.when(known[i], F.col(c)) for c in points[i]]
-    body = F.hypot(*extent)
+    # Steps are columns of their own, so that their expressions aren't repeated in what follows.
+    steps = [{f"_{s}{i}": f(axis(i)) for s, f in (("low", least), ("high", most)) for i in (0, 1)}]
+    steps.append({f"_extent{i}": F.col(f"_high{i}") - F.col(f"_low{i}") for i in (0, 1)})
+    steps.append({"_body": F.hypot("_extent0", "_extent1")})
     if head is not None and tail is not None:
-        (hx, hy), (tx, ty) = end(head), end(tail)
-        length = F.hypot(hx - tx, hy - ty)
-        body = F.coalesce(F.when(length > 0, length), body)
+        end = lambda i, a: F.when(known[i], F.col(points[i][a]))
+        steps.insert(0, {f"_{n}{a}": end(i, a) for n, i in (("head", head), ("tail", tail)) for a in (0, 1)})
+        steps.insert(1, {"_length": F.hypot(F.col("_head0") - F.col("_tail0"), F.col("_head1") - F.col("_tail1"))})
+        steps.append({"_body": F.coalesce(F.when(F.col("_length") > 0, F.col("_length")), F.col("_body"))})
     if method == "tight":
-        pads = [e * margin for e in extent]
+        steps.append({f"_pad{i}": F.col(f"_extent{i}") * margin for i in (0, 1)})
     else:
-        pads = [F.greatest(body * body_share, F.lit(float(least_pad)))] * 2
-    boxes = _shares(tuple(a - p for a, p in zip(low, pads)), tuple(b + p for b, p in zip(high, pads)), (width, height))
+        steps.append({f"_pad{i}": F.greatest(F.col("_body") * body_share, F.lit(float(least_pad))) for i in (0, 1)})
+    shares = _shares(*(tuple(F.col(f"_{s}{i}") + sign * F.col(f"_pad{i}") for i in (0, 1)) for s, sign in (("low", -1), ("high", 1))), (width, height))
+    steps.append(dict(zip(BOX, shares)))
     if method == "oriented":
-        ux, uy = (hx - tx) / length, (hy - ty) / length
-        corners = [(x + s * ux * length_share * length - t * uy * side_share * length, y + s * uy * length_share * length + t * ux * side_share * length) for x, y, s in ((hx, hy, 1), (tx, ty, -1)) for t in (1, -1)]
-        ends = [(F.least(*c), F.greatest(*c)) for c in zip(*corners)]
-        turned = _shares((ends[0][0], ends[1][0]), (ends[0][1], ends[1][1]), (width, height))
-        boxes = [F.when(length > 1e-6, t).otherwise(b) for t, b in zip(turned, boxes)]
-    found = plain.withColumns({n: F.coalesce(F.when(low[0].isNotNull(), b), F.lit(0.0)) for n, b in zip(BOX, boxes)})
-    return found.select(*df.columns, *BOX)
+        steps.append({f"_u{i}": (F.col(f"_head{i}") - F.col(f"_tail{i}")) / F.nullif(F.col("_length"), F.lit(0.0)) for i in (0, 1)})
+        side = (-F.col("_u1"), F.col("_u0"))
+        corner = lambda i: [F.col(f"_{n}{i}") + (s * F.col(f"_u{i}") * length_share + t * side[i] * side_share) * F.col("_length") for n, s in (("head", 1), ("tail", -1)) for t in (1, -1)]
+        steps.append({f"_{n}{i}": f(*corner(i)) for n, f in (("from", F.least), ("to", F.greatest)) for i in (0, 1)})
+        turned = _shares(*(tuple(F.col(f"_{n}{i}") for i in (0, 1)) for n in ("from", "to")), (width, height))
+        steps.append({n: F.when(F.col("_length") > 1e-6, t).otherwise(F.col(n)) for n, t in zip(BOX, turned)})
+    for step in steps:
+        plain = plain.withColumns(step)
+    return plain.withColumns({n: F.coalesce(F.when(F.col("_low0").isNotNull(), F.col(n)), F.lit(0.0)) for n in BOX}).select(*df.columns, *BOX)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import ANGLE, ENTRY, FRAME, ID, TIME, X, Y
-from ..functions.numbers import above, axes, cross, ratio, scrub, scrubbed
+from ..functions.numbers import above, axes, cross, forward, leftward, ratio, scrub, scrubbed
 from ..windows import difference, rows_of
+from .kinematics import chunks
 from .neighbours import unit_headings
 
 
@@ -146,24 +147,48 @@ def fission_fusion(df: DataFrame, cutoff: float = 50.0, window: int = 5, least_e
     return groups.select(*entry, FRAME, F.explode("members").alias(ID), F.array_min("members").alias("group_membership"), F.size("members").alias("group_size"), "event")
 
 
-def fission_fusion_metrics(df: DataFrame, group: str | None = "event") -> DataFrame:
+def centroid_frame(df: DataFrame, group: str | None = "event", speed: str | None = None, heading: str | None = None) -> DataFrame:
+    """Adds each row's place relative to its group's centroid in its frame: distance_from_centroid, xrot_to_centroid and
+    yrot_to_centroid (ahead and to the left in the direction of the group's circular mean of `heading`, unturned without
+    one), and with `speed` dev_speed_to_mean, the difference from the group's mean speed."""
+    keys = [c for c in (*ENTRY, *([group] if group else []), FRAME) if c in df.columns]
+    frame = Window.partitionBy(*keys)
+    df = scrubbed(df, [X, Y])
+    dx, dy = (F.col(c) - F.avg(c).over(frame) for c in (X, Y))
+    turned = heading is not None and heading in df.columns
+    mean = F.atan2(F.avg(F.sin(heading)).over(frame), F.avg(F.cos(heading)).over(frame)) if turned else F.lit(0.0)
+    df = df.withColumns({"_dx": dx, "_dy": dy, "_h": mean})
+    out = {"distance_from_centroid": F.hypot("_dx", "_dy"), "xrot_to_centroid": forward(F.col("_dx"), F.col("_dy"), F.col("_h")), "yrot_to_centroid": leftward(F.col("_dx"), F.col("_dy"), F.col("_h"))}
+    if speed:
+        out["dev_speed_to_mean"] = F.col(speed) - F.avg(speed).over(frame)
+    return df.withColumns(out).drop("_dx", "_dy", "_h")
+
+
+def fission_fusion_metrics(df: DataFrame, group: str | None = "event", seconds: float | None = None, frames: int | None = None) -> DataFrame:
     """Per individual and group size: the share of its frames, mean and median length of its stays, the share of
-    frames in which it is the outermost member (ties to 1e-9 count as equal), and that share weighted by size."""
-    entry = [c for c in ENTRY if c in df.columns]
+    frames in which it is the outermost member (ties to 1e-9 count as equal), and that share weighted by size.
+
+    With `seconds` or `frames` the same for each chunk of that length, with its number (chunk_id) and its first and last
+    frame; a stay ends where a chunk does.
+    """
+    chunked = seconds is not None or frames is not None
+    if chunked:
+        df = chunks(df, seconds, frames, "chunk_id")
+    entry = [c for c in (*ENTRY, *(["chunk_id"] if chunked else [])) if c in df.columns]
     keys = [*entry, *([group] if group and group in df.columns else []), FRAME]
     frame = Window.partitionBy(*keys)
-    df = scrubbed(df, [X, Y])
     if "group_size" not in df.columns:
         df = df.withColumn("group_size", F.count("*").over(frame))
-    df = df.withColumns({"_cx": F.avg(X).over(frame), "_cy": F.avg(Y).over(frame)})
-    df = df.withColumn("distance_from_centroid", F.hypot(F.col(X) - F.col("_cx"), F.col(Y) - F.col("_cy")))
+    df = centroid_frame(df, group)
     rank = F.count("distance_from_centroid").over(frame.orderBy(F.round("distance_from_centroid", 9)).rangeBetween(Window.unboundedPreceding, 0))
     df = df.withColumn("_outer", F.col("distance_from_centroid").isNotNull() & (rank == F.col("group_size")))
-    w = rows_of(df.columns)
+    w = rows_of(df.columns, [ID, "chunk_id"])
     df = df.withColumn("_new", F.coalesce((F.col("group_size") != F.lag("group_size").over(w)).cast("int"), F.lit(1)))
     df = df.withColumn("_stay", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    stays = df.groupBy(*entry, ID, "group_size", "_stay").agg((F.max(FRAME) - F.min(FRAME) + 1).alias("_length"), F.count("*").alias("_rows"), F.count(F.when(F.col("_outer"), 1)).alias("_outer"))
-    out = stays.groupBy(*entry, ID, "group_size").agg(F.sum("_rows").alias("_rows"), F.avg("_length").alias("avg_duration_frame"), F.median("_length").alias("med_duration_frame"), F.sum("_outer").alias("_outer"))
+    stays = df.groupBy(*entry, ID, "group_size", "_stay").agg((F.max(FRAME) - F.min(FRAME) + 1).alias("_length"), F.count("*").alias("_rows"), F.count(F.when(F.col("_outer"), 1)).alias("_outer"), F.min(FRAME).alias("_from"), F.max(FRAME).alias("_to"))
+    out = stays.groupBy(*entry, ID, "group_size").agg(F.sum("_rows").alias("_rows"), F.avg("_length").alias("avg_duration_frame"), F.median("_length").alias("med_duration_frame"), F.sum("_outer").alias("_outer"), F.min("_from").alias("_from"), F.max("_to").alias("_to"))
     share = F.col("_rows") / F.sum("_rows").over(Window.partitionBy(*entry, ID))
     outer = F.col("_outer") / F.col("_rows")
-    return out.select(*entry, ID, "group_size", share.alias("fractime_norm2"), "avg_duration_frame", "med_duration_frame", outer.alias("ftime_periphery"), (outer * F.col("group_size")).alias("ftime_periphery_norm"))
+    chunk = Window.partitionBy(*entry)
+    ends = [F.min("_from").over(chunk).alias("chunk_start_frame"), F.max("_to").over(chunk).alias("chunk_end_frame")] if chunked else []
+    return out.select(*entry, *ends, ID, "group_size", share.alias("fractime_norm2"), "avg_duration_frame", "med_duration_frame", outer.alias("ftime_periphery"), (outer * F.col("group_size")).alias("ftime_periphery_norm"))

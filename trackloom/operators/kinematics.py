@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..columns import ANGLE, ENTRY, FRAME, ID, TIME, X, Y, pose_pairs
+from ..columns import ANGLE, ENTRY, FRAME, ID, TIME, X, Y, order_column, pose_pairs
 from ..functions.numbers import forward, leftward, ratio, scrubbed, wrap_angle
-from ..windows import between, difference, interpolated, rows_of, with_nearest_known
+from ..windows import between, difference, interpolated, over, rows_of, with_nearest_known
 
 
 def time_step(columns: list[str], w, n: int = 1, fps: float | None = None) -> Column:
@@ -174,3 +174,25 @@ def confidence_filter(df: DataFrame, threshold: float = 0.6, max_gap: int | None
     points = [(x, y, x.replace("poseX", "poseP")) for x, y in pose_pairs(df.columns) if x.replace("poseX", "poseP") in df.columns]
     df = df.withColumns({c: F.when(F.col(p) >= threshold, F.col(c)) for x, y, p in points for c in (x, y)})
     return interpolated(df, [c for x, y, _ in points for c in (x, y)], limit=max_gap, both=False)
+
+
+def movement_smooth(df: DataFrame, window: int = 5, method: str = "rolling", statistic: str = "median", least: int = 1, polyorder: int = 2, centroid: bool = True, pose: bool = True) -> DataFrame:
+    """Smooths X and Y (`centroid`) and the keypoints (`pose`) of each individual.
+
+    `rolling`: a centred statistic (mean, median, min, max) of what is known among `window` frames of the sequence, those
+    in which any individual has a row; null where fewer than `least` are known. `savgol`: Savitzky-Golay over the
+    individual's rows.
+    """
+    columns = [c for c in ((X, Y) if centroid else ()) if c in df.columns] + ([c for p in pose_pairs(df.columns) for c in p] if pose else [])
+    df = scrubbed(df, columns)
+    if method == "savgol":
+        from ..functions.kernels import smooth_columns
+
+        return smooth_columns(df, columns, window, polyorder)
+    if method != "rolling":
+        raise ValueError(f"no method {method!r}")
+    entry = [c for c in ENTRY if c in df.columns]
+    names, half = df.columns, window // 2
+    frames = F.dense_rank().over(Window.partitionBy(*entry).orderBy(order_column(names)))
+    w = Window.partitionBy(*entry, *([ID] if ID in names else [])).orderBy("_frame").rangeBetween(-half, window - 1 - half)
+    return df.withColumn("_frame", frames).withColumns({c: over(F.col(c), w, statistic, least) for c in columns}).select(*names)

@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions import kernels
+from .functions import boxes, kernels
+from .functions.numbers import heading_between
 from .joins import align, nearest_pairs_only
 from .ml import models, templates
-from .operators import groups, interactions, kinematics, neighbours, pairs, summaries
+from .operators import groups, interactions, kinematics, neighbours, pairs, sampling, summaries
 from .plans import scope, values
-from .sources import readers
+from .sources import labels, readers
 from .windows import interpolated, rolling, rows_of, with_moving_average
 
 FPS = 25.0
@@ -416,21 +417,46 @@ def nn_delta_response(spark, sf_dir):
 _KEYS = "grp, seq, metric, kind, i, j"
 
 
-@query(f"""{_RESPONSE}, b AS (SELECT grp, seq, ex AS bx, ey AS by_, dangle, dspeed FROM rp WHERE ex IS NOT NULL AND dangle IS NOT NULL AND dspeed IS NOT NULL),
-tn AS (SELECT grp, seq, bx, by_, dangle AS v FROM b UNION ALL SELECT grp, seq, bx, -by_, -dangle FROM b), sp AS (SELECT grp, seq, bx, by_, dspeed AS v FROM b UNION ALL SELECT grp, seq, bx, -by_, dspeed FROM b),
-gs AS (SELECT DISTINCT grp, seq FROM b),
-o1 AS (SELECT 'turn' AS metric, grp, seq, CAST(floor((by_ + 60) / 20e0) AS INT) AS i, v FROM tn WHERE bx >= 0 AND bx <= 40 UNION ALL SELECT 'speed', grp, seq, CAST(floor((bx + 60) / 20e0) AS INT), dspeed FROM b WHERE abs(by_) <= 20),
-o2 AS (SELECT 'turn' AS metric, grp, seq, bx, by_, v FROM tn UNION ALL SELECT 'speed', grp, seq, bx, by_, v FROM sp),
-o3 AS (SELECT metric, grp, seq, CASE WHEN bx = 60 THEN 5 ELSE CAST(floor((bx + 60) / 20e0) AS INT) END AS i, CASE WHEN by_ = 60 THEN 6 ELSE CAST(floor((by_ + 60) / (120e0 / 7)) AS INT) END AS j, v FROM o2),
+def _bins_sql(response: str, rows: str) -> str:
+    """Bins of the rows (grp, seq, cc, nc, bx, by_, dangle, dspeed) that the SQL `rows` selects, for every pair of categories."""
+    return f"""{response}, b AS ({rows}),
+tn AS (SELECT grp, seq, cc, nc, bx, by_, dangle AS v FROM b UNION ALL SELECT grp, seq, cc, nc, bx, -by_, -dangle FROM b), sp AS (SELECT grp, seq, cc, nc, bx, by_, dspeed AS v FROM b UNION ALL SELECT grp, seq, cc, nc, bx, -by_, dspeed FROM b),
+gs AS (SELECT DISTINCT grp, seq, cc, nc FROM b),
+o1 AS (SELECT 'turn' AS metric, grp, seq, cc, nc, CAST(floor((by_ + 60) / 20e0) AS INT) AS i, v FROM tn WHERE bx >= 0 AND bx <= 40 UNION ALL SELECT 'speed', grp, seq, cc, nc, CAST(floor((bx + 60) / 20e0) AS INT), dspeed FROM b WHERE abs(by_) <= 20),
+o2 AS (SELECT 'turn' AS metric, grp, seq, cc, nc, bx, by_, v FROM tn UNION ALL SELECT 'speed', grp, seq, cc, nc, bx, by_, v FROM sp),
+o3 AS (SELECT metric, grp, seq, cc, nc, CASE WHEN bx = 60 THEN 5 ELSE CAST(floor((bx + 60) / 20e0) AS INT) END AS i, CASE WHEN by_ = 60 THEN 6 ELSE CAST(floor((by_ + 60) / (120e0 / 7)) AS INT) END AS j, v FROM o2),
 l1 AS (SELECT * FROM gs, (VALUES ('turn'), ('speed')) m(metric), range(0, 6) x(i)), l2 AS (SELECT * FROM gs, (VALUES ('turn'), ('speed')) m(metric), range(0, 6) x(i), range(0, 7) y(j)),
-a1 AS (SELECT metric, grp, seq, i, avg(v) AS v FROM o1 GROUP BY ALL), a2 AS (SELECT metric, grp, seq, i, j, sum(v) AS s, count(*) AS n FROM o3 GROUP BY ALL)
-SELECT {ENTRY_SQL}, 'all' AS center_category, 'all' AS neighbor_category, 'all' AS group_size, '1d' AS dim, metric, CAST(i AS INT) AS bin_idx, {r('v')} AS value, CAST(NULL AS INT) AS bin_x, CAST(NULL AS INT) AS bin_y, CAST(NULL AS DOUBLE) AS sum_value, CAST(NULL AS BIGINT) AS "count" FROM l1 LEFT JOIN a1 USING (metric, grp, seq, i)
-UNION ALL SELECT grp, seq, 'all', 'all', 'all', '2d', metric, NULL, NULL, CAST(i AS INT), CAST(j AS INT), {r('coalesce(s, 0)')}, coalesce(n, 0) FROM l2 LEFT JOIN a2 USING (metric, grp, seq, i, j)""")
+a1 AS (SELECT metric, grp, seq, cc, nc, i, avg(v) AS v FROM o1 GROUP BY ALL), a2 AS (SELECT metric, grp, seq, cc, nc, i, j, sum(v) AS s, count(*) AS n FROM o3 GROUP BY ALL)
+SELECT {ENTRY_SQL}, cc AS center_category, nc AS neighbor_category, 'all' AS group_size, '1d' AS dim, metric, CAST(i AS INT) AS bin_idx, {r('v')} AS value, CAST(NULL AS INT) AS bin_x, CAST(NULL AS INT) AS bin_y, CAST(NULL AS DOUBLE) AS sum_value, CAST(NULL AS BIGINT) AS "count" FROM l1 LEFT JOIN a1 USING (metric, grp, seq, cc, nc, i)
+UNION ALL SELECT grp, seq, cc, nc, 'all', '2d', metric, NULL, NULL, CAST(i AS INT), CAST(j AS INT), {r('coalesce(s, 0)')}, coalesce(n, 0) FROM l2 LEFT JOIN a2 USING (metric, grp, seq, cc, nc, i, j)"""
+
+
+_BINNED = "ex AS bx, ey AS by_, dangle, dspeed FROM rp WHERE ex IS NOT NULL AND dangle IS NOT NULL AND dspeed IS NOT NULL"
+
+
+@query(_bins_sql(_RESPONSE, f"SELECT grp, seq, 'all' AS cc, 'all' AS nc, {_BINNED}"))
 def nn_delta_bins(spark, sf_dir):
     response = kinematics.nn_delta_response(_social(spark, sf_dir), 2, FPS)
     return summaries.nn_delta_bins(response, bins=7, most=60.0, most_for_mean=40.0)
 
 
+_FAST = _RESPONSE.replace("rs AS (SELECT *, lead", """fq AS (SELECT *, coalesce(speed > quantile_cont(speed, 0.6) OVER (PARTITION BY grp, seq), false) AS fast FROM so),
+sf AS (SELECT f.*, n.fast AS nfast FROM fq f LEFT JOIN fq n ON f.grp = n.grp AND f.seq = n.seq AND f.frame = n.frame AND f.nid = n.id), rs AS (SELECT *, lead""").replace("FROM so WINDOW w", "FROM sf WINDOW w")
+_FAST_ROWS = f"SELECT grp, seq, CAST(fast AS VARCHAR) AS cc, CAST(nfast AS VARCHAR) AS nc, {_BINNED}"
+
+
+@query(_bins_sql(_FAST, f"{_FAST_ROWS} UNION ALL {_FAST_ROWS.replace('CAST(nfast AS VARCHAR)', chr(39) + 'all' + chr(39))}"))
+def nn_delta_bins_by_speed(spark, sf_dir):
+    fast = summaries.quantile_category(_social(spark, sf_dir), "speed", "fast", 0.6)
+    response = kinematics.nn_delta_response(fast, 2, FPS, tags=["fast"])
+    return summaries.nn_delta_bins(response, bins=7, most=60.0, most_for_mean=40.0, focal="fast", neighbor="neighbor_fast")
+
+
+@query(f"""{WITH_TRACKS} SELECT {ENTRY_SQL}, id, frame, {r('x')} AS "X", x > quantile_cont(x, 0.75) OVER (PARTITION BY grp, seq) AS far FROM t""")
+def quantile_categories(spark, sf_dir):
+    return summaries.quantile_category(tracks(spark, sf_dir).select("group", "sequence", "id", "frame", "X"), "X", "far")
+
+
 # ---- interactions
 
 
@@ -519,6 +545,21 @@ def overlapping_sequences(spark, sf_dir):
     return scope.with_overlap(tracks(spark, sf_dir).select("group", "sequence", "id", "frame"), 2)
 
 
+@query(f"""{WITH_TRACKS}, e AS (SELECT grp, seq, lag(seq) OVER w AS bef, lead(seq) OVER w AS aft FROM (SELECT DISTINCT grp, seq FROM t) WINDOW w AS (PARTITION BY grp ORDER BY seq)),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY grp, seq ORDER BY frame) AS fr, dense_rank() OVER (PARTITION BY grp, seq ORDER BY frame DESC) AS la FROM t),
+m AS (SELECT grp, seq, seq AS origin, id, frame, x, y, true AS is_core FROM t UNION ALL SELECT e.grp, e.seq, k.seq, k.id, k.frame, k.x, k.y, false FROM k JOIN e ON k.grp = e.grp AND k.seq = e.bef WHERE la <= 3
+UNION ALL SELECT e.grp, e.seq, k.seq, k.id, k.frame, k.x, k.y, false FROM k JOIN e ON k.grp = e.grp AND k.seq = e.aft WHERE fr <= 3) SELECT {ENTRY_SQL}, origin, id, frame, {r('x')} AS "X", {r('y')} AS "Y", is_core FROM m""")
+def manifest_rows(spark, sf_dir):
+    t = tracks(spark, sf_dir)
+    return scope.manifest([t.select("group", "sequence", "id", "frame", "X"), t.select("group", "sequence", "id", "frame", "Y")], 3)
+
+
+@query(f"""{WITH_TRACKS}, f AS (SELECT grp, seq, list_sort(list(DISTINCT frame)) AS l FROM t GROUP BY grp, seq), u AS (SELECT grp, seq, l, unnest(range(0, 4)) AS i FROM f)
+SELECT DISTINCT {ENTRY_SQL}, l[1 + CAST(CASE WHEN len(l) <= 4 THEN least(i, len(l) - 1) ELSE round_even(i * (len(l) - 1) / 3e0, 0) END AS BIGINT)] AS frame FROM u""")
+def picked_frames(spark, sf_dir):
+    return sampling.uniform_frames(tracks(spark, sf_dir), 4)
+
+
 @query(f"""{WITH_TRACKS} SELECT DISTINCT {ENTRY_SQL} FROM t WHERE regexp_matches(seq, '-0[12]-') AND seq LIKE '%1' AND grp LIKE 'g%'""")
 def queried_entries(spark, sf_dir):
     return scope.query_entries(tracks(spark, sf_dir), group_starts="g", contains="-0[12]-", ends="1")
@@ -799,6 +840,88 @@ def loaded_values(spark, sf_dir):
     return values.load_values(sources, fps=FPS, start_frame=1, end_time=4 / FPS)
 
 
+@query(f"""{WITH_TRACKS}, v AS (SELECT grp, seq, frame, event_id, event_id % 4 AS label, id % 2 AS a, CASE WHEN event_id % 3 > 0 THEN id % 3 END AS b FROM t)
+SELECT {ENTRY_SQL}, CASE WHEN b IS NULL THEN a ELSE least(a, b) END AS id1, CASE WHEN b IS NOT NULL THEN greatest(a, b) END AS id2, frame, arg_max(label, event_id) AS label FROM v GROUP BY ALL""")
+def last_labels(spark, sf_dir):
+    pair = (F.col("id") % 2).alias("id1"), F.when(F.col("event_id") % 3 > 0, F.col("id") % 3).alias("id2")
+    events = tracks(spark, sf_dir).select("group", "sequence", "frame", "event_id", (F.col("event_id") % 4).alias("label"), *pair)
+    return summaries.last_labels(events, "label", "event_id")
+
+
+_HELD = """SELECT grp, seq, id AS id1, frame, CASE WHEN event_id % 3 = 2 THEN 'rest' ELSE 'walk' END AS name, CASE WHEN event_id % 3 = 2 THEN 2 ELSE 1 END AS label, frame + unnest(range(0, CASE WHEN event_id % 2 = 0 THEN 3 ELSE 1 END)) AS f FROM t WHERE event_id % 3 > 0"""
+
+
+@query(f"""{WITH_TRACKS}, h AS ({_HELD}) SELECT {ENTRY_SQL}, f AS frame, label, name, id1, CAST(-1 AS BIGINT) AS id2, count(*) AS n FROM h GROUP BY ALL""")
+def converted_labels(spark, sf_dir):
+    """Label files, one a sequence, as Spark would read them from a folder, through the label conversion."""
+    t = tracks(spark, sf_dir)
+    behaviour = F.element_at(F.array(F.lit("fly"), F.lit("walk"), F.lit("rest")), (F.col("event_id") % 3 + 1).cast("int"))
+    kind, last = F.when(F.col("event_id") % 2 == 0, "STATE").otherwise("POINT"), F.col("frame") + 2
+    line = F.concat_ws("\t", F.lit("o"), F.concat(F.lit("s"), "id"), behaviour, kind, (F.col("frame") / 4).cast("string"), (last / 4).cast("string"), F.lit("4"))
+    head = "\t".join(["Observation id", "Subject", "Behavior", "Behavior type", "Start (s)", "Stop (s)", "FPS"])
+    files = t.groupBy("group", "sequence").agg(F.concat_ws("\n", F.lit(head), F.collect_list(line)).cast("binary").alias("content"))
+    index = files.select(F.concat_ws("/", "group", "sequence").alias("path"), "*", F.lit("boris_csv").alias("src_format"))
+    events, _ = labels.convert_labels(spark, index, labels.converter_of("boris_csv", "behavior"), subjects={f"s{i}": i for i in range(8)}, behaviors=["walk", "rest"])
+    return events.groupBy("group", "sequence", "frame", "label", "name", "id1", "id2").agg(F.count("*").alias("n"))
+
+
+def _box_sql(method: str) -> str:
+    """Boxes in an image of 100 by 100 around keypoints that are all known; head 3 and tail 6."""
+    ends = {c: (f"least({', '.join(f'p{c}{k}' for k in range(POINTS))})", f"greatest({', '.join(f'p{c}{k}' for k in range(POINTS))})") for c in "xy"}
+    pad = {c: f"({b} - {a}) * 0.1e0" for c, (a, b) in ends.items()} if method == "tight" else dict.fromkeys("xy", "greatest(len * 0.3e0, 20e0)")
+    low, high = {c: f"{ends[c][0]} - {pad[c]}" for c in "xy"}, {c: f"{ends[c][1]} + {pad[c]}" for c in "xy"}
+    if method == "oriented":
+        side = {"x": ("hx", "-uy"), "y": ("hy", "ux")}
+        at = {c: [f"(p{c}{p} + {s} * u{c} * 0.25e0 * len + {t} * {side[c][1]} * 0.35e0 * len)" for p, s in ((3, 1), (6, -1)) for t in (1, -1)] for c in "xy"}
+        low, high = ({c: f"CASE WHEN len > 1e-6 THEN {f}({', '.join(at[c])}) ELSE {plain[c]} END" for c in "xy"} for f, plain in (("least", low), ("greatest", high)))
+    a, b = {c: f"greatest({low[c]}, 0e0)" for c in "xy"}, {c: f"least({high[c]}, 100e0)" for c in "xy"}
+    share = lambda e: r(f"least(greatest({e}, 0e0), 1e0)")
+    outs = [f"{share(f'({a[c]} + {b[c]}) / 2 / 100')} AS box_c{c}" for c in "xy"] + [f"{share(f'({b[c]} - {a[c]}) / 100')} AS box_{n}" for c, n in (("x", "w"), ("y", "h"))]
+    return f"SELECT {ENTRY_SQL}, id, frame, '{method}' AS method, {', '.join(outs)} FROM g"
+
+
+_AXIS = "g AS (SELECT *, sqrt((px3 - px6) ^ 2 + (py3 - py6) ^ 2) AS len, (px3 - px6) / nullif(sqrt((px3 - px6) ^ 2 + (py3 - py6) ^ 2), 0) AS ux, (py3 - py6) / nullif(sqrt((px3 - px6) ^ 2 + (py3 - py6) ^ 2), 0) AS uy FROM t)"
+
+
+@query(f"{WITH_TRACKS}, {_AXIS} " + " UNION ALL ".join(map(_box_sql, ("tight", "isotropic", "oriented"))))
+def keypoint_boxes(spark, sf_dir):
+    t = tracks(spark, sf_dir)
+    keys = ["group", "sequence", "id", "frame"]
+    each = [boxes.keypoint_boxes(t, 100, 100, m, head=3, tail=6).select(*keys, F.lit(m).alias("method"), *boxes.BOX) for m in ("tight", "isotropic", "oriented")]
+    return each[0].union(each[1]).union(each[2])
+
+
+@query(f"""{WITH_TRACKS} SELECT {ENTRY_SQL}, id, frame, {r('CASE WHEN px3 <> px6 OR py3 <> py6 THEN atan2(py3 - py6, px3 - px6) END')} AS heading FROM t""")
+def heading_of_points(spark, sf_dir):
+    t = tracks(spark, sf_dir)
+    return t.select("group", "sequence", "id", "frame", heading_between(F.col("poseX3"), F.col("poseY3"), F.col("poseX6"), F.col("poseY6")).alias("heading"))
+
+
+@query(f"""{WITH_TRACKS}, d AS (SELECT *, dense_rank() OVER (PARTITION BY grp, seq ORDER BY frame) AS g FROM t)
+SELECT {ENTRY_SQL}, id, frame, {', '.join(f'{r(f"CASE WHEN count({c}) OVER w >= 2 THEN median({c}) OVER w END")} AS "{n}"' for c, n in [("x", "X"), ("y", "Y"), *((f"p{a}{k}", f"pose{a.upper()}{k}") for k in range(POINTS) for a in "xy")])}
+FROM d WINDOW w AS (PARTITION BY grp, seq, id ORDER BY g RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
+def movement_smooth(spark, sf_dir):
+    return kinematics.movement_smooth(tracks(spark, sf_dir).drop("time", "ANGLE", "event_id"), 5, least=2)
+
+
+@query(f"""{_SPEED}, c AS (SELECT *, avg(x) OVER w AS cx, avg(y) OVER w AS cy, avg(speed) OVER w AS ms, atan2(avg(sin(a)) OVER w, avg(cos(a)) OVER w) AS h FROM s WINDOW w AS (PARTITION BY grp, seq, frame))
+SELECT {ENTRY_SQL}, id, frame, {r('sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy))')} AS distance_from_centroid, {r('(x - cx) * cos(h) + (y - cy) * sin(h)')} AS xrot_to_centroid, {r('(y - cy) * cos(h) - (x - cx) * sin(h)')} AS yrot_to_centroid, {r('speed - ms')} AS dev_speed_to_mean FROM c""")
+def centroid_frame(spark, sf_dir):
+    t = _thin(tracks(spark, sf_dir))
+    speed = kinematics.speed_angvel(t, fps=FPS).select("group", "sequence", "id", "frame", "speed")
+    both = align([t.drop("time"), speed], check=False)
+    return groups.centroid_frame(both, None, "speed", "ANGLE").select("group", "sequence", "id", "frame", "distance_from_centroid", "xrot_to_centroid", "yrot_to_centroid", "dev_speed_to_mean")
+
+
+@query(f"""{WITH_TRACKS}, b AS (SELECT *, (frame - min(frame) OVER (PARTITION BY grp, seq)) // 4 AS ch FROM t), c AS (SELECT *, count(*) OVER w AS gs, x - avg(x) OVER w AS rx, y - avg(y) OVER w AS ry FROM b WINDOW w AS (PARTITION BY grp, seq, frame)), d AS (SELECT *, sqrt(rx * rx + ry * ry) AS dc FROM c),
+k AS (SELECT *, count(*) OVER (PARTITION BY grp, seq, frame ORDER BY round(dc, 9) RANGE UNBOUNDED PRECEDING) = gs AS outermost, CASE WHEN gs = lag(gs) OVER (PARTITION BY grp, seq, id, ch ORDER BY frame) THEN 0 ELSE 1 END AS nw FROM d),
+s AS (SELECT *, sum(nw) OVER (PARTITION BY grp, seq, id, ch ORDER BY frame ROWS UNBOUNDED PRECEDING) AS stay FROM k), u AS (SELECT grp, seq, ch, id, gs, stay, max(frame) - min(frame) + 1 AS len, count(*) AS n, count(*) FILTER (outermost) AS o, min(frame) AS f0, max(frame) AS f1 FROM s GROUP BY ALL),
+v AS (SELECT grp, seq, ch, id, gs, sum(n) AS n, avg(len) AS av, median(len) AS md, sum(o) AS o, min(f0) AS f0, max(f1) AS f1 FROM u GROUP BY ALL)
+SELECT {ENTRY_SQL}, ch AS chunk_id, min(f0) OVER (PARTITION BY grp, seq, ch) AS chunk_start_frame, max(f1) OVER (PARTITION BY grp, seq, ch) AS chunk_end_frame, id, gs AS group_size, {r('n / sum(n) OVER (PARTITION BY grp, seq, ch, id)')} AS fractime_norm2, {r('av')} AS avg_duration_frame, {r('md')} AS med_duration_frame, {r('o / n')} AS ftime_periphery, {r('o / n * gs')} AS ftime_periphery_norm FROM v""")
+def fission_fusion_chunks(spark, sf_dir):
+    return groups.fission_fusion_metrics(_thin(tracks(spark, sf_dir)), frames=4)
+
+
 @query(f"""{WITH_TRACKS} SELECT {ENTRY_SQL}, frame, event_id % 4 AS label, id AS id1, (id + 1) % 8 AS id2 FROM t WHERE frame = 2""")
 def labels_at_frame(spark, sf_dir):
     events = tracks(spark, sf_dir).select("group", "sequence", "frame", (F.col("event_id") % 4).alias("label"), F.col("id").alias("id1"), ((F.col("id") + 1) % 8).alias("id2"))

@@ -95,10 +95,8 @@ def with_moving_average(df: DataFrame, columns: dict[str, str], window: int, by:
     return df.withColumns({out: mean(known(i)) for i, out in enumerate(columns)}).drop("_at", "_n", "_held")
 
 
-def rolling(c: Column, w: WindowSpec, window: int, statistic: str = "mean", least: int = 1) -> Column:
-    """A centred statistic over `window` rows, null where fewer than `least` values are not null."""
-    half = window // 2
-    frame = w.rowsBetween(-half, window - 1 - half)
+def over(c: Column, frame: WindowSpec, statistic: str = "mean", least: int = 1) -> Column:
+    """A statistic of the values of a window's frame, null where fewer than `least` are not null."""
     if statistic == "median":  # Spark has no median over a frame of rows
         d = F.array_sort(F.collect_list(c).over(frame))
         n = F.size(d)
@@ -106,3 +104,9 @@ def rolling(c: Column, w: WindowSpec, window: int, statistic: str = "mean", leas
     else:
         value = {"mean": F.avg, "min": F.min, "max": F.max}[statistic](c).over(frame)
     return F.when(F.count(c).over(frame) >= least, value)
+
+
+def rolling(c: Column, w: WindowSpec, window: int, statistic: str = "mean", least: int = 1) -> Column:
+    """A centred statistic over `window` rows, null where fewer than `least` values are not null."""
+    half = window // 2
+    return over(c, w.rowsBetween(-half, window - 1 - half), statistic, least)
