@@ -103,6 +103,11 @@ def test_smoothing_and_stacks(spark):
     assert kinematics.nn_delta_response(own, 9, 1.0, lag_column="lag").count() == 2 * 17
 
 
+@pytest.mark.parametrize("names,n", [(["frame"], 0), (["id", "X"], 1), (["id1", "id2"], 2), (["id_a", "id_b", "id"], 2), (["id1", "X"], 0), (["id", "id1"], 1), (["id_B", "id_A"], 2)])
+def test_individuals_of_a_row(names, n):
+    assert columns.individuals(names) == n
+
+
 def test_merge_rule(spark):
     a = track(spark, [("g", "s", 0, 0, 1.0, 2.0)])
     pair = spark.createDataFrame([("g", "s", 0, 0, 1, 5.0)], "`group` string, sequence string, frame long, id1 long, id2 long, ego double")

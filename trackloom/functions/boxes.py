@@ -18,7 +18,11 @@ def _shares(low: tuple[Column, Column], high: tuple[Column, Column], size: tuple
     return [share((a + b) / 2 / n) for (a, b), n in zip(ends, size)] + [share((b - a) / n) for (a, b), n in zip(ends, size)]
 
 
-def keypoint_boxes(df: DataFrame, width: float, height: float, method: str = "tight", margin: float = 0.1, head: int | None = None, tail: int | None = None, body_share: float = 0.3, least_pad: float = 20.0, length_share: float = 0.25, side_share: float = 0.35) -> DataFrame:
+# The default shares and the least padding in pixels.
+MARGIN, BODY_SHARE, LEAST_PAD, LENGTH_SHARE, SIDE_SHARE = 0.1, 0.3, 20.0, 0.25, 0.35
+
+
+def keypoint_boxes(df: DataFrame, width: float, height: float, method: str = "tight", margin: float = MARGIN, head: int | None = None, tail: int | None = None, body_share: float = BODY_SHARE, least_pad: float = LEAST_PAD, length_share: float = LENGTH_SHARE, side_share: float = SIDE_SHARE) -> DataFrame:
     """Adds BOX, the box around each row's keypoints in shares of an image of `width` by `height` pixels; zeros where
     no keypoint is known.
 

@@ -7,21 +7,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import ALIGN, ENTRY, FRAME, ID, entity_level
+from .columns import ALIGN, ENTRY, FRAME, ID, individuals
 
 
 def align(inputs: list[DataFrame], check: bool = True, allow_mixed: bool = False) -> DataFrame:
     """Inner join of tables on the alignment keys that all have.
 
     Columns that several tables have are suffixed by `__<number of the table>` from the second on. Tables of
-    different levels need a shared id, and with `check`, which reads the data, at most one table may hold a key
+    individuals and of pairs need a shared id, and with `check`, which reads the data, at most one table may hold a key
     more than once.
     """
     if len(inputs) == 1:
         return inputs[0]
     keys = [c for c in ALIGN if all(c in df.columns for df in inputs)]
-    levels = {entity_level(df.columns) for df in inputs} - {"global"}
-    if len(levels) > 1 and not allow_mixed and ID not in keys and not {"id1", "id2"} <= set(keys):
+    named = {individuals(df.columns) for df in inputs} - {0}
+    if len(named) > 1 and not allow_mixed and ID not in keys and not {"id1", "id2"} <= set(keys):
         raise ValueError("tables of individuals and of pairs share no id column")
     if not keys:
         raise ValueError("the tables share no alignment key")

