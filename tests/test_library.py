@@ -244,6 +244,54 @@ def test_live_speed(spark, tmp_path):
     assert len(out) == 8 and {r["speed"] for r in out if r["frame"]} == {10.0}
 
 
+def test_live_counts_by_window(spark, tmp_path):
+    rows = [("g", 0, "2024-01-01 00:00:01"), ("g", 0, "2024-01-01 00:00:05"), ("g", 1, "2024-01-01 00:00:09"), ("g", 1, "2024-01-01 00:00:12"), ("h", 1, "2024-01-01 00:01:30")]
+    df = spark.createDataFrame(rows, "`group` string, id long, at string").withColumn("at", F.to_timestamp("at"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = live.live_counts(stream, "at", "10 seconds", "20 seconds").writeStream.format("memory").queryName("counts").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r["group"], r["window"]["start"].second, r["rows"], r["individuals"]) for r in spark.sql("select * from counts").collect())
+    assert got == [("g", 0, 3, 2), ("g", 10, 1, 1)]
+
+
+def test_one_coco_document_of_a_data_set(spark, tmp_path):
+    rows = [(i, f"f{i}.png", 10 * i + a, 1, [0.0, 1.0, 2.0, 3.0], p, float(p), 2.0, 2 * p) for i in range(40) for a in range(2) for p in range(2)]
+    points = spark.createDataFrame(rows, "image_id long, file_name string, annotation_id long, category_id long, bbox array<double>, point int, x double, y double, visibility int").repartition(5)
+    writers.write_coco(points, str(tmp_path / "coco"), [(1, "bee")])
+    text = "".join(p.read_text() for p in sorted((tmp_path / "coco").glob("part-*")))
+    doc = json.loads(text)
+    assert [i["id"] for i in doc["images"]] == list(range(40)) and len(doc["annotations"]) == 80 and doc["categories"] == [{"id": 1, "name": "bee"}]
+    assert doc["annotations"][3] == {"id": 11, "image_id": 1, "category_id": 1, "bbox": [0.0, 1.0, 2.0, 3.0], "keypoints": [0.0, 2.0, 0.0, 1.0, 2.0, 2.0], "num_keypoints": 1}
+
+
+def test_entry_is_converted_when_it_is_asked_for(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    for name in ("a__one", "a__two"):
+        np.savez(tmp_path / "raw" / f"{name}.npz", frame=np.arange(3), X=np.arange(3), Y=np.arange(3), id=np.array([0]))
+    index = conversion.index_raw(spark, [str(tmp_path / "raw")], "*.npz", "trex_npz", group_from="name", contents=True)
+    out = str(tmp_path / "out")
+    assert conversion.tracks_of(spark, index, "trex_npz", out, "a", "one").count() == 3
+    assert readers.read_tracks(spark, out).select("sequence").distinct().count() == 1
+    with pytest.raises(LookupError):
+        conversion.tracks_of(spark, index, "trex_npz", out, "a", "three")
+    (tmp_path / "raw" / "a__one.npz").unlink()
+    assert conversion.tracks_of(spark, index, "trex_npz", out, "a", "one").count() == 3
+
+
+def test_ward_matches_merging_by_least_increase():
+    x = np.random.default_rng(5).normal(size=(60, 3))
+    clusters = [[i] for i in range(60)]
+    while len(clusters) > 5:
+        spread = lambda c: ((x[c] - x[c].mean(0)) ** 2).sum()
+        a, b = min(((i, j) for i in range(len(clusters)) for j in range(i)), key=lambda p: spread(clusters[p[0]] + clusters[p[1]]) - spread(clusters[p[0]]) - spread(clusters[p[1]]))
+        clusters[b] += clusters.pop(a)
+    labels, centers = models.ward(x, 5)
+    assert {frozenset(c) for c in clusters} == {frozenset(np.flatnonzero(labels == c).tolist()) for c in range(5)}
+    assert np.allclose(centers, [x[labels == c].mean(0) for c in range(5)])
+
+
 def test_prototypes(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.8, 0.2], 0), (2, [0.0, 1.0], 1)], "vec_id long, embedding array<float>, label int")
     scores = models.prototype_scores(df, models.prototypes(df), "vec_id")

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__
 from trackloom import queries
+from trackloom.ml import models
 from trackloom.queries import ORACLES, QUERIES
 
 from .oracle import same_rows
@@ -18,9 +19,16 @@ def test_query_matches_its_sql(spark, name):
     same_rows(spark, SF, QUERIES[name], ORACLES[name])
 
 
-@pytest.mark.parametrize("name", ["pair_wavelet", "syllables", "ward_clusters"])
-def test_query_without_sql_has_rows(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+def test_ward_clusters_are_nearest_to_the_centres_of_all_vectors(spark):
+    """At this size the pool of templates is the whole table."""
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = np.array([r["embedding"] for r in rows], float)
+    centers = models.ward(x, 6)[1]
+    got = {r["vec_id"]: r["cluster"] for r in QUERIES["ward_clusters"](spark, SF).collect()}
+    own = ((x[:, None] - centers[None]) ** 2).sum(2).argmin(1)
+    assert len(got) == len(rows) and len(set(got.values())) == 6
+    # The numbers of clusters depend on the order of the pool.
+    assert len({(got[r["vec_id"]], int(c)) for r, c in zip(rows, own)}) == 6
 
 
 def test_entry(spark):

@@ -177,3 +177,15 @@ def convert_all(spark: SparkSession, index: DataFrame, src_format: str, out: str
         if written:
             write_tracks(tracks, out)
     return {"files": files, "failed": failed, "entries": written}
+
+
+def tracks_of(spark: SparkSession, index: DataFrame, src_format: str, out: str, group: str, sequence: str, **params) -> DataFrame:
+    """The tracks of one entry, converted first if `out` doesn't hold them yet; an entry without readable files is an error."""
+    own = (F.col("group") == group) & (F.col("sequence") == sequence)
+    held = readers.read_tracks(spark, out).where(own) if exists(spark, out) else None
+    if held is None or held.isEmpty():
+        done = convert_all(spark, index.where(own), src_format, out, overwrite=True, **params)
+        if not done["entries"]:
+            raise LookupError(f"no tracks of {(group, sequence)}: {done['files']} files, {done['failed']} of them failed")
+        held = readers.read_tracks(spark, out).where(own)
+    return held

@@ -75,6 +75,27 @@ def coco_document(points: DataFrame) -> DataFrame:
     return flat.groupBy("image_id", "file_name").agg(notes).select("image_id", F.to_json(F.struct("image_id", "file_name", "annotations")).alias("document"))
 
 
+def write_coco(points: DataFrame, path: str, categories: list[tuple[int, str]] = ()) -> None:
+    """The annotations of all images, rows as `coco_keypoints` returns them, as one COCO document below `path`: text files
+    whose contents, one after the other in the order of their names, are the document. No task holds more than its range of
+    images and annotations."""
+    keys = ["image_id", "annotation_id", "category_id", "bbox"]
+    flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("point", "x", "y", "visibility"))), lambda p: F.array(p["x"], p["y"], p["visibility"].cast("double"))))
+    notes = points.groupBy(*keys).agg(flat.alias("keypoints"), F.count(F.when(F.col("visibility") > 0, 1)).alias("num_keypoints"))
+    notes = notes.select(F.col("annotation_id").alias("id"), F.to_json(F.struct(F.col("annotation_id").alias("id"), "image_id", "category_id", "bbox", "keypoints", "num_keypoints")).alias("text"))
+    images = points.select(F.col("image_id").alias("id"), "file_name").distinct().withColumn("text", F.to_json(F.struct("id", "file_name")))
+
+    def listed(rows: DataFrame, section: int) -> DataFrame:
+        """Items of an array, each after a comma but the first."""
+        first = rows.agg(F.min("id")).first()[0]
+        text = F.when(F.col("id") == first, F.col("text")).otherwise(F.concat(F.lit(","), "text"))
+        return rows.select(F.lit(section).alias("section"), F.col("id").cast("long").alias("id"), text.alias("text"))
+
+    named = json.dumps([{"id": i, "name": n} for i, n in categories])
+    fixed = points.sparkSession.createDataFrame([(0, 0, '{"images": ['), (2, 0, '], "annotations": ['), (4, 0, f'], "categories": {named}}}')], "section int, id long, text string")
+    listed(images, 1).union(listed(notes, 3)).union(fixed).orderBy("section", "id").select("text").write.mode("overwrite").text(path)
+
+
 def describe(df: DataFrame) -> str:
     """The schema as JSON, for manifests."""
     return json.dumps(json.loads(df.schema.json()), sort_keys=True)
