@@ -48,7 +48,9 @@ def looking(df: DataFrame) -> DataFrame:
     steps, top = (-1, 0, 1), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_level"))
     around = F.array(*[F.struct((_at("_ix", F.col("_level")) + i).alias("_cx"), (_at("_iy", F.col("_level")) + j).alias("_cy")) for i in steps for j in steps])
     inside = F.filter(around, lambda c: (c["_cx"] >= 0) & (c["_cx"] < top) & (c["_cy"] >= 0) & (c["_cy"] < top))
-    return df.select("*", F.inline_outer(F.when(F.col("_ix").isNotNull(), inside)))
+    one = F.array(F.struct(F.lit(0).cast("long").alias("_cx"), F.lit(0).cast("long").alias("_cy")))
+    cells = F.when(F.col("_ix").isNotNull() & (F.col("_level") > 0), inside).when(F.col("_ix").isNotNull(), one)
+    return df.select("*", F.inline_outer(cells))
 
 
 def seen(df: DataFrame, levels: Column) -> DataFrame:
