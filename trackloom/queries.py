@@ -20,7 +20,7 @@ from .joins import align, nearest_pairs_only
 from .ml import models, templates
 from .operators import groups, interactions, kinematics, neighbours, pairs, sampling, summaries
 from .plans import scope, values
-from .sources import labels, readers
+from .sources import labels, readers, writers
 from .windows import interpolated, rolling, rows_of, with_moving_average
 
 FPS = 25.0
@@ -103,7 +103,7 @@ def frame_mean_speed(spark, sf_dir):
     return groups.frame_aggregate(kinematics.speed_angvel(_thin(tracks(spark, sf_dir)), fps=FPS), "speed", "mean")
 
 
-_AGGS = (("median", {}, "median(x)"), ("std", {}, "stddev_samp(x)"), ("sum", {"threshold": 50.0}, "sum(CASE WHEN x > 50 THEN 1e0 ELSE 0e0 END)"), ("max", {"absolute": True}, "max(abs(x))"), ("count", {"where": "X > 20 and not Y > 90"}, "count(CASE WHEN x > 20 AND NOT y > 90 THEN x END)"))
+_AGGS = (("median", {}, "median(x)"), ("min", {}, "min(x)"), ("std", {}, "stddev_samp(x)"), ("sum", {"threshold": 50.0}, "sum(CASE WHEN x > 50 THEN 1e0 ELSE 0e0 END)"), ("max", {"absolute": True}, "max(abs(x))"), ("count", {"where": "X > 20 and not Y > 90"}, "count(CASE WHEN x > 20 AND NOT y > 90 THEN x END)"))
 
 
 @query(f"{WITH_TRACKS} " + " UNION ALL ".join(f"""SELECT {ENTRY_SQL}, frame, '{name}' AS agg, {r(sql)} AS value FROM t GROUP BY grp, seq, frame{' HAVING count(CASE WHEN x > 20 AND NOT y > 90 THEN 1 END) > 0' if name == 'count' else ''}""" for name, _, sql in _AGGS))
@@ -665,6 +665,26 @@ def cluster_agreement(spark, sf_dir):
     return spark.createDataFrame([(k, float(found[k])) for k in ("homogeneity", "completeness", "v_measure", "ari", "purity")], "measure string, value double")
 
 
+@query(f"""{WITH_TRACKS}, c AS (SELECT grp, seq, count(*) AS n FROM t GROUP BY grp, seq), a AS (SELECT *, sum(n) OVER () AS total FROM c), b AS (SELECT *, least(floor(n * (300e0 / total)), least(300, n)) AS q, least(300, n) AS most FROM a),
+d AS (SELECT *, sum(q) OVER () AS given, sum(CASE WHEN q < most THEN n END) OVER () AS room FROM b), e AS (SELECT *, CASE WHEN total <= 300 THEN n WHEN q < most THEN least(q + floor(n * ((300 - given) / room)), most) ELSE q END AS quota FROM d)
+SELECT {ENTRY_SQL}, CAST(quota AS BIGINT) AS n, {r('quota / sum(quota) OVER ()')} AS share FROM e WHERE quota > 0""")
+def template_provenance(spark, sf_dir):
+    return templates.provenance(templates.extract_templates(_thin(tracks(spark, sf_dir)).drop("time"), 300, ["X", "Y"]))
+
+
+@query(f"""{WITH_TRACKS} SELECT {ENTRY_SQL}, id, frame, {r('x')} AS "X" FROM t""")
+def trimmed_rows(spark, sf_dir):
+    t = tracks(spark, sf_dir).select("group", "sequence", "id", "frame", "X")
+    return scope.core(scope.manifest([t], 4)).drop("origin")
+
+
+@query(f"""{WITH_TRACKS} SELECT {ENTRY_SQL}, count(*) AS n_rows, CASE WHEN max(frame) >= 10 THEN 'new' ELSE 'old' END AS state FROM t GROUP BY grp, seq""")
+def replaced_index(spark, sf_dir):
+    rows = tracks(spark, sf_dir).groupBy("group", "sequence").agg(F.count("*").alias("n_rows"), F.max("frame").alias("last"))
+    old, new = rows.withColumn("state", F.lit("old")), rows.where("last >= 10").withColumn("state", F.lit("new"))
+    return writers.append_index(old.drop("last"), new.drop("last"), ["group", "sequence"])
+
+
 @query()
 def template_rows(spark, sf_dir):
     return templates.extract_templates(_thin(tracks(spark, sf_dir)).drop("time"), 300, ["X", "Y"])
