@@ -657,12 +657,16 @@ def tsne_places(spark, sf_dir):
 @query(f"""{_NEAR}, n AS (SELECT label, cluster, count(*)::DOUBLE AS n FROM c GROUP BY ALL), a AS (SELECT label, sum(n) AS n FROM n GROUP BY label), b AS (SELECT cluster, sum(n) AS n FROM n GROUP BY cluster), t AS (SELECT sum(n) AS n FROM n),
 h AS (SELECT (SELECT -sum(a.n / t.n * ln(a.n / t.n)) FROM a, t) AS ha, (SELECT -sum(b.n / t.n * ln(b.n / t.n)) FROM b, t) AS hb, (SELECT sum(n.n / t.n * ln(t.n * n.n / (a.n * b.n))) FROM n JOIN a USING (label) JOIN b USING (cluster), t) AS mi,
   (SELECT sum(n * (n - 1) / 2) FROM n) AS pn, (SELECT sum(n * (n - 1) / 2) FROM a) AS pa, (SELECT sum(n * (n - 1) / 2) FROM b) AS pb, (SELECT n * (n - 1) / 2 FROM t) AS pt, (SELECT sum(m) FROM (SELECT max(n) AS m FROM n GROUP BY label)) AS top, (SELECT n FROM t) AS n),
-v AS (SELECT 'homogeneity' AS measure, mi / ha AS value FROM h UNION ALL SELECT 'completeness', mi / hb FROM h UNION ALL SELECT 'v_measure', 2 * (mi / ha) * (mi / hb) / (mi / ha + mi / hb) FROM h UNION ALL SELECT 'ari', (pn - pa * pb / pt) / ((pa + pb) / 2 - pa * pb / pt) FROM h UNION ALL SELECT 'purity', (SELECT sum(m) FROM (SELECT max(n) AS m FROM n GROUP BY cluster)) / n FROM h)
+lm AS (SELECT label, coalesce(max(n) FILTER (cluster = 0), 0) AS n0, coalesce(max(n) FILTER (cluster = 1), 0) AS n1, coalesce(max(n) FILTER (cluster = 2), 0) AS n2 FROM n GROUP BY label),
+ma AS (SELECT max(p.n0 + q.n1 + s.n2) AS m FROM lm p JOIN lm q ON p.label <> q.label JOIN lm s ON s.label <> p.label AND s.label <> q.label),
+ek AS (SELECT a.n AS x, b.n AS y, t.n AS n, unnest(range(CAST(greatest(1, a.n + b.n - t.n) AS BIGINT), CAST(least(a.n, b.n) AS BIGINT) + 1))::DOUBLE AS k FROM a, b, t),
+em AS (SELECT sum(k / n * ln(n * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(n - x - y + k + 1))) AS emi FROM ek),
+v AS (SELECT 'ami' AS measure, (mi - emi) / ((ha + hb) / 2 - emi) AS value FROM h, em UNION ALL SELECT 'matched_accuracy', m / n FROM h, ma UNION ALL SELECT 'homogeneity' AS measure, mi / ha AS value FROM h UNION ALL SELECT 'completeness', mi / hb FROM h UNION ALL SELECT 'v_measure', 2 * (mi / ha) * (mi / hb) / (mi / ha + mi / hb) FROM h UNION ALL SELECT 'ari', (pn - pa * pb / pt) / ((pa + pb) / 2 - pa * pb / pt) FROM h UNION ALL SELECT 'purity', (SELECT sum(m) FROM (SELECT max(n) AS m FROM n GROUP BY cluster)) / n FROM h)
 SELECT measure, {r('value')} AS value FROM v""")
 def cluster_agreement(spark, sf_dir):
     near = models.nearest_centroid(_wide(spark, sf_dir), _FEATURES, np.array(_CENTERS)).select(F.lit("g").alias("group"), F.lit("s").alias("sequence"), F.col("vec_id").alias("frame"), "cluster", "label")
     found = models.dataset_agreement(near.drop("label"), near.drop("cluster"))["metrics"]
-    return spark.createDataFrame([(k, float(found[k])) for k in ("homogeneity", "completeness", "v_measure", "ari", "purity")], "measure string, value double")
+    return spark.createDataFrame([(k, float(found[k])) for k in ("ami", "matched_accuracy", "homogeneity", "completeness", "v_measure", "ari", "purity")], "measure string, value double")
 
 
 @query(f"""{WITH_TRACKS}, c AS (SELECT grp, seq, count(*) AS n FROM t GROUP BY grp, seq), a AS (SELECT *, sum(n) OVER () AS total FROM c), b AS (SELECT *, least(floor(n * (300e0 / total)), least(300, n)) AS q, least(300, n) AS most FROM a),
