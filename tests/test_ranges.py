@@ -89,8 +89,8 @@ def test_pair_wavelet_query_matches_brute_force(spark):
     freqs = np.logspace(np.log2(0.2), np.log2(5.0), 25, base=2.0)
     for key, rows in list(by.items()):
         rows.sort(key=lambda r: r["frame"])
-        for c in columns[::5]:
+        for c in columns[::8]:
             x = np.nan_to_num([np.nan if r[c] is None else r[c] for r in rows])
-            for i in (0, 11, 24):
+            for i in (0, 24):
                 want = np.maximum(np.log(np.abs(direct(x, 25.0, freqs[i])) ** 2 + np.finfo(float).tiny), -3)
                 assert np.allclose([got[*key, r["frame"]][f"W_{c}_f{i}"] for r in rows], want, atol=2e-4)
