@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from trackloom.functions import kernels
+from trackloom.operators import pairs
 from trackloom.queries import QUERIES, tracks
 
 COLUMNS = "group string, sequence string, id long, frame long, X double, Y double"
@@ -94,3 +95,19 @@ def test_pair_wavelet_query_matches_brute_force(spark):
             for i in (0, 24):
                 want = np.maximum(np.log(np.abs(direct(x, 25.0, freqs[i])) ** 2 + np.finfo(float).tiny), -3)
                 assert np.allclose([got[*key, r["frame"]][f"W_{c}_f{i}"] for r in rows], want, atol=2e-4)
+
+
+def test_both_views_of_a_pair_come_from_one_exchange_of_its_rows(spark):
+    """A table of both perspectives was dealt and sorted again, which doubled what is shuffled."""
+    df = walk(spark, [60, 60, 45]).selectExpr("*", "X / 9 as ANGLE")
+    names = ["A_speed", "B_v_perp", "AB_dx_egoA", "rel_heading_sin", "AB_dist"]
+    got = kernels.pair_wavelet(pairs.position_sides(df), names, 12.0, 1.0, 4.0, 3, size=16, views=pairs.VIEWS)
+    want = kernels.pair_wavelet(pairs.pair_position(df), names, 12.0, 1.0, 4.0, 3)
+    assert got.schema == want.schema
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "perspective" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+    rows = [sorted(df.collect(), key=lambda r: (r["id1"], r["id2"], r["frame"])) for df in (got, want)]
+    keys = ["id1", "id2", "perspective", "frame"]
+    assert [[r[k] for k in keys] for r in rows[0]] == [[r[k] for k in keys] for r in rows[1]]
+    values = [np.array([r[-15:] for r in own], float) for own in rows]
+    assert len(rows[0]) == 300 and np.allclose(*values, rtol=1e-4, atol=1e-4)
