@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,14 +68,71 @@ def kmeans(templates: DataFrame, columns: list[str], k: int = 100, seed: int = 0
     return np.array(model.clusterCenters())
 
 
+def _together(a: tuple, b: tuple) -> tuple:
+    """(rows, means, scatter about the means) of two sets of rows together."""
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
+
+
+def _principal(df: DataFrame, columns: list[str], k: int, prefix: str, derived) -> DataFrame:
+    """Adds the first k principal components of what `derived` makes of the values of `columns`, one row each.
+
+    Tasks reduce their rows to means and scatter, which are merged in a tree; a second pass projects. Values of rows exist
+    in blocks of a batch only.
+    """
+    rows = finite(df, columns)
+
+    def values(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+        return derived(np.column_stack([batch.column(names.index(c)).to_numpy(zero_copy_only=False).astype(float) for c in columns]))
+
+    def reduced(batches):
+        total = None
+        for batch in batches:
+            x = values(batch, columns)
+            if len(x):
+                mean = x.mean(0)
+                part = len(x), mean, (x - mean).T @ (x - mean)
+                total = part if total is None else _together(total, part)
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"n": [total[0]], "mean": [total[1].tobytes()], "scatter": [total[2].tobytes()]})
+
+    parts = rows.select(*columns).mapInArrow(reduced, "n long, mean binary, scatter binary").rdd
+    parts = parts.map(lambda r: (r["n"], np.frombuffer(r["mean"]), np.frombuffer(r["scatter"]).reshape(len(r["mean"]) // 8, -1)))
+    # None is an empty set of rows.
+    total = parts.treeAggregate(None, lambda a, b: b if a is None else _together(a, b), lambda a, b: (a or b) if a is None or b is None else _together(a, b))
+    if total is not None:
+        _, mean, scatter = total
+        # The axes by falling variance; of either sign the one whose largest weight is above 0.
+        axes = np.linalg.eigh(scatter)[1][:, ::-1][:, :k]
+        axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(f"{prefix}{i}", T.DoubleType()) for i in range(k)]])
+
+    names = rows.columns
+
+    def projected(batches):
+        for batch in batches:
+            x = (values(batch, names) - mean) @ axes
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.ascontiguousarray(x[:, i])) for i in range(k)]], names=[f.name for f in schema])
+
+    return rows.mapInArrow(projected, schema)
+
+
 def pca(df: DataFrame, columns: list[str], k: int = 6, prefix: str = "PC") -> DataFrame:
     """Adds the first k principal components; their signs are free."""
-    rows = _assembled(finite(df, columns), columns)
-    mean = rows.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    axes = PCA(k=k, inputCol="_v", outputCol="_p").fit(rows).pc.toArray()
-    shift = np.array([mean[c] for c in columns]) @ axes if mean[0] is not None else np.zeros(k)
-    x = [F.col(c) for c in columns]
-    return rows.drop("_v").withColumns({f"{prefix}{i}": sum((x[j] * float(axes[j, i]) for j in range(1, len(x))), x[0] * float(axes[0, i])) - float(shift[i]) for i in range(k)})
+    return _principal(df, columns, k, prefix, lambda x: x)
+
+
+def pair_distance_pca(df: DataFrame, points: list[tuple[str, str]], within: bool = True, between: bool = True, k: int = 6, prefix: str = "PC") -> DataFrame:
+    """`pca` of `pair_distances`, which exist in tasks only: adds the components, not the distances."""
+    ends = [(f"{x}_{s}", f"{y}_{s}", s) for s in "AB" for x, y in points]
+    chosen = [(i, j) for i, p in enumerate(ends) for j, q in enumerate(ends) if i < j and (within if p[2] == q[2] else between)]
+    first, second = (np.array(c) for c in zip(*chosen))
+
+    def distances(x: np.ndarray) -> np.ndarray:
+        px, py = x[:, : len(ends)], x[:, len(ends) :]
+        return np.hypot(px[:, first] - px[:, second], py[:, first] - py[:, second])
+
+    return _principal(df, [e[0] for e in ends] + [e[1] for e in ends], k, prefix, distances)
 
 
 def pair_distances(df: DataFrame, points: list[tuple[str, str]], within: bool = True, between: bool = True) -> DataFrame:
