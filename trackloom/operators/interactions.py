@@ -65,11 +65,13 @@ def approach_avoidance(df: DataFrame, distance: float = 200.0, approach_speed: f
 def event_table(aa: DataFrame, least: int = 1) -> DataFrame:
     """Runs of active rows, contiguous in the order of rows: start, end, duration, direction (12 or 21) and roles."""
     keys = [c for c in ENTRY if c in aa.columns] + ["id1", "id2"]
-    either = F.array(*[F.struct(F.lit(d).alias("direction"), F.col(f"aa_event_{d}").alias("_on"), F.col(p).alias("approacher_id"), F.col(q).alias("avoider_id")) for d, p, q in (("12", "id1", "id2"), ("21", "id2", "id1"))])
-    rows = aa.select(*keys, FRAME, F.explode(either).alias("e")).select(*keys, FRAME, "e.*")
-    w = Window.partitionBy(*keys, "direction").orderBy(FRAME)
-    run = F.row_number().over(w) - F.sum("_on").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    runs = rows.withColumn("_run", run).where("_on = 1").groupBy(*keys, "direction", "approacher_id", "avoider_id", "_run")
+    w = Window.partitionBy(*keys).orderBy(FRAME)
+    # Both directions are numbered in the pair's own order; only active rows are doubled.
+    run = {d: F.row_number().over(w) - F.sum(f"aa_event_{d}").over(w.rowsBetween(Window.unboundedPreceding, 0)) for d in ("12", "21")}
+    active = aa.select(*keys, FRAME, "aa_event_12", "aa_event_21").withColumns({f"_run_{d}": r for d, r in run.items()}).where("aa_event_12 = 1 or aa_event_21 = 1")
+    either = F.array(*[F.struct(F.lit(d).alias("direction"), F.col(f"aa_event_{d}").alias("_on"), F.col(p).alias("approacher_id"), F.col(q).alias("avoider_id"), F.col(f"_run_{d}").alias("_run")) for d, p, q in (("12", "id1", "id2"), ("21", "id2", "id1"))])
+    rows = active.select(*keys, FRAME, F.explode(either).alias("e")).select(*keys, FRAME, "e.*")
+    runs = rows.where("_on = 1").groupBy(*keys, "direction", "approacher_id", "avoider_id", "_run")
     runs = runs.agg(F.min(FRAME).alias("start_frame"), F.max(FRAME).alias("end_frame"), F.count("*").alias("duration")).where(F.col("duration") >= least)
     return runs.select(*keys, "start_frame", "end_frame", "duration", "direction", "approacher_id", "avoider_id")
 
