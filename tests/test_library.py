@@ -12,7 +12,7 @@ from trackloom import columns, schema, windows
 from trackloom.functions import boxes, kernels, numbers
 from trackloom.joins import align
 from trackloom.ml import models, templates
-from trackloom.operators import groups, kinematics, neighbours, pairs, sampling, summaries
+from trackloom.operators import groups, interactions, kinematics, neighbours, pairs, sampling, summaries
 from trackloom.plans import scope, values
 from trackloom.plans.catalog import RUNS, Catalog, run_id
 from trackloom.plans.pipeline import Pipeline
@@ -629,3 +629,22 @@ def test_distance_pca_is_pca_of_the_distances_and_keeps_its_plan_small(spark):
     got = np.array([[r[f"PC{i}"] for i in range(3)] for r in rows])
     assert len(rows) == 200 and np.allclose(np.abs(got), np.abs(want), atol=1e-9)
     assert models.pair_distance_pca(df.where("n < 0"), points, k=3).count() == 0
+
+
+def test_segments_and_events_sort_the_rows_of_pairs_once(spark):
+    """Runs were found by windows over other keys, so a task sorted and held all its rows of pairs again."""
+    rows = [("g", "s", i, f, float(i), 0.0, math.pi * i) for f in range(40) for i in range(2) if not (i and f in (9, 10, 30))]
+    df = spark.createDataFrame(rows, "group string, sequence string, id long, frame long, X double, Y double, ANGLE double")
+    got = interactions.pair_interaction_filter(df, 0.0, 5.0, True, 80.0, 5, 2, 1)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("_run") == 0
+    assert {(r["frame"], r["segment"], r["interaction_start"], r["interaction_end"]) for r in got.collect()} == {(f, 0, 0, 39) for f in range(40) if f not in (9, 10, 30)}
+    gone = [f for f in range(40) if f % 8 == 7]
+    far = df.withColumn("X", F.when(F.col("frame").isin(gone) & (F.col("id") == 1), 50.0).otherwise(F.col("X")))
+    # 0-6, 8-14 without 9 and 10 (five rows), 16-22, 24-29 with 30 gone (six), 32-38; a run of five is long, one of four isn't.
+    spans = {(r["interaction_start"], r["interaction_end"]) for r in interactions.pair_interaction_filter(far, 0.0, 5.0, True, 80.0, 5, 0, 1).collect()}
+    assert spans == {(0, 6), (8, 14), (16, 22), (24, 29), (32, 38)}
+    assert {(r["interaction_start"], r["interaction_end"]) for r in interactions.pair_interaction_filter(far, 0.0, 5.0, True, 80.0, 6, 0, 1).collect()} == spans - {(8, 14)}
+    aa = spark.createDataFrame([("g", "s", 0, 1, f, int(f in (1, 2, 5)), int(f in (2, 3, 4))) for f in range(7)], "group string, sequence string, id1 long, id2 long, frame long, aa_event_12 int, aa_event_21 int")
+    events = interactions.event_table(aa)
+    assert events._jdf.queryExecution().executedPlan().toString().count("Window ") <= 1
+    assert {(r["direction"], r["start_frame"], r["end_frame"], r["duration"], r["approacher_id"]) for r in events.collect()} == {("12", 1, 2, 2, 0), ("12", 5, 5, 1, 0), ("21", 2, 4, 3, 1)}

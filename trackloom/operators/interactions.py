@@ -101,9 +101,14 @@ def pair_interaction_filter(df: DataFrame, shift: float = 15.0, most_distance: f
     shrink = lambda c: F.when(inside, F.min(c).over(w.rowsBetween(-before, after))).otherwise(0)
     for f in (grow, shrink, shrink, grow):
         both = both.withColumn("_on", f("_on"))
-    both = both.withColumn("_run", F.col("_row") - F.sum("_on").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    long = (F.col("_on") == 1) & (F.count("*").over(Window.partitionBy(*keys, "_run", "_on")) >= least_run)
-    both = both.withColumn("_long", long.cast("int"))
+    # A row is long if one of the `least_run` stretches of that many rows that hold it is all on; by running sums, as sorting by
+    # runs would hold the rows of a task again.
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    most = max(1, least_run)
+    both = both.withColumn("_sum", F.sum("_on").over(running))
+    full = F.coalesce((F.lead("_sum", most - 1).over(w) - F.col("_sum") + F.col("_on") == most).cast("int"), F.lit(0))
+    both = both.withColumn("_full", full).withColumn("_fulls", F.sum("_full").over(running))
+    both = both.withColumn("_long", (F.col("_fulls") > F.coalesce(F.lag("_fulls", most).over(w), F.lit(0))).cast("int"))
     starts = F.when((F.col("_long") == 1) & (F.coalesce(F.lag("_long").over(w), F.lit(0)) == 0), 1).otherwise(0)
     both = both.withColumn("_start", starts).withColumn("_segment", F.when(F.col("_long") == 1, F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1))
     # A row belongs to every segment that has a row within the padding.
