@@ -648,3 +648,14 @@ def test_segments_and_events_sort_the_rows_of_pairs_once(spark):
     events = interactions.event_table(aa)
     assert events._jdf.queryExecution().executedPlan().toString().count("Window ") <= 1
     assert {(r["direction"], r["start_frame"], r["end_frame"], r["duration"], r["approacher_id"]) for r in events.collect()} == {("12", 1, 2, 2, 0), ("12", 5, 5, 1, 0), ("21", 2, 4, 3, 1)}
+
+
+def test_turned_points_are_sorted_without_a_comparator_in_the_plan(spark):
+    """array_sort calls an interpreted comparator for each two values; orientation_relative and body_scale sort by it no more."""
+    df = spark.createDataFrame([("g", "s", 0, i, 1.0 * i, 2.0, None if i else 0.5, 1.0, 2.0 + i, 3.0, 5.0, None, 1.0) for i in range(2)], "group string, sequence string, frame long, id long, X double, Y double, ANGLE double, poseX0 double, poseY0 double, poseX1 double, poseY1 double, poseX2 double, poseY2 double")
+    out = pairs.orientation_relative(df, pairs.body_scale(df))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and "sort_array" in plan
+    got = {r["id1"]: r for r in out.collect()}
+    # The focal without an angle gets nothing that needs one; missing points don't count.
+    assert got[1]["dist_min"] is None and got[1]["dx"] is None and got[0]["near_2"] is None and got[0]["near_0"] <= got[0]["near_1"]
