@@ -659,3 +659,35 @@ def test_turned_points_are_sorted_without_a_comparator_in_the_plan(spark):
     got = {r["id1"]: r for r in out.collect()}
     # The focal without an angle gets nothing that needs one; missing points don't count.
     assert got[1]["dist_min"] is None and got[1]["dx"] is None and got[0]["near_2"] is None and got[0]["near_0"] <= got[0]["near_1"]
+
+
+# The second heading is the first one turned round, up to the last bits of its components.
+HALF_TURNS = [
+    ((0.10000000000000142, -0.39999999999999947), (-0.20000000000000284, 0.8000000000000007)),  # Java's arctangent makes this half a circle
+    ((-2.0, 1.0), (3.1999999999999993, -1.6000000000000014)),  # one bit beyond half a circle
+    ((3.1999999999999993, 0.5), (-3.200000000000003, -0.5)),
+]
+
+
+@pytest.mark.parametrize("before, after", HALF_TURNS)
+def test_turns_by_half_a_circle_of_keypoints(spark, before, after):
+    rows = [("g", "s", i, f, *v, 0.0, 0.0) for f, v in enumerate((before, after)) for i, v in enumerate((v, (1.0, 0.0)))]
+    df = spark.createDataFrame(rows, "`group` string, sequence string, id long, frame long, poseX0 double, poseY0 double, poseX1 double, poseY1 double")
+    got = {(r["perspective"], r["frame"]): r for r in pairs.pair_egocentric(df, 1.0, neck=0, tail=1).collect()}
+    turn = np.diff(np.unwrap([math.atan2(y, x) for x, y in (before, after)]))[0]
+    for f in (0, 1):
+        assert got[0, f]["A_ang_speed"] == pytest.approx(turn) and got[1, f]["B_ang_speed"] == pytest.approx(turn)
+
+
+def test_arctangent_is_that_of_the_c_library_and_null_without_a_point(spark):
+    rng = random.Random(5)
+    rows = [(rng.uniform(-4, 4), rng.uniform(-4, 4)) for _ in range(5000)] + [(0.0, 0.0), (None, 1.0), (1.0, None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "y double, x double").coalesce(1).select(kernels.arctangent("y", "x")).collect()]
+    assert got == [None if None in p else math.atan2(*p) for p in rows]
+
+
+def test_angle_just_below_half_a_turn_back_is_half_a_turn(spark):
+    below, pi = math.nextafter(-math.pi, -4), math.pi
+    df = spark.createDataFrame([(below,), (-pi,), (pi,), (-4.0,), (7.0,), (100.0,)], "a double").coalesce(1)
+    assert [r[0] for r in df.select(numbers.wrap_angle(F.col("a"))).collect()] == [float((a + pi) % (2 * pi) - pi) for a in (below, -pi, pi, -4.0, 7.0, 100.0)]
+    assert (below + pi) % (2 * pi) - pi == pi
