@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import ENTRY, FRAME, ID, ensure_columns
-from ..functions.numbers import ratio, scrubbed
+from ..functions.numbers import ratio, scrubbed, steady_sum
 from ..windows import difference, rows_of
 
 # Columns and prefixes that hold lengths. A column may name a point behind a #, as in X#head.
@@ -117,7 +117,7 @@ def nn_delta_bins(df: DataFrame, bins: int = 45, most: float = 14.0, most_for_me
     adds.append(F.struct(F.lit("").alias("dim"), F.lit("").alias("metric"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0.0).alias("v")))
     keep = [*entry, *names]
     each = base.select(*keep, F.explode(F.array(*adds)).alias("a")).select(*keep, "a.*").where("i is not null and j is not null")
-    sums = each.groupBy(*keep, "dim", "metric", "i", "j").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
+    sums = each.groupBy(*keep, "dim", "metric", "i", "j").agg(steady_sum(F.col("v")).alias("s"), F.count("*").alias("n"))
     # The empty bins join the sums of their group in one row and are summed with them, without a further exchange.
     empty = lambda dim, metric, i, j: F.struct(F.lit(dim).alias("dim"), F.lit(metric).alias("metric"), i.alias("i"), j.alias("j"), F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
     to = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
