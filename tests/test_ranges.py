@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trackloom.functions import kernels
 from trackloom.operators import pairs
@@ -111,3 +112,23 @@ def test_both_views_of_a_pair_come_from_one_exchange_of_its_rows(spark):
     assert [[r[k] for k in keys] for r in rows[0]] == [[r[k] for k in keys] for r in rows[1]]
     values = [np.array([r[-15:] for r in own], float) for own in rows]
     assert len(rows[0]) == 300 and np.allclose(*values, rtol=1e-4, atol=1e-4)
+
+
+@pytest.mark.parametrize("n,inner", [(5_000, slice(1_500, 4_200)), (1_100, slice(0, 1_100)), (40, slice(3, 17))])
+def test_blocks_of_several_columns_match_the_definition(n, inner):
+    x = np.random.default_rng(n).normal(size=(3, n))
+    fs = [0.37, 1.0, 4.1]
+    seen = np.zeros((3, len(fs), inner.stop - inner.start), complex)
+    for i, at, sums in kernels._Weights([kernels.morlet_kernel(25.0 / f) for f in fs]).each(x, inner):
+        seen[at, i] = sums
+    assert np.allclose(seen, [[direct(own, 25.0, f)[inner] for f in fs] for own in x], atol=1e-9)
+
+
+def test_pair_wavelet_query_is_dealt_to_tasks_as_floats(spark):
+    """All rows went to one task, as they were few bytes; pairs were dealt with what follows from their angles; values were doubles."""
+    df = QUERIES["pair_wavelet"](spark, "/root/testdata/sf0.001")
+    assert {kind for name, kind in df.dtypes if name.startswith("W_")} == {"float"}
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line and "id_A" in line)
+    assert "COS(" in "".join(lines[:dealt]) and "COS(" not in "".join(lines[dealt:])
+    assert df.select(F.spark_partition_id()).distinct().count() > 1
